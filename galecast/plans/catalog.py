@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators import rollups
 from ..sources.sinks import round_doubles
 from ..sources.tables import PANEL_TYPES
-from . import products
+from . import models, products
 from .driver import DriverPipeline
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,5 +62,36 @@ def relational_queries() -> dict[str, Query]:
     }
 
 
+def model_queries() -> dict[str, Query]:
+    """Fits, cross-validation, densities and trends.
+
+    Models on the regional table follow the reference's formula; models on
+    the order table scale with the data.  The ``*_by_group`` fits and the
+    densities have closed-form / SQL statements; the others are checked by
+    row count here and by score equations in the tests.
+    """
+    reg, odr = models.REGIONAL_FORMULA, models.ORDER_FORMULA
+    return {
+        "poisson_regional": _q(lambda p: models.tidy(p.regional, reg, "poisson"), 6),
+        "negbin_regional": _q(lambda p: models.tidy(p.regional, reg, "negbin"), 6),
+        "model_aic_regional": _q(lambda p: models.glance(p.regional, reg), 3),
+        "model_choice": _q(lambda p: models.model_choice(p.regional, reg), 3),
+        "unit_effect": _q(lambda p: models.unit_effect(p.regional, reg), 3),
+        "poisson_orders": _q(lambda p: models.tidy(models.order_rows(p), odr, "poisson"), 6),
+        "negbin_orders": _q(lambda p: models.tidy(models.order_rows(p), odr, "negbin"), 6),
+        "model_aic_orders": _q(lambda p: models.glance(models.order_rows(p), odr), 3),
+        "poisson_by_group": _q(lambda p: models.by_group(models.order_rows(p), "y", "region", "poisson")
+                               .select("term", "estimate", "std_error", "exp_estimate"), 6),
+        "negbin_by_group": _q(lambda p: models.by_group(models.order_rows(p), "y", "region", "negbin")
+                              .select("term", "estimate", "exp_estimate"), 6),
+        "cv_splits": _q(lambda p: models.cv_splits(p.regional)),
+        "cv_errors": _q(lambda p: models.cv_errors(p.regional, reg), 6),
+        "cv_errors_published": _q(lambda p: models.cv_errors(p.regional, reg, leaky=True, scale="link"), 6),
+        "density": _q(lambda p: models.count_density(p.regional), 6),
+        "density_by_group": _q(lambda p: models.density_by(models.order_rows(p), "y", ["region"]), 6),
+        "trend_smooth": _q(lambda p: models.temp_trend(p.fact_a), 4),
+    }
+
+
 def all_queries() -> dict[str, Query]:
-    return {**relational_queries()}
+    return {**relational_queries(), **model_queries()}

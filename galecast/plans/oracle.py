@@ -139,7 +139,13 @@ map_long AS (
          statistic
   FROM (UNPIVOT map_wide ON mean_temp, max_temp, min_temp, mtotal_precip, mn_state
         INTO NAME variable_type VALUE statistic)
-  WHERE state_code IS NOT NULL AND year IS NOT NULL AND statistic IS NOT NULL)
+  WHERE state_code IS NOT NULL AND year IS NOT NULL AND statistic IS NOT NULL),
+order_rows AS (
+  SELECT l.y, CAST(year(o.o_orderdate) AS INTEGER) AS year, p.region, o.o_totalprice AS totalprice
+  FROM (SELECT l_orderkey, sum(CAST(l_quantity AS BIGINT)) AS y FROM lineitem GROUP BY l_orderkey) l
+  JOIN orders o ON l.l_orderkey = o.o_orderkey
+  JOIN customer c ON o.o_custkey = c.c_custkey
+  LEFT JOIN places p ON p.state_code = 'N' || lpad(CAST(c.c_nationkey AS VARCHAR), 2, '0'))
 """
 
 
@@ -272,4 +278,76 @@ SELECT DISTINCT list_name, value FROM (
   UNION ALL SELECT 'disaster', disaster FROM dash WHERE disaster IS NOT NULL AND disaster <> 'NA'
   UNION ALL SELECT 'year', CAST(year AS VARCHAR) FROM dash WHERE year IS NOT NULL
   UNION ALL SELECT 'variable_type', variable_type FROM map_long) t""")
+    q.update(_model_queries())
+    return q
+
+
+def r6(expr: str) -> str:
+    return f"floor(({expr}) * 1000000.0 + 0.5) / 1000000.0"
+
+
+INV_SQRT_2PI = 0.3989422804014327
+
+
+def _density(values_cte: str, group: str | None) -> str:
+    """Binned Gaussian density on 512 points over each group's range."""
+    g = group or "0"
+    return with_base(f"""
+, vals AS (SELECT {g} AS g, v FROM ({values_cte}) raw),
+st0 AS (
+  SELECT g, count(*) AS n, min(v) AS lo, max(v) AS hi, stddev_samp(v) AS sd,
+         quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS iqr, min(abs(v)) AS fa
+  FROM vals GROUP BY g),
+st AS (
+  SELECT g, n, lo,
+         CASE WHEN hi > lo THEN (hi - lo) / 511 ELSE 0.0 END AS delta,
+         0.9 * (CASE WHEN least(coalesce(sd, 0.0), iqr / 1.34) > 0 THEN least(coalesce(sd, 0.0), iqr / 1.34)
+                     WHEN coalesce(sd, 0.0) > 0 THEN sd WHEN fa > 0 THEN fa ELSE 1.0 END)
+             * pow(CAST(n AS DOUBLE), -0.2) AS bw
+  FROM st0),
+freq AS (SELECT g, v, count(*) AS c FROM vals GROUP BY g, v),
+pos AS (
+  SELECT f.g, f.c, s.n, CASE WHEN s.delta > 0 THEN (f.v - s.lo) / s.delta ELSE 0.0 END AS pos
+  FROM freq f JOIN st s ON f.g = s.g),
+parts AS (
+  SELECT g, CAST(floor(pos) AS BIGINT) AS j, (c / n) * (1.0 - (pos - floor(pos))) AS m FROM pos
+  UNION ALL
+  SELECT g, CAST(floor(pos) AS BIGINT) + 1 AS j, (c / n) * (pos - floor(pos)) AS m FROM pos),
+bins AS (SELECT g, j, sum(m) AS mass FROM parts WHERE m > 0 AND j < 512 GROUP BY g, j),
+dens AS (
+  SELECT b.g, u.range AS u, s.lo, s.delta,
+         sum(b.mass * exp(-0.5 * (((u.range - b.j) * s.delta) / s.bw) * (((u.range - b.j) * s.delta) / s.bw))
+             * {INV_SQRT_2PI} / s.bw) AS density
+  FROM bins b JOIN st s ON b.g = s.g, range(512) u
+  GROUP BY b.g, u.range, s.lo, s.delta)
+SELECT {"g AS " + group + ", " if group else ""}{r6("lo + u * delta")} AS x, {r6("density")} AS density FROM dens""")
+
+
+def _model_queries() -> dict[str, str]:
+    q: dict[str, str] = {}
+    # One categorical regressor: the fitted means are the group means, so the
+    # coefficients are log ratios of group means (Poisson and negative
+    # binomial alike) and the Poisson standard errors are sqrt(1/S_g + 1/S_ref).
+    means = """
+, m AS (SELECT region, avg(CAST(y AS DOUBLE)) AS mu, sum(CAST(y AS DOUBLE)) AS s
+        FROM order_rows WHERE region IS NOT NULL AND y IS NOT NULL GROUP BY region),
+ref AS (SELECT * FROM m ORDER BY region LIMIT 1)"""
+    q["poisson_by_group"] = with_base(means + f"""
+SELECT '(Intercept)' AS term, {r6('ln(ref.mu)')} AS estimate, {r6('1 / sqrt(ref.s)')} AS std_error,
+       {r6('ref.mu')} AS exp_estimate FROM ref
+UNION ALL
+SELECT 'region' || m.region, {r6('ln(m.mu) - ln(ref.mu)')}, {r6('sqrt(1 / m.s + 1 / ref.s)')},
+       {r6('m.mu / ref.mu')}
+FROM m, ref WHERE m.region <> ref.region""")
+    q["negbin_by_group"] = with_base(means + f"""
+SELECT '(Intercept)' AS term, {r6('ln(ref.mu)')} AS estimate, {r6('ref.mu')} AS exp_estimate FROM ref
+UNION ALL
+SELECT 'region' || m.region, {r6('ln(m.mu) - ln(ref.mu)')}, {r6('m.mu / ref.mu')}
+FROM m, ref WHERE m.region <> ref.region""")
+    q["density"] = _density(
+        "SELECT CAST(count_region AS DOUBLE) AS v FROM (SELECT DISTINCT year, count_region FROM regional) d "
+        "WHERE count_region IS NOT NULL", None)
+    q["density_by_group"] = _density(
+        "SELECT region, CAST(y AS DOUBLE) AS v FROM order_rows WHERE region IS NOT NULL AND y IS NOT NULL",
+        "region")
     return q

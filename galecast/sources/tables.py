@@ -103,3 +103,27 @@ def declarations_raw(spark: SparkSession, sf_dir: str,
             .select(nation_code("s_nationkey").alias("state"),
                     F.concat("l_returnflag", "l_linestatus").alias("incident_type"),
                     F.year("l_shipdate").alias("fy_declared")))
+
+
+def order_model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order-level rows for the count models at scale.
+
+    ``y`` = total quantity of the order's lines (over-dispersed counts),
+    ``n_lines`` = its number of lines (under-dispersed), regressors: order
+    year, the customer's region (null for unlisted places) and total price.
+    Line items are reduced to one row per order before any join.
+    """
+    per_order = (table(spark, sf_dir, "lineitem")
+                 .groupBy("l_orderkey")
+                 .agg(F.sum(F.col("l_quantity").cast("long")).alias("y"),
+                      F.count(F.lit(1)).alias("n_lines")))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    places = nation_places(spark, sf_dir).select(F.col("state_code").alias("_code"), "region")
+    rows = (per_order.join(orders, per_order.l_orderkey == orders.o_orderkey)
+            .join(customer, F.col("o_custkey") == customer.c_custkey)
+            .withColumn("_code", nation_code("c_nationkey"))
+            .join(places, "_code", "left"))
+    return rows.select(F.col("l_orderkey").alias("order_key"), "y", "n_lines",
+                       F.year("o_orderdate").alias("year"), "region",
+                       F.col("o_totalprice").alias("totalprice"))
