@@ -7,7 +7,7 @@ the mapping (nation cut-offs, year range, region by region key, labels).
 Rules used throughout: ``IS NOT DISTINCT FROM`` for null-matching joins,
 ``CASE WHEN count(*) = count(x)`` for null-propagating aggregates,
 ``UNPIVOT INCLUDE NULLS`` for the wide → long steps, and doubles rounded
-half-up at 4 decimals as ``floor(x * 1e4 + 0.5) / 1e4`` on both sides.
+half-up at 6 decimals as ``floor(x * 1e6 + 0.5) / 1e6`` on both sides.
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ LO, HI = DRIVER_YEARS
 
 
 def r4(expr: str) -> str:
-    return f"floor(({expr}) * 10000.0 + 0.5) / 10000.0"
+    """Half-up rounding of published doubles (6 decimals, see catalog)."""
+    return f"floor(({expr}) * 1000000.0 + 0.5) / 1000000.0"
 
 
 def num_label(expr: str) -> str:
