@@ -41,7 +41,8 @@ def tidy(df: DataFrame, formula, family: str) -> DataFrame:
 
 
 def glance(df: DataFrame, formula) -> DataFrame:
-    fits = {"poisson": fit(df, formula, "poisson"), "negative_binomial": fit(df, formula, "negbin")}
+    both = fit(df, formula, "both")
+    fits = {"poisson": both["poisson"], "negative_binomial": both["negbin"]}
     return glm.glance(df.sparkSession, fits)
 
 

@@ -71,23 +71,23 @@ def cv_errors(df: DataFrame, response: str, terms: Sequence[str], factors: Seque
     design = build_design(base, response, terms, factors)
     split_rows = with_splits(base, key_cols, n_splits, test, seed, exact)
     test_rows = prepare_rows(split_rows.where(F.col("is_test")), design, group=F.col("split_id"))
+    # Both models from one set of passes: the negative binomial starts from
+    # the Poisson fit of the same split.
+    if leaky:
+        rows = prepare_rows(base, design).persist(StorageLevel.MEMORY_AND_DISK)
+    else:
+        rows = prepare_rows(split_rows.where(~F.col("is_test")), design,
+                            group=F.col("split_id")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        fits = fit_groups(rows, design, "both")
+    finally:
+        rows.unpersist()
     pieces = []
     for label, family, order in MODELS:
         if leaky:
-            rows = prepare_rows(base, design).persist(StorageLevel.MEMORY_AND_DISK)
-            try:
-                beta = fit_groups(rows, design, family)[0].beta_scaled
-            finally:
-                rows.unpersist()
-            betas = {s: beta for s in range(n_splits)}
+            betas = {s: fits[0][family].beta_scaled for s in range(n_splits)}
         else:
-            rows = prepare_rows(split_rows.where(~F.col("is_test")), design,
-                                group=F.col("split_id")).persist(StorageLevel.MEMORY_AND_DISK)
-            try:
-                fits = fit_groups(rows, design, family)
-            finally:
-                rows.unpersist()
-            betas = {s: f.beta_scaled for s, f in fits.items()}
+            betas = {s: f[family].beta_scaled for s, f in fits.items()}
         state = _state_df(spark, betas, None).withColumnRenamed("_g", "_gs")
         pred = test_rows.join(F.broadcast(state), test_rows._g == state._gs)
         eta = _eta(design.p)

@@ -235,7 +235,10 @@ def fit_groups(rows: DataFrame, design: Design, family: str = "poisson",
         fits[g] = _make_fit("poisson", design, betas[g], last[g], None, its[g], g in done)
     if family == "poisson":
         return fits
-    return _fit_negbin(rows, design, fits, last, tol, max_iter)
+    nb = _fit_negbin(rows, design, fits, last, tol, max_iter)
+    if family == "both":
+        return {g: {"poisson": fits[g], "negbin": nb[g]} for g in groups}
+    return nb
 
 
 def _fit_negbin(rows: DataFrame, design: Design, pois: dict[int, Fit], last: dict,
@@ -308,6 +311,9 @@ def glm(df: DataFrame, response: str, terms: Sequence[str], factors: Sequence[st
         max_iter: int = 50) -> Fit:
     """Fit one model on all complete rows of ``df``.
 
+    ``family`` is ``poisson``, ``negbin`` or ``both`` (then a dict of the
+    two fits; the negative binomial starts from that Poisson fit anyway).
+
     The projected model rows are persisted for the passes (memory, then
     disk); a lost executor only means those blocks are recomputed from the
     scan.
