@@ -90,6 +90,7 @@ def model_queries() -> dict[str, Query]:
         "cv_errors": _q(lambda p: models.cv_errors(p.regional, reg), 6),
         "cv_errors_published": _q(lambda p: models.cv_errors(p.regional, reg, leaky=True, scale="link"), 6),
         "density": _q(lambda p: models.count_density(p.regional), 6),
+        "cv_error_density": _q(lambda p: models.cv_error_density(p.regional, reg), 6),
         "density_by_group": _q(lambda p: models.density_by(models.order_rows(p), "y", ["region"]), 6),
         "trend_smooth": _q(lambda p: models.temp_trend(p.fact_a), 4),
     }

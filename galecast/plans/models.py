@@ -81,6 +81,12 @@ def count_density(regional: DataFrame) -> DataFrame:
     return kde.density(regional.select("year", "count_region").distinct(), "count_region")
 
 
+def cv_error_density(df: DataFrame, formula) -> DataFrame:
+    """Test-error distribution per model, as the reference's violin plot."""
+    errs = cv_errors(df, formula, leaky=True, scale="link")
+    return kde.density(errs, "rmse", by=["model"])
+
+
 def density_by(df: DataFrame, col: str, by: list[str]) -> DataFrame:
     return kde.density(df.where(F.col(by[0]).isNotNull()), col, by=by)
 

@@ -61,16 +61,20 @@ def nation_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     Its size is that of the nation table; joins against it are left to the
     planner's size check (``autoBroadcastJoinThreshold``) rather than forced.
     """
-    region = F.lit(None).cast("string")
-    for key in sorted(REGION_BY_REGIONKEY, reverse=True):
-        region = F.when(F.col("n_regionkey") == key, F.lit(REGION_BY_REGIONKEY[key])).otherwise(region)
     return table(spark, sf_dir, "nation").select(
         F.col("n_name").alias("location"),
         nation_code("n_nationkey").alias("state_code"),
-        region.alias("region"),
+        _region_of_key(F.col("n_regionkey")).alias("region"),
     )
 
 
+def _region_of_key(key: F.Column) -> F.Column:
+    region = F.lit(None).cast("string")
+    for k in sorted(REGION_BY_REGIONKEY, reverse=True):
+        region = F.when(key == k, F.lit(REGION_BY_REGIONKEY[k])).otherwise(region)
+    return region
+
+
 def climate_raw(spark: SparkSession, sf_dir: str,
                 years: tuple[int, int] | None = DRIVER_YEARS) -> DataFrame:
     """Monthly-series shape ``(location, date, value)`` from orders."""
@@ -119,11 +123,11 @@ def order_model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.count(F.lit(1)).alias("n_lines")))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    places = nation_places(spark, sf_dir).select(F.col("state_code").alias("_code"), "region")
+    regions = table(spark, sf_dir, "nation").select(
+        F.col("n_nationkey"), _region_of_key(F.col("n_regionkey")).alias("region"))
     rows = (per_order.join(orders, per_order.l_orderkey == orders.o_orderkey)
             .join(customer, F.col("o_custkey") == customer.c_custkey)
-            .withColumn("_code", nation_code("c_nationkey"))
-            .join(places, "_code", "left"))
+            .join(regions, F.col("c_nationkey") == regions.n_nationkey, "left"))
     return rows.select(F.col("l_orderkey").alias("order_key"), "y", "n_lines",
                        F.year("o_orderdate").alias("year"), "region",
                        F.col("o_totalprice").alias("totalprice"))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .design import build_design, complete_rows
-from .glm import _eta, _state_df, fit_groups, prepare_rows
+from .glm import _eta, _state_df, fit_groups, prepare_rows, stable_rows
 
 MODELS = (("poisson", "poisson", 1), ("negative_binomial", "negbin", 2))
 
@@ -74,10 +74,10 @@ def cv_errors(df: DataFrame, response: str, terms: Sequence[str], factors: Seque
     # Both models from one set of passes: the negative binomial starts from
     # the Poisson fit of the same split.
     if leaky:
-        rows = prepare_rows(base, design).persist(StorageLevel.MEMORY_AND_DISK)
+        rows = stable_rows(prepare_rows(base, design))
     else:
-        rows = prepare_rows(split_rows.where(~F.col("is_test")), design,
-                            group=F.col("split_id")).persist(StorageLevel.MEMORY_AND_DISK)
+        rows = stable_rows(prepare_rows(split_rows.where(~F.col("is_test")), design,
+                                        group=F.col("split_id")))
     try:
         fits = fit_groups(rows, design, "both")
     finally:

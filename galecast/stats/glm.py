@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.special import digamma, lgamma, norm_sf2, trigamma
+from ..session import ensure_checkpoint_dir
 from .design import Design, build_design, complete_rows
 
 THETA_MAX = 1e8
@@ -189,6 +190,18 @@ def _state_df(spark: SparkSession, betas: dict, thetas: dict | None) -> DataFram
     return spark.createDataFrame(rows, schema)
 
 
+def stable_rows(rows: DataFrame) -> DataFrame:
+    """Model rows for the many passes of a fit.
+
+    A reliable checkpoint to the cluster's shared checkpoint folder cuts the
+    lineage (scans, joins, aggregates), so an executor lost mid-fit costs a
+    re-read of its checkpoint blocks rather than a rerun of the joins; the
+    checkpointed rows are then kept in memory (spilling to disk) for speed.
+    """
+    ensure_checkpoint_dir(rows.sparkSession)
+    return rows.checkpoint(eager=True).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def prepare_rows(df: DataFrame, design: Design, group: Column | None = None) -> DataFrame:
     """Project the model columns once: ``_g, _y, _x0 .. _x{p-1}``."""
     g = F.lit(0).cast("long") if group is None else group.cast("long")
@@ -322,7 +335,7 @@ def glm(df: DataFrame, response: str, terms: Sequence[str], factors: Sequence[st
         .persist(StorageLevel.MEMORY_AND_DISK)
     try:
         design = build_design(data, response, terms, factors, levels)
-        rows = prepare_rows(data, design).persist(StorageLevel.MEMORY_AND_DISK)
+        rows = stable_rows(prepare_rows(data, design))
         try:
             return fit_groups(rows, design, family, tol, max_iter)[0]
         finally:

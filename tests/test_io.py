@@ -77,3 +77,20 @@ def test_sinks(spark):
     assert back.where("k = 'a'").count() == 1
     assert sorted(r.k for r in pull(df, "k").collect()) == ["a", "b"]
     assert scalar(df.where("k = 'b'"), "n") == 2
+
+
+def test_publish_and_pruned_slice(spark, capsys):
+    from galecast.plans.driver import DriverPipeline
+    from galecast.plans.products import map_slice
+    from galecast.plans.publish import publish_tables, read_published
+    from tests.conftest import SF_SMALL
+    p = DriverPipeline(spark, SF_SMALL)
+    paths = publish_tables(p, tempfile.mkdtemp(prefix="galecast-pub-"))
+    mt = read_published(spark, paths, "map")
+    sl = map_slice(mt, p.places, "Yearly Total of All Disasters", 1998)
+    capsys.readouterr()
+    sl.explain()
+    plan = capsys.readouterr().out
+    assert "PartitionFilters: [isnotnull(variable_type" in plan
+    direct = map_slice(p.map_table, p.places, "Yearly Total of All Disasters", 1998)
+    assert sorted(map(tuple, sl.collect())) == sorted(map(tuple, direct.collect()))
