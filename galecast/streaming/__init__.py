@@ -1 +1,7 @@
-"""galecast: climate and hazard analytics on Spark."""
+"""No streaming operators.
+
+Every source of the reference is a one-shot batch read and none of its
+pages or apps keeps state across arrivals; its "interactive" behaviour is a
+re-run of a filter, which this library serves as parameterised batch
+queries over published tables (``plans.products``, ``plans.publish``).
+"""
