@@ -31,7 +31,7 @@ SLICE_TYPE = "NF"
 
 def _q(build: Callable[[DriverPipeline], DataFrame], digits: int = 6) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return round_doubles(build(DriverPipeline(spark, sf_dir)), digits)
+        return round_doubles(build(DriverPipeline.shared(spark, sf_dir)), digits)
     return run
 
 

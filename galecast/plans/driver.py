@@ -16,6 +16,8 @@ from ..operators import facts, hazards, rollups
 from ..sources import tables
 from . import products
 
+_SHARED: dict = {}
+
 
 class DriverPipeline:
     def __init__(self, spark: SparkSession, sf_dir: str, years: tuple[int, int] = tables.DRIVER_YEARS):
@@ -23,6 +25,21 @@ class DriverPipeline:
         self.sf_dir = sf_dir
         self.years = years
 
+    @classmethod
+    def shared(cls, spark: SparkSession, sf_dir: str) -> "DriverPipeline":
+        """One pipeline per session and directory.
+
+        Its DataFrames are lazy plans, so reusing them across queries only
+        saves building and analysing the same plan again; every action still
+        reads the files.
+        """
+        key = (id(spark), sf_dir)
+        hit = _SHARED.get(key)
+        if hit is None or hit.spark is not spark:
+            hit = cls(spark, sf_dir)
+            _SHARED[key] = hit
+        return hit
+
     # sources ---------------------------------------------------------------
     @cached_property
     def places(self) -> DataFrame:

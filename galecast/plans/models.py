@@ -28,7 +28,9 @@ CV_SEED = 20191206
 
 
 def order_rows(p: DriverPipeline) -> DataFrame:
-    return order_model_rows(p.spark, p.sf_dir)
+    if not hasattr(p, "_order_rows"):
+        p._order_rows = order_model_rows(p.spark, p.sf_dir)
+    return p._order_rows
 
 
 def fit(df: DataFrame, formula, family: str) -> glm.Fit:

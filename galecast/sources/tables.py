@@ -39,8 +39,39 @@ REGION_BY_REGIONKEY = {0: "southeast", 1: "northeast", 2: "west", 3: "midwest"}
 PANEL_TYPES = ["AF", "NF", "NO", "RO"]
 
 
+# Declared schemas of the driver tables read here (FIXTURES.md §4): the
+# reader then skips schema inference, which opens every file footer.
+TABLE_SCHEMAS = {
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+                "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+                "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+}
+
+_READERS: dict[tuple[int, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A driver table, read with its declared schema.
+
+    The DataFrame is reused within a session (it is a lazy scan; files are
+    listed once), so queries built one after another do not re-list them.
+    """
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), path)
+    df = _READERS.get(key)
+    if df is None or df.sparkSession is not spark:
+        reader = spark.read
+        if name in TABLE_SCHEMAS:
+            reader = reader.schema(TABLE_SCHEMAS[name])
+        df = reader.parquet(path)
+        _READERS[key] = df
+    return df
 
 
 def _ts_range(col: str, years: tuple[int, int] | None):
