@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that matter at any scale.  AQE re-plans joins from runtime sizes,
 # coalesces small shuffle partitions and splits skewed join partitions, which
@@ -56,3 +57,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(current)
     return spark.sparkContext.getCheckpointDir()
+
+
+def stage_table(df: DataFrame, label: str = "stage") -> DataFrame:
+    """Write ``df`` once as Parquet under the checkpoint folder and read it back.
+
+    This cuts the lineage like a reliable checkpoint but computes the plan in
+    a single job (an eager ``checkpoint`` counts the rows in one job and then
+    recomputes the plan to write them).  The files sit on the cluster's shared
+    storage, so a lost executor costs a re-read of its files, and the read-back
+    scan prunes columns and pushes filters like any table.
+    """
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{root}/tables/{label}-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

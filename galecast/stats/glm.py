@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.special import digamma, lgamma, norm_sf2, trigamma
-from ..session import ensure_checkpoint_dir
+from ..session import stage_table
 from .design import Design, build_design, complete_rows
 
 THETA_MAX = 1e8
@@ -193,13 +193,12 @@ def _state_df(spark: SparkSession, betas: dict, thetas: dict | None) -> DataFram
 def stable_rows(rows: DataFrame) -> DataFrame:
     """Model rows for the many passes of a fit.
 
-    A reliable checkpoint to the cluster's shared checkpoint folder cuts the
-    lineage (scans, joins, aggregates), so an executor lost mid-fit costs a
-    re-read of its checkpoint blocks rather than a rerun of the joins; the
-    checkpointed rows are then kept in memory (spilling to disk) for speed.
+    The rows are written once as a table in the cluster's shared checkpoint
+    folder, which cuts the lineage (scans, joins, aggregates): an executor
+    lost mid-fit costs a re-read of its files rather than a rerun of the
+    joins.  The table is then kept in memory (spilling to disk) for speed.
     """
-    ensure_checkpoint_dir(rows.sparkSession)
-    return rows.checkpoint(eager=True).persist(StorageLevel.MEMORY_AND_DISK)
+    return stage_table(rows, "model-rows").persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def prepare_rows(df: DataFrame, design: Design, group: Column | None = None) -> DataFrame:

@@ -4,9 +4,11 @@ Gaussian kernel, bandwidth by the normal reference rule the reference's
 plots use (``0.9 · min(sd, IQR/1.34) · n^-0.2``), evaluated at ``n`` grid
 points spanning each group's range.
 
-The data are first reduced to their distinct values with counts (the
-frequencies feed an exact percentile for the IQR), then linearly binned onto
-the grid: every value splits its weight between the two nearest grid points.
+The data are first reduced to their distinct values with counts; that
+table is written once as a table in the checkpoint folder (it is read by every step below)
+and feeds the exact quartiles of the IQR (``quantile.exact_quantiles``,
+which never holds a group in one task).  The values are then linearly binned
+onto the grid: every value splits its weight between the two nearest grid points.
 Only the binned masses — at most ``n`` rows per group, whatever the data
 size — meet the grid, through an ``explode`` of grid indices; the result is
 ``sum(mass · φ((x − g) / bw)) / bw``.  No row of the data is ever paired
@@ -22,6 +24,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage_table
+from .quantile import exact_quantiles
+
 INV_SQRT_2PI = 1.0 / math.sqrt(2.0 * math.pi)
 
 
@@ -40,16 +45,16 @@ def density(df: DataFrame, col: str, by: Sequence[str] = (), n: int = 512) -> Da
     if keyless:
         df = df.withColumn("_all", F.lit(0))
     values = df.select(*by, F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    freq = values.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    freq = stage_table(values.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c")), "density-values")
+    quartiles = exact_quantiles(freq, by, [0.25, 0.75]).withColumnRenamed("q0", "_q1") \
+        .withColumnRenamed("q1", "_q3")
     stats = freq.groupBy(*by).agg(
         F.sum("_c").alias("_n"),
         (F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("_mean"),
         F.sum(F.col("_v") * F.col("_v") * F.col("_c")).alias("_ss"),
         F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
-        F.expr("percentile(_v, 0.25, _c)").alias("_q1"),
-        F.expr("percentile(_v, 0.75, _c)").alias("_q3"),
         F.min(F.abs("_v")).alias("_first_abs"),
-    )
+    ).join(quartiles, by, "inner")
     # Sample standard deviation from the moments of the frequency table.
     var = ((F.col("_ss") - F.col("_n") * F.col("_mean") * F.col("_mean"))
            / (F.col("_n") - F.lit(1)))

@@ -140,3 +140,21 @@ def test_smoother_recovers_known_curve(spark):
     assert len(out) == 4 * 80
     truth = np.sin((out.x - 1953) / 10.0) * 3 + 50
     assert np.max(np.abs(out.fitted - truth)) < 0.5
+
+
+def test_exact_quantiles_match_type7(spark):
+    from galecast.stats.quantile import exact_quantiles
+    rng = np.random.default_rng(7)
+    # A hot group holding most rows, continuous values with clusters and
+    # repeats, a small integer group and a one-row group.
+    hot = np.concatenate([rng.lognormal(0, 3, 4000), np.full(300, 2.5), 1e-9 * rng.random(200)])
+    small = rng.integers(0, 5, 37).astype(float)
+    rows = [("hot", float(v)) for v in hot] + [("small", float(v)) for v in small] + [("one", 4.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    freq = df.groupBy("g", "v").agg(F.count(F.lit(1)).alias("c"))
+    probs = [0.0, 0.25, 0.5, 0.75, 1.0]
+    got = {r["g"]: r for r in exact_quantiles(freq, ["g"], probs, value="v", count="c", bins=16).collect()}
+    for g, vals in (("hot", hot), ("small", small), ("one", np.array([4.0]))):
+        want = np.quantile(vals, probs)  # numpy's default is type 7
+        for i, w in enumerate(want):
+            assert got[g][f"q{i}"] == pytest.approx(w, rel=1e-12, abs=0.0), (g, probs[i])
