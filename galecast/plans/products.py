@@ -159,14 +159,17 @@ def option_lists(dash: DataFrame, map_table: DataFrame | None = None) -> DataFra
     States and types come from the fact table without missing values; years
     are the years present; map variables are the recoded labels.
     """
-    parts = [
-        dash.where(not_na_text("state")).select(F.lit("state").alias("list_name"),
-                                                F.col("state").alias("value")),
-        dash.where(not_na_text("disaster")).select(F.lit("disaster").alias("list_name"),
-                                                   F.col("disaster").alias("value")),
-        dash.where(F.col("year").isNotNull()).select(F.lit("year").alias("list_name"),
-                                                     F.col("year").cast("string").alias("value")),
-    ]
+    # One pass over the fact table for its three lists: every row emits its
+    # tagged values, missing ones are dropped, and one distinct (partial
+    # before the shuffle) dedupes them all.
+    tagged = F.explode(F.array(
+        F.struct(F.lit("state").alias("list_name"),
+                 F.when(not_na_text("state"), F.col("state")).alias("value")),
+        F.struct(F.lit("disaster").alias("list_name"),
+                 F.when(not_na_text("disaster"), F.col("disaster")).alias("value")),
+        F.struct(F.lit("year").alias("list_name"), F.col("year").cast("string").alias("value")),
+    )).alias("_o")
+    parts = [dash.select(tagged).select("_o.list_name", "_o.value").where(F.col("value").isNotNull())]
     if map_table is not None:
         parts.append(map_table.select(F.lit("variable_type").alias("list_name"),
                                       F.col("variable_type").alias("value")))

@@ -19,7 +19,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,22 +65,32 @@ def cv_errors(df: DataFrame, response: str, terms: Sequence[str], factors: Seque
               leaky: bool = False, scale: str = "response", exact: bool = False) -> DataFrame:
     """Test RMSE per split and model: ``split_id, model, model_order, rmse``."""
     spark = df.sparkSession
-    base = complete_rows(df.select(*dict.fromkeys([response, *terms, *key_cols])), response, terms) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    base = stable_rows(complete_rows(df.select(*dict.fromkeys([response, *terms, *key_cols])),
+                                     response, terms))
     design = build_design(base, response, terms, factors)
     split_rows = with_splits(base, key_cols, n_splits, test, seed, exact)
+    if exact and not leaky:
+        # The exact mode ranks within splits; stage its (bounded) result once
+        # rather than re-rank in every pass.  Hash membership is recomputed
+        # in each pass instead: it is a cheap expression, and staging rows ×
+        # splits would write the table n_splits times over.
+        split_rows = stable_rows(split_rows)
     test_rows = prepare_rows(split_rows.where(F.col("is_test")), design, group=F.col("split_id"))
     # Both models from one set of passes: the negative binomial starts from
     # the Poisson fit of the same split.
-    if leaky:
-        rows = stable_rows(prepare_rows(base, design))
-    else:
-        rows = stable_rows(prepare_rows(split_rows.where(~F.col("is_test")), design,
-                                        group=F.col("split_id")))
     try:
-        fits = fit_groups(rows, design, "both")
+        if leaky:
+            fits = fit_groups(prepare_rows(base, design), design, "both", groups=[0])
+        else:
+            fits = fit_groups(prepare_rows(split_rows.where(~F.col("is_test")), design,
+                                           group=F.col("split_id")),
+                              design, "both", groups=range(n_splits))
     finally:
-        rows.unpersist()
+        # The result below reads the staged files; the cached copies were
+        # only for the passes.
+        if split_rows is not base and split_rows.is_cached:
+            split_rows.unpersist()
+        base.unpersist()
     pieces = []
     for label, family, order in MODELS:
         if leaky:

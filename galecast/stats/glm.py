@@ -191,12 +191,15 @@ def _state_df(spark: SparkSession, betas: dict, thetas: dict | None) -> DataFram
 
 
 def stable_rows(rows: DataFrame) -> DataFrame:
-    """Model rows for the many passes of a fit.
-
-    The rows are written once as a table in the cluster's shared checkpoint
-    folder, which cuts the lineage (scans, joins, aggregates): an executor
-    lost mid-fit costs a re-read of its files rather than a rerun of the
-    joins.  The table is then kept in memory (spilling to disk) for speed.
+    """Input rows for the many passes of a fit.
+
+    The rows (the model's own columns, before any design expansion) are
+    written once as a table in the cluster's shared checkpoint folder, which
+    cuts the lineage (scans, joins, aggregates): an executor lost mid-fit
+    costs a re-read of its files rather than a rerun of the joins.  The table
+    is then kept in memory (spilling to disk) for speed.  Design columns are
+    derived from it inside each pass, so the staged table stays as narrow as
+    the model's inputs.
     """
     return stage_table(rows, "model-rows").persist(StorageLevel.MEMORY_AND_DISK)
 
@@ -210,11 +213,18 @@ def prepare_rows(df: DataFrame, design: Design, group: Column | None = None) ->
 
 
 def fit_groups(rows: DataFrame, design: Design, family: str = "poisson",
-               tol: float = 1e-8, max_iter: int = 50) -> dict[int, Fit]:
-    """Fit one model per value of ``_g`` in ``rows`` (see ``prepare_rows``)."""
+               tol: float = 1e-8, max_iter: int = 50,
+               groups: Sequence[int] | None = None) -> dict[int, Fit]:
+    """Fit one model per value of ``_g`` in ``rows`` (see ``prepare_rows``).
+
+    ``groups`` lists the group keys when the caller knows them (one fit, or
+    the CV split ids); otherwise they are read with a distinct query.
+    """
     spark = rows.sparkSession
     p = design.p
-    groups = [r["_g"] for r in rows.select("_g").distinct().collect()]
+    if groups is None:
+        groups = [r["_g"] for r in rows.select("_g").distinct().collect()]
+    groups = list(groups)
     betas: dict = {g: None for g in groups}
     dev_old: dict = {g: None for g in groups}
     last: dict = {}
@@ -227,6 +237,10 @@ def fit_groups(rows: DataFrame, design: Design, family: str = "poisson",
         if not active:
             break
         res = _pass(rows, _state_df(spark, {g: betas[g] for g in active}, None), p, "poisson", start)
+        if start:
+            # A listed group without rows has nothing to fit.
+            groups = [g for g in groups if g in res]
+            active &= set(groups)
         for g in list(active):
             r = res[g]
             if not start and dev_old[g] is not None and \
@@ -326,19 +340,14 @@ def glm(df: DataFrame, response: str, terms: Sequence[str], factors: Sequence[st
     ``family`` is ``poisson``, ``negbin`` or ``both`` (then a dict of the
     two fits; the negative binomial starts from that Poisson fit anyway).
 
-    The projected model rows are persisted for the passes (memory, then
-    disk); a lost executor only means those blocks are recomputed from the
-    scan.
+    The complete rows are staged once (``stable_rows``); the design reads
+    its constants from them and every pass derives the design columns from
+    them on the fly.
     """
-    data = complete_rows(df.select(response, *terms), response, terms) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    data = stable_rows(complete_rows(df.select(response, *terms), response, terms))
     try:
         design = build_design(data, response, terms, factors, levels)
-        rows = stable_rows(prepare_rows(data, design))
-        try:
-            return fit_groups(rows, design, family, tol, max_iter)[0]
-        finally:
-            rows.unpersist()
+        return fit_groups(prepare_rows(data, design), design, family, tol, max_iter, groups=[0])[0]
     finally:
         data.unpersist()
 
