@@ -16,10 +16,13 @@ def declaration_counts(decl: DataFrame, years: tuple[int, int]) -> DataFrame:
     """
     lo, hi = years
     year = F.expr("try_cast(fy_declared AS INT)")
-    return (decl.select(F.col("state"), year.alias("year"), F.col("incident_type").alias("disaster"))
+    # Records may come pre-counted (``n_records``, see tables.declarations_raw).
+    weight = F.col("n_records").cast("long") if "n_records" in decl.columns else F.lit(1).cast("long")
+    return (decl.select(F.col("state"), year.alias("year"), F.col("incident_type").alias("disaster"),
+                        weight.alias("_w"))
             .where(F.col("year").between(lo, hi))
             .groupBy("state", "year", "disaster")
-            .agg(F.count(F.lit(1)).alias("n")))
+            .agg(F.sum("_w").alias("n")))
 
 
 def with_totals(df: DataFrame, place: str, count: str = "n") -> DataFrame:

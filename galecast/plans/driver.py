@@ -51,7 +51,7 @@ class DriverPipeline:
 
     @cached_property
     def declarations_raw(self) -> DataFrame:
-        return tables.declarations_raw(self.spark, self.sf_dir, self.years)
+        return tables.declarations_raw(self.spark, self.sf_dir, self.years, weighted=True)
 
     # reductions ------------------------------------------------------------
     def annual(self, measure: str, how: str) -> DataFrame:

@@ -126,18 +126,31 @@ def climate_raw(spark: SparkSession, sf_dir: str,
 
 
 def declarations_raw(spark: SparkSession, sf_dir: str,
-                     years: tuple[int, int] | None = DRIVER_YEARS) -> DataFrame:
-    """Declaration-record shape ``(state, incident_type, fy_declared)``."""
+                     years: tuple[int, int] | None = DRIVER_YEARS,
+                     weighted: bool = False) -> DataFrame:
+    """Declaration-record shape ``(state, incident_type, fy_declared)``.
+
+    ``weighted=True`` gives the same records already counted per supplier,
+    type and year (column ``n_records``): the line items are reduced before
+    the supplier join (partial aggregation on the map side), so the join and
+    its shuffle carry one row per supplier-type-year instead of one per line,
+    and a supplier holding a third of the lines leaves each map task as a
+    handful of rows.
+    """
     lines = (table(spark, sf_dir, "lineitem")
              .where((F.col("l_quantity") >= DECL_MIN_QUANTITY) & _ts_range("l_shipdate", years))
-             .select("l_suppkey", "l_returnflag", "l_linestatus", "l_shipdate"))
+             .select("l_suppkey",
+                     F.concat("l_returnflag", "l_linestatus").alias("incident_type"),
+                     F.year("l_shipdate").alias("fy_declared")))
+    if weighted:
+        lines = (lines.groupBy("l_suppkey", "incident_type", "fy_declared")
+                 .agg(F.count(F.lit(1)).alias("n_records")))
     supplier = (table(spark, sf_dir, "supplier")
                 .where(F.col("s_nationkey") >= DECL_MIN_NATION)
                 .select("s_suppkey", "s_nationkey"))
+    extra = ["n_records"] if weighted else []
     return (lines.join(supplier, lines.l_suppkey == supplier.s_suppkey)
-            .select(nation_code("s_nationkey").alias("state"),
-                    F.concat("l_returnflag", "l_linestatus").alias("incident_type"),
-                    F.year("l_shipdate").alias("fy_declared")))
+            .select(nation_code("s_nationkey").alias("state"), "incident_type", "fy_declared", *extra))
 
 
 def order_model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
