@@ -5,10 +5,11 @@ plots use (``0.9 · min(sd, IQR/1.34) · n^-0.2``), evaluated at ``n`` grid
 points spanning each group's range.
 
 The data are first reduced to their distinct values with counts; that
-table is written once as a table in the checkpoint folder (it is read by every step below)
-and feeds the exact quartiles of the IQR (``quantile.exact_quantiles``,
-which never holds a group in one task).  The values are then linearly binned
-onto the grid: every value splits its weight between the two nearest grid points.
+table is written once under the checkpoint folder (every step below reads
+it) and feeds the exact quartiles of the IQR (``quantile.exact_quantiles``,
+which never holds a group in one task).  The values are then linearly
+binned onto the grid: every value splits its weight between the two
+nearest grid points.
 Only the binned masses — at most ``n`` rows per group, whatever the data
 size — meet the grid, through an ``explode`` of grid indices; the result is
 ``sum(mass · φ((x − g) / bw)) / bw``.  No row of the data is ever paired
