@@ -29,5 +29,49 @@ FROM r
 """
 
 
+OP3 = r"""
+WITH dw AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+iw AS (
+  SELECT item_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, m, list_slice(w, i, i + m - 1) AS g
+  FROM (SELECT item_id, w, least(len(w), 10) AS m, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM iw WHERE len(w) > 0)),
+lens AS (SELECT DISTINCT m FROM win),
+occ AS (
+  SELECT x.rid, x.i, x.m, win.item_id
+  FROM (SELECT rid, m, i, list_slice(w, i, i + m - 1) AS g
+        FROM (SELECT rid, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM dw, lens WHERE len(w) >= m)) x
+  JOIN win ON win.m = x.m AND win.g = x.g),
+hit AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + m)) AS p FROM occ) GROUP BY rid),
+its AS (SELECT rid, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids
+        FROM (SELECT DISTINCT rid, item_id::VARCHAR AS item FROM occ) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(its.n, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+FROM dw LEFT JOIN hit USING (rid) LEFT JOIN its USING (rid)
+"""
+
+OP9 = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT rid, doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS g
+      FROM (SELECT rid, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+f AS (SELECT g, min(doc_id) AS least FROM x GROUP BY g),
+gone AS (SELECT DISTINCT rid, p FROM (SELECT rid, unnest(range(i, i + 50)) AS p
+                                      FROM x JOIN f USING (g) WHERE f.least < x.doc_id OR (x.doc_id IS NULL AND f.least IS NOT NULL))),
+n AS (SELECT rid, count(*) AS n FROM gone GROUP BY rid),
+kept AS (SELECT rid, string_agg(t, ' ' ORDER BY p) AS t
+         FROM (SELECT rid, p, w[p] AS t FROM (SELECT rid, w, unnest(range(1, len(w) + 1)) AS p FROM d WHERE len(w) > 0)
+               ANTI JOIN gone USING (rid, p)) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM d LEFT JOIN n USING (rid) LEFT JOIN kept USING (rid)
+"""
+
+
 def llm_oracle() -> dict[str, str]:
-    return {"op1_mix": OP1}
+    return {"op1_mix": OP1, "op3_decontaminate": OP3, "op9_substring_dedup": OP9}

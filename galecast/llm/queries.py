@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, sharding
+from . import decontam, mixing, sharding, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,5 +27,20 @@ def op2_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.find_contamination(_table(spark, sf_dir, "documents").select("doc_id", "text"),
+                                        _table(spark, sf_dir, "benchmark"))
+    ids = F.array_join(F.array_sort(F.filter("bench_items", lambda x: x.isNotNull())), ",")
+    return found.select("doc_id", F.col("bench_words").alias("n_words"), F.col("bench_hits").alias("n_hit"),
+                        F.size("bench_items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"),
+                        (F.col("bench_hits") > 0).alias("contaminated"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substrings.remove_repeated_words(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def llm_queries() -> dict[str, Query]:
-    return {"op1_mix": op1_mix, "op2_shard": op2_shard}
+    return {"op1_mix": op1_mix, "op2_shard": op2_shard, "op3_decontaminate": op3_decontaminate,
+            "op9_substring_dedup": op9_substring_dedup}
