@@ -86,7 +86,7 @@ def find_splitters(rows: DataFrame, shards: int, per_shard: int = 1, tolerance:
             kept = sorted({tuple(p) for p, _ in open_at.values()})
             wanted = rows.sparkSession.createDataFrame(
                 [_parts(p) for p in kept], T.StructType([T.StructField(x, T.LongType()) for x in names]))
-            part = part.join(wanted, names)
+            part = part.join(F.broadcast(wanted), names)  # a row per open splitter at most
         counts: dict[tuple[int, ...], dict[int, int]] = {}
         for r in part.groupBy(*names, "d").agg(F.sum("shard_size").alias("b")).collect():
             counts.setdefault(tuple(r[:-2]), {})[r["d"]] = r["b"]
