@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, mixing, sharding, substrings, suffixes
+from . import decontam, mixing, near_dup, sharding, substrings, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +46,11 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 def llm_queries() -> dict[str, Query]:
     return {"op1_mix": op1_mix, "op2_shard": op2_shard, "op3_decontaminate": op3_decontaminate,
-            "op7_suffix_dedup": op7_suffix_dedup, "op9_substring_dedup": op9_substring_dedup}
+            "op7_suffix_dedup": op7_suffix_dedup, "op9_substring_dedup": op9_substring_dedup,
+            "op10_near_dedup": op10_near_dedup}
