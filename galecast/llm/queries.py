@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, mixing, near_dup, sharding, substrings, suffixes
+from . import decontam, mixing, near_dup, sharding, substrings, suffixes, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +36,19 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("bench_hits") > 0).alias("contaminated"))
 
 
+def held_out(doc_id):
+    """Every fifth id by its CRC: no label of these rows is learnt."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(~held_out(F.col("doc_id"))))
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("tox_score").alias("score"),
+        (F.col("tox_score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = suffixes.remove_repeated_bytes(_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -52,5 +65,6 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Query]:
     return {"op1_mix": op1_mix, "op2_shard": op2_shard, "op3_decontaminate": op3_decontaminate,
+            "op5_toxicity": op5_toxicity,
             "op7_suffix_dedup": op7_suffix_dedup, "op9_substring_dedup": op9_substring_dedup,
             "op10_near_dedup": op10_near_dedup}
