@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, mixing, near_dup, sharding, substrings, suffixes, toxicity
+from . import decontam, licenses, mixing, near_dup, sharding, substrings, suffixes, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +36,15 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("bench_hits") > 0).alias("contaminated"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    best = F.get("lic_found", F.lit(0))
+    return found.select("doc_id", F.col("lic_words").alias("n_words"), F.size("lic_found").cast("long").alias("n_licenses"),
+                        best["license"].alias("license"), F.round(best["coverage"], 6).alias("coverage"),
+                        best["matched"].alias("n_matched"), best["first_word"].alias("first_word"),
+                        best["last_word"].alias("last_word"))
+
+
 def held_out(doc_id):
     """Every fifth id by its CRC: no label of these rows is learnt."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
@@ -54,6 +63,13 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").cast("long").alias("id"), topk.quantised(F.col("embedding"), 256).alias("vector"))
+    found = topk.top_k(rows, rows.where("id % 50 = 0"), 5)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = substrings.remove_repeated_words(_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -65,6 +81,6 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Query]:
     return {"op1_mix": op1_mix, "op2_shard": op2_shard, "op3_decontaminate": op3_decontaminate,
-            "op5_toxicity": op5_toxicity,
-            "op7_suffix_dedup": op7_suffix_dedup, "op9_substring_dedup": op9_substring_dedup,
+            "op4_license_scan": op4_license_scan, "op5_toxicity": op5_toxicity,
+            "op7_suffix_dedup": op7_suffix_dedup, "op8_topk": op8_topk, "op9_substring_dedup": op9_substring_dedup,
             "op10_near_dedup": op10_near_dedup}
