@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, licenses, mixing, near_dup, sharding, substrings, suffixes, topk, toxicity
+from . import decontam, licenses, mixing, near_dup, pii, sharding, substrings, suffixes, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,6 +58,14 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("tox_score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(_table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    terms = F.transform("terms", lambda s: F.struct(F.lit("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"),
+                        pii.joined(F.concat("base", terms)).alias("spans"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = suffixes.remove_repeated_bytes(_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -82,5 +90,5 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def llm_queries() -> dict[str, Query]:
     return {"op1_mix": op1_mix, "op2_shard": op2_shard, "op3_decontaminate": op3_decontaminate,
             "op4_license_scan": op4_license_scan, "op5_toxicity": op5_toxicity,
-            "op7_suffix_dedup": op7_suffix_dedup, "op8_topk": op8_topk, "op9_substring_dedup": op9_substring_dedup,
+            "op6_pii": op6_pii, "op7_suffix_dedup": op7_suffix_dedup, "op8_topk": op8_topk, "op9_substring_dedup": op9_substring_dedup,
             "op10_near_dedup": op10_near_dedup}
