@@ -51,10 +51,10 @@ FACT_B_COLS = ["state_code", "location", "year", *MEASURE_COLS, "disaster",
 
 
 def fact_joined_then_counted(climate: DataFrame, counts: DataFrame,
-                             places: DataFrame) -> DataFrame:
+                             places: DataFrame, bounded: bool = True) -> DataFrame:
     """Variant A (the statistical page, the summary page and the dashboard)."""
     joined = _full_join(climate, counts, ["n"]).withColumn("n", F.coalesce(F.col("n"), F.lit(0).cast("long")))
-    return attach_region(with_totals(joined, "location"), places).select(*FACT_A_COLS)
+    return attach_region(with_totals(joined, "location", bounded=bounded), places).select(*FACT_A_COLS)
 
 
 def fact_counted_then_joined(climate: DataFrame, totals: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,30 +28,41 @@ def declaration_counts(decl: DataFrame, years: tuple[int, int]) -> DataFrame:
             .agg(F.sum("_w").alias("n")))
 
 
-def with_totals(df: DataFrame, place: str, count: str = "n") -> DataFrame:
+def with_totals(df: DataFrame, place: str, count: str = "n", bounded: bool = True) -> DataFrame:
     """Attach ``n_state`` (per year and place), ``n_total`` (per year) and
     ``n_type`` (per year and type), then rename ``count`` to
     ``n_disaster_state``.
 
-    The input is a count table, bounded by places × years × types however
-    large the raw data are.  The three windows all start with ``year``, so
-    after the first exchange (hash on ``year``) the other two need only a
-    sort: one shuffle of the small table for all three totals.
+    ``bounded`` says that the places are a fixed list, so that the table is
+    bounded by places × years × types however large the raw data are.  The
+    three windows then all start with ``year``: after the first exchange (hash
+    on ``year``) the other two need only a sort.
+
+    Where places grow with the data, a year's rows must not meet in one task:
+    the totals are partial aggregates joined back, nulls matching nulls, and
+    adaptive execution can split the joins.
     """
-    by_year = Window.partitionBy("year")
-    by_place = Window.partitionBy("year", place)
-    by_type = Window.partitionBy("year", "disaster")
-    return (df.withColumn("n_total", F.sum(count).over(by_year))
-              .withColumn("n_state", F.sum(count).over(by_place))
-              .withColumn("n_type", F.sum(count).over(by_type))
-              .withColumnRenamed(count, "n_disaster_state"))
+    if bounded:
+        by_year = Window.partitionBy("year")
+        by_place = Window.partitionBy("year", place)
+        by_type = Window.partitionBy("year", "disaster")
+        out = (df.withColumn("n_total", F.sum(count).over(by_year))
+               .withColumn("n_state", F.sum(count).over(by_place))
+               .withColumn("n_type", F.sum(count).over(by_type)))
+    else:
+        out = df
+        for name, keys in (("n_total", ["year"]), ("n_state", ["year", place]), ("n_type", ["year", "disaster"])):
+            total = df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.sum(count).alias(name))
+            on = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
+            out = out.join(total, on).drop(*[f"_{k}" for k in keys])
+    return out.withColumnRenamed(count, "n_disaster_state")
 
 
-def declaration_totals(counts: DataFrame) -> DataFrame:
+def declaration_totals(counts: DataFrame, bounded: bool = True) -> DataFrame:
     """Counts with their totals, computed before any join (variant B, C2).
 
     Territories keep their own ``n_state`` because the place key is the
     declaration's own ``state``.
     """
-    return with_totals(counts, "state").select(
+    return with_totals(counts, "state", bounded=bounded).select(
         "state", "year", "disaster", "n_disaster_state", "n_state", "n_total", "n_type")

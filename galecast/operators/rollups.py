@@ -62,13 +62,15 @@ def type_by_region(fact_a: DataFrame, published: bool = False,
     """Totals by type × region in long form, largest first.
 
     The reference builds four per-region tables and glues them with left
-    joins anchored on the first region, so a type never seen there is lost
-    (defect D7).  ``published=True`` keeps exactly those types; the default
-    keeps every type.  Either way a missing region total stays null, and the
+    joins: the last region is joined onto the third, and both onto the first.
+    So a type never seen in the first region is lost, and one never seen in the
+    third loses its total in the last as well (defect D7).  ``published=True``
+    gives exactly that; the default keeps every total.  Either way a missing region total stays null, and the
     sort puts nulls last with type and region as tie-breaks.
     """
     wide = type_totals_wide(fact_a, regions)
     if published:
-        wide = wide.where(F.col(regions[0]).isNotNull())
+        chained = F.when(F.col(regions[2]).isNotNull(), F.col(regions[3]))
+        wide = wide.where(F.col(regions[0]).isNotNull()).withColumn(regions[3], chained)
     long = wide.unpivot(["disaster"], list(regions), "region", "n_disaster")
     return long.orderBy(F.desc_nulls_last("n_disaster"), F.asc("disaster"), F.asc("region"))

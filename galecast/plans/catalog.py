@@ -18,7 +18,7 @@ from ..operators import rollups
 from ..sources.sinks import round_doubles
 from ..sources.tables import PANEL_TYPES
 from . import models, products
-from .driver import DriverPipeline
+from .driver import CustomerPipeline, DriverPipeline
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,11 +27,17 @@ SLICE_VARIABLE = "Yearly Mean Temperature (degrees F)"
 SLICE_YEAR = 1998
 SLICE_STATE = "NATION_7"
 SLICE_TYPE = "NF"
+SLICE_WINDOW = (1996, 2000)
 
+# Decimals of the published sums.  They grow with the data, and a double of
+# ten digits and more does not hold six exact decimals; their terms have two.
+SUMS = {"total_precip": 3, "sum_precip": 3}
 
-def _q(build: Callable[[DriverPipeline], DataFrame], digits: int = 6) -> Query:
+
+def _q(build: Callable[[DriverPipeline], DataFrame], digits: int = 6, pipeline: type[DriverPipeline] = DriverPipeline,
+       **options) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return round_doubles(build(DriverPipeline.shared(spark, sf_dir)), digits)
+        return round_doubles(build(pipeline(spark, sf_dir, **options)), digits, SUMS)
     return run
 
 
@@ -52,6 +58,7 @@ def relational_queries() -> dict[str, Query]:
         "type_by_region": _q(lambda p: rollups.type_by_region(p.fact_a)),
         "type_by_region_left_chain": _q(lambda p: rollups.type_by_region(p.fact_a, published=True)),
         "precip_points": _q(lambda p: products.precip_points(p.fact_a)),
+        "precip_points_corrected": _q(lambda p: products.precip_points(p.fact_a, published=False)),
         "region_year_bars": _q(lambda p: products.region_year_bars(p.fact_a)),
         "region_year_totals": _q(lambda p: products.region_year_totals(p.fact_a)),
         "type_panel": _q(lambda p: products.type_panel(p.regional_type, PANEL_TYPES)),
@@ -59,8 +66,15 @@ def relational_queries() -> dict[str, Query]:
         "map_slice": _q(lambda p: products.map_slice(p.map_table, p.places, SLICE_VARIABLE, SLICE_YEAR)),
         "place_type_trend": _q(lambda p: products.place_type_trend(p.dash, SLICE_STATE, SLICE_TYPE, (1997, 2000))),
         "count_vs_measure": _q(lambda p: products.count_vs_measure(p.dash, SLICE_STATE, SLICE_TYPE)),
+        "count_vs_measure_years": _q(lambda p: products.count_vs_measure(
+            p.dash, SLICE_STATE, SLICE_TYPE, year_range=SLICE_WINDOW)),
+        "measure_series_corrected": _q(lambda p: products.measure_series(p.dash, SLICE_STATE, (1996, 1999), published=False)),
         "measure_series": _q(lambda p: products.measure_series(p.dash, SLICE_STATE, (1996, 1999))),
-        "option_lists": _q(lambda p: products.option_lists(p.dash, p.map_table)),
+        "regional_rollup_window": _q(lambda p: p.regional, years=SLICE_WINDOW),
+        "climate_four_series": _q(lambda p: p.climate, pipeline=CustomerPipeline),
+        "fact_by_customer": _q(lambda p: p.fact_a, pipeline=CustomerPipeline),
+        "fact_by_customer_counted_first": _q(lambda p: p.fact_b, pipeline=CustomerPipeline),
+        "option_lists": _q(lambda p: p.options),
     }
 
 

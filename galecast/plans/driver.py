@@ -16,30 +16,15 @@ from ..operators import facts, hazards, rollups
 from ..sources import tables
 from . import products
 
-_SHARED: dict = {}
-
 
 class DriverPipeline:
+    bounded = True  # places are a fixed list
+
     def __init__(self, spark: SparkSession, sf_dir: str, years: tuple[int, int] = tables.DRIVER_YEARS):
         self.spark = spark
         self.sf_dir = sf_dir
         self.years = years
 
-    @classmethod
-    def shared(cls, spark: SparkSession, sf_dir: str) -> "DriverPipeline":
-        """One pipeline per session and directory.
-
-        Its DataFrames are lazy plans, so reusing them across queries only
-        saves building and analysing the same plan again; every action still
-        reads the files.
-        """
-        key = (id(spark), sf_dir)
-        hit = _SHARED.get(key)
-        if hit is None or hit.spark is not spark:
-            hit = cls(spark, sf_dir)
-            _SHARED[key] = hit
-        return hit
-
     # sources ---------------------------------------------------------------
     @cached_property
     def places(self) -> DataFrame:
@@ -67,12 +52,12 @@ class DriverPipeline:
 
     @cached_property
     def totals(self) -> DataFrame:
-        return hazards.declaration_totals(self.counts)
+        return hazards.declaration_totals(self.counts, self.bounded)
 
     # facts -----------------------------------------------------------------
     @cached_property
     def fact_a(self) -> DataFrame:
-        return facts.fact_joined_then_counted(self.climate, self.counts, self.places)
+        return facts.fact_joined_then_counted(self.climate, self.counts, self.places, self.bounded)
 
     @cached_property
     def fact_b(self) -> DataFrame:
@@ -94,3 +79,26 @@ class DriverPipeline:
     @cached_property
     def map_table(self) -> DataFrame:
         return products.map_long(self.fact_b)
+
+    @property
+    def options(self) -> DataFrame:
+        return products.option_lists(self.dash, self.map_table, self.years)
+
+
+class CustomerPipeline(DriverPipeline):
+    """The same tables with customers as places; four separate series meet in the climate table."""
+
+    bounded = False
+
+    @cached_property
+    def places(self) -> DataFrame:
+        return tables.customer_places(self.spark, self.sf_dir)
+
+    @cached_property
+    def climate(self) -> DataFrame:
+        series = tables.customer_series(self.spark, self.sf_dir, self.years)
+        return climate_ops.climate_state_year(series, self.places, self.years)
+
+    @cached_property
+    def declarations_raw(self) -> DataFrame:
+        return tables.customer_declarations(self.spark, self.sf_dir, self.years)

@@ -3,7 +3,7 @@
 These restate each query from the driver tables up, in plain SQL, so the
 driver can run them beside the Spark plans and compare results.  They share
 no code with the Spark side; the only shared facts are the fixed values of
-the mapping (nation cut-offs, year range, region by region key, labels).
+the mapping (year range, region by region key, labels).
 Rules used throughout: ``IS NOT DISTINCT FROM`` for null-matching joins,
 ``CASE WHEN count(*) = count(x)`` for null-propagating aggregates,
 ``UNPIVOT INCLUDE NULLS`` for the wide → long steps, and doubles rounded
@@ -12,8 +12,7 @@ half-up at 6 decimals as ``floor(x * 1e6 + 0.5) / 1e6`` on both sides.
 
 from __future__ import annotations
 
-from ..sources.tables import (CLIMATE_MAX_NATION, DECL_MIN_NATION, DECL_MIN_QUANTITY,
-                              DRIVER_YEARS, PANEL_TYPES)
+from ..sources.tables import DRIVER_YEARS, PANEL_TYPES
 
 LO, HI = DRIVER_YEARS
 
@@ -23,6 +22,15 @@ def r4(expr: str) -> str:
     return f"floor(({expr}) * 1000000.0 + 0.5) / 1000000.0"
 
 
+def r3(expr: str) -> str:
+    """The same at 3 decimals, for sums."""
+    return f"floor(({expr}) * 1000.0 + 0.5) / 1000.0"
+
+
+def rounded(c: str) -> str:
+    return f"{r3(c) if c == 'total_precip' else r4(c)} AS {c}"
+
+
 def num_label(expr: str) -> str:
     return f"printf('%.15g', CAST({expr} AS DOUBLE))"
 
@@ -37,8 +45,7 @@ places AS (
 climate_raw AS (
   SELECT n.n_name AS location, strftime(o.o_orderdate, '%Y%m') AS date, o.o_totalprice AS value
   FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
-                JOIN nation n ON c.c_nationkey = n.n_nationkey
-  WHERE n.n_nationkey < {CLIMATE_MAX_NATION}),
+                JOIN nation n ON c.c_nationkey = n.n_nationkey),
 climate_years AS (
   SELECT location, TRY_CAST(substr(date, 1, 4) AS INTEGER) AS year, value FROM climate_raw),
 annual AS (
@@ -56,8 +63,7 @@ decl_raw AS (
   SELECT 'N' || lpad(CAST(s.s_nationkey AS VARCHAR), 2, '0') AS state,
          l.l_returnflag || l.l_linestatus AS incident_type,
          CAST(year(l.l_shipdate) AS INTEGER) AS fy_declared
-  FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey
-  WHERE s.s_nationkey >= {DECL_MIN_NATION} AND l.l_quantity >= {DECL_MIN_QUANTITY}),
+  FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey),
 counts AS (
   SELECT state, fy_declared AS year, incident_type AS disaster, CAST(count(*) AS BIGINT) AS n
   FROM decl_raw WHERE fy_declared BETWEEN {LO} AND {HI}
@@ -150,6 +156,38 @@ order_rows AS (
 """
 
 
+# Customers as places: four separate series, and declarations by ship year.
+CUSTOMER_BASE = f"""
+places AS (
+  SELECT c.c_name AS location, 'C' || CAST(c.c_custkey AS VARCHAR) AS state_code,
+         CASE n.n_regionkey WHEN 0 THEN 'southeast' WHEN 1 THEN 'northeast'
+                            WHEN 2 THEN 'west' WHEN 3 THEN 'midwest' END AS region
+  FROM customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey),
+lines AS (
+  SELECT c.c_name AS location, 'C' || CAST(c.c_custkey AS VARCHAR) AS state, CAST(year(l.l_shipdate) AS INTEGER) AS year,
+         l.l_extendedprice, l.l_quantity, l.l_discount, l.l_returnflag || l.l_linestatus AS disaster
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey
+  WHERE year(l.l_shipdate) BETWEEN {LO} AND {HI}),
+tavg AS (
+  SELECT c.c_name AS location, CAST(year(o.o_orderdate) AS INTEGER) AS year,
+         CASE WHEN count(*) = count(o.o_totalprice) THEN avg(o.o_totalprice) END AS mean_temp
+  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+  WHERE year(o.o_orderdate) BETWEEN {LO} AND {HI} GROUP BY ALL),
+pcp AS (SELECT location, year, CASE WHEN count(*) = count(l_extendedprice) THEN sum(l_extendedprice) END AS total_precip
+        FROM lines GROUP BY location, year),
+tmax AS (SELECT location, year, CASE WHEN count(*) = count(l_quantity) THEN max(l_quantity) END AS max_temp
+         FROM lines GROUP BY location, year),
+tmin AS (SELECT location, year, CASE WHEN count(*) = count(l_discount) THEN min(l_discount) END AS min_temp
+         FROM lines GROUP BY location, year),
+climate AS (
+  SELECT p.state_code, tavg.location, tavg.year, mean_temp, total_precip, max_temp, min_temp
+  FROM tavg JOIN pcp USING (location, year) JOIN tmax USING (location, year) JOIN tmin USING (location, year)
+  LEFT JOIN places p ON tavg.location = p.location),
+counts AS (SELECT state, year, disaster, CAST(count(*) AS BIGINT) AS n FROM lines GROUP BY state, year, disaster),
+"""
+CUSTOMER_BASE += BASE[BASE.index("totals AS ("):BASE.index("dash AS (")].rstrip().rstrip(",")
+
+
 def with_base(select: str) -> str:
     return f"WITH {BASE.strip()}\n{select.strip()}"
 
@@ -159,7 +197,7 @@ FACT_COLS = ("state_code, location, year, {m}, disaster, n_disaster_state, n_sta
 
 
 def _fact_select(table: str, region: bool) -> str:
-    m = ", ".join(f"{r4(c)} AS {c}" for c in MEAS)
+    m = ", ".join(map(rounded, MEAS))
     cols = FACT_COLS.format(m=m) + (", region" if region else "")
     return f"SELECT {cols} FROM {table}"
 
@@ -167,7 +205,7 @@ def _fact_select(table: str, region: bool) -> str:
 def _annual(measure: str, how: str) -> str:
     agg = {"mean": "avg", "sum": "sum", "max": "max", "min": "min"}[how]
     return with_base(f"""
-SELECT p.state_code, a.location, a.year, {r4('a.v')} AS {measure}
+SELECT p.state_code, a.location, a.year, {r3('a.v') if how == 'sum' else r4('a.v')} AS {measure}
 FROM (SELECT location, year, CASE WHEN count(*) = count(value) THEN {agg}(value) END AS v
       FROM climate_years WHERE year BETWEEN {LO} AND {HI} GROUP BY location, year) a
 LEFT JOIN places p ON a.location = p.location""")
@@ -190,16 +228,16 @@ def oracle_queries() -> dict[str, str]:
     q["annual_max"] = _annual("max_temp", "max")
     q["annual_min"] = _annual("min_temp", "min")
     q["climate_state_year"] = with_base(
-        "SELECT state_code, location, year, " + ", ".join(f"{r4(c)} AS {c}" for c in MEAS) + " FROM climate")
+        "SELECT state_code, location, year, " + ", ".join(map(rounded, MEAS)) + " FROM climate")
     q["declaration_counts"] = with_base("SELECT state, year, disaster, n FROM counts")
     q["declaration_totals"] = with_base(
         "SELECT state, year, disaster, n_disaster_state, n_state, n_total, n_type FROM totals")
     q["fact_joined_then_counted"] = with_base(_fact_select("fact_a", True))
     q["fact_counted_then_joined"] = with_base(_fact_select("fact_b", False))
     q["regional_rollup"] = with_base(
-        f"SELECT region, year, {r4('ave_temp')} AS ave_temp, {r4('sum_precip')} AS sum_precip, count_region FROM regional")
+        f"SELECT region, year, {r4('ave_temp')} AS ave_temp, {r3('sum_precip')} AS sum_precip, count_region FROM regional")
     q["regional_rollup_dedup"] = with_base(f"""
-SELECT region, year, {r4('ave_temp')} AS ave_temp, {r4('sum_precip')} AS sum_precip, count_region FROM (
+SELECT region, year, {r4('ave_temp')} AS ave_temp, {r3('sum_precip')} AS sum_precip, count_region FROM (
   SELECT region, year,
          CASE WHEN count(*) = count(mean_temp) THEN avg(mean_temp) END AS ave_temp,
          CASE WHEN count(*) = count(total_precip) THEN sum(total_precip) END AS sum_precip,
@@ -212,7 +250,7 @@ SELECT region, year, {r4('ave_temp')} AS ave_temp, {r4('sum_precip')} AS sum_pre
         GROUP BY region, year, location) s
   GROUP BY region, year) t""")
     q["regional_type_rollup"] = with_base(
-        f"SELECT disaster, region, year, {r4('ave_temp')} AS ave_temp, {r4('sum_precip')} AS sum_precip, "
+        f"SELECT disaster, region, year, {r4('ave_temp')} AS ave_temp, {r3('sum_precip')} AS sum_precip, "
         "count_region FROM regional_type")
     q["type_by_region"] = with_base("""
 SELECT disaster, region, n_disaster
@@ -239,9 +277,13 @@ SELECT disaster, region, n_disaster FROM (
   SELECT disaster, 'midwest', midwest FROM us UNION ALL
   SELECT disaster, 'west', west FROM us)""")
     q["precip_points"] = with_base(f"""
-SELECT disaster, region, year, {r4('total_precip')} AS total_precip,
+SELECT disaster, region, year, {r3('total_precip')} AS total_precip,
        {num_label('year')} || chr(10) || 'Total Precip(in.):' || {num_label('total_precip')} AS text_label
 FROM (SELECT DISTINCT disaster, region, year, total_precip FROM complete_a) t""")
+    q["precip_points_corrected"] = with_base(f"""
+SELECT region, year, {r3('total_precip')} AS total_precip,
+       {num_label('year')} || chr(10) || 'Total Precip(in.):' || {num_label('total_precip')} AS text_label
+FROM (SELECT DISTINCT region, year, total_precip FROM complete_a) t""")
     q["region_year_bars"] = with_base(f"""
 SELECT disaster, n_disaster_state, region, year,
        'total disasters: ' || {num_label('n_disaster_state')} || chr(10) || region AS text_label
@@ -269,6 +311,18 @@ SELECT state, year, n_state, {r4('mean_temp')} AS mean_temp,
          || {num_label('round_even(mean_temp, 1)')} || ' F' AS text_label
 FROM dash WHERE state = 'NATION_7' AND disaster = 'NF'
   AND n_state IS NOT NULL AND mean_temp IS NOT NULL""")
+    q["count_vs_measure_years"] = q["count_vs_measure"] + " AND year BETWEEN 1996 AND 2000"
+    q["measure_series_corrected"] = with_base(f"""
+SELECT state, year, {r4('mean_temp')} AS mean_temp, {r4('min_temp')} AS min_temp,
+       {r4('max_temp')} AS max_temp, {_temp_label()} AS text_label
+FROM (SELECT DISTINCT state, year, mean_temp, min_temp, max_temp FROM dash
+      WHERE state = 'NATION_7' AND year BETWEEN 1996 AND 1999) t""")
+    q["regional_rollup_window"] = q["regional_rollup"].replace(f"BETWEEN {LO} AND {HI}", "BETWEEN 1996 AND 2000")
+    customer = lambda select: f"WITH {CUSTOMER_BASE.strip()}\n{select}"
+    q["climate_four_series"] = customer(
+        "SELECT state_code, location, year, " + ", ".join(map(rounded, MEAS)) + " FROM climate")
+    q["fact_by_customer"] = customer(_fact_select("fact_a", True))
+    q["fact_by_customer_counted_first"] = customer(_fact_select("fact_b", False))
     q["measure_series"] = with_base(f"""
 SELECT state, year, {r4('mean_temp')} AS mean_temp, {r4('min_temp')} AS min_temp,
        {r4('max_temp')} AS max_temp, disaster, {_temp_label()} AS text_label
@@ -278,7 +332,8 @@ SELECT DISTINCT list_name, value FROM (
   SELECT 'state' AS list_name, state AS value FROM dash WHERE state IS NOT NULL AND state <> 'NA'
   UNION ALL SELECT 'disaster', disaster FROM dash WHERE disaster IS NOT NULL AND disaster <> 'NA'
   UNION ALL SELECT 'year', CAST(year AS VARCHAR) FROM dash WHERE year IS NOT NULL
-  UNION ALL SELECT 'variable_type', variable_type FROM map_long) t""")
+  UNION ALL SELECT 'variable_type', variable_type FROM map_long
+  UNION ALL SELECT 'year_from', '""" + str(LO) + """' UNION ALL SELECT 'year_to', '""" + str(HI) + """') t""")
     q.update(_model_queries())
     return q
 

@@ -29,11 +29,12 @@ MAP_LABELS = {
 
 def num_label(c) -> F.Column:
     """A number as text the way the reference prints it inside labels:
-    15 significant digits, no trailing zeros, no trailing point."""
+    15 significant digits, no trailing zeros or point in front of an exponent."""
     c = F.col(c) if isinstance(c, str) else c
     text = F.format_string("%.15g", c.cast("double"))
-    text = F.when(text.contains("."), F.regexp_replace(text, r"0+$", "")).otherwise(text)
-    return F.regexp_replace(text, r"\.$", "")
+    mantissa, exponent = F.regexp_extract(text, r"^([^e]*)", 1), F.regexp_extract(text, r"(e.*)$", 1)
+    mantissa = F.when(mantissa.contains("."), F.regexp_replace(mantissa, r"\.?0+$", "")).otherwise(mantissa)
+    return F.concat(mantissa, exponent)
 
 
 def precip_points(fact_a: DataFrame, published: bool = True) -> DataFrame:
@@ -153,11 +154,13 @@ def measure_series(dash: DataFrame, state: str, year_range: tuple[int, int],
     return rows.select(*cols, _temp_label().alias("text_label"))
 
 
-def option_lists(dash: DataFrame, map_table: DataFrame | None = None) -> DataFrame:
+def option_lists(dash: DataFrame, map_table: DataFrame | None = None,
+                 years: tuple[int, int] | None = None) -> DataFrame:
     """Choices offered by the apps, as ``(list_name, value)`` rows.
 
     States and types come from the fact table without missing values; years
-    are the years present; map variables are the recoded labels.
+    are the years present; map variables are the recoded labels.  ``years``
+    adds the ends of the slider's range, present in the data or not.
     """
     # One pass over the fact table for its three lists: every row emits its
     # tagged values, missing ones are dropped, and one distinct (partial
@@ -173,4 +176,11 @@ def option_lists(dash: DataFrame, map_table: DataFrame | None = None) -> DataFra
     if map_table is not None:
         parts.append(map_table.select(F.lit("variable_type").alias("list_name"),
                                       F.col("variable_type").alias("value")))
-    return reduce(DataFrame.unionByName, parts).distinct()
+    out = reduce(DataFrame.unionByName, parts).distinct()
+    if years is None:
+        return out
+    # On a table of one row, so that the range needs no Python data.
+    ends = dash.sparkSession.range(1).select(F.explode(F.array(*[
+        F.struct(F.lit(n).alias("list_name"), F.lit(str(y)).alias("value"))
+        for n, y in zip(("year_from", "year_to"), years, strict=True)])).alias("_o")).select("_o.list_name", "_o.value")
+    return out.unionByName(ends)

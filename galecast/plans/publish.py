@@ -31,8 +31,15 @@ def default_dir(spark: SparkSession) -> str:
 
 
 def publish_tables(p: DriverPipeline, out_dir: str | None = None) -> dict[str, str]:
+    """Write the climate and count tables once, and build the published ones from those files."""
     out_dir = out_dir or default_dir(p.spark)
-    paths = {name: os.path.join(out_dir, name) for name in ("dash", "fact_b", "regional", "map")}
+    paths = {name: os.path.join(out_dir, name) for name in ("climate", "counts", "dash", "fact_b", "regional", "map")}
+    write_table(p.climate, paths["climate"])
+    write_table(p.counts, paths["counts"])
+    # Plans that are built from here on read the files.
+    p.__dict__.update(climate=p.spark.read.parquet(paths["climate"]), counts=p.spark.read.parquet(paths["counts"]))
+    for name in ("totals", "fact_a", "fact_b", "dash", "regional", "regional_type", "map_table"):
+        p.__dict__.pop(name, None)
     write_table(p.dash.sortWithinPartitions("state", "disaster", "year"), paths["dash"])
     write_table(p.fact_b, paths["fact_b"])
     write_table(p.regional, paths["regional"])

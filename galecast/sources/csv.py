@@ -8,6 +8,7 @@ that staging step is outside Spark).
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +16,8 @@ from pyspark.sql import types as T
 
 from ..functions.text import clean_names
 
-# Positional layout of a monthly climate series file: three preamble lines,
-# a header line, then one row per place and month.
+# Layout of a monthly climate series file without a header.  With one, it is
+# three preamble lines, the header line, then one row per place and month.
 CLIMATE_COLUMNS = ("location", "date", "value")
 
 
@@ -28,30 +29,56 @@ def climate_schema(columns: Sequence[str] = CLIMATE_COLUMNS) -> T.StructType:
     return T.StructType(fields)
 
 
+def _files(spark: SparkSession, path: str) -> list[str]:
+    """The files behind a path, glob or folder of part files, by the name Spark's readers give them."""
+    return sorted(spark.read.text(path).inputFiles())
+
+
+def _header(spark: SparkSession, file: str) -> list[str] | None:
+    """The cleaned names of a climate file's header: the first of its first lines that names a date and a value."""
+    for row in spark.read.text(file).limit(16).collect():
+        names = clean_names([x.strip().strip('"') for x in (row[0] or "").split(",")])
+        if {"date", "value"} <= set(names):
+            return names
+    return None
+
+
 def read_climate_csv(spark: SparkSession, paths: str | Sequence[str] | Mapping[str, str],
-                     columns: Sequence[str] = CLIMATE_COLUMNS) -> DataFrame:
+                     columns: Sequence[str] | None = None) -> DataFrame:
     """Read monthly series as ``(location, date, value)`` (+ ``series`` tag).
 
-    The preamble lines and the header are dropped by keeping only rows whose
-    ``date`` is six digits: this needs no line numbers, so every file split
-    is read in parallel.  ``NA`` text is read as null.  A mapping
-    ``{series_name: path}`` reads all series in one scan and tags each row
-    with the name of its series.
+    Columns are taken by the names in each file's header (the first lines of
+    it are looked at; files with the same header are read together), or by the
+    order given in ``columns``.  A file without a header has ``CLIMATE_COLUMNS``.
+    Preamble lines and header are then dropped by keeping only rows whose
+    ``date`` is six digits: this needs no line numbers, so every file split is
+    read in parallel.  ``NA`` text is read as null.
+
+    A path may be a file, a folder of part files or a glob.  A mapping
+    ``{series_name: path}`` reads each series by itself and tags its rows with
+    its name, whatever its files are called.
     """
-    reader = (spark.read.schema(climate_schema(columns))
-              .option("header", "false").option("nullValue", "NA")
-              .option("mode", "PERMISSIVE"))
     if isinstance(paths, Mapping):
-        df = reader.csv(list(paths.values())).withColumn("_file", F.input_file_name())
-        tag = F.lit(None).cast("string")
-        for name, path in paths.items():
-            tag = F.when(F.col("_file").endswith(path.split("/")[-1]), F.lit(name)).otherwise(tag)
-        df = df.withColumn("series", tag).drop("_file")
-        keep = ["series", "location", "date", "value"]
-    else:
-        df = reader.csv(paths if isinstance(paths, str) else list(paths))
-        keep = ["location", "date", "value"]
-    return df.where(F.col("date").rlike("^[0-9]{6}$")).select(*keep)
+        parts = [read_climate_csv(spark, path, columns).select(F.lit(name).alias("series"), "location", "date", "value")
+                 for name, path in paths.items()]
+        return reduce(DataFrame.unionByName, parts)
+    layouts: dict[tuple[str, ...], list[str]] = {}
+    for path in [paths] if isinstance(paths, str) else paths:
+        if columns is not None:
+            layouts.setdefault(tuple(columns), []).append(path)
+            continue
+        for file in _files(spark, path):
+            layouts.setdefault(tuple(_header(spark, file) or CLIMATE_COLUMNS), []).append(file)
+    out = None
+    for layout, files in layouts.items():
+        missing = {"location", "date", "value"} - set(layout)
+        if missing:
+            raise ValueError(f"climate file {files[0]} has no column {', '.join(sorted(missing))}: {list(layout)}")
+        df = (spark.read.schema(climate_schema(layout)).option("header", "false").option("nullValue", "NA")
+              .option("mode", "PERMISSIVE").csv(files)
+              .where(F.col("date").rlike("^[0-9]{6}$")).select("location", "date", "value"))
+        out = df if out is None else out.unionByName(df)
+    return spark.createDataFrame([], climate_schema()) if out is None else out
 
 
 DECLARATION_COLUMNS = ("state", "incident_type", "fy_declared")

@@ -2,25 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def round_doubles(df: DataFrame, digits: int = 3) -> DataFrame:
-    """Round every double column half-up at ``digits`` decimals.
+def round_doubles(df: DataFrame, digits: int = 3, columns: Mapping[str, int] | None = None) -> DataFrame:
+    """Round every double column half-up at ``digits`` decimals, or as ``columns`` says for its name.
 
-    Written as ``floor(x * 10^d + 0.5) / 10^d`` so that any engine doing the
-    same IEEE arithmetic gives the same bits (used for result tables and for
-    comparison with SQL).
+    This is ``floor(x * 10^d + 0.5) / 10^d`` with the floor taken in doubles
+    (``v - pmod(v, 1)``): Spark's ``floor`` gives a long, which would clamp
+    large values.  Any engine doing the same IEEE arithmetic gives the same
+    bits.  NaN stays NaN, and infinities and values whose scaled form
+    overflows are passed through.
     """
-    scale = float(10 ** digits)
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append((F.floor(F.col(f.name) * scale + 0.5) / scale).alias(f.name))
+            scale = float(10 ** (columns or {}).get(f.name, digits))
+            x = F.col(f.name).cast("double")
+            v = x * scale + 0.5
+            cols.append(F.when(F.abs(v) < float("inf"), (v - F.pmod(v, F.lit(1.0))) / scale).otherwise(x).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
