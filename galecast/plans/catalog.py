@@ -106,6 +106,16 @@ def model_queries() -> dict[str, Query]:
         "density": _q(lambda p: models.count_density(p.regional), 6),
         "cv_error_density": _q(lambda p: models.cv_error_density(p.regional, reg), 6),
         "density_by_group": _q(lambda p: models.density_by(models.order_rows(p), "y", ["region"]), 6),
+        "poisson_regional_scores": _q(lambda p: models.scores(p.regional, reg, "poisson"), 5),
+        "negbin_regional_scores": _q(lambda p: models.scores(p.regional, reg, "negbin"), 5),
+        "poisson_orders_scores": _q(lambda p: models.scores(models.order_rows(p), odr, "poisson"), 5),
+        "negbin_orders_scores": _q(lambda p: models.scores(models.order_rows(p), odr, "negbin"), 5),
+        "aic_by_group": _q(lambda p: models.aic_by_group(models.order_rows(p), "y", "region"), 3),
+        "cv_errors_orders": _q(lambda p: models.cv_errors_hashed(
+            models.order_rows(p), odr, ["order_key"], models.CV_SPLITS_ORDERS), 6),
+        "density_totalprice": _q(models.price_density, 6),
+        "trend_points": _q(lambda p: models.temp_points(p.fact_a)),
+        "trend_loess": _q(lambda p: models.temp_trend(p.fact_a, "loess"), 4),
         "trend_smooth": _q(lambda p: models.temp_trend(p.fact_a), 4),
     }
 

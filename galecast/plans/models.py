@@ -14,9 +14,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..sources.tables import order_model_rows
+from ..sources.tables import order_model_rows, table
 from ..stats import cv, glm, kde, smooth
 from ..functions.nulls import drop_any_null
 from .driver import DriverPipeline
@@ -24,6 +23,7 @@ from .driver import DriverPipeline
 REGIONAL_FORMULA = ("count_region", ["year", "region", "ave_temp", "sum_precip"], ["region"])
 ORDER_FORMULA = ("y", ["year", "region", "totalprice"], ["region"])
 CV_SPLITS = 100
+CV_SPLITS_ORDERS = 5
 CV_SEED = 20191206
 
 
@@ -93,10 +93,37 @@ def density_by(df: DataFrame, col: str, by: list[str]) -> DataFrame:
     return kde.density(df.where(F.col(by[0]).isNotNull()), col, by=by)
 
 
-def temp_trend(fact_a: DataFrame) -> DataFrame:
-    """Smoothed mean temperature by region over the years."""
+def temp_trend(fact_a: DataFrame, method: str = "spline") -> DataFrame:
+    """Smoothed mean temperature by region over the years (C5), by a penalised spline or locally (``loess``)."""
     pts = drop_any_null(fact_a).select("region", "year", "mean_temp")
-    return smooth.trend_smooth(pts, "year", "mean_temp", ["region"])
+    smoother = {"spline": smooth.trend_smooth, "loess": smooth.trend_loess}[method]
+    return smoother(pts, "year", "mean_temp", ["region"])
 
 
-__all__ = ["T"]
+def temp_points(fact_a: DataFrame) -> DataFrame:
+    """The points behind the trend."""
+    return drop_any_null(fact_a).select("region", "year", "mean_temp").distinct()
+
+
+def scores(df: DataFrame, formula, family: str) -> DataFrame:
+    """What is left of the likelihood's derivative at the fit: zero for every term."""
+    response, terms, factors = formula
+    return glm.score_check(df, response, terms, factors, family)
+
+
+def aic_by_group(df: DataFrame, response: str, factor: str) -> DataFrame:
+    """AIC of the Poisson model with one categorical regressor (closed-form checkable)."""
+    f = glm.glm(df, response, [factor], [factor], family="poisson")
+    return glm.glance(df.sparkSession, {"poisson": f}).select("model", "n", "loglik", "aic")
+
+
+def cv_errors_hashed(df: DataFrame, formula, key_cols: list[str], n_splits: int) -> DataFrame:
+    """Cross-validation on a table that grows: split membership by hash, no row is ranked."""
+    response, terms, factors = formula
+    return cv.cv_errors(df, response, terms, factors, key_cols=key_cols, n_splits=n_splits, seed=CV_SEED)
+
+
+def price_density(p: DriverPipeline) -> DataFrame:
+    """Density of a continuous column with about as many values as rows."""
+    orders = table(p.spark, p.sf_dir, "orders")
+    return kde.density(orders.select((F.col("o_totalprice") / 1000).alias("v")), "v")

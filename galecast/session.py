@@ -7,6 +7,7 @@ tests, the bench and scripts that start Spark themselves.
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -47,16 +48,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's checkpoint folder.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is.  Only when it is unset (local tests) do we pick a fresh scratch folder.
+    is.  Only a local master may do without: executors then share this
+    machine's scratch folder.
     """
-    current = spark.sparkContext.getCheckpointDir()
-    if not current:
-        current = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    current = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir", None)
     if not current:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="galecast-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(current)
-    return spark.sparkContext.getCheckpointDir()
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(current)
+    return context.getCheckpointDir()
 
 
 def stage_table(df: DataFrame, label: str = "stage") -> DataFrame:
@@ -67,9 +70,41 @@ def stage_table(df: DataFrame, label: str = "stage") -> DataFrame:
     recomputes the plan to write them).  The files sit on the cluster's shared
     storage, so a lost executor costs a re-read of its files, and the read-back
     scan prunes columns and pushes filters like any table.
+
+    Tables go when they are dropped (``drop_staged``), or else with the session.
     """
     spark = df.sparkSession
     root = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{root}/tables/{label}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if not _staged:
+        atexit.register(_drop_all)
+    _staged[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_path = path
+    return out
+
+
+_staged: dict[str, SparkSession] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def drop_staged(df: DataFrame) -> None:
+    """Delete the files of a staged table that nothing reads any more."""
+    path = getattr(df, "_staged_path", None)
+    if path in _staged:
+        _delete(_staged.pop(path), path)
+
+
+def _drop_all() -> None:
+    for path, spark in list(_staged.items()):
+        try:
+            _delete(spark, path)
+        except Exception:  # noqa: BLE001, S110  the session has ended; its folder is the cluster's to clear
+            return
+        _staged.pop(path, None)

@@ -21,7 +21,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .design import build_design, complete_rows
 from .glm import _eta, _state_df, fit_groups, prepare_rows, stable_rows
@@ -98,7 +97,7 @@ def cv_errors(df: DataFrame, response: str, terms: Sequence[str], factors: Seque
         else:
             betas = {s: f[family].beta_scaled for s, f in fits.items()}
         state = _state_df(spark, betas, None).withColumnRenamed("_g", "_gs")
-        pred = test_rows.join(F.broadcast(state), test_rows._g == state._gs)
+        pred = test_rows.join(F.broadcast(state), test_rows._g == state._gs)  # n_splits rows
         eta = _eta(design.p)
         fitted = eta if scale == "link" else F.exp(eta)
         err = F.pow(F.col("_y") - fitted, 2)
@@ -108,9 +107,3 @@ def cv_errors(df: DataFrame, response: str, terms: Sequence[str], factors: Seque
                               F.lit(order).alias("model_order"), "rmse"))
     out = pieces[0].unionByName(pieces[1])
     return out
-
-
-CV_SCHEMA = T.StructType([T.StructField("split_id", T.IntegerType()),
-                          T.StructField("model", T.StringType()),
-                          T.StructField("model_order", T.IntegerType()),
-                          T.StructField("rmse", T.DoubleType())])

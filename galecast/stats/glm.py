@@ -9,7 +9,8 @@ expressions, and one ``groupBy(group).agg`` returns the weighted Gram
 matrix ``X'WX``, ``X'Wz``, the deviance, the log-likelihood and the theta
 score and information.  The driver receives ``p(p+1)/2 + p + 6`` numbers
 per group and solves a ``p × p`` system.  Groups that have converged drop
-out of the broadcast table, so later passes skip their rows in the join.
+out of the broadcast table, so later passes skip their rows in the join.  A model
+with factors only is fitted on its distinct rows with their counts.
 
 * Poisson: ``w = mu``; start from ``mu = y + 0.1``; stop when the relative
   change of the deviance is below ``tol`` (the reference's rule).
@@ -38,11 +39,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.special import digamma, lgamma, norm_sf2, trigamma
-from ..session import stage_table
+from ..session import drop_staged, stage_table
 from .design import Design, build_design, complete_rows
 
+#: Past these the likelihood of an under-dispersed group still rises with theta: its limit, the Poisson model, is reported.
 THETA_MAX = 1e8
 THETA_POISSON = 1e5
+#: Groups whose coefficients one fit may hold on the driver, each a p × p system.
+MAX_GROUPS = 100_000
 
 
 @dataclass
@@ -73,7 +77,7 @@ class Fit:
         rows = []
         for name, b, s in zip(self.names, self.beta, se):
             z = b / s if s > 0 else float("nan")
-            rows.append((name, float(b), float(s), float(z), float(norm_sf2(z)), float(math.exp(b))))
+            rows.append((name, float(b), float(s), float(z), float(norm_sf2(z)), float(math.exp(b)), bool(self.converged)))
         return rows
 
 
@@ -84,6 +88,7 @@ TIDY_SCHEMA = T.StructType([
     T.StructField("statistic", T.DoubleType()),
     T.StructField("p_value", T.DoubleType()),
     T.StructField("exp_estimate", T.DoubleType()),
+    T.StructField("converged", T.BooleanType()),
 ])
 
 
@@ -124,27 +129,32 @@ def _pass_exprs(p: int, family: str, start: bool) -> tuple[list[Column], list[Co
     mu, w, z = mu_c, F.col("_w"), F.col("_z")
     ylogy = F.when(y > 0, y * F.log(y / mu)).otherwise(F.lit(0.0))
     lgy1 = lgamma(y + F.lit(1.0))
-    aggs = [F.sum(w * F.col(f"_x{i}") * F.col(f"_x{j}")).alias(f"g{i}_{j}") for i, j in _pair_index(p)]
-    aggs += [F.sum(w * F.col(f"_x{i}") * z).alias(f"b{i}") for i in range(p)]
-    aggs += [F.count(F.lit(1)).alias("n"),
-             F.sum(F.pow(y / mu - F.lit(1.0), 2)).alias("moment"),
-             F.sum(F.pow(y - mu, 2) - y).alias("overdisp")]
+    c = F.col("_c")  # how many rows this one stands for
+
+    def total(x: Column) -> Column:
+        return F.sum(c * x)
+
+    aggs = [total(w * F.col(f"_x{i}") * F.col(f"_x{j}")).alias(f"g{i}_{j}") for i, j in _pair_index(p)]
+    aggs += [total(w * F.col(f"_x{i}") * z).alias(f"b{i}") for i in range(p)]
+    aggs += [F.sum(c).alias("n"),
+             total(F.pow(y / mu - F.lit(1.0), 2)).alias("moment"),
+             total(F.pow(y - mu, 2) - y).alias("overdisp")]
     if family == "negbin":
         th = F.col("_theta")
         aggs += [
-            F.sum(F.lit(2.0) * (ylogy - (y + th) * F.log((y + th) / (mu + th)))).alias("dev"),
-            F.sum(lgamma(th + y) - lgamma(th) - lgy1 + th * F.log(th)
+            total(F.lit(2.0) * (ylogy - (y + th) * F.log((y + th) / (mu + th)))).alias("dev"),
+            total(lgamma(th + y) - lgamma(th) - lgy1 + th * F.log(th)
                   + F.when(y > 0, y * F.log(mu)).otherwise(F.lit(0.0))
                   - (th + y) * F.log(th + mu)).alias("loglik"),
-            F.sum(digamma(th + y) - digamma(th) + F.log(th) + F.lit(1.0)
+            total(digamma(th + y) - digamma(th) + F.log(th) + F.lit(1.0)
                   - F.log(th + mu) - (y + th) / (mu + th)).alias("score"),
-            F.sum(-trigamma(th + y) + trigamma(th) - F.lit(1.0) / th
+            total(-trigamma(th + y) + trigamma(th) - F.lit(1.0) / th
                   + F.lit(2.0) / (mu + th) - (y + th) / F.pow(mu + th, 2)).alias("info"),
         ]
     else:
         aggs += [
-            F.sum(F.lit(2.0) * (ylogy - (y - mu))).alias("dev"),
-            F.sum(F.when(y > 0, y * F.log(mu)).otherwise(F.lit(0.0)) - mu - lgy1).alias("loglik"),
+            total(F.lit(2.0) * (ylogy - (y - mu))).alias("dev"),
+            total(F.when(y > 0, y * F.log(mu)).otherwise(F.lit(0.0)) - mu - lgy1).alias("loglik"),
         ]
     return per_row, aggs
 
@@ -153,7 +163,7 @@ def _pass(rows: DataFrame, state: DataFrame, p: int, family: str, start: bool) -
     """One IRLS pass over the rows of the active groups."""
     per_row, aggs = _pass_exprs(p, family, start)
     keep = state.select("_g") if start else state
-    data = rows.join(F.broadcast(keep), "_g")
+    data = rows.join(F.broadcast(keep), "_g")  # MAX_GROUPS rows at most
     data = data.select("*", per_row[0], per_row[1]).select("*", per_row[2], per_row[3])
     out = {}
     for r in data.groupBy("_g").agg(*aggs).collect():
@@ -205,9 +215,10 @@ def stable_rows(rows: DataFrame) -> DataFrame:
 
 
 def prepare_rows(df: DataFrame, design: Design, group: Column | None = None) -> DataFrame:
-    """Project the model columns once: ``_g, _y, _x0 .. _x{p-1}``."""
+    """Project the model columns once: ``_g, _y, _c, _x0 .. _x{p-1}`` (``_c``: rows that a row stands for)."""
+    c = F.col("_c") if "_c" in df.columns else F.lit(1).cast("long").alias("_c")
     g = F.lit(0).cast("long") if group is None else group.cast("long")
-    cols = [g.alias("_g"), F.col(design.response).cast("double").alias("_y")]
+    cols = [g.alias("_g"), F.col(design.response).cast("double").alias("_y"), c]
     cols += [c.alias(f"_x{k}") for k, c in enumerate(design.columns())]
     return df.select(*cols)
 
@@ -223,8 +234,10 @@ def fit_groups(rows: DataFrame, design: Design, family: str = "poisson",
     spark = rows.sparkSession
     p = design.p
     if groups is None:
-        groups = [r["_g"] for r in rows.select("_g").distinct().collect()]
+        groups = [r["_g"] for r in rows.select("_g").distinct().limit(MAX_GROUPS + 1).collect()]
     groups = list(groups)
+    if len(groups) > MAX_GROUPS:
+        raise ValueError(f"{len(groups)} groups to fit at once; the limit is {MAX_GROUPS}, fit them in parts")
     betas: dict = {g: None for g in groups}
     dev_old: dict = {g: None for g in groups}
     last: dict = {}
@@ -283,9 +296,7 @@ def _fit_negbin(rows: DataFrame, design: Design, pois: dict[int, Fit], last: dic
         # Not over-dispersed at the Poisson fit: the likelihood rises all the
         # way to theta = infinity, where the model is the Poisson one.
         if r["overdisp"] is not None and r["overdisp"] <= 0:
-            f = pois[g]
-            fits[g] = Fit("negbin", f.names, f.beta, f.cov, f.beta_scaled, f.loglik, f.deviance,
-                          f.n, math.inf, f.iterations, f.converged)
+            fits[g] = _poisson_limit(pois[g])
             active.discard(g)
     its = {g: 0 for g in betas}
     for _ in range(max_iter):
@@ -308,10 +319,12 @@ def _fit_negbin(rows: DataFrame, design: Design, pois: dict[int, Fit], last: dic
             ll_flat = ll_old[g] is not None and abs(ll - ll_old[g]) / (abs(ll) + 0.1) < tol * 1e-2
             # theta past THETA_POISSON with a flat likelihood: the counts are not
             # over-dispersed and the model is the Poisson one (theta = infinity).
-            settled = ((ll_flat and abs(new_th - th) / th < 1e-6)
-                       or (th > THETA_POISSON and r["score"] > 0))
-            if settled or th >= THETA_MAX:
-                fits[g] = _make_fit("negbin", design, betas[g], r, th, its[g], settled)
+            if th >= THETA_MAX or (th > THETA_POISSON and r["score"] > 0):
+                fits[g] = _poisson_limit(pois[g])
+                active.discard(g)
+                continue
+            if ll_flat and abs(new_th - th) / th < 1e-6:
+                fits[g] = _make_fit("negbin", design, betas[g], r, th, its[g], True)
                 active.discard(g)
                 continue
             ll_old[g] = ll
@@ -322,6 +335,11 @@ def _fit_negbin(rows: DataFrame, design: Design, pois: dict[int, Fit], last: dic
     return fits
 
 
+def _poisson_limit(f: Fit) -> Fit:
+    """The negative binomial at theta = infinity: the Poisson fit."""
+    return Fit("negbin", f.names, f.beta, f.cov, f.beta_scaled, f.loglik, f.deviance, f.n, math.inf, f.iterations, f.converged)
+
+
 def _make_fit(family: str, design: Design, beta_scaled, r: dict, theta, its: int, converged: bool) -> Fit:
     T_ = design.to_original()
     cov_s = _inv(r["G"])
@@ -344,12 +362,42 @@ def glm(df: DataFrame, response: str, terms: Sequence[str], factors: Sequence[st
     its constants from them and every pass derives the design columns from
     them on the fly.
     """
-    data = stable_rows(complete_rows(df.select(response, *terms), response, terms))
+    rows = complete_rows(df.select(response, *terms), response, terms)
+    if set(terms) <= set(factors):
+        # Few distinct rows: every pass reads them with their counts.
+        rows = rows.groupBy(response, *terms).agg(F.count(F.lit(1)).alias("_c"))
+    data = stable_rows(rows)
     try:
         design = build_design(data, response, terms, factors, levels)
         return fit_groups(prepare_rows(data, design), design, family, tol, max_iter, groups=[0])[0]
     finally:
         data.unpersist()
+        drop_staged(data)
+
+
+def score_check(df: DataFrame, response: str, terms: Sequence[str], factors: Sequence[str] = (),
+                family: str = "poisson") -> DataFrame:
+    """``term, score``: what the likelihood's derivative still is at the fitted model, as a share of its terms' sizes.
+
+    Zero for every coefficient (and for ``theta``, if finite) at the maximum.
+    """
+    fitted = glm(df, response, terms, factors, family)
+    rows = complete_rows(df.select(response, *terms), response, terms)
+    design = build_design(rows, response, terms, factors)
+    x = [F.col(f"_x{k}") for k in range(design.p)]
+    eta = sum((F.lit(float(b)) * x[k] for k, b in enumerate(fitted.beta_scaled)), F.lit(0.0))
+    data = prepare_rows(rows, design).withColumn("_mu", F.exp(eta))
+    y, mu, th = F.col("_y"), F.col("_mu"), fitted.theta
+    finite = family == "negbin" and th is not None and math.isfinite(th)
+    weight = F.lit(1.0) / (F.lit(1.0) + mu / F.lit(float(th))) if finite else F.lit(1.0)
+    aggs = [(F.abs(F.sum(weight * c * (y - mu))) / F.sum(F.abs(weight * c) * (y + mu))).alias(design.names[k])
+            for k, c in enumerate(x)]
+    if finite:
+        t = F.lit(float(th))
+        part = (digamma(t + y) - digamma(t) + F.log(t) + F.lit(1.0) - F.log(t + mu) - (y + t) / (mu + t))
+        aggs.append((F.abs(F.sum(part)) / F.sum(F.abs(part))).alias("theta"))
+    names = [*design.names, *(["theta"] if finite else [])]
+    return data.agg(*aggs).unpivot([], [F.col(f"`{n}`") for n in names], "term", "score")
 
 
 def tidy(spark: SparkSession, fit: Fit) -> DataFrame:

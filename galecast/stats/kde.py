@@ -14,7 +14,7 @@ Only the binned masses — at most ``n`` rows per group, whatever the data
 size — meet the grid, through an ``explode`` of grid indices; the result is
 ``sum(mass · φ((x − g) / bw)) / bw``.  No row of the data is ever paired
 with another.  Densities integrate to about 1 over the data range plus the
-tails.
+tails.  A missing group key is a group like any other; missing values are left out.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.joins import attach_groups
 from ..session import stage_table
 from .quantile import exact_quantiles
 
@@ -49,26 +50,29 @@ def density(df: DataFrame, col: str, by: Sequence[str] = (), n: int = 512) -> Da
     freq = stage_table(values.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c")), "density-values")
     quartiles = exact_quantiles(freq, by, [0.25, 0.75]).withColumnRenamed("q0", "_q1") \
         .withColumnRenamed("q1", "_q3")
-    stats = freq.groupBy(*by).agg(
+    stats = stage_table(freq.groupBy(*by).agg(
         F.sum("_c").alias("_n"),
         (F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("_mean"),
-        F.sum(F.col("_v") * F.col("_v") * F.col("_c")).alias("_ss"),
         F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
         F.min(F.abs("_v")).alias("_first_abs"),
-    ).join(quartiles, by, "inner")
-    # Sample standard deviation from the moments of the frequency table.
-    var = ((F.col("_ss") - F.col("_n") * F.col("_mean") * F.col("_mean"))
-           / (F.col("_n") - F.lit(1)))
-    sd = F.when(F.col("_n") > 1, F.sqrt(F.greatest(var, F.lit(0.0)))).otherwise(F.lit(0.0))
-    stats = stats.select(
+    ), "density-stats")
+    # Sample standard deviation around the group's own mean: a difference of
+    # two large sums would lose it where the values are far from zero.
+    gap = F.col("_v") - F.col("_mean")
+    squares = (attach_groups(freq, stats.select(*by, "_mean"), by, ["_v"]).groupBy(*by)
+               .agg(F.sum(gap * gap * F.col("_c")).alias("_ss")))
+    stats = attach_groups(attach_groups(stats, stage_table(quartiles, "density-quartiles"), by, by),
+                          stage_table(squares, "density-squares"), by, by)
+    sd = F.when(F.col("_n") > 1, F.sqrt(F.col("_ss") / (F.col("_n") - F.lit(1)))).otherwise(F.lit(0.0))
+    stats = stage_table(stats.select(
         *by, "_n", "_lo",
         F.when(F.col("_hi") > F.col("_lo"), (F.col("_hi") - F.col("_lo")) / F.lit(n - 1))
          .otherwise(F.lit(0.0)).alias("_delta"),
         bandwidth_nrd0(sd, F.col("_q3") - F.col("_q1"), F.col("_n"), F.col("_first_abs")).alias("_bw"),
-    )
+    ), "density-groups")
     # Linear binning onto the grid.
     pos = F.when(F.col("_delta") > 0, (F.col("_v") - F.col("_lo")) / F.col("_delta")).otherwise(F.lit(0.0))
-    binned = freq.join(stats, by, "inner")
+    binned = attach_groups(freq, stats, by, ["_v"])
     binned = binned.withColumn("_pos", pos).withColumn("_ix", F.floor("_pos"))
     share = F.col("_c") / F.col("_n")
     frac = F.col("_pos") - F.col("_ix")
@@ -77,9 +81,10 @@ def density(df: DataFrame, col: str, by: Sequence[str] = (), n: int = 512) -> Da
         F.struct((F.col("_ix") + 1).alias("j"), (share * frac).alias("m")),
     )).alias("_part")
     bins = (binned.select(*by, parts)
-            .where((F.col("_part.m") > 0) & (F.col("_part.j") < n))
-            .groupBy(*by, F.col("_part.j").alias("j")).agg(F.sum(F.col("_part.m")).alias("mass")))
-    grid = bins.join(stats, by, "inner")
+            .where(F.col("_part.m") > 0)
+            # Rounding may put the greatest value past the last grid point.
+            .groupBy(*by, F.least(F.col("_part.j"), F.lit(n - 1)).alias("j")).agg(F.sum(F.col("_part.m")).alias("mass")))
+    grid = attach_groups(bins, stats, by, ["j"])
     grid = grid.select(*by, "j", "mass", "_lo", "_delta", "_bw",
                        F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("u"))
     gap = ((F.col("u") - F.col("j")) * F.col("_delta")) / F.col("_bw")

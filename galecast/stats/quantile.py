@@ -25,11 +25,13 @@ Quantiles use the definition of R's and DuckDB's default (type 7):
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import stage_table
+from ..functions.joins import attach_groups
+from ..session import drop_staged, stage_table
 
 
 def _refine(freq: DataFrame, targets: DataFrame, by: list[str], bins: int) -> DataFrame:
@@ -38,7 +40,7 @@ def _refine(freq: DataFrame, targets: DataFrame, by: list[str], bins: int) -> Da
     span = F.col("_b") - F.col("_a")
     bucket = F.least(F.floor((F.col("_v") - F.col("_a")) / span * F.lit(bins)).cast("int"),
                      F.lit(bins - 1))
-    hist = (freq.join(open_t, by, "inner")
+    hist = (attach_groups(freq, open_t, by, ["_v"])
             .where(F.col("_v").between(F.col("_a"), F.col("_b")))
             .groupBy(*by, "_t", "_r", bucket.alias("_k"))
             .agg(F.sum("_c").alias("_kc"), F.min("_v").alias("_kmin"), F.max("_v").alias("_kmax")))
@@ -74,17 +76,16 @@ def exact_quantiles(freq: DataFrame, by: Sequence[str], probs: Sequence[float],
             parts.append(stats.select(*by, F.lit(2 * i + j).alias("_t"), rank.alias("_r"),
                                       F.col("_lo").alias("_a"), F.col("_hi").alias("_b"),
                                       (F.col("_lo") == F.col("_hi")).alias("_done")))
-    targets = parts[0]
-    for df in parts[1:]:
-        targets = targets.unionByName(df)
+    targets = stage_table(reduce(DataFrame.unionByName, parts), "quantile-targets")
     for _ in range(max_passes):
-        targets = stage_table(_refine(freq, targets, by, bins), "quantile-targets")
+        before, targets = targets, stage_table(_refine(freq, targets, by, bins), "quantile-targets")
+        drop_staged(before)
         if targets.where(~F.col("_done")).isEmpty():
             break
     else:
         raise RuntimeError("exact_quantiles: refinement did not settle")
     wide = targets.groupBy(*by).pivot("_t", list(range(2 * len(probs)))).agg(F.first("_a"))
-    wide = wide.join(stats, by, "inner")
+    wide = attach_groups(wide, stage_table(stats, "quantile-stats"), by, by)
     out = [*by]
     for i, p in enumerate(probs):
         h = (F.col("_n") - F.lit(1)).cast("double") * F.lit(float(p))

@@ -9,7 +9,13 @@ grid of ``λ`` and keeps the one with the smallest generalised
 cross-validation score ``n · RSS / (n − edf)²``; both RSS and the effective
 degrees of freedom follow from the Gram sums, so the data are read once.
 The fitted curve is evaluated on ``n_grid`` points per group in Spark from
-a coefficient table of one row per group.
+a coefficient table of one row per group.  Values are centred on their
+group's mean first, which keeps the residual sum of squares exact enough.
+
+``trend_loess`` is the local form: at each grid point a quadratic is fitted by
+least squares to the nearest ``span`` of the observations, with tricube weights
+that fall to 0 at the farthest of them.  It works on one row per group and x
+value (mean and count), so it suits x values from a short list, such as years.
 """
 
 from __future__ import annotations
@@ -17,11 +23,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.joins import attach_groups
+from ..session import stage_table
+
 LAMBDAS = np.logspace(-9, 3, 49)
+#: Groups whose Gram sums may be on the driver at once.
+MAX_GROUPS = 100_000
 
 
 def _basis(t: Column, knots: Sequence[float]) -> list[Column]:
@@ -45,7 +56,7 @@ def _gcv_fit(G: np.ndarray, b: np.ndarray, yy: float, n: int, p_fixed: int = 4):
         A = G + lam * D * max(1.0, np.trace(G) / p)
         Ainv = np.linalg.pinv(A)
         beta = Ainv @ b
-        rss = max(yy - 2 * beta @ b + beta @ G @ beta, 0.0)
+        rss = yy - 2 * beta @ b + beta @ G @ beta
         edf = float(np.trace(Ainv @ G))
         if n - edf <= 1e-9:
             continue
@@ -64,18 +75,21 @@ def trend_smooth(df: DataFrame, x: str, y: str, by: Sequence[str], n_grid: int =
     by = list(by)
     data = df.select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")) \
              .dropna(how="any")
-    rng = data.groupBy(*by).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    rng = stage_table(data.groupBy(*by).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.avg("_y").alias("_m")),
+                      "smooth-groups")
+    if rng.count() > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} groups to smooth at once; smooth them in parts")
     kn = _knots(knots)
     span = F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo")).otherwise(F.lit(1.0))
     t = (F.col("_x") - F.col("_lo")) / span
     cols = _basis(t, kn)
     p = len(cols)
-    staged = data.join(rng, by, "inner").select(*by, "_lo", "_hi", "_y",
+    staged = attach_groups(data, rng, by, ["_x", "_y"]).withColumn("_y", F.col("_y") - F.col("_m")).select(*by, "_lo", "_hi", "_m", "_y",
                                                 *[c.alias(f"_b{i}") for i, c in enumerate(cols)])
     aggs = [F.sum(F.col(f"_b{i}") * F.col(f"_b{j}")).alias(f"g{i}_{j}") for i in range(p) for j in range(i, p)]
     aggs += [F.sum(F.col(f"_b{i}") * F.col("_y")).alias(f"v{i}") for i in range(p)]
     aggs += [F.sum(F.col("_y") * F.col("_y")).alias("yy"), F.count(F.lit(1)).alias("n"),
-             F.first("_lo").alias("lo"), F.first("_hi").alias("hi")]
+             F.first("_lo").alias("lo"), F.first("_hi").alias("hi"), F.first("_m").alias("m")]
     coef_rows = []
     for r in staged.groupBy(*by).agg(*aggs).collect():
         G = np.zeros((p, p))
@@ -84,11 +98,11 @@ def trend_smooth(df: DataFrame, x: str, y: str, by: Sequence[str], n_grid: int =
                 G[i, j] = G[j, i] = r[f"g{i}_{j}"]
         b = np.array([r[f"v{i}"] for i in range(p)])
         beta, lam, edf = _gcv_fit(G, b, r["yy"], r["n"])
-        coef_rows.append((*[r[k] for k in by], float(r["lo"]), float(r["hi"]),
+        coef_rows.append((*[r[k] for k in by], float(r["lo"]), float(r["hi"]), float(r["m"]),
                           [float(v) for v in beta], float(lam), float(edf)))
     in_schema = data.schema
     fields = [in_schema[k] for k in by] + [
-        T.StructField("_lo", T.DoubleType()), T.StructField("_hi", T.DoubleType()),
+        T.StructField("_lo", T.DoubleType()), T.StructField("_hi", T.DoubleType()), T.StructField("_m", T.DoubleType()),
         T.StructField("_beta", T.ArrayType(T.DoubleType())),
         T.StructField("lambda", T.DoubleType()), T.StructField("edf", T.DoubleType())]
     coefs = df.sparkSession.createDataFrame(coef_rows, T.StructType(fields))
@@ -96,9 +110,43 @@ def trend_smooth(df: DataFrame, x: str, y: str, by: Sequence[str], n_grid: int =
     grid = coefs.select("*", u)
     tg = F.col("_u").cast("double") / F.lit(float(n_grid - 1))
     basis = _basis(tg, kn)
-    fitted = basis[0] * F.col("_beta")[0]
+    fitted = F.col("_m") + basis[0] * F.col("_beta")[0]
     for i in range(1, p):
         fitted = fitted + basis[i] * F.col("_beta")[i]
     span = F.col("_hi") - F.col("_lo")
     return grid.select(*by, (F.col("_lo") + tg * span).alias("x"), fitted.alias("fitted"),
                        "lambda", "edf")
+
+
+def trend_loess(df: DataFrame, x: str, y: str, by: Sequence[str], span: float = 0.75, n_grid: int = 80) -> DataFrame:
+    """``by..., x, fitted`` on ``n_grid`` points over each group's x range, by local quadratic regression."""
+    by = list(by)
+    data = df.select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).dropna(how="any")
+    points = data.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_c"), F.avg("_y").alias("_y"))
+    groups = points.groupBy(*by).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.sum("_c").alias("_n"))
+    at = F.col("_lo") + F.col("_u").cast("double") / F.lit(float(n_grid - 1)) * (F.col("_hi") - F.col("_lo"))
+    rows = (attach_groups(points, stage_table(groups, "loess-groups"), by, ["_x"])
+            .withColumn("_u", F.explode(F.sequence(F.lit(0), F.lit(n_grid - 1)))).withColumn("_at", at)
+            .withColumn("_d", F.abs(F.col("_x") - F.col("_at"))))
+    # The distance within which the nearest ``span`` of the observations lie.
+    near = Window.partitionBy(*by, "_u")
+    rows = rows.withColumn("_held", F.sum("_c").over(near.orderBy("_d")))
+    enough = F.col("_held") >= F.greatest(F.floor(F.col("_n") * F.lit(span) + F.lit(1e-5)), F.lit(1))
+    rows = rows.withColumn("_h", F.min(F.when(enough, F.col("_d"))).over(near))
+    scaled = F.when(F.col("_h") > 0, F.col("_d") / F.col("_h")).otherwise(F.when(F.col("_d") > 0, 1.0).otherwise(0.0))
+    cube = F.greatest(F.lit(1.0) - scaled * scaled * scaled, F.lit(0.0))
+    weight = F.col("_c") * cube * cube * cube
+    t = F.when(F.col("_h") > 0, (F.col("_x") - F.col("_at")) / F.col("_h")).otherwise(F.lit(0.0))
+    rows = rows.select(*by, "_u", "_at", "_y", weight.alias("_w"), t.alias("_t"))
+    power, sums = F.lit(1.0), []
+    for k in range(5):
+        sums.append(F.sum(F.col("_w") * power).alias(f"s{k}"))
+        if k < 3:
+            sums.append(F.sum(F.col("_w") * power * F.col("_y")).alias(f"t{k}"))
+        power = power * F.col("_t")
+    s0, s1, s2, s3, s4, t0, t1, t2 = (F.col(c) for c in ("s0", "s1", "s2", "s3", "s4", "t0", "t1", "t2"))
+    det = s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2)
+    top = t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - t2 * s3) + s2 * (t1 * s3 - t2 * s2)
+    # Fewer than three x values within reach: their weighted mean.
+    fitted = F.when(det > F.lit(1e-9) * s0 * s0 * s0, top / det).otherwise(t0 / s0)
+    return rows.groupBy(*by, "_u", "_at").agg(*sums).select(*by, F.col("_at").alias("x"), fitted.alias("fitted"))
