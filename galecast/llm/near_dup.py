@@ -3,23 +3,26 @@
 A document's set holds its distinct shingles (runs of ``words`` words, ASCII
 lower case; a shorter text is one shingle).  Documents with equal sets form a
 class; everything after that works on classes, so thousands of copies are one
-row.  ``SAMPLES`` MinHash values of a set are cut into bands of ``ROWS`` values
-for candidate search, and folded into an odd sketch: a bitmap in which sample i
-flips the bit that a hash of (i, value) names.  The population count of the XOR
-of two sketches estimates how many samples differ.  A candidate pair goes on if
-its count is within ``SIGMAS`` deviations of what the threshold allows, and is
-then confirmed on the full sets.
+row.  ``SAMPLES`` MinHash values of a set, cut into bands of ``ROWS`` values,
+find candidates.  Classes that share a bucket get an odd sketch: ``FOLDED``
+MinHash values are folded into a bitmap in which sample i flips the bit that a
+hash of (i, value) names.  The population count of the XOR of two sketches
+estimates how many samples differ.  A candidate pair goes on if its sizes allow
+the threshold and its count is within ``SIGMAS`` deviations of what the
+threshold allows, and is then confirmed on the full sets.
 
 No group of candidates is ever paired with itself.  First, each class in a band
-bucket is compared with the bucket's first and last class only.  Then buckets
-that still hold several components compare the members outside their largest
-component with those of other components, in a join that adaptive execution can
-split and whose condition holds the sketch test, so that it gives out survivors
-only.  Pairs inside a component need no test.  Together every two classes of a
-bucket are in one component or have been tested.
-
-With 32 bands of 4, a pair at similarity 0.8 shares no bucket with probability
-5e-8, less above.
+bucket is compared with two centres only: the bucket's most popular class (the
+one whose buckets hold most classes, as the text that others were copied from
+does) and its least id.  Then buckets that still hold several components
+compare the members outside their largest component with those of other
+components, in a join that adaptive execution can split and whose condition
+holds the tests, so that it gives out survivors only, once each.  Pairs inside a
+component need no test.  Together every two classes of a bucket are in one
+component or have been tested.
+
+With 48 bands of 6, a pair at similarity 0.8 shares no bucket with probability
+5e-7, less above; at just 0.8 the sketch test drops 1 pair in 300,000.
 
 Defined results.  Null or empty text, or text without words: an empty set, no
 links.  A null id counts as the greatest; a component of such rows only has a
@@ -42,26 +45,26 @@ from ..session import stage_table
 from .components import components
 from .kernels import SPACED, Words, mix, row_slices, text_bytes, word_run_hash, word_run_sums
 
-SAMPLES, ROWS = 128, 4
+SAMPLES, ROWS = 288, 6
 BANDS = SAMPLES // ROWS
-BITS = 512
-SIGMAS = 6.0
-_SLOPE = (np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+FOLDED, BITS = 2048, 4096
+SIGMAS = 4.5
+_SLOPE = (np.arange(1, FOLDED + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _SLOPE, _SHIFT = mix(_SLOPE) | np.uint64(1), mix(_SLOPE + np.uint64(0x5851F42D4C957F2D))
 
 
 def odd_limit(percent: int, sigmas: float = SIGMAS) -> int:
     """Odd bits that two sets at the threshold reach with a chance beyond ``sigmas`` deviations only.
 
-    Differing samples follow a binomial; each flips two bits, and n flips of
-    BITS bits leave about BITS / 2 * (1 - exp(-2 n / BITS)) of them odd.  The
-    deviations of both steps are added in squares.
+    Differing samples follow a binomial.  Each flips two bits; of n bits, m
+    flips leave n / 2 * (1 - (1 - 2/n)**m) odd on average.  The deviations of
+    both steps are added in squares.
     """
-    p = 1 - percent / 100
-    differ, spread = SAMPLES * p, math.sqrt(SAMPLES * p * (1 - p))
-    odd = BITS / 2 * (1 - math.exp(-4 * differ / BITS))
-    slope = 2 * math.exp(-4 * differ / BITS)
-    return math.ceil(odd + sigmas * math.sqrt((slope * spread) ** 2 + odd * (1 - odd / BITS)))
+    p, n = 1 - percent / 100, BITS
+    flips = 2 * FOLDED * p
+    once, twice = (1 - 2 / n) ** flips, (1 - 4 / n) ** flips
+    variance = n / 4 * (1 - twice) + n * n / 4 * (twice - once * once)
+    return math.ceil(n / 2 * (1 - once) + sigmas * math.sqrt((2 * once) ** 2 * FOLDED * p * (1 - p) + max(0.0, variance)))
 
 
 def shingle_sets(text: pa.Array, words: int) -> list[np.ndarray]:
@@ -78,30 +81,37 @@ def shingle_sets(text: pa.Array, words: int) -> list[np.ndarray]:
     return [np.unique(hashes[e - n:e]) for e, n in zip(ends, windows, strict=True)]
 
 
-def _min_hashes(sets: list[np.ndarray]) -> np.ndarray:
-    """SAMPLES minima of each (non-empty) set."""
+def _min_hashes(sets: list[np.ndarray], samples: int) -> np.ndarray:
+    """The first ``samples`` minima of each (non-empty) set."""
     flat = np.concatenate(sets)
     starts = np.cumsum([0, *(len(s) for s in sets[:-1])])
-    out = np.empty((len(sets), SAMPLES), np.uint64)
-    for i in range(SAMPLES):
+    out = np.empty((len(sets), samples), np.uint64)
+    for i in range(samples):
         out[:, i] = np.minimum.reduceat(flat * _SLOPE[i] + _SHIFT[i], starts)
     return out
 
 
-def _sketches(minima: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Band hashes and odd sketches (as 64-bit words) of each row of minima."""
-    sample = mix(minima + np.arange(SAMPLES, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    bits = np.zeros((len(minima), BITS), np.uint8)
-    rows = np.arange(len(minima))
-    for i in range(SAMPLES):
-        bits[rows, (sample[:, i] % np.uint64(BITS)).astype(np.int64)] ^= 1
-    bands = np.zeros((len(minima), BANDS), np.uint64)
+def _bands(sets: list[np.ndarray]) -> np.ndarray:
+    minima, bands = _min_hashes(sets, SAMPLES), np.zeros((len(sets), BANDS), np.uint64)
     for i in range(ROWS):
-        bands = mix(bands * np.uint64(0x9E3779B97F4A7C15) + sample[:, i::ROWS])
-    return bands.view(np.int64), np.packbits(bits, axis=1).view(np.int64)
+        bands = mix(bands * np.uint64(0x9E3779B97F4A7C15) + mix(minima[:, i::ROWS]) + np.arange(BANDS, dtype=np.uint64))
+    return bands.view(np.int64)
+
+
+def odd_sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """Parity bitmaps of FOLDED minima, as 64-bit words."""
+    sample = mix(_min_hashes(sets, FOLDED) + np.arange(FOLDED, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    place = (sample % np.uint64(BITS)).astype(np.int64) + BITS * np.arange(len(sets))[:, None]
+    bits = np.bincount(place.reshape(-1), minlength=BITS * len(sets)).reshape(-1, BITS) & 1
+    return np.packbits(bits.astype(np.uint8), axis=1).view(np.int64)
+
+
+def _lists(some: np.ndarray, values: np.ndarray) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(np.where(some, values.shape[1], 0))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.reshape(-1)))
 
 
-SKETCHED = "doc_id long, near_text long, near_n long, near_set binary, near_bands array<long>, near_odd array<long>"
+SKETCHED = "doc_id long, near_text long, near_n long, near_set binary, near_bands array<long>"
 
 
 def _sketch(words: int):
@@ -111,31 +121,22 @@ def _sketch(words: int):
                 part = batch.slice(lo, n)
                 sets = shingle_sets(part.column(2), words)
                 filled = [s for s in sets if len(s)]
-                bands, odd = _sketches(_min_hashes(filled)) if filled else (np.zeros((0, BANDS), np.int64),
-                                                                            np.zeros((0, BITS // 64), np.int64))
                 some = np.array([len(s) > 0 for s in sets])
-                columns = []
-                for x in (bands, odd):
-                    offsets = np.concatenate([[0], np.cumsum(np.where(some, x.shape[1], 0))]).astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(x.reshape(-1))))
+                bands = _bands(filled) if filled else np.zeros((0, BANDS), np.int64)
                 digests = [hashlib.md5(s.tobytes()).digest() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()),
-                     pa.array(digests, pa.binary()), *columns],
-                    ["doc_id", "near_text", "near_n", "near_set", "near_bands", "near_odd"])
+                     pa.array(digests, pa.binary()), _lists(some, bands)],
+                    ["doc_id", "near_text", "near_n", "near_set", "near_bands"])
     return run
 
 
 def sketch_documents(docs: DataFrame, words: int) -> DataFrame:
-    """Per document: id, hash of the text, set size, digest of the set, band hashes and odd sketch."""
+    """Per document: id, hash of the text, set size, digest of the set and band hashes."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("near_text"), "text") \
         .mapInArrow(_sketch(words), SKETCHED)
 
 
-def _odd_bits(a: str, b: str) -> Column:
-    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(BITS // 64)), F.lit(0))
-
-
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,27 +155,41 @@ def _sets(words: int):
         for batch in batches:
             for lo, n in row_slices(batch.column(1)):
                 part = batch.slice(lo, n)
-                sets = [s.tobytes() for s in shingle_sets(part.column(1), words)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["node", "shingles"])
+                sets = shingle_sets(part.column(1), words)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()),
+                     _lists(np.ones(n, bool), odd_sketches(sets))], ["node", "size", "shingles", "odd"])
     return run
 
 
-def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (u, v) whose full sets reach the threshold."""
-    odd = classes.select("node", "near_odd")
-    pairs = (pairs.join(odd.toDF("u", "odd_u"), "u").join(odd.toDF("v", "odd_v"), "v")
-             .where(_odd_bits("odd_u", "odd_v") <= odd_limit(percent)).select("u", "v"))
-    pairs = stage_table(pairs, "near-pairs")
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(
-        classes.select("node", "near_least", "near_text"), "node")
+def _full_sets(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """``node, size, shingles, odd`` of the given classes, each from one of its texts."""
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("near_least"),
                       F.xxhash64("text").alias("near_text"), "text")
-    texts = own.join(wanted, ["near_least", "near_text"]).select("node", "text").mapInArrow(
-        _sets(words), "node long, shingles binary")
-    sets = stage_table(texts, "near-sets")
-    sets = stage_table(sets.dropDuplicates(["node"]), "near-sets") if _repeated(sets) else sets
-    return (pairs.join(sets.toDF("u", "set_u"), "u").join(sets.toDF("v", "set_v"), "v")
-            .select("u", "v", "set_u", "set_v").mapInArrow(_confirm(percent), "u long, v long"))
+    sets = stage_table(own.join(classes.select("node", "near_least", "near_text"), ["near_least", "near_text"])
+                       .select("node", "text").mapInArrow(_sets(words), "node long, size long, shingles binary, odd array<long>"),
+                       "near-sets")
+    return stage_table(sets.dropDuplicates(["node"]), "near-sets") if _repeated(sets) else sets
+
+
+def _similar(percent: int) -> Column:
+    """The test on sizes and sketches, whose words are columns of their own: over arrays, the generated code of the
+    join is too long for the JVM to compile."""
+    sizes = 100 * F.least("size_u", "size_v") >= percent * F.greatest("size_u", "size_v")
+    odd = sum((F.bit_count(F.col(f"odd_u{i}").bitwiseXOR(F.col(f"odd_v{i}"))) for i in range(BITS // 64)), F.lit(0))
+    return sizes & (odd <= odd_limit(percent))
+
+
+def _sketch_columns(sets: DataFrame, x: str) -> DataFrame:
+    return sets.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"),
+                       *[F.coalesce(F.get("odd", F.lit(i)), F.lit(0)).alias(f"odd_{x}{i}") for i in range(BITS // 64)])
+
+
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (u, v) whose full sets reach the threshold."""
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}"))
+    return stage_table(pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "set_u", "set_v")
+                       .mapInArrow(_confirm(percent), "u long, v long"), "near-links")
 
 
 _LAST = (1 << 63) - 1
@@ -191,35 +206,45 @@ def near_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
     least = F.coalesce("doc_id", F.lit(_LAST))
     classes = stage_table(
         rows.where("near_n > 0").groupBy("near_set").agg(
-            F.min(F.struct(least.alias("id"), "near_text")).alias("least"), F.any_value("near_bands").alias("near_bands"),
-            F.any_value("near_odd").alias("near_odd"))
+            F.min(F.struct(least.alias("id"), "near_text")).alias("least"), F.any_value("near_bands").alias("near_bands"))
         .select(F.monotonically_increasing_id().alias("node"), "near_set", F.col("least.id").alias("near_least"),
-                F.col("least.near_text").alias("near_text"), "near_bands", "near_odd"), "near-classes")
+                F.col("least.near_text").alias("near_text"), "near_bands"), "near-classes")
 
-    places = classes.select("node", F.explode("near_bands").alias("bucket"))
-    buckets = places.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    places = classes.select("node", "near_least", F.posexplode("near_bands").alias("band", "bucket"))
+    buckets = places.groupBy("bucket").agg(F.count("*").alias("held")).where("held > 1")
     places = stage_table(places.join(buckets, "bucket"), "near-places")
-    star = places.select("node", F.explode(F.array("low", "high")).alias("other")).where("node <> other")
+    popular = places.groupBy("node").agg(F.sum("held").alias("near"))
+    sets = _full_sets(docs, classes.join(popular, "node"), words)
+    sketch = lambda x: _sketch_columns(sets, x)
+
+    centres = places.join(popular, "node").groupBy("bucket").agg(
+        F.max_by("node", F.struct("near", "node")).alias("popular"), F.min_by("node", F.struct("near_least", "node")).alias("least"))
+    star = places.join(centres, "bucket").select("node", F.explode(F.array("popular", "least")).alias("other")).where("node <> other")
     tested = stage_table(star.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct(),
                          "near-star")
-    links = stage_table(_links(docs, classes, tested, words, percent), "near-links")
-    labels = components(links)
+    links = _links(tested.join(sketch("u"), "u").join(sketch("v"), "v").where(_similar(percent)).select("u", "v"), sets, percent)
+    labels = stage_table(components(links), "near-labels")
 
-    known = places.select("bucket", "node").join(labels, "node", "left").select(
-        "bucket", "node", F.coalesce("label", "node").alias("label"))
+    known = places.select("bucket", "band", "node").join(labels, "node", "left").select(
+        "bucket", "band", "node", F.coalesce("label", "node").alias("label"))
     mixed = known.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("bucket")
-    known = stage_table(known.join(mixed, "bucket").join(classes.select("node", "near_odd"), "node"), "near-mixed")
-    largest = (known.groupBy("bucket", "label").count().groupBy("bucket")
-               .agg(F.max_by("label", F.struct("count", "label")).alias("main")))
-    outside = known.join(largest, "bucket").where("label <> main").select(
-        "bucket", F.col("node").alias("u"), F.col("label").alias("label_u"), F.col("near_odd").alias("odd_u"), "main")
-    others = known.toDF(*[{"near_odd": "odd_v", "node": "v", "label": "label_v"}.get(c, c) for c in known.columns])
-    pairs = (outside.join(others, (outside["bucket"] == others["bucket"]) & (F.col("label_u") != F.col("label_v"))
-                          & ((F.col("u") < F.col("v")) | (F.col("label_v") == F.col("main")))
-                          & (_odd_bits("odd_u", "odd_v") <= odd_limit(percent)))
+    known = stage_table(known.join(mixed, "bucket"), "near-mixed")
+    main = (known.groupBy("bucket", "label").count().groupBy("bucket")
+            .agg(F.max_by("label", F.struct("count", "label")).alias("main")))
+    known = known.join(main, "bucket")
+    bands = lambda x: classes.select(F.col("node").alias(x), F.col("near_bands").alias(f"bands_{x}"))
+    inside = (known.select("bucket", F.col("node").alias("v"), F.col("label").alias("label_v"))
+              .join(sketch("v"), "v").join(bands("v"), "v"))
+    outside = (known.where("label <> main").select(
+        F.col("bucket").alias("own"), "band", F.col("node").alias("u"), F.col("label").alias("label_u"), "main")
+        .join(sketch("u"), "u").join(bands("u"), "u"))
+    # A pair counts in the first bucket that it shares; band hashes differ between bands.
+    first = ~F.arrays_overlap(F.slice("bands_u", F.lit(1), F.col("band")), F.slice("bands_v", F.lit(1), F.col("band")))
+    pairs = (outside.join(inside, (F.col("own") == F.col("bucket")) & (F.col("label_u") != F.col("label_v"))
+                          & ((F.col("u") < F.col("v")) | (F.col("label_v") == F.col("main"))) & _similar(percent) & first)
              .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
              .join(tested, ["u", "v"], "left_anti"))
-    more = stage_table(_links(docs, classes, pairs, words, percent), "near-links")
+    more = _links(stage_table(pairs, "near-rest"), sets, percent)
     if more.take(1):
         labels = components(links.unionByName(more))
 
