@@ -75,9 +75,9 @@ FROM d LEFT JOIN n USING (rid) LEFT JOIN kept USING (rid)
 
 OP8 = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
 t AS (SELECT vec_id, unnest(e) AS x, generate_subscripts(e, 1) AS d FROM v),
 q AS (SELECT * FROM t WHERE vec_id % 50 = 0),
 s AS (SELECT q.vec_id AS query_id, t.vec_id, sum(q.x * t.x)::BIGINT AS score
