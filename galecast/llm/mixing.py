@@ -156,6 +156,6 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: Sequence[flo
     keyed = _weigh(_with_keys(docs, seed), quality)
     rows = stage_table(keyed.select("doc_id", "source", "mix_size", "mix_key", "mix_bucket"), "mix")
     cuts = stage_table(source_cuts(rows, weights, ratio, epochs), "mix-cuts")
-    return (_apply(keyed, cuts).where(F.col("mix_copies") > 0)
+    return (_apply(keyed, cuts.drop("source_size", "target")).where(F.col("mix_copies") > 0)
             .withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
             .select(*docs.columns))
