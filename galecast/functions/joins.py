@@ -32,5 +32,5 @@ def attach_groups(big: DataFrame, small: DataFrame, keys: Sequence[str], spread:
     if small.count() <= broadcast_rows:
         return big.join(F.broadcast(renamed), reduce(and_, on)).drop(*drop)
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)))
-    copies = renamed.withColumn("_k__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    copies = renamed.withColumn("_k__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     return salted.join(copies, reduce(and_, [*on, F.col("_salt") == F.col("_k__salt")])).drop(*drop, "_salt", "_k__salt")

@@ -54,10 +54,6 @@ def trigamma(x) -> Column:
     return series + shift_sum
 
 
-def lgamma_py(x: float) -> float:
-    return math.lgamma(x)
-
-
 def digamma_py(x: float) -> float:
     w = x + SHIFT
     s = sum(1.0 / (x + k) for k in range(SHIFT))

@@ -74,7 +74,7 @@ def trend_smooth(df: DataFrame, x: str, y: str, by: Sequence[str], n_grid: int =
     """``by..., x, fitted`` on ``n_grid`` points over each group's x range."""
     by = list(by)
     data = df.select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")) \
-             .dropna(how="any")
+             .dropna(how="any", subset=["_x", "_y"])
     rng = stage_table(data.groupBy(*by).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.avg("_y").alias("_m")),
                       "smooth-groups")
     if rng.count() > MAX_GROUPS:
@@ -121,7 +121,8 @@ def trend_smooth(df: DataFrame, x: str, y: str, by: Sequence[str], n_grid: int =
 def trend_loess(df: DataFrame, x: str, y: str, by: Sequence[str], span: float = 0.75, n_grid: int = 80) -> DataFrame:
     """``by..., x, fitted`` on ``n_grid`` points over each group's x range, by local quadratic regression."""
     by = list(by)
-    data = df.select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).dropna(how="any")
+    data = df.select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")) \
+             .dropna(how="any", subset=["_x", "_y"])
     points = data.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_c"), F.avg("_y").alias("_y"))
     groups = points.groupBy(*by).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.sum("_c").alias("_n"))
     at = F.col("_lo") + F.col("_u").cast("double") / F.lit(float(n_grid - 1)) * (F.col("_hi") - F.col("_lo"))

@@ -94,3 +94,42 @@ def test_publish_and_pruned_slice(spark, capsys):
     assert "PartitionFilters: [isnotnull(variable_type" in plan
     direct = map_slice(p.map_table, p.places, "Yearly Total of All Disasters", 1998)
     assert sorted(map(tuple, sl.collect())) == sorted(map(tuple, direct.collect()))
+
+
+def test_rounding_of_large_and_odd_values(spark):
+    rows = [(1e13,), (5e14 + 0.25,), (float("inf"),), (float("-inf"),), (float("nan"),), (-1.23456,), (2.5e300,), (None,), (0.0,)]
+    got = [r.x for r in round_doubles(spark.createDataFrame(rows, "x double"), 3).collect()]
+    assert got[:4] == [1e13, 5e14 + 0.25, float("inf"), float("-inf")] and got[4] != got[4]
+    assert got[5:] == [-1.235, 2.5e300, None, 0.0]
+    assert [r.x for r in round_doubles(spark.createDataFrame(rows[5:6], "x double"), 3, {"x": 1}).collect()] == [-1.2]
+
+
+def test_climate_columns_by_header_name(spark):
+    d = tempfile.mkdtemp(prefix="galecast-csv-")
+    rows = [("Alabama", "199001", 50.0), ("Alabama", "199002", 54.0)]
+    lines = ["Title", "Units", "Period", "Date,Anomaly,Location,Value"] + [f"{t},0.5,{p},{v}" for p, t, v in rows]
+    _write(f"{d}/swapped.csv", "\n".join(lines) + "\n")
+    assert sorted(map(tuple, csvsrc.read_climate_csv(spark, f"{d}/swapped.csv").collect())) == rows
+    _write(f"{d}/nameless.csv", "Alabama,199001,50.0\nAlabama,199002,54.0\n")
+    assert sorted(map(tuple, csvsrc.read_climate_csv(spark, [f"{d}/nameless.csv", f"{d}/swapped.csv"]).collect())) == sorted(rows * 2)
+    _write(f"{d}/other.csv", "Place,Date,Value\nAlabama,199001,1\n")
+    try:
+        csvsrc.read_climate_csv(spark, f"{d}/other.csv")
+    except ValueError as e:
+        assert "location" in str(e)
+    else:
+        raise AssertionError("a file without a location column was read")
+
+
+def test_series_tags_with_equal_file_names_folders_and_globs(spark):
+    d = tempfile.mkdtemp(prefix="galecast-csv-")
+    for name, value in (("tavg", 1.0), ("tmax", 2.0)):
+        os.makedirs(f"{d}/{name}")
+        _series_file(f"{d}/{name}/data.csv", [("Ohio", "199001", value)])
+    os.makedirs(f"{d}/pcp")
+    for k in range(3):
+        _series_file(f"{d}/pcp/part-{k}.csv", [("Ohio", f"19900{k + 1}", 3.0)])
+    raw = csvsrc.read_climate_csv(spark, {"tavg": f"{d}/tavg/data.csv", "tmax": f"{d}/tmax/data.csv", "pcp": f"{d}/pcp",
+                                          "tmin": f"{d}/pcp/part-[01].csv"})
+    got = sorted((r.series, r.value) for r in raw.collect())
+    assert got == [("pcp", 3.0)] * 3 + [("tavg", 1.0), ("tmax", 2.0)] + [("tmin", 3.0)] * 2

@@ -69,3 +69,9 @@ def test_clean_names():
     assert snake_name("% change") == "percent_change"
     assert snake_name("2019 count") == "x2019_count"
     assert clean_names(["Value", "value", "VALUE"]) == ["value", "value_2", "value_3"]
+
+
+def test_num_label_keeps_exponents(spark):
+    values = [1.23e20, 1.5e-10, 1e22, 100.0, 0.5, -2.50, 1e15]
+    got = [r.t for r in spark.createDataFrame([(v,) for v in values], "v double").select(num_label("v").alias("t")).collect()]
+    assert got == ["1.23e+20", "1.5e-10", "1e+22", "100", "0.5", "-2.5", "1e+15"]

@@ -177,3 +177,38 @@ def test_stage_table_round_trip(spark):
         sorted(tuple(r) for r in df.groupBy("k").agg(F.sum("v").alias("s")).collect())
     # The staged plan reads files, not the aggregate it was written from.
     assert "Aggregate" not in staged._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_left_chain_loses_the_last_region_without_the_third(spark):
+    rows = [("x", p, 1990, 1.0, 1.0, 1.0, 1.0, d, n, n, n, n, r)
+            for d, r, p, n in [("Fire", "northeast", "Maine", 3), ("Fire", "west", "Utah", 7),
+                               ("Flood", "northeast", "Maine", 2), ("Flood", "midwest", "Ohio", 4), ("Flood", "west", "Utah", 5),
+                               ("Snow", "west", "Utah", 9)]]
+    from galecast.operators.facts import FACT_A_COLS
+    from galecast.operators.rollups import type_by_region
+    fact = spark.createDataFrame(rows, ", ".join(
+        f"{c} {t}" for c, t in zip(FACT_A_COLS, ["string", "string", "int", *["double"] * 4, "string", *["long"] * 4, "string"])))
+    wide = lambda published: {(r.disaster, r.region): r.n_disaster
+                              for r in type_by_region(fact, published=published).collect()}
+    assert wide(False)["Fire", "west"] == 7 and wide(False)["Snow", "west"] == 9
+    assert wide(True)["Fire", "west"] is None and wide(True)["Flood", "west"] == 5 and ("Snow", "west") not in wide(True)
+
+
+def test_totals_by_join_equal_windows(spark, built):
+    from galecast.operators.hazards import with_totals
+    rows = spark.createDataFrame([("a", 1990, "F", 1), ("a", 1990, "G", 2), (None, 1990, "F", 4), (None, None, None, 8)],
+                                 "state string, year int, disaster string, n long")
+    one, two = (with_totals(rows, "state", bounded=b) for b in (True, False))
+    assert sorted(map(repr, one.select(*sorted(one.columns)).collect())) == sorted(map(repr, two.select(*sorted(one.columns)).collect()))
+
+
+def test_staged_tables_go_when_dropped(spark):
+    import os
+    from galecast.session import drop_staged, stage_table
+    staged = stage_table(spark.range(3), "gone")
+    path = staged.inputFiles()[0].replace("file://", "")
+    assert os.path.exists(path)
+    drop_staged(staged)
+    assert not os.path.exists(path)
+    drop_staged(staged)
+    drop_staged(spark.range(1))

@@ -158,3 +158,69 @@ def test_exact_quantiles_match_type7(spark):
         want = np.quantile(vals, probs)  # numpy's default is type 7
         for i, w in enumerate(want):
             assert got[g][f"q{i}"] == pytest.approx(w, rel=1e-12, abs=0.0), (g, probs[i])
+
+
+def test_density_far_from_zero_and_missing_groups(spark):
+    rng = np.random.default_rng(3)
+    x = np.round(rng.uniform(0, 10, 500), 3)
+    mass = []
+    for shift in (0.0, 1e9):
+        df = spark.createDataFrame([(None, float(v) + shift) for v in x] + [(None, None)], "g string, x double")
+        out = kde.density(df, "x", by=["g"]).toPandas().sort_values("x")
+        assert len(out) == 512 and out.g.isna().all()
+        mass.append(np.trapezoid(out.density, out.x))
+    assert 0.9 < mass[0] < 1 and abs(mass[0] - mass[1]) < 1e-4
+
+
+def test_density_plan_has_no_exchange_of_values_by_group(spark, capsys):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(2000).selectExpr("CAST(id * id % 977 AS DOUBLE) AS x")
+        kde.density(df, "x").explain()
+        plan = capsys.readouterr().out
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # Every exchange by the key comes after a partial aggregate to grid points.
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_attach_groups_salted_equals_broadcast(spark):
+    from galecast.functions.joins import attach_groups
+    big = spark.createDataFrame([("a", i) for i in range(50)] + [(None, 1), ("b", 2), ("c", 3)], "g string, v int")
+    small = spark.createDataFrame([("a", 1.0), (None, 2.0), ("b", 3.0)], "g string, m double")
+    one = attach_groups(big, small, ["g"], ["v"]).collect()
+    two = attach_groups(big, small, ["g"], ["v"], broadcast_rows=0).collect()
+    assert len(one) == 52 and sorted(map(repr, one)) == sorted(map(repr, two))
+
+
+def test_theta_without_overdispersion_is_infinite(spark):
+    rng = np.random.default_rng(4)
+    y = rng.poisson(6, 4000)
+    fit = glm.glm(spark.createDataFrame([(int(v), float(i % 7)) for i, v in enumerate(y)], "y int, x double"), "y", ["x"], family="both")
+    assert fit["poisson"].converged
+    nb = fit["negbin"]
+    assert math.isinf(nb.theta) and nb.loglik == fit["poisson"].loglik or nb.theta < 1e5
+
+
+def test_frequency_weights_equal_rows(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(rng.negative_binomial(3, 0.3)), str(i % 3)) for i in range(900)]
+    df = spark.createDataFrame(rows, "y int, g string")
+    one = glm.glm(df, "y", ["g"], ["g"], family="negbin")
+    design = glm.build_design(df, "y", ["g"], ["g"])
+    two = glm.fit_groups(glm.prepare_rows(df, design), design, "negbin", groups=[0])[0]
+    assert np.allclose(one.beta, two.beta) and abs(one.theta - two.theta) < 1e-6 and one.n == two.n == 900
+
+
+def test_score_check_is_zero_at_the_fit(spark, orders):
+    out = glm.score_check(orders, "y", ["year", "region", "totalprice"], ["region"], "negbin").collect()
+    assert {r.term for r in out} >= {"(Intercept)", "year", "theta"} and all(r.score < 1e-6 for r in out)
+
+
+def test_loess_follows_a_quadratic(spark):
+    rows = [(None, x, 3.0 + 2 * x - 0.1 * x * x) for x in range(30)] * 2 + [("b", 5, 1.0), ("b", 5, 3.0)]
+    out = smooth.trend_loess(spark.createDataFrame(rows, "g string, x int, y double"), "x", "y", ["g"], n_grid=20).toPandas()
+    a, b = out[out.g.isna()], out[out.g == "b"]
+    assert len(a) == 20 and np.allclose(a.fitted, 3 + 2 * a.x - 0.1 * a.x ** 2)
+    assert np.allclose(b.fitted, 2.0)
