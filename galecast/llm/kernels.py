@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 _BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _MASK = (1 << 64) - 1
 _powers: dict[int, np.ndarray] = {}
@@ -151,6 +151,15 @@ def byte_run_hash(sums: np.ndarray, at: np.ndarray, n: int | np.ndarray) -> np.n
     return run_hash(sums, at, at + n, _BYTE_BASE)
 
 
+def gram_hashes(sums: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the strings of ``n`` bytes at every position, spread enough to be compared."""
+    x = (sums[n:] - sums[:-n]) * powers(_BYTE_BASE, len(sums))[1][:len(sums) - n] if len(sums) > n else sums[:0]
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xFF51AFD7ED558CCD)
+    x ^= x >> np.uint64(29)
+    return x
+
+
 def ragged(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All of ``starts[i] + 0 .. counts[i] - 1``, and the i of each."""
     own = np.repeat(np.arange(len(counts)), counts)

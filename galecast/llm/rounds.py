@@ -13,6 +13,9 @@ text is shuffled once: the three passes over the groups ask for the same
 exchange, which Spark reuses.  Groups and buckets grow in number with the
 input, so that no task's memory does.
 
+Texts that equal a whole text of a smaller id have nothing of their own: they
+are found first, by a digest, and take no part in the rounds.
+
 A null id counts as the greatest id.
 """
 
@@ -22,9 +25,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
+
+from ..session import stage_table
 
-GROUP_BYTES = 4 << 20
+GROUP_BYTES, BUCKET_BYTES = 2 << 20, 4 << 20
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -55,8 +60,10 @@ def least_and_greatest(keys: np.ndarray, low: np.ndarray, high: np.ndarray) -> t
 
 def by_bucket(keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
     """``(bucket, from, to)`` of sorted keys; buckets are ranges of the key's upper half."""
+    if not len(keys):
+        return []
     bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     return list(zip(bucket[at].tolist(), at.tolist(), [*at[1:].tolist(), len(keys)], strict=True))
 
 
@@ -74,16 +81,37 @@ def column_bytes(table: pa.Table, name: str) -> list[bytes]:
 
 def shared_anchors(group: pa.Table) -> np.ndarray:
     """All anchors a group was answered with, in order."""
-    parts = [np.frombuffer(x, np.uint64) for x in column_bytes(group, "keys")]
+    parts = [np.frombuffer(x, np.uint64) for x in column_bytes(group, "keys") if x is not None]
     return np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
+def greatest(low: np.ndarray, high: np.ndarray) -> bytes:
+    """Where and what ``high`` is, where it isn't ``low``."""
+    at = np.flatnonzero(low != high)
+    return at.astype(np.uint32).tobytes() + high[at].astype(np.int64).tobytes()
+
+
+def with_greatest(low: np.ndarray, data: bytes) -> np.ndarray:
+    n, out = len(data) // 12, low.copy()
+    out[np.frombuffer(data, np.uint32, n)] = np.frombuffer(data, np.uint8, offset=4 * n).view(np.int64)
+    return out
+
+
+def is_copy(group: pa.Table, answers: pa.Table) -> np.ndarray:
+    """Which rows of a group equal a text with a smaller id."""
+    known = {d: k for d, k in zip(answers.column("digest").to_pylist(), answers.column("original").to_pylist(), strict=True)
+             if d is not None}
+    if not known:
+        return np.zeros(len(group), bool)
+    return np.array([known.get(d, NO_ID) < k for d, k in zip(group.column("digest").to_pylist(), group_ids(group), strict=True)], bool)
+
+
 SENT = "bucket long, grp long, keys binary, low binary, high binary"
 ANSWER = "grp long, keys binary"
 
 
 def send_entries(grp: int, keys: np.ndarray, low: np.ndarray, high: np.ndarray, buckets: int) -> pa.Table:
-    rows = [(b, grp, keys[i:j].tobytes(), pack(low[i:j]), pack(high[i:j])) for b, i, j in by_bucket(keys, buckets)]
+    rows = [(b, grp, keys[i:j].tobytes(), pack(low[i:j]), greatest(low[i:j], high[i:j])) for b, i, j in by_bucket(keys, buckets)]
     names = ["bucket", "grp", "keys", "low", "high"]
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
     return pa.table({x: pa.array([r[k] for r in rows], kinds[k]) for k, x in enumerate(names)})
@@ -94,8 +122,9 @@ def read_entries(bucket: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     blobs = column_bytes(bucket, "keys")
     n = np.array([len(x) // 8 for x in blobs], dtype=np.int64)
     keys = np.concatenate([np.frombuffer(x, np.uint64) for x in blobs])
-    low = np.concatenate([unpack(x, k) for x, k in zip(column_bytes(bucket, "low"), n, strict=True)])
-    high = np.concatenate([unpack(x, k) for x, k in zip(column_bytes(bucket, "high"), n, strict=True)])
+    low = [unpack(x, k) for x, k in zip(column_bytes(bucket, "low"), n, strict=True)]
+    high = np.concatenate([with_greatest(x, y) for x, y in zip(low, column_bytes(bucket, "high"), strict=True)])
+    low = np.concatenate(low)
     return keys, low, high, np.repeat(np.arange(len(n)), n), bucket.column("grp").to_numpy()
 
 
@@ -114,22 +143,31 @@ def row_runs(row: np.ndarray) -> list[tuple[int, int, int]]:
     return list(zip(row[at].tolist(), at.tolist(), [*at[1:].tolist(), len(row)], strict=True))
 
 
-def grouped(docs: DataFrame, group_bytes: int) -> tuple[DataFrame, int]:
-    """``doc_id, text, grp`` and the number of groups, which follows the bytes of text."""
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = max(4 * parts, -(-total // group_bytes))
-    return docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("long").alias("grp")), n
-
-
 def two_rounds(docs: DataFrame, anchors: Callable, surroundings: Callable, decide: Callable, finish: Callable,
-               sent: str, answer: str, result: T.StructType | str, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """``anchors(group, buckets)``, ``surroundings(group, shared, buckets)``, ``decide(bucket)`` and
+               sent: str, answer: str, result: str, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """``anchors(group, copies, buckets)``, ``surroundings(group, shared, buckets)``, ``decide(bucket)`` and
     ``finish(group, answers)`` get and return Arrow tables."""
-    groups, n = grouped(docs, group_bytes)
-    entries = groups.groupBy("grp").applyInArrow(lambda t: anchors(t, n), SENT)
+    spark = docs.sparkSession
+    rows = docs.select("doc_id", "text", F.md5("text").alias("digest"), F.xxhash64("doc_id", "text").alias("spread"))
+    narrow = stage_table(rows.select("doc_id", "digest", "spread", F.octet_length("text").alias("bytes")), "rounds")
+    total = narrow.agg(F.sum("bytes")).first()[0] or 0
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n, buckets = max(2 * parts, -(-total // group_bytes)), max(parts, -(-total // BUCKET_BYTES))
+    grp = F.pmod("spread", F.lit(n)).cast("long").alias("grp")
+
+    known = F.coalesce("doc_id", F.lit(int(NO_ID)))
+    first = (narrow.where("bytes > 0").groupBy("digest").agg(F.min(known).alias("original"), F.max(known).alias("last"))
+             .where("original < last").drop("last"))
+    copies = stage_table(narrow.join(first, "digest").where(known > F.col("original"))
+                         .select(grp, "digest", "original").distinct(), "rounds-copies")
+
+    def with_copies(answers: DataFrame) -> DataFrame:
+        return answers.unionByName(copies, allowMissingColumns=True)
+
+    groups = rows.select("doc_id", "text", "digest", grp)
+    cogrouped = lambda other, f, schema: groups.groupBy("grp").cogroup(other.groupBy("grp")).applyInArrow(f, schema)
+    entries = cogrouped(copies, lambda t, s: anchors(t, s, buckets), SENT)
     shared = entries.groupBy("bucket").applyInArrow(answer_shared, ANSWER)
-    around = groups.groupBy("grp").cogroup(shared.groupBy("grp")).applyInArrow(
-        lambda t, s: surroundings(t, s, n), sent)
-    known = around.groupBy("bucket").applyInArrow(decide, answer)
-    return groups.groupBy("grp").cogroup(known.groupBy("grp")).applyInArrow(finish, result)
+    around = cogrouped(with_copies(shared), lambda t, s: surroundings(t, s, buckets), sent)
+    found = around.groupBy("bucket").applyInArrow(decide, answer)
+    return cogrouped(with_copies(found), finish, result)

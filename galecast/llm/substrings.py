@@ -22,11 +22,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 
 from .kernels import SPACED, Words, covered, ragged, row_slices, sums_by, text_bytes, word_run_hash, word_run_sums
-from .rounds import GROUP_BYTES, SENT, find, group_ids, least_and_greatest, read_entries, send_entries, shared_anchors, \
-    pack, row_runs, two_rounds, unpack
+from .rounds import GROUP_BYTES, SENT, column_bytes, find, group_ids, is_copy, least_and_greatest, pack, read_entries, \
+    row_runs, send_entries, shared_anchors, two_rounds, unpack
 
 WINDOW = 50
 #: A perfect difference set modulo 31.
@@ -35,13 +36,20 @@ ANCHOR = WINDOW - PERIOD + 1
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
 
 
-def _slices(group: pa.Table):
-    """``words, ids`` of bounded slices of a group."""
+def _slices(group: pa.Table, copies: np.ndarray):
+    """``words, ids, copies`` of bounded slices of a group."""
     table = group.combine_chunks()
     text, ids = table.column("text").chunk(0) if len(table) else pa.array([], pa.string()), group_ids(table)
     for lo, n in row_slices(text):
         buf, offsets = text_bytes(text.slice(lo, n))
-        yield Words(buf, offsets, SPACED, lower=False), ids[lo:lo + n]
+        yield Words(buf, offsets, SPACED, lower=False), ids[lo:lo + n], copies[lo:lo + n]
+
+
+def _originals(group: pa.Table, answers: pa.Table):
+    """``words, ids`` of the texts that are no copies."""
+    group = group.filter(pa.array(~is_copy(group, answers)))
+    for words, ids, _ in _slices(group, np.zeros(len(group), bool)):
+        yield words, ids
 
 
 def _anchor_hashes(words: Words, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,17 +66,21 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]], grp: int, buckets: int)
     return send_entries(grp, *least_and_greatest(keys, ids, ids), buckets)
 
 
-def _anchors(group: pa.Table, buckets: int) -> pa.Table:
+def _anchors(group: pa.Table, copies: pa.Table, buckets: int) -> pa.Table:
     parts = []
-    for words, ids in _slices(group):
+    for words, ids in _originals(group, copies):
         _, of, hashes = _anchor_hashes(words, word_run_sums(words.hashes()))
         parts.append((hashes, ids[of]))
-    return _merged(parts, group.column("grp")[0].as_py(), buckets)
+    return _merged(parts, _number(group), buckets)
+
+
+def _number(group: pa.Table) -> int:
+    return group.column("grp")[0].as_py() if len(group) else -1
 
 
 def _extended(group: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
     shared, parts = shared_anchors(answers), []
-    for words, ids in _slices(group) if len(shared) else ():
+    for words, ids in _originals(group, answers) if len(shared) else ():
         sums = word_run_sums(words.hashes())
         at, _, hashes = _anchor_hashes(words, sums)
         at = at[find(hashes, shared)[0]]
@@ -76,7 +88,7 @@ def _extended(group: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
         start, of = words.windows(WINDOW)
         on = holds[start]
         parts.append((word_run_hash(sums, start[on], WINDOW), ids[of[on]]))
-    return _merged(parts, group.column("grp")[0].as_py() if len(group) else -1, buckets)
+    return _merged(parts, _number(group), buckets)
 
 
 def _smallest(bucket: pa.Table) -> pa.Table:
@@ -106,20 +118,22 @@ def _kept_text(words: Words, keep: np.ndarray) -> pa.Array:
 
 
 def _finish(group: pa.Table, answers: pa.Table) -> pa.Table:
-    blobs = answers.column("keys").to_pylist()
+    copies = is_copy(group, answers)
+    answers = answers.filter(pa.compute.is_valid(answers.column("keys")))
+    blobs = column_bytes(answers, "keys")
     keys = np.concatenate([np.frombuffer(x, np.uint64) for x in blobs]) if blobs else np.zeros(0, np.uint64)
-    least = np.concatenate([unpack(y, len(x) // 8) for x, y in zip(blobs, answers.column("least").to_pylist(), strict=True)]) \
+    least = np.concatenate([unpack(y, len(x) // 8) for x, y in zip(blobs, column_bytes(answers, "least"), strict=True)]) \
         if blobs else np.zeros(0, np.int64)
     order = np.argsort(keys)
     keys, least = keys[order], least[order]
     n_words, n_removed, kept = [], [], []
-    for words, ids in _slices(group):
-        gone = np.zeros(len(words), bool)
+    for words, ids, copy in _slices(group, copies):
+        gone = np.repeat(copy & (words.counts() >= WINDOW), words.counts())
         if len(keys):
             start, of = words.windows(WINDOW)
             known, at = find(word_run_hash(word_run_sums(words.hashes()), start, WINDOW), keys)
             known[known] = least[at[known]] < ids[of[known]]
-            gone = covered(len(words), start[known], start[known] + WINDOW)
+            gone |= covered(len(words), start[known], start[known] + WINDOW)
         n_words.append(words.counts())
         n_removed.append(sums_by(words.first, gone))
         kept.append(_kept_text(words, ~gone))

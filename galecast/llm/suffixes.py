@@ -29,16 +29,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 
-from .kernels import byte_run_hash, byte_run_sums, covered, ragged, row_slices, runs, sums_by, text_bytes
-from .rounds import GROUP_BYTES, by_bucket, find, group_ids, least_and_greatest, pack, row_runs, send_entries, \
-    shared_anchors, two_rounds, unpack
+from .kernels import byte_run_hash, byte_run_sums, covered, gram_hashes, ragged, row_slices, runs, sums_by, text_bytes
+from .rounds import GROUP_BYTES, by_bucket, column_bytes, find, greatest, group_ids, is_copy, least_and_greatest, pack, \
+    row_runs, send_entries, shared_anchors, two_rounds, unpack, with_greatest
 
 LENGTH = 50
 GRAM = 24
 #: Windows in a segment at most, and bytes of segments in one transform (unless one hash alone has more).
-SEGMENT, TRANSFORM_BYTES = 32, 1 << 20
+SEGMENT, TRANSFORM_BYTES = 32, 1 << 19
 SENT = "bucket long, grp long, anchors binary, keys binary, low binary, high binary, sizes binary, data binary"
 ANSWER = "grp long, keys binary, counts binary, least binary"
 
@@ -49,8 +50,7 @@ class Segments:
     def __init__(self, buf: np.ndarray, offsets: np.ndarray):
         windows = np.maximum(0, np.diff(offsets) - LENGTH + 1)
         self.sums = byte_run_sums(buf)
-        at = np.arange(max(0, len(buf) - GRAM + 1))
-        low, width, span = byte_run_hash(self.sums, at, GRAM), 1, LENGTH - GRAM + 1
+        low, width, span = gram_hashes(self.sums, GRAM), 1, LENGTH - GRAM + 1
         while width < span:  # least of `width` neighbours, doubled until all of a window are in
             step = min(width, span - width)
             low, width = np.minimum(low[:-step], low[step:]) if len(low) > step else low[:0], width + step
@@ -72,29 +72,36 @@ class Segments:
         return byte_run_hash(self.sums, self.first, self.count + LENGTH - 1)
 
 
-def _slices(group: pa.Table):
-    """``bytes, offsets, ids`` of bounded slices of a group."""
+def _slices(group: pa.Table, copies: np.ndarray):
+    """``bytes, offsets, ids, copies`` of bounded slices of a group."""
     table = group.combine_chunks()
     text, ids = table.column("text").chunk(0) if len(table) else pa.array([], pa.string()), group_ids(table)
     for lo, n in row_slices(text):
-        yield *text_bytes(text.slice(lo, n)), ids[lo:lo + n]
+        yield *text_bytes(text.slice(lo, n)), ids[lo:lo + n], copies[lo:lo + n]
 
 
-def _anchors(group: pa.Table, buckets: int) -> pa.Table:
-    keys, ids = [], []
-    for buf, offsets, own in _slices(group):
+def _originals(group: pa.Table, answers: pa.Table):
+    """``bytes, offsets, ids`` of the texts that are no copies."""
+    group = group.filter(pa.array(~is_copy(group, answers)))
+    for buf, offsets, ids, _ in _slices(group, np.zeros(len(group), bool)):
+        yield buf, offsets, ids
+
+
+def _anchors(group: pa.Table, copies: pa.Table, buckets: int) -> pa.Table:
+    keys, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for buf, offsets, own in _originals(group, copies):
         found = Segments(buf, offsets)
         keys.append(found.anchor)
         ids.append(own[found.text])
     keys, ids = np.concatenate(keys), np.concatenate(ids)
-    return send_entries(group.column("grp")[0].as_py(), *least_and_greatest(keys, ids, ids), buckets)
+    return send_entries(group.column("grp")[0].as_py() if len(group) else -1, *least_and_greatest(keys, ids, ids), buckets)
 
 
 def _segments(group: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
     """Each distinct segment at a shared hash once, with its bytes."""
     shared, rows = shared_anchors(answers), []
     known: dict[str, list[np.ndarray]] = {x: [] for x in ("anchor", "key", "id", "size", "data")}
-    for buf, offsets, ids in _slices(group) if len(shared) else ():
+    for buf, offsets, ids in _originals(group, answers) if len(shared) else ():
         found = Segments(buf, offsets)
         on = np.flatnonzero(find(found.anchor, shared)[0])
         keys = found.keys()[on]
@@ -113,7 +120,8 @@ def _segments(group: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
         grp = group.column("grp")[0].as_py()
         for b, i, j in by_bucket(anchor[first], buckets):
             place, _ = ragged(starts[first[i:j]], size[first[i:j]])
-            rows.append((b, grp, anchor[first[i:j]].tobytes(), own[i:j].tobytes(), pack(low[i:j]), pack(high[i:j]),
+            rows.append((b, grp, anchor[first[i:j]].tobytes(), own[i:j].tobytes(), pack(low[i:j]),
+                         greatest(low[i:j], high[i:j]),
                          size[first[i:j]].astype(np.uint16).tobytes(), data[place].tobytes()))
     return _arrow(rows, SENT)
 
@@ -139,29 +147,39 @@ def common_prefix_intervals(text: np.ndarray, length: int) -> tuple[np.ndarray,
     rank = np.zeros(n, np.int64)
     for k in range(7):
         rank = rank << 9 | padded[k:k + n]
+    order = np.argsort(rank)
+    inner = rank[order]
+    new = np.concatenate([[True], inner[1:] != inner[:-1]])
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     depth = 7
-    while True:
-        order = np.argsort(rank)
-        inner = rank[order]
-        new = np.concatenate([[True], inner[1:] != inner[:-1]])
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
-        if depth >= length or new.all():
+    while depth < length:  # ranks by twice as many symbols; rows that stand alone stay where they are
+        tied = np.flatnonzero(~(new & np.append(new[1:], True)))
+        if not len(tied):
             break
-        rank = rank * (n + 1) + np.concatenate([rank[depth:], np.zeros(min(depth, n), np.int64)])[:n]
+        at = order[tied]
+        nxt = np.minimum(at + depth, n - 1)
+        key = rank[at] * (n + 1) + np.where(at + depth < n, rank[nxt] + 1, 0)
+        inner = np.argsort(key)
+        at, key = at[inner], key[inner]
+        order[tied] = at
+        new[tied[1:]] |= key[1:] != key[:-1]
+        rank[at] = np.maximum.accumulate(np.where(new[tied], tied, 0))
         depth *= 2
-    row = np.empty(n + 1, np.int64)
-    row[order] = np.arange(n)
+    row = np.empty(n + 1, np.int32)
+    row[order] = np.arange(n, dtype=np.int32)
     row[n] = n
-    back = row[order + 1]
     symbol = text[order]
     begins = np.concatenate([[True], symbol[1:] != symbol[:-1]])
+    rows = np.flatnonzero(~begins)
+    back, before = row[order[rows] + 1], row[order[rows - 1] + 1]
     for _ in range(1, length):
-        open_rows = np.flatnonzero(~begins)
-        if not len(open_rows):
+        if not len(rows):
             break
-        interval = np.append(np.cumsum(begins), 0)
-        begins[open_rows[interval[back[open_rows]] != interval[back[open_rows - 1]]]] = True
+        interval = np.append(np.cumsum(begins, dtype=np.int32), np.int32(0))
+        apart = interval[back] != interval[before]
+        begins[rows[apart]] = True
+        rows, back, before = rows[~apart], back[~apart], before[~apart]
     return order, begins
 
 
@@ -186,8 +204,9 @@ def _decide(bucket: pa.Table) -> pa.Table:
     n = np.array([len(x) // 8 for x in blobs["keys"]])
     whole = lambda x, kind: np.frombuffer(b"".join(blobs[x]), kind)
     anchor, key, size = whole("anchors", np.uint64), whole("keys", np.uint64), whole("sizes", np.uint16).astype(np.int64)
-    low = np.concatenate([unpack(x, k) for x, k in zip(blobs["low"], n, strict=True)])
-    high = np.concatenate([unpack(x, k) for x, k in zip(blobs["high"], n, strict=True)])
+    low = [unpack(x, k) for x, k in zip(blobs["low"], n, strict=True)]
+    high = np.concatenate([with_greatest(x, y) for x, y in zip(low, blobs["high"], strict=True)])
+    low = np.concatenate(low)
     data = whole("data", np.uint8)
     starts = np.cumsum(size) - size
     own, ids, _ = least_and_greatest(key, low, low)
@@ -220,7 +239,9 @@ def _decide(bucket: pa.Table) -> pa.Table:
 
 
 def _finish(group: pa.Table, answers: pa.Table) -> pa.Table:
-    blobs = {x: answers.column(x).to_pylist() for x in ("keys", "counts", "least")}
+    copies = is_copy(group, answers)
+    answers = answers.filter(pa.compute.is_valid(answers.column("keys")))
+    blobs = {x: column_bytes(answers, x) for x in ("keys", "counts", "least")}
     keys = np.frombuffer(b"".join(blobs["keys"]), np.uint64)
     count = np.frombuffer(b"".join(blobs["counts"]), np.uint8).astype(np.int64)
     least = np.concatenate([np.zeros(0, np.int64), *(unpack(x, int(np.frombuffer(c, np.uint8).sum()))
@@ -229,8 +250,9 @@ def _finish(group: pa.Table, answers: pa.Table) -> pa.Table:
     order = np.argsort(keys)
     keys, offset = keys[order], offset[order]
     n_bytes, n_removed, n_spans, kept = [], [], [], []
-    for buf, offsets, ids in _slices(group):
-        gone = np.zeros(len(buf), bool)
+    for buf, offsets, ids, copy in _slices(group, copies):
+        size = np.diff(offsets)
+        gone = np.repeat(copy & (size >= LENGTH), size)
         if len(keys):
             found = Segments(buf, offsets)
             known, at = find(found.keys(), keys)
@@ -238,7 +260,7 @@ def _finish(group: pa.Table, answers: pa.Table) -> pa.Table:
             value, own = ragged(offset[at[known]], found.count[known])
             start, _ = ragged(found.first[known], found.count[known])
             start = start[least[value] < ids[found.text[known]][own]]
-            gone = covered(len(buf), start, start + LENGTH)
+            gone |= covered(len(buf), start, start + LENGTH)
         begins, _ = runs(gone, offsets)
         n_bytes.append(np.diff(offsets))
         n_removed.append(sums_by(offsets, gone))
