@@ -37,6 +37,9 @@ def num_label(c) -> F.Column:
     return F.concat(mantissa, exponent)
 
 
+# The texts inside the labels below are those of the reference's charts.
+
+
 def precip_points(fact_a: DataFrame, published: bool = True) -> DataFrame:
     """Precipitation scatter by region, with hover label (C4).
 

@@ -71,12 +71,17 @@ def stage_table(df: DataFrame, label: str = "stage") -> DataFrame:
     storage, so a lost executor costs a re-read of its files, and the read-back
     scan prunes columns and pushes filters like any table.
 
+    The files number ``FILES_PER_CORE`` per core at most, however many shuffle
+    partitions there are: a task then writes the results of several, one after
+    another, which spares small files and takes no more memory.
+
     Tables go when they are dropped (``drop_staged``), or else with the session.
     """
     spark = df.sparkSession
     root = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{root}/tables/{label}-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(path)
+    files = max(1, FILES_PER_CORE * spark.sparkContext.defaultParallelism)
+    df.coalesce(files).write.mode("errorifexists").parquet(path)
     if not _staged:
         atexit.register(_drop_all)
     _staged[path] = spark
@@ -85,6 +90,7 @@ def stage_table(df: DataFrame, label: str = "stage") -> DataFrame:
     return out
 
 
+FILES_PER_CORE = 2
 _staged: dict[str, SparkSession] = {}
 
 

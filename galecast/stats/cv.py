@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from .design import build_design, complete_rows
 from .glm import _eta, _state_df, fit_groups, prepare_rows, stable_rows
 
+#: Rows that the exact mode may rank in one task.
+EXACT_ROWS = 1_000_000
 MODELS = (("poisson", "poisson", 1), ("negative_binomial", "negbin", 2))
 
 
@@ -66,6 +68,8 @@ def cv_errors(df: DataFrame, response: str, terms: Sequence[str], factors: Seque
     spark = df.sparkSession
     base = stable_rows(complete_rows(df.select(*dict.fromkeys([response, *terms, *key_cols])),
                                      response, terms))
+    if exact and base.count() > EXACT_ROWS:
+        raise ValueError(f"exact splits rank a whole table per split; above {EXACT_ROWS} rows use exact=False")
     design = build_design(base, response, terms, factors)
     split_rows = with_splits(base, key_cols, n_splits, test, seed, exact)
     if exact and not leaky:

@@ -22,6 +22,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Levels that a factor may have: each is a column of the model.
+MAX_LEVELS = 1000
+
+
 @dataclass
 class Design:
     response: str
@@ -76,13 +80,14 @@ def build_design(df: DataFrame, response: str, terms: Sequence[str],
     for c in numeric:
         aggs += [F.avg(F.col(c).cast("double")).alias(f"m_{c}"),
                  F.stddev_pop(F.col(c).cast("double")).alias(f"s_{c}")]
-    missing = [f for f in factors if f not in levels]
-    # Levels of a factor: a set bounded by the factor's cardinality.
-    aggs += [F.array_sort(F.collect_set(F.col(f).cast("string"))).alias(f"l_{f}") for f in missing]
+    for f in factors:
+        if f not in levels:
+            found = df.select(F.col(f).cast("string").alias("level")).distinct().limit(MAX_LEVELS + 1).collect()
+            if len(found) > MAX_LEVELS:
+                raise ValueError(f"factor {f} has more than {MAX_LEVELS} levels")
+            levels[f] = sorted(r["level"] for r in found)
     if aggs:
         row = df.agg(*aggs).first()
-        for f in missing:
-            levels[f] = list(row[f"l_{f}"])
         for c in numeric:
             m, s = row[f"m_{c}"], row[f"s_{c}"]
             d.centre[c] = float(m or 0.0)
