@@ -26,7 +26,7 @@ import json
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..session import stage_table
 
@@ -84,8 +84,9 @@ def find_splitters(rows: DataFrame, shards: int, per_shard: int = 1, tolerance:
                            _digit(level).cast("int").alias("d"), "shard_size")
         if level:
             kept = sorted({tuple(p) for p, _ in open_at.values()})
-            wanted = rows.sparkSession.createDataFrame(
-                [_parts(p) for p in kept], T.StructType([T.StructField(x, T.LongType()) for x in names]))
+            known = json.dumps([dict(zip(names, _parts(p), strict=True)) for p in kept])
+            kind = ",".join(f"{x}:bigint" for x in names)
+            wanted = rows.sparkSession.range(1).select(F.inline(F.from_json(F.lit(known), f"array<struct<{kind}>>")))
             part = part.join(F.broadcast(wanted), names)  # a row per open splitter at most
         counts: dict[tuple[int, ...], dict[int, int]] = {}
         for r in part.groupBy(*names, "d").agg(F.sum("shard_size").alias("b")).collect():
