@@ -87,5 +87,48 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+# Bytes as pairs of hexadecimal digits: byte p is characters 2p - 1 and 2p.
+OP7 = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT rid, doc_id, h, len(h) // 2 AS n FROM d),
+piece AS (SELECT rid, doc_id, n, j, substr(h, 1000 * j + 1, 1100) AS h  -- of 500 bytes, with the 50 that follow
+          FROM (SELECT rid, doc_id, n, h, unnest(range(0, (n + 499) // 500)) AS j FROM b)),
+x AS (SELECT rid, doc_id, 500 * j + i AS i, md5_number(substr(h, 2 * i - 1, 100)) AS g
+      FROM (SELECT rid, doc_id, j, h, unnest(range(1, least(500, n - 49 - 500 * j) + 1)) AS i FROM piece WHERE n - 49 > 500 * j)),
+f AS (SELECT g, min(doc_id) AS least FROM x GROUP BY g HAVING count(*) > 1),
+w AS (SELECT rid, i FROM x JOIN f USING (g) WHERE f.least < x.doc_id OR (x.doc_id IS NULL AND f.least IS NOT NULL)),
+gone AS (SELECT DISTINCT rid, p FROM (SELECT rid, unnest(range(i, i + 50)) AS p FROM w)),
+s AS (SELECT rid, p, lag(p) OVER (PARTITION BY rid ORDER BY p) AS before FROM gone),
+n AS (SELECT rid, count(*) AS removed, count(*) FILTER (before IS NULL OR before < p - 1) AS spans FROM s GROUP BY rid),
+k AS (SELECT rid, string_agg(c, '' ORDER BY p) AS h
+      FROM (SELECT rid, 500 * j + i AS p, substr(h, 2 * i - 1, 2) AS c
+            FROM (SELECT rid, j, h, unnest(range(1, least(500, n - 500 * j) + 1)) AS i FROM piece SEMI JOIN n USING (rid)))
+           ANTI JOIN gone USING (rid, p)
+      GROUP BY rid)
+SELECT doc_id, b.n::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN n.rid IS NULL THEN b.h ELSE coalesce(k.h, '') END)) AS kept_sha256
+FROM b LEFT JOIN n USING (rid) LEFT JOIN k USING (rid)
+"""
+
+OP10 = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sh AS (SELECT DISTINCT rid, md5_number(array_to_string(list_slice(w, i, i + 3), ' ')) AS g
+       FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT rid, count(*) AS n FROM sh GROUP BY rid),
+shared AS (SELECT a.rid AS u, b.rid AS v, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.rid < b.rid GROUP BY a.rid, b.rid),
+link AS (SELECT u, v FROM shared JOIN n x ON x.rid = u JOIN n y ON y.rid = v WHERE 100 * c >= 80 * (x.n + y.n - c)),
+edge AS (SELECT u, v FROM link UNION ALL SELECT v, u FROM link),
+reach(u, v) AS (SELECT rid, rid FROM d UNION SELECT reach.u, edge.v FROM reach JOIN edge ON reach.v = edge.u),
+c AS (SELECT u AS rid, min(doc_id) AS component_id FROM reach JOIN d ON d.rid = reach.v GROUP BY u)
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept
+FROM d JOIN c USING (rid) LEFT JOIN n USING (rid)
+"""
+
+
 def llm_oracle() -> dict[str, str]:
-    return {"op1_mix": OP1, "op3_decontaminate": OP3, "op8_topk": OP8, "op9_substring_dedup": OP9}
+    return {"op1_mix": OP1, "op3_decontaminate": OP3, "op7_suffix_dedup": OP7, "op8_topk": OP8, "op9_substring_dedup": OP9,
+            "op10_near_dedup": OP10}
