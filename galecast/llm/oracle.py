@@ -129,6 +129,67 @@ FROM d JOIN c USING (rid) LEFT JOIN n USING (rid)
 """
 
 
+def _located(source: str, text: str, pattern: str, columns: str) -> str:
+    """``columns, i, v, s, e``: every match of ``pattern`` in ``text`` with its place, from what lies between matches."""
+    return f"""(
+  SELECT {columns}, i, hits[i] AS v, list_sum(list_transform(gaps[1:i], lambda x: len(x)))
+           + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: len(x))), 0) AS s, s + len(hits[i]) AS e
+  FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i
+        FROM (SELECT *, regexp_extract_all({text}, '{pattern}') AS hits, string_split_regex({text}, '{pattern}') AS gaps
+              FROM {source})))"""
+
+
+_DIGITS = "regexp_replace(v, '[^0-9]', '', 'g')"
+_LUHN = f"""list_sum(list_transform(range(1, len({_DIGITS}) + 1), lambda j:
+    CASE WHEN j % 2 = 1 THEN substr(reverse({_DIGITS}), j, 1)::INTEGER
+         ELSE 2 * substr(reverse({_DIGITS}), j, 1)::INTEGER
+              - CASE WHEN substr(reverse({_DIGITS}), j, 1)::INTEGER > 4 THEN 9 ELSE 0 END END)) % 10 = 0"""
+
+OP6 = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+base AS (
+  SELECT rid, 1 AS o, 'email' AS kind, v, s, e
+  FROM {_located("d", "t", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "rid")}
+  UNION ALL
+  SELECT rid, 2, 'ip', v, s, e FROM {_located("d", "t", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "rid")}
+  WHERE len(list_filter(string_split(v, '.'), lambda x: coalesce(TRY_CAST(x AS INTEGER) > 255, true))) = 0
+  UNION ALL
+  SELECT rid, 3, 'card', v, s, e FROM {_located("d", "t", r"[0-9]([\x20-]?[0-9])+", "rid")}
+  WHERE len({_DIGITS}) BETWEEN 16 AND 19 AND {_LUHN}
+  UNION ALL
+  SELECT rid, 4, 'phone', v, s, e FROM {_located("d", "t", r"\+[0-9][\x20().0-9-]+[0-9]", "rid")}
+  WHERE len({_DIGITS}) BETWEEN 8 AND 15),
+c AS (
+  SELECT rid, kind || ':' || lower(v) AS entity, s, e, len(t) AS n,
+         string_split(substr(t, (greatest(s - 64, 0) + 1)::BIGINT, least(s, 64)::BIGINT), chr(10))[-1] AS before,
+         string_split(substr(t, (e + 1)::BIGINT, 64), chr(10))[1] AS after
+  FROM base JOIN d USING (rid)),
+near AS (
+  SELECT rid, entity, before || chr(0) || after AS context, lower(v) AS term, edge - len(before) + s AS s, edge - len(before) + e AS e
+  FROM {_located("(SELECT rid, entity, before, after, s AS edge FROM c)", "before", r"\p{L}{4,}", "rid, entity, before, after, edge")}
+  WHERE s > 0 OR len(before) < 64
+  UNION ALL
+  SELECT rid, entity, before || chr(0) || after, lower(v), edge + s, edge + e
+  FROM {_located("(SELECT rid, entity, before, after, e AS edge, n FROM c)", "after", r"\p{L}{4,}", "rid, entity, before, after, edge, n")}
+  WHERE e < len(after) OR len(after) < 64 OR edge + len(after) = n),
+words AS (SELECT lower(v) AS term, count(*) AS c FROM (SELECT unnest(regexp_extract_all(t, '\p{{L}}{{4,}}')) AS v FROM d) GROUP BY 1),
+total AS (SELECT sum(c)::DOUBLE AS n FROM words),
+around AS (SELECT entity, count(*) AS m FROM near GROUP BY entity),
+pairs AS (SELECT entity, term, count(*) AS c, count(DISTINCT context) AS contexts FROM near GROUP BY entity, term),
+known AS (SELECT entity, term FROM pairs p JOIN around USING (entity) JOIN words w USING (term), total
+          WHERE contexts >= 2 AND m < n AND log2(p.c * n / (w.c * m)) / log2(n / m) >= 0.9),
+spans AS (SELECT DISTINCT rid, s, e FROM near JOIN known USING (entity, term)),
+terms AS (SELECT rid, string_agg('term:' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, e) AS x FROM spans GROUP BY rid),
+found AS (SELECT rid, count(*) FILTER (o = 1) AS n1, count(*) FILTER (o = 2) AS n2, count(*) FILTER (o = 3) AS n3,
+                 count(*) FILTER (o = 4) AS n4,
+                 string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY o, s) AS x FROM base GROUP BY rid)
+SELECT doc_id, coalesce(n1, 0)::BIGINT AS n_email, coalesce(n2, 0)::BIGINT AS n_ip, coalesce(n3, 0)::BIGINT AS n_card,
+       coalesce(n4, 0)::BIGINT AS n_phone, sha256(coalesce(found.x, '')) AS base_sha256,
+       concat_ws(',', found.x, terms.x) AS spans
+FROM d LEFT JOIN found USING (rid) LEFT JOIN terms USING (rid)
+"""
+
+
 def llm_oracle() -> dict[str, str]:
-    return {"op1_mix": OP1, "op3_decontaminate": OP3, "op7_suffix_dedup": OP7, "op8_topk": OP8, "op9_substring_dedup": OP9,
-            "op10_near_dedup": OP10}
+    return {"op1_mix": OP1, "op3_decontaminate": OP3, "op6_pii": OP6, "op7_suffix_dedup": OP7, "op8_topk": OP8,
+            "op9_substring_dedup": OP9, "op10_near_dedup": OP10}
