@@ -82,7 +82,7 @@ class DriverPipeline:
 
     @property
     def options(self) -> DataFrame:
-        return products.option_lists(self.dash, self.map_table, self.years)
+        return products.option_lists(self.dash, self.years)
 
 
 class CustomerPipeline(DriverPipeline):

@@ -9,9 +9,8 @@ down (and, on a table written partitioned by the filtered column, prunes).
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.nulls import drop_any_null, not_na_text
@@ -157,29 +156,31 @@ def measure_series(dash: DataFrame, state: str, year_range: tuple[int, int],
     return rows.select(*cols, _temp_label().alias("text_label"))
 
 
-def option_lists(dash: DataFrame, map_table: DataFrame | None = None,
-                 years: tuple[int, int] | None = None) -> DataFrame:
+def option_lists(dash: DataFrame, years: tuple[int, int] | None = None) -> DataFrame:
     """Choices offered by the apps, as ``(list_name, value)`` rows.
 
     States and types come from the fact table without missing values; years
-    are the years present; map variables are the recoded labels.  ``years``
-    adds the ends of the slider's range, present in the data or not.
+    are the years present.  Map variables are the labels of those measures
+    that have a value for some place and year; the count of disasters has one
+    where a declaration does, which is what the map's own table holds.
+    ``years`` adds the ends of the slider's range, present in the data or not.
     """
-    # One pass over the fact table for its three lists: every row emits its
-    # tagged values, missing ones are dropped, and one distinct (partial
-    # before the shuffle) dedupes them all.
-    tagged = F.explode(F.array(
-        F.struct(F.lit("state").alias("list_name"),
-                 F.when(not_na_text("state"), F.col("state")).alias("value")),
-        F.struct(F.lit("disaster").alias("list_name"),
-                 F.when(not_na_text("disaster"), F.col("disaster")).alias("value")),
-        F.struct(F.lit("year").alias("list_name"), F.col("year").cast("string").alias("value")),
+    # One pass over the fact table for all lists: every row emits its tagged
+    # values, missing ones are dropped, and one distinct (partial before the
+    # shuffle) dedupes them all.
+    def tagged(name: str, value: Column, where: Column) -> Column:
+        return F.struct(F.lit(name).alias("list_name"), F.when(where, value).alias("value"))
+
+    placed = F.col("state_code").isNotNull() & F.col("year").isNotNull()
+    held = {"mean_temp": "mean_temp", "max_temp": "max_temp", "min_temp": "min_temp", "mtotal_precip": "total_precip",
+            "mn_state": "disaster"}
+    rows = F.explode(F.array(
+        tagged("state", F.col("state"), not_na_text("state")),
+        tagged("disaster", F.col("disaster"), not_na_text("disaster")),
+        tagged("year", F.col("year").cast("string"), F.col("year").isNotNull()),
+        *[tagged("variable_type", F.lit(MAP_LABELS[v]), placed & F.col(c).isNotNull()) for v, c in held.items()],
     )).alias("_o")
-    parts = [dash.select(tagged).select("_o.list_name", "_o.value").where(F.col("value").isNotNull())]
-    if map_table is not None:
-        parts.append(map_table.select(F.lit("variable_type").alias("list_name"),
-                                      F.col("variable_type").alias("value")))
-    out = reduce(DataFrame.unionByName, parts).distinct()
+    out = dash.select(rows).select("_o.list_name", "_o.value").where(F.col("value").isNotNull()).distinct()
     if years is None:
         return out
     # On a table of one row, so that the range needs no Python data.
