@@ -62,7 +62,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def stage_table(df: DataFrame, label: str = "stage") -> DataFrame:
+def stage_table(df: DataFrame, label: str = "stage", small: bool = False) -> DataFrame:
     """Write ``df`` once as Parquet under the checkpoint folder and read it back.
 
     This cuts the lineage like a reliable checkpoint but computes the plan in
@@ -71,17 +71,18 @@ def stage_table(df: DataFrame, label: str = "stage") -> DataFrame:
     storage, so a lost executor costs a re-read of its files, and the read-back
     scan prunes columns and pushes filters like any table.
 
-    The files number ``FILES_PER_CORE`` per core at most, however many shuffle
-    partitions there are: a task then writes the results of several, one after
-    another, which spares small files and takes no more memory.
+    ``small`` says that the last step is cheap and its result a small share of
+    the data: ``FILES_PER_CORE`` files per core at most then hold it, however
+    many shuffle partitions there are.  A task writes the results of several,
+    one after another, which takes no more memory.
 
     Tables go when they are dropped (``drop_staged``), or else with the session.
     """
     spark = df.sparkSession
     root = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{root}/tables/{label}-{uuid.uuid4().hex}"
-    files = max(1, FILES_PER_CORE * spark.sparkContext.defaultParallelism)
-    df.coalesce(files).write.mode("errorifexists").parquet(path)
+    out = df.coalesce(max(1, FILES_PER_CORE * spark.sparkContext.defaultParallelism)) if small else df
+    out.write.mode("errorifexists").parquet(path)
     if not _staged:
         atexit.register(_drop_all)
     _staged[path] = spark
