@@ -20,7 +20,7 @@ def _mark(edges: DataFrame) -> tuple:
 def components(edges: DataFrame) -> DataFrame:
     """``node, label`` for the nodes of ``edges`` (``u``, ``v``: long); the label is the smallest node reachable."""
     edges = stage_table(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-                        .distinct(), "edges")
+                        .distinct(), "edges", small=True)
     mark = _mark(edges)
     while mark[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -30,7 +30,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "u")
         edges = stage_table(small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"),
                                          F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-                            .where("u <> v").distinct(), "edges")
+                            .where("u <> v").distinct(), "edges", small=True)
         before, mark = mark, _mark(edges)
         if mark == before:
             break

@@ -144,7 +144,7 @@ def mix_plan(docs: DataFrame, quality: DataFrame | None = None, weights: Sequenc
     """
     narrow = _with_keys(docs, seed).select("doc_id", "source", "mix_size", "mix_u")
     rows = stage_table(_weigh(narrow, quality), "mix")
-    cuts = stage_table(source_cuts(rows, weights, ratio, epochs), "mix-cuts")
+    cuts = stage_table(source_cuts(rows, weights, ratio, epochs), "mix-cuts", small=True)
     return _apply(rows, cuts).select(
         "doc_id", "source", F.col("mix_size").alias("size"), "source_size", "target",
         F.col("mix_copies").alias("copies"), (F.col("mix_copies") * F.col("mix_size")).alias("taken"))
@@ -155,7 +155,7 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: Sequence[flo
     """The mixed corpus: ``docs``' own columns, each document as often as the mix takes it."""
     keyed = _weigh(_with_keys(docs, seed), quality)
     rows = stage_table(keyed.select("doc_id", "source", "mix_size", "mix_key", "mix_bucket"), "mix")
-    cuts = stage_table(source_cuts(rows, weights, ratio, epochs), "mix-cuts")
+    cuts = stage_table(source_cuts(rows, weights, ratio, epochs), "mix-cuts", small=True)
     return (_apply(keyed, cuts.drop("source_size", "target")).where(F.col("mix_copies") > 0)
             .withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
             .select(*docs.columns))

@@ -221,14 +221,14 @@ def near_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
         F.max_by("node", F.struct("near", "node")).alias("popular"), F.min_by("node", F.struct("near_least", "node")).alias("least"))
     star = places.join(centres, "bucket").select("node", F.explode(F.array("popular", "least")).alias("other")).where("node <> other")
     tested = stage_table(star.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct(),
-                         "near-star")
+                         "near-star", small=True)
     links = _links(tested.join(sketch("u"), "u").join(sketch("v"), "v").where(_similar(percent)).select("u", "v"), sets, percent)
-    labels = stage_table(components(links), "near-labels")
+    labels = stage_table(components(links), "near-labels", small=True)
 
     known = places.select("bucket", "band", "node").join(labels, "node", "left").select(
         "bucket", "band", "node", F.coalesce("label", "node").alias("label"))
     mixed = known.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("bucket")
-    known = stage_table(known.join(mixed, "bucket"), "near-mixed")
+    known = stage_table(known.join(mixed, "bucket"), "near-mixed", small=True)
     main = (known.groupBy("bucket", "label").count().groupBy("bucket")
             .agg(F.max_by("label", F.struct("count", "label")).alias("main")))
     known = known.join(main, "bucket")
@@ -244,12 +244,12 @@ def near_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
                           & ((F.col("u") < F.col("v")) | (F.col("label_v") == F.col("main"))) & _similar(percent) & first)
              .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
              .join(tested, ["u", "v"], "left_anti"))
-    more = _links(stage_table(pairs, "near-rest"), sets, percent)
+    more = _links(stage_table(pairs, "near-rest", small=True), sets, percent)
     if more.take(1):
         labels = components(links.unionByName(more))
 
     member = stage_table(classes.select("node", "near_set", "near_least").join(labels, "node", "left")
-                         .select("near_set", "near_least", F.coalesce("label", "node").alias("label")), "near-members")
+                         .select("near_set", "near_least", F.coalesce("label", "node").alias("label")), "near-members", small=True)
     smallest = member.groupBy("label").agg(F.min("near_least").alias("near_component"))
     member = member.join(smallest, "label").select("near_set", "near_component")
     return rows.select("doc_id", "near_text", "near_n", "near_set").join(member, "near_set", "left").select(

@@ -157,7 +157,7 @@ def find_pii(docs: DataFrame, contexts: int = CONTEXTS, share: float = GENERALIS
     The kind of a term is ``general`` or ``removed``.
     """
     rows = _rows(docs)
-    near = stage_table(_near(rows), "pii-near")
+    near = stage_table(_near(rows), "pii-near", small=True)
     known = disclosing_terms(docs, near, contexts, share)
     found = (near.join(known, ["entity", "term"])
              .groupBy("doc_id", "pii_text", "start", "end").agg(F.max("disclosed").alias("disclosed"))

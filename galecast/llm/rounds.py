@@ -159,7 +159,7 @@ def two_rounds(docs: DataFrame, anchors: Callable, surroundings: Callable, decid
     first = (narrow.where("bytes > 0").groupBy("digest").agg(F.min(known).alias("original"), F.max(known).alias("last"))
              .where("original < last").drop("last"))
     copies = stage_table(narrow.join(first, "digest").where(known > F.col("original"))
-                         .select(grp, "digest", "original").distinct(), "rounds-copies")
+                         .select(grp, "digest", "original").distinct(), "rounds-copies", small=True)
 
     def with_copies(answers: DataFrame) -> DataFrame:
         return answers.unionByName(copies, allowMissingColumns=True)

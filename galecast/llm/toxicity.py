@@ -114,7 +114,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, featur
     share = {r["toxic"]: r["n"] for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     prior = math.log((share.get(1, 0) + 0.5) / (share.get(0, 0) + 1.5))
     chosen = [labels.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for k in (0, 1)]
-    chosen = stage_table(chosen[0].unionByName(chosen[1]), "tox-chosen")
+    chosen = stage_table(chosen[0].unionByName(chosen[1]), "tox-chosen", small=True)
     sample = stage_table(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # 2 * per_label rows
                          .select("toxic", F.coalesce("text", F.lit("")).alias("text")).distinct().repartition(8), "tox-sample")
     held = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
