@@ -8,6 +8,8 @@ from operator import and_
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stage_table
+
 
 def declaration_counts(decl: DataFrame, years: tuple[int, int]) -> DataFrame:
     """Rows per ``(state, year, disaster)``; only groups that occur.
@@ -40,7 +42,8 @@ def with_totals(df: DataFrame, place: str, count: str = "n", bounded: bool = Tru
 
     Where places grow with the data, a year's rows must not meet in one task:
     the totals are partial aggregates joined back, nulls matching nulls, and
-    adaptive execution can split the joins.
+    adaptive execution can split the joins.  The table is staged for that, or
+    each of the four sides would compute it again.
     """
     if bounded:
         by_year = Window.partitionBy("year")
@@ -50,7 +53,7 @@ def with_totals(df: DataFrame, place: str, count: str = "n", bounded: bool = Tru
                .withColumn("n_state", F.sum(count).over(by_place))
                .withColumn("n_type", F.sum(count).over(by_type)))
     else:
-        out = df
+        out = df = stage_table(df, "counts")
         for name, keys in (("n_total", ["year"]), ("n_state", ["year", place]), ("n_type", ["year", "disaster"])):
             total = df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.sum(count).alias(name))
             on = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
