@@ -1,18 +1,26 @@
-"""Licence scans by patience alignment.
+"""Licence scans by patience alignment in bounded regions.
 
 A text and a template are aligned as sequences of words (ASCII letters and
-digits, lower case).  Equal words at both ends of a range are matched, then the
-words that are unique in both the text's and the template's range become
-anchors: the longest run of them that rises in both (patience sorting) is
-matched, and the gaps between them are aligned in the same way.  A range that
-shares words but has none unique to both, as where a notice is printed twice,
-is anchored on the first place of its rarest shared word instead.  The coverage
-is the share of the template's words that are matched, and a licence is found
+digits, lower case), region by region: a region is a stretch of the text with
+at most one and a half times the template's words (and four) that the template
+holds and few others (``OTHERS``, or half the template's length).  A region
+begins at every word that the template holds; for templates of more than
+``STEPS`` words, at every (length / STEPS)-th one, and is longer by as much, so
+that each stretch lies in one.
+
+In a region, equal words at both ends of a range are matched, then the words
+that are unique in both the text's and the template's range become anchors: the
+longest run of them that rises in both (patience sorting) is matched, and the
+gaps between them are aligned in the same way.  Where that leaves words of the
+template over, as where a notice's words repeat or stray before it, the region's
+longest common subsequence is taken instead, so no choice of an anchor loses a
+match.  The best region counts, the first of equal ones.  The coverage is the
+share of the template's words that are matched there, and a licence is found
 where it reaches ``COVERAGE``.
 
 Words that the template does not hold cannot match and only part the ranges, so
-each text is reduced to the template's words first.  A text whose words could
-not reach the coverage even if all of them were matched, counted with
+each text is reduced to the template's words first.  A text or region whose words
+could not reach the coverage even if all of them were matched, counted with
 repetition, is not aligned; that skips no find.
 
 Defined results.  Null, empty or word-less texts have no licence.  Of several
@@ -24,8 +32,9 @@ any number of licences; each template is reported once.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
@@ -35,6 +44,8 @@ from pyspark.sql import DataFrame, types as T
 from .kernels import ALNUM, Words, row_slices, text_bytes
 
 COVERAGE = 0.8
+#: Words in a region that the template does not hold, at least; places in a template's length where regions begin.
+OTHERS, STEPS = 16, 32
 
 #: Short notices and the texts of common licences.
 TEMPLATES = {
@@ -64,8 +75,87 @@ TEMPLATES = {
 }
 
 
-def align(text: Sequence, template: Sequence) -> list[tuple[int, int]]:
-    """Matched ``(place in text, place in template)``, rising in both."""
+def align(text: Sequence, template: Sequence, at: Sequence[int] | None = None, least: int = 1) -> list[tuple[int, int]]:
+    """Matched ``(place in text, place in template)`` of the best region, rising in both; ``least`` or more of them, or none.
+
+    ``at`` holds the places of ``text`` in the text that it was reduced from.
+    """
+    if not len(text) or not len(template):
+        return []
+    begin, end = _regions(np.arange(len(text)) if at is None else np.asarray(at), len(template))
+    reach = _reach(text, template, begin, end)
+    masks, best, region = _masks(template), max(least, 1) - 1, None
+    for r in np.lexsort((begin, -reach)):
+        if reach[r] <= best or region is not None and len(region) == len(template):
+            break
+        part = text[begin[r]:end[r]]
+        pairs = patience(part, template)
+        if len(pairs) < len(template):
+            common = deque(_growth(part, masks, len(template)), 1)[0].bit_count()
+            pairs = _longest(part, template, common) if common > best else []
+        if len(pairs) > best:
+            best, region = len(pairs), [(int(begin[r]) + i, j) for i, j in pairs]
+    return region or []
+
+
+def _regions(at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the regions among words at the places ``at``, for a template of ``size`` words."""
+    step = max(1, size // STEPS)
+    begin = np.arange(0, len(at), step)
+    others = at - np.arange(len(at))  # words before each that the template does not hold
+    far = others[np.minimum(begin + step, len(at)) - 1] + max(OTHERS, size // 2)
+    return begin, np.minimum(begin + size + size // 2 + 3 + step, np.searchsorted(others, far, "right"))
+
+
+def _reach(text: Sequence, template: Sequence, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Words of the template that each region could match in any order."""
+    text, reach = np.asarray(text), np.zeros(len(begin), np.int64)
+    order = np.argsort(text, kind="stable")
+    for w, most in Counter(template).items():
+        places = order[np.searchsorted(text, w, "left", order):np.searchsorted(text, w, "right", order)]
+        if len(places):
+            reach += np.minimum(np.searchsorted(places, end) - np.searchsorted(places, begin), most)
+    return reach
+
+
+def _masks(template: Sequence) -> dict:
+    masks: dict = {}
+    for j, w in enumerate(template):
+        masks[w] = masks.get(w, 0) | 1 << j
+    return masks
+
+
+def _growth(text: Sequence, masks: Mapping, size: int) -> Iterator[int]:
+    """After each word of ``text``, as bits, the template's places at which the longest common subsequence grows."""
+    row, whole = 0, (1 << size) - 1
+    for w in text:
+        x = row | masks.get(w, 0)
+        row = x & (x ^ (x - (row << 1 | 1))) & whole
+        yield row
+
+
+def _longest(text: Sequence, template: Sequence, n: int) -> list[tuple[int, int]]:
+    """A longest common subsequence, of ``n`` words, in the shortest stretch among those that end first."""
+    size, masks = len(template), _masks(template)
+    b = next(i for i, row in enumerate(_growth(text, masks, size), 1) if row.bit_count() == n)
+    back = _growth(text[:b][::-1], _masks(template[::-1]), size)
+    a = b - next(i for i, row in enumerate(back, 1) if row.bit_count() == n)
+    rows = [0, *_growth(text[a:b], masks, size)]
+    upto = lambda i, j: (rows[i] & ((1 << j) - 1)).bit_count()
+    pairs, i, j = [], b - a, size
+    while i and j:
+        if upto(i - 1, j) == upto(i, j):
+            i -= 1
+        elif upto(i, j - 1) == upto(i, j):
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            pairs.append((a + i, j))
+    return pairs[::-1]
+
+
+def patience(text: Sequence, template: Sequence) -> list[tuple[int, int]]:
+    """Matched ``(place in text, place in template)`` by words that are unique in both and their equal neighbours."""
     found: list[tuple[int, int]] = []
     ranges = [(0, len(text), 0, len(template))]
     while ranges:
@@ -79,29 +169,17 @@ def align(text: Sequence, template: Sequence) -> list[tuple[int, int]]:
         if a == b or c == d:
             continue
         in_text, in_template = Counter(text[a:b]), Counter(template[c:d])
-        anchors = _anchors(text, template, (a, b, c, d), in_text, in_template)
-        if not anchors:
+        where = {w: i for i, w in enumerate(text[a:b], a) if in_text[w] == 1}
+        unique = [(where[w], j) for j, w in enumerate(template[c:d], c) if in_template[w] == 1 and w in where]
+        if not unique:
             continue
+        anchors = rising(unique)
         found += anchors
         edges = [(a - 1, c - 1), *anchors, (b, d)]
         ranges += [(x + 1, y, u + 1, v) for (x, u), (y, v) in zip(edges, edges[1:], strict=False) if x + 1 < y and u + 1 < v]
     return sorted(found)
 
 
-def _anchors(text: Sequence, template: Sequence, at: tuple[int, int, int, int], in_text: Counter,
-             in_template: Counter) -> list[tuple[int, int]]:
-    a, b, c, d = at
-    where = {w: i for i, w in enumerate(text[a:b], a) if in_text[w] == 1}
-    unique = [(where[w], j) for j, w in enumerate(template[c:d], c) if in_template[w] == 1 and w in where]
-    if unique:
-        return rising(unique)
-    shared = [(in_text[w] + in_template[w], j, w) for j, w in enumerate(template[c:d], c) if w in in_text]
-    if not shared:
-        return []
-    _, j, w = min(shared)
-    return [(text.index(w, a, b), j)]
-
-
 def rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest run of ``pairs`` (in order of the second) that rises in the first, by patience sorting."""
     tops: list[int] = []
@@ -166,9 +244,9 @@ def _scan(templates: Mapping[str, str], coverage: float):
                     for d in np.flatnonzero(reach >= coverage * len(template)):
                         place = np.arange(first[d], first[d + 1])
                         place = place[counts[k][word[place]] > 0]
-                        pairs = align(word[place].tolist(), template)
+                        own = known[place] - words.first[d]
+                        pairs = align(word[place].tolist(), template, own, math.ceil(coverage * len(template)))
                         if pairs and len(pairs) >= coverage * len(template):
-                            own = known[place] - words.first[d]
                             found[d].append({"license": names[k], "coverage": len(pairs) / len(template), "matched": len(pairs),
                                              "first_word": int(own[pairs[0][0]]), "last_word": int(own[pairs[-1][0]])})
                 for x in found:

@@ -62,3 +62,38 @@ def test_equals_alignment_of_every_pair(spark):
             if g and n and n >= 0.7 * len(g):
                 want[name] = n
         assert {f["license"]: f["matched"] for f in r["lic_found"]} == want
+
+
+def windows(text, template, words):
+    """The best common subsequence in a window of ``words`` words."""
+    return max(lcs(text[i:i + words], template) for i in range(max(1, len(text) - words + 1)))
+
+
+def test_alignment_equals_the_best_window():
+    rng = random.Random(7)
+    for size in (5, 12, 40):
+        for _ in range(25):
+            template = [rng.randrange(size) for _ in range(size)]
+            text = [rng.randrange(size + 2) for _ in range(300)]
+            text[rng.randrange(250):] = [x for x in template if rng.random() < 0.9] + text[:40]
+            width = size + size // 2 + 4
+            pairs = licenses.align(text, template)
+            assert all(text[i] == template[j] for i, j in pairs)
+            assert all(x < u and y < v for (x, y), (u, v) in zip(pairs, pairs[1:]))
+            assert len(pairs) == windows(text, template, width)
+
+
+def test_long_texts_that_repeat_the_words_of_a_template(spark):
+    stray = "mit released under the released under the license "
+    notice = "Released under the MIT License. "
+    far = " filler" * 40 + " "
+    rows = [(1, stray + notice + "the", "en", "a", 1), (2, (stray + far) * 200 + notice + (far + stray) * 200, "en", "a", 1),
+            (3, far.join(["released", "under", "the", "mit", "license"]), "en", "a", 1),
+            (4, far.join(["released", "license", "the", "mit", "under"] * 100), "en", "a", 1)]
+    found = {}
+    for r in licenses.scan_licenses(cases.frame(spark, rows)).collect():
+        found[r["doc_id"]] = {f["license"]: f for f in r["lic_found"]}.get("MIT notice")
+    assert found[3] is None and found[4] is None
+    assert found[1]["coverage"] == found[2]["coverage"] == 1
+    assert (found[1]["first_word"], found[1]["last_word"]) == (8, 12)
+    assert found[2]["first_word"] == 200 * 48
