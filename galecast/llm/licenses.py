@@ -14,9 +14,13 @@ longest run of them that rises in both (patience sorting) is matched, and the
 gaps between them are aligned in the same way.  Where that leaves words of the
 template over, as where a notice's words repeat or stray before it, the region's
 longest common subsequence is taken instead, so no choice of an anchor loses a
-match.  The best region counts, the first of equal ones.  The coverage is the
-share of the template's words that are matched there, and a licence is found
-where it reaches ``COVERAGE``.
+match.  The best region counts, of equal ones the one with the tightest matches.
+The coverage is the share of the template's words that
+are matched there, and a licence is found where it reaches ``COVERAGE``.
+
+The shipped templates (``TEMPLATES`` and ``texts()``) hold words of each other's, as
+those of LGPL and GPL do.  Of two whose matches overlap in the text, only the one
+with more matched words is a find, or, with as many, the one of greater coverage.
 
 Words that the template does not hold cannot match and only part the ranges, so
 each text is reduced to the template's words first.  A text or region whose words
@@ -36,6 +40,7 @@ import math
 from bisect import bisect_left
 from collections import Counter, deque
 from collections.abc import Iterator, Mapping, Sequence
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +52,7 @@ COVERAGE = 0.8
 #: Words in a region that the template does not hold, at least; places in a template's length where regions begin.
 OTHERS, STEPS = 16, 32
 
-#: Short notices and the texts of common licences.
+#: Notices of common licences and excerpts of their texts.  ``texts()`` has the whole texts.
 TEMPLATES = {
     "MIT notice": "Released under the MIT License.",
     "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0.",
@@ -72,9 +77,51 @@ TEMPLATES = {
     "GPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
                         "General Public License as published by the Free Software Foundation, either version 3 of the "
                         "License, or (at your option) any later version.",
+    "GPL-2.0-or-later": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU "
+                        "General Public License as published by the Free Software Foundation; either version 2 of the "
+                        "License, or (at your option) any later version.",
+    "LGPL-2.1-or-later": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU "
+                         "Lesser General Public License as published by the Free Software Foundation; either version 2.1 of "
+                         "the License, or (at your option) any later version.",
+    "LGPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+                         "Lesser General Public License as published by the Free Software Foundation, either version 3 of "
+                         "the License, or (at your option) any later version.",
+    "AGPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+                         "Affero General Public License as published by the Free Software Foundation, either version 3 of "
+                         "the License, or (at your option) any later version.",
+    "AGPL-3.0 title": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "GPL-2.0 notice": "This work is licensed under the GNU General Public License, version 2",
+    "LGPL-3.0 notice": "This work is licensed under the GNU Lesser General Public License, version 3",
+    "LGPL-2.1 notice": "This work is licensed under the GNU Lesser General Public License, version 2.1",
+    "AGPL-3.0 notice": "This work is licensed under the GNU Affero General Public License, version 3",
+    "MPL-2.0 notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL "
+                      "was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "EPL-2.0 notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public "
+                      "License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "BSD notice": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    "BSD named": "Released under the BSD License.",
+    "Apache named": "Released under the Apache License.",
+    "ISC named": "Released under the ISC License.",
+    "MPL named": "Released under the Mozilla Public License.",
+    "GPL named": "Released under the GNU General Public License.",
+    "Unlicense notice": "This is free and unencumbered software released into the public domain.",
+    "CC0-1.0 notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights "
+                      "to this work.",
+    **{f"CC-{kind}-4.0 notice": f"Licensed under CC {kind} 4.0." for kind in ("BY", "BY-SA", "BY-ND", "BY-NC-SA", "BY-NC-ND")},
+    **{f"CC-{kind}-4.0 named": f"This work is licensed under a Creative Commons {name} 4.0 International License."
+       for kind, name in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-ND", "Attribution-NoDerivatives"),
+                          ("BY-NC", "Attribution-NonCommercial"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+                          ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))},
 }
 
 
+def texts() -> dict[str, str]:
+    """The whole texts in ``license_texts``, as ``<name> text``."""
+    files = (resources.files(__package__) / "license_texts").iterdir()
+    return {f"{f.name.removesuffix('.txt')} text": f.read_text("utf-8") for f in sorted(files, key=lambda f: f.name)
+            if f.name.endswith(".txt")}
+
+
 def align(text: Sequence, template: Sequence, at: Sequence[int] | None = None, least: int = 1) -> list[tuple[int, int]]:
     """Matched ``(place in text, place in template)`` of the best region, rising in both; ``least`` or more of them, or none.
 
@@ -82,20 +129,25 @@ def align(text: Sequence, template: Sequence, at: Sequence[int] | None = None, l
     """
     if not len(text) or not len(template):
         return []
-    begin, end = _regions(np.arange(len(text)) if at is None else np.asarray(at), len(template))
+    at = np.arange(len(text)) if at is None else np.asarray(at)
+    begin, end = _regions(at, len(template))
     reach = _reach(text, template, begin, end)
-    masks, best, region = _masks(template), max(least, 1) - 1, None
+    masks, least, best, spread, region = _masks(template), max(least, 1), 0, 0, []
     for r in np.lexsort((begin, -reach)):
-        if reach[r] <= best or region is not None and len(region) == len(template):
+        if reach[r] < max(best, least) or reach[r] == best == spread:
             break
         part = text[begin[r]:end[r]]
         pairs = patience(part, template)
         if len(pairs) < len(template):
             common = deque(_growth(part, masks, len(template)), 1)[0].bit_count()
-            pairs = _longest(part, template, common) if common > best else []
-        if len(pairs) > best:
-            best, region = len(pairs), [(int(begin[r]) + i, j) for i, j in pairs]
-    return region or []
+            pairs = _longest(part, template, common) if common >= max(best, least) else []
+        if not pairs or len(pairs) < max(best, least):
+            continue
+        pairs = [(int(begin[r]) + i, j) for i, j in pairs]
+        wide = int(at[pairs[-1][0]] - at[pairs[0][0]]) + 1
+        if (-len(pairs), wide, pairs[0]) < (-best, spread, region[0] if region else ()):
+            best, spread, region = len(pairs), wide, pairs
+    return region
 
 
 def _regions(at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -214,43 +266,65 @@ _FOUND = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()
                              ("first_word", pa.int64()), ("last_word", pa.int64())]))
 
 
-def _scan(templates: Mapping[str, str], coverage: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = list(templates)
-        texts = [_words(templates[n]) for n in names]
-        vocabulary = sorted({w for t in texts for w in t})
+class _Compiled:
+    """Templates as numbers of their words."""
+
+    def __init__(self, templates: Mapping[str, str]):
+        self.names = list(templates)
+        words = [_words(templates[n]) for n in self.names]
+        vocabulary = sorted({w for t in words for w in t})
         number = {w: i for i, w in enumerate(vocabulary)}
-        templates_by_number = [[number[w] for w in t] for t in texts]
-        counts = np.zeros((len(names), len(vocabulary)), np.int64)
-        for t, row in zip(templates_by_number, counts, strict=True):
-            np.add.at(row, t, 1)
+        self.templates = [[number[w] for w in t] for t in words]
+        self.counts = [np.bincount(np.array(t, np.int64), minlength=len(vocabulary)) for t in self.templates]
         hashes = _hashes(vocabulary)
-        order = np.argsort(hashes)
+        self.order = np.argsort(hashes)
+        self.hashes = hashes[self.order]
+
+
+def _apart(found: list[dict]) -> list[dict]:
+    """Of finds that overlap in the text, those with the most matched words."""
+    kept: list[dict] = []
+    for f in sorted(found, key=lambda f: (-f["matched"], -f["coverage"], f["license"])):
+        if all(f["last_word"] < k["first_word"] or k["last_word"] < f["first_word"] for k in kept):
+            kept.append(f)
+    return kept
+
+
+def _scan(known, coverage: float, apart: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = known.value
+        length = {n: len(x) for n, x in zip(t.names, t.templates, strict=True)}
+        size = len(t.hashes)
         for batch in batches:
             column = batch.schema.get_field_index("text")
             for lo, n in row_slices(batch.column(column)):
                 part = batch.slice(lo, n)
                 words = Words(*text_bytes(part.column(column)), ALNUM, lower=True)
-                at = np.searchsorted(hashes[order], words.hashes()).clip(max=len(hashes) - 1)
-                known = np.flatnonzero(hashes[order][at] == words.hashes())
-                word, of = order[at[known]], words.of_text()[known]
-                held = np.bincount(of * len(vocabulary) + word, minlength=n * len(vocabulary)).reshape(n, -1)
+                hashes = words.hashes()
+                at = np.searchsorted(t.hashes, hashes).clip(max=max(size - 1, 0))
+                own = np.flatnonzero(t.hashes[at] == hashes) if size else np.zeros(0, np.int64)
+                word, of = t.order[at[own]] if size else own, words.of_text()[own]
+                held, times = np.unique(of * size + word, return_counts=True)
+                held_by, held_word = (held // size, held % size) if size else (held, held)
                 found: list[list[dict]] = [[] for _ in range(n)]
                 first = np.searchsorted(of, np.arange(n + 1))
-                for k, template in enumerate(templates_by_number):
+                for k, template in enumerate(t.templates):
                     if not template:
                         continue
-                    reach = np.minimum(held, counts[k]).sum(axis=1)
-                    for d in np.flatnonzero(reach >= coverage * len(template)):
+                    least = math.ceil(coverage * len(template))
+                    reach = np.bincount(held_by, np.minimum(times, t.counts[k][held_word]), minlength=n)
+                    for d in np.flatnonzero(reach >= max(least, 1)):
                         place = np.arange(first[d], first[d + 1])
-                        place = place[counts[k][word[place]] > 0]
-                        own = known[place] - words.first[d]
-                        pairs = align(word[place].tolist(), template, own, math.ceil(coverage * len(template)))
-                        if pairs and len(pairs) >= coverage * len(template):
-                            found[d].append({"license": names[k], "coverage": len(pairs) / len(template), "matched": len(pairs),
-                                             "first_word": int(own[pairs[0][0]]), "last_word": int(own[pairs[-1][0]])})
+                        place = place[t.counts[k][word[place]] > 0]
+                        at = own[place] - words.first[d]
+                        pairs = align(word[place].tolist(), template, at, least)
+                        if pairs:
+                            found[d].append({"license": t.names[k], "coverage": len(pairs) / len(template), "matched": len(pairs),
+                                             "first_word": int(at[pairs[0][0]]), "last_word": int(at[pairs[-1][0]])})
+                if apart:
+                    found = [_apart(x) for x in found]
                 for x in found:
-                    x.sort(key=lambda f: (-f["coverage"], -len(templates_by_number[names.index(f["license"])]), f["license"]))
+                    x.sort(key=lambda f: (-f["coverage"], -length[f["license"]], f["license"]))
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(words.counts(), pa.int64()), pa.array(found, _FOUND)],
                     [*part.schema.names, "lic_words", "lic_found"])
@@ -258,6 +332,10 @@ def _scan(templates: Mapping[str, str], coverage: float):
 
 
 def scan_licenses(docs: DataFrame, templates: Mapping[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
-    """``docs`` plus ``lic_words`` (words) and ``lic_found`` (the licences found, best first)."""
+    """``docs`` plus ``lic_words`` (words) and ``lic_found`` (the licences found, best first).
+
+    Own ``templates`` are judged each for itself, also where their matches overlap.
+    """
     schema = T.StructType([*docs.schema.fields, T.StructField("lic_words", T.LongType()), T.StructField("lic_found", FOUND)])
-    return docs.mapInArrow(_scan(dict(TEMPLATES if templates is None else templates), coverage), schema)
+    known = docs.sparkSession.sparkContext.broadcast(_Compiled({**TEMPLATES, **texts()} if templates is None else templates))
+    return docs.mapInArrow(_scan(known, coverage, templates is None), schema)

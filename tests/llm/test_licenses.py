@@ -97,3 +97,13 @@ def test_long_texts_that_repeat_the_words_of_a_template(spark):
     assert found[1]["coverage"] == found[2]["coverage"] == 1
     assert (found[1]["first_word"], found[1]["last_word"]) == (8, 12)
     assert found[2]["first_word"] == 200 * 48
+
+
+def test_common_licences_by_text_and_notice(spark):
+    pad = "some words of a document "
+    wanted = {**licenses.TEMPLATES, **licenses.texts()}
+    rows = [(i, pad * 3 + t + " " + pad * 3, "en", "a", 1) for i, t in enumerate(wanted.values())]
+    rows.append((1000, f"{pad} Licensed under CC BY-NC 4.0. {pad * 9} Licensed under CC BY 4.0.", "en", "a", 1))
+    found = {r["doc_id"]: [f["license"] for f in r["lic_found"]] for r in licenses.scan_licenses(cases.frame(spark, rows)).collect()}
+    assert {n: found[i] for i, n in enumerate(wanted)} == {n: [n] for n in wanted}
+    assert sorted(found[1000]) == ["CC-BY-4.0 notice", "CC-BY-NC-4.0 notice"]
