@@ -4,7 +4,7 @@ Identifiers (email, ip, card, phone) are the leftmost non-overlapping matches
 of one pattern each, with a check on the match.  They are the protected
 entities.  What else gives an entity away is read from the corpus: a term is a
 word of four letters or more, and it co-occurs with an entity where it stands
-within ``REACH`` characters of it on the same line.  With c(t) the occurrences of
+within ``REACH`` characters of it, on whatever line.  With c(t) the occurrences of
 a term in all documents, N those of all terms, c(t, e) those near e and m(e)
 those of all terms near e,
 
@@ -13,12 +13,16 @@ those of all terms near e,
 and PMI / IC is the share of the entity's information content that the term
 discloses: 1 if it occurs near e only.  Terms that disclose ``GENERALISE`` or
 more, seen in ``CONTEXTS`` different contexts of the entity at least (copies of
-a passage are one context), get a span next to that entity, and from ``REMOVE``
-on they are removed rather than replaced by a general word.
+a passage are one context), get a span wherever they occur, outside identifiers, in
+the documents that hold the entity, and from ``REMOVE`` on they are removed rather
+than replaced by a general word.
 
 Everything is DataFrame functions.  Counts are partial aggregates over all
 documents; terms near one frequent entity are pre-aggregated, and the joins
-that bring counts back may be split.  Text is never shuffled.
+that bring counts back may be split.  The terms of a document are joined by term
+(a term discloses few entities, as it must occur mostly near them), then by
+document and entity.  Text is shuffled only if the list of documents with
+disclosing terms is too large to be broadcast.
 
 Positions are code points, the end exclusive.  A match is placed by the lengths
 of what ``split`` leaves between matches.  The patterns are written so that no
@@ -99,7 +103,7 @@ def _base(text: Column, kind: str) -> Column:
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """Per document the base spans, and for each the rest of its line within reach; staged without the text."""
+    """Per document the base spans, for each the text within reach, and the terms where there is one; staged without the text."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("pii_text"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select("doc_id", "pii_text", "text", *[_base(F.col("text"), k).alias(k) for k in KINDS])
 
@@ -111,9 +115,8 @@ def _rows(docs: DataFrame) -> DataFrame:
     text = F.col("text")
 
     def context(s: Column) -> Column:
-        before = F.substring_index(F.substring(text, F.greatest(s["start"] - REACH, F.lit(0)) + 1,
-                                               F.least(s["start"], F.lit(REACH))), "\n", -1)
-        after = F.substring_index(F.substring(text, s["end"] + 1, F.lit(REACH)), "\n", 1)
+        before = F.substring(text, F.greatest(s["start"] - REACH, F.lit(0)) + 1, F.least(s["start"], F.lit(REACH)))
+        after = F.substring(text, s["end"] + 1, F.lit(REACH))
         return F.struct(F.concat_ws(":", s["kind"], F.lower(s["value"])).alias("entity"), before.alias("before"),
                         (s["start"] - F.length(before)).alias("before_at"), after.alias("after"), s["end"].alias("after_at"),
                         F.length(text).alias("length"))
@@ -121,7 +124,9 @@ def _rows(docs: DataFrame) -> DataFrame:
     return stage_table(rows.withColumn("spans", spans).select(
         "doc_id", "pii_text", F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"),
                                                                        s["end"].alias("end"))).alias("spans"),
-        F.transform("spans", context).alias("contexts")), "pii-rows")
+        F.transform("spans", context).alias("contexts"),
+        F.when(F.size("spans") > 0, F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower)))
+        .alias("words")), "pii-rows")
 
 
 def _near(rows: DataFrame) -> DataFrame:
@@ -151,6 +156,36 @@ def disclosing_terms(docs: DataFrame, near: DataFrame, contexts: int = CONTEXTS,
             .where((F.col("m") < n) & (F.col("disclosed") >= share)).select("entity", "term", "disclosed"))
 
 
+def _everywhere(docs: DataFrame, rows: DataFrame, known: DataFrame) -> DataFrame:
+    """``doc_id, pii_text, start, end, disclosed`` of each disclosing term in all of the documents that hold its entity."""
+    held = rows.select("doc_id", "pii_text", F.explode(F.array_distinct(F.transform("contexts", lambda c: c["entity"]))).alias("entity"))
+    held = held.join(known.select("entity").distinct(), "entity").select(
+        F.col("doc_id").alias("own"), F.col("pii_text").alias("own_text"), F.col("entity").alias("own_entity"))
+    terms = rows.select("doc_id", "pii_text", F.explode("words").alias("term")).join(known, "term")
+    same = (F.col("pii_text") == F.col("own_text")) & F.col("doc_id").eqNullSafe(F.col("own"))
+    marks = (terms.join(held, same & (F.col("entity") == F.col("own_entity")), "left_semi")
+             .groupBy("doc_id", "pii_text", "term").agg(F.max("disclosed").alias("disclosed"))
+             .groupBy(F.col("doc_id").alias("own"), F.col("pii_text").alias("own_text"))
+             .agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosed"))).alias("marks")))
+    marks = stage_table(marks, "pii-marks", small=True)
+    texts = docs.select("doc_id", F.xxhash64("text").alias("pii_text"), "text").join(marks, same)
+    parts = F.zip_with(F.split("text", TERM, -1), F.regexp_extract_all("text", F.lit(TERM), F.lit(0)),
+                       lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("hit")))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,disclosed:double>>").alias("out"))
+
+    def add(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["gap"]
+        end, disclosed = start + F.length(x["hit"]), F.element_at("marks", F.lower(x["hit"]))
+        span = F.struct(start.alias("start"), end.alias("end"), disclosed.alias("disclosed"))
+        return F.struct(end.alias("at"), F.when(disclosed.isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(span))).alias("out"))
+
+    spots = F.aggregate(F.filter(parts, lambda x: x["hit"].isNotNull()), none, add, lambda acc: acc["out"])
+    spots = texts.select("doc_id", "pii_text", F.explode(spots).alias("s")).select("doc_id", "pii_text", "s.*")
+    base = rows.select(F.col("doc_id").alias("own"), F.col("pii_text").alias("own_text"), F.explode("spans").alias("b"))
+    inside = same & (F.col("start") < F.col("b.end")) & (F.col("b.start") < F.col("end"))
+    return spots.join(base, inside, "left_anti")
+
+
 def find_pii(docs: DataFrame, contexts: int = CONTEXTS, share: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """Per document ``doc_id, pii_text`` (a hash of the text), ``base`` and ``terms``: arrays of ``kind, start, end``.
 
@@ -158,9 +193,10 @@ def find_pii(docs: DataFrame, contexts: int = CONTEXTS, share: float = GENERALIS
     """
     rows = _rows(docs)
     near = stage_table(_near(rows), "pii-near", small=True)
-    known = disclosing_terms(docs, near, contexts, share)
-    found = (near.join(known, ["entity", "term"])
-             .groupBy("doc_id", "pii_text", "start", "end").agg(F.max("disclosed").alias("disclosed"))
+    known = stage_table(disclosing_terms(docs, near, contexts, share), "pii-known", small=True)
+    beside = near.join(known, ["entity", "term"]).select("doc_id", "pii_text", "start", "end", "disclosed")
+    spots = beside.unionByName(_everywhere(docs, rows, known))
+    found = (spots.groupBy("doc_id", "pii_text", "start", "end").agg(F.max("disclosed").alias("disclosed"))
              .groupBy(F.col("doc_id").alias("own"), F.col("pii_text").alias("own_text"))
              .agg(F.array_sort(F.collect_list(F.struct(
                  "start", "end", F.when(F.col("disclosed") >= remove, "removed").otherwise("general").alias("kind")))).alias("terms")))

@@ -63,3 +63,19 @@ def test_sanitise_overlaps_nulls_and_empty(spark):
     got = [r["text"] for r in pii.sanitise(cases.frame(spark, rows)).orderBy("doc_id").collect()]
     assert len(got) == 4 and got[:2] == [None, ""] and got[2] == got[3] and "1.2.3.4" not in got[2]
     assert pii.find_pii(cases.frame(spark, [])).collect() == [] and pii.sanitise(cases.frame(spark, [])).collect() == []
+
+
+def test_disclosing_terms_go_wherever_their_entity_is_held(spark):
+    far = "common filler words without any meaning " * 5
+    tail = f"\n{far}\nQUAXOLOTL was here, quaxolotl@y.org too"
+    rows = [(i, f"ask Quaxolotl in room {i} at q@x.org now" + (tail if i < 2 else ""), "en", "a", 1) for i in range(30)]
+    rows += [(50 + i, f"number {i}: Brimbleton\nb@x.org is the way", "en", "a", 1) for i in range(6)]
+    rows += [(99, f"q@x.org\n{far} Quaxolotl", "en", "a", 1), (100, "Quaxolotl and Brimbleton", "en", "a", 1), rows[0], (None, rows[1][1], "en", "a", 1)]
+    rows += [(200 + i, f"{far} number here meaning", "en", "a", 1) for i in range(300)]
+    docs = cases.frame(spark, rows, clashing=True)
+    clean = sorted((r["doc_id"] or 0, r["text"]) for r in pii.sanitise(docs).collect())
+    assert len(clean) == len(rows)
+    text = dict(clean)
+    assert all("quaxolotl" not in text[i].lower() for i in (0, 1, 5, 99)) and text[0].endswith(" was here, [EMAIL] too")
+    assert all("Brimbleton" not in text[50 + i] for i in range(6))
+    assert text[100] == "Quaxolotl and Brimbleton" and text[200] == rows[-1][1]
