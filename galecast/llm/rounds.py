@@ -79,9 +79,9 @@ def column_bytes(table: pa.Table, name: str) -> list[bytes]:
     return table.column(name).to_pylist()
 
 
-def shared_anchors(group: pa.Table) -> np.ndarray:
+def shared_anchors(group: pa.Table, name: str = "keys") -> np.ndarray:
     """All anchors a group was answered with, in order."""
-    parts = [np.frombuffer(x, np.uint64) for x in column_bytes(group, "keys") if x is not None]
+    parts = [np.frombuffer(x, np.uint64) for x in column_bytes(group, name) if x is not None]
     return np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
@@ -106,17 +106,35 @@ def is_copy(group: pa.Table, answers: pa.Table) -> np.ndarray:
     return np.array([known.get(d, NO_ID) < k for d, k in zip(group.column("digest").to_pylist(), group_ids(group), strict=True)], bool)
 
 
-SENT = "bucket long, grp long, keys binary, low binary, high binary"
-ANSWER = "grp long, keys binary"
+SENT = "bucket long, grp long, keys binary, low binary, high binary, several binary"
+ANSWER = "grp long, keys binary, hot binary"
 
 
-def send_entries(grp: int, keys: np.ndarray, low: np.ndarray, high: np.ndarray, buckets: int) -> pa.Table:
-    rows = [(b, grp, keys[i:j].tobytes(), pack(low[i:j]), greatest(low[i:j], high[i:j])) for b, i, j in by_bucket(keys, buckets)]
-    names = ["bucket", "grp", "keys", "low", "high"]
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+def send_entries(grp: int, keys: np.ndarray, low: np.ndarray, high: np.ndarray, buckets: int,
+                 pieces: np.ndarray | None = None) -> pa.Table:
+    """``pieces``: what the group will send for each key in round two, where that can be more than one."""
+    pieces = np.ones(len(keys), np.int64) if pieces is None else pieces
+    rows = [(b, grp, keys[i:j].tobytes(), pack(low[i:j]), greatest(low[i:j], high[i:j]), _several(pieces[i:j]))
+            for b, i, j in by_bucket(keys, buckets)]
+    names = ["bucket", "grp", "keys", "low", "high", "several"]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
     return pa.table({x: pa.array([r[k] for r in rows], kinds[k]) for k, x in enumerate(names)})
 
 
+def _several(pieces: np.ndarray) -> bytes:
+    """Where and how many, where there are more than one."""
+    at = np.flatnonzero(pieces > 1)
+    return at.astype(np.uint32).tobytes() + pieces[at].astype(np.uint32).tobytes()
+
+
+def _pieces(several: list[bytes], n: np.ndarray) -> np.ndarray:
+    out = np.ones(int(n.sum()), np.int64)
+    for data, lo in zip(several, np.cumsum(n) - n, strict=True):
+        at, more = np.frombuffer(data, np.uint32).reshape(2, -1)
+        out[lo + at] = more
+    return out
+
+
 def read_entries(bucket: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``keys, low, high`` of all groups on end, the row of each, and each row's group."""
     blobs = column_bytes(bucket, "keys")
@@ -128,13 +146,20 @@ def read_entries(bucket: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return keys, low, high, np.repeat(np.arange(len(n)), n), bucket.column("grp").to_numpy()
 
 
-def answer_shared(bucket: pa.Table) -> pa.Table:
-    """To each group, its keys that documents with different ids have."""
+def answer_shared(bucket: pa.Table, most: int | None = None) -> pa.Table:
+    """To each group, its keys that documents with different ids have; hot are those with over ``most`` pieces in all groups."""
     keys, low, high, row, grp = read_entries(bucket)
     own, least, greatest = least_and_greatest(keys, low, high)
     shared, _ = find(keys, own[least < greatest])
-    out = [(int(grp[r]), keys[i:j][shared[i:j]].tobytes()) for r, i, j in row_runs(row) if shared[i:j].any()]
-    return pa.table({"grp": pa.array([x for x, _ in out], pa.int64()), "keys": pa.array([x for _, x in out], pa.binary())})
+    hot = np.zeros(len(keys), bool)
+    if most is not None:
+        place = np.searchsorted(own, keys)
+        total = np.bincount(place, _pieces(column_bytes(bucket, "several"), np.bincount(row, minlength=len(grp))), minlength=len(own))
+        hot = shared & (total[place] > most)
+    out = [(int(grp[r]), keys[i:j][shared[i:j]].tobytes(), keys[i:j][hot[i:j]].tobytes()) for r, i, j in row_runs(row)
+           if shared[i:j].any()]
+    return pa.table({"grp": pa.array([x[0] for x in out], pa.int64()), "keys": pa.array([x[1] for x in out], pa.binary()),
+                     "hot": pa.array([x[2] for x in out], pa.binary())})
 
 
 def row_runs(row: np.ndarray) -> list[tuple[int, int, int]]:
@@ -144,9 +169,9 @@ def row_runs(row: np.ndarray) -> list[tuple[int, int, int]]:
 
 
 def two_rounds(docs: DataFrame, anchors: Callable, surroundings: Callable, decide: Callable, finish: Callable,
-               sent: str, answer: str, result: str, group_bytes: int = GROUP_BYTES) -> DataFrame:
+               sent: str, answer: str, result: str, group_bytes: int = GROUP_BYTES, most: int | None = None) -> DataFrame:
     """``anchors(group, copies, buckets)``, ``surroundings(group, shared, buckets)``, ``decide(bucket)`` and
-    ``finish(group, answers)`` get and return Arrow tables."""
+    ``finish(group, answers)`` get and return Arrow tables.  Anchors with over ``most`` pieces are told as hot."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text", F.md5("text").alias("digest"), F.xxhash64("doc_id", "text").alias("spread"))
     narrow = stage_table(rows.select("doc_id", "digest", "spread", F.octet_length("text").alias("bytes")), "rounds")
@@ -167,7 +192,7 @@ def two_rounds(docs: DataFrame, anchors: Callable, surroundings: Callable, decid
     groups = rows.select("doc_id", "text", "digest", grp)
     cogrouped = lambda other, f, schema: groups.groupBy("grp").cogroup(other.groupBy("grp")).applyInArrow(f, schema)
     entries = cogrouped(copies, lambda t, s: anchors(t, s, buckets), SENT)
-    shared = entries.groupBy("bucket").applyInArrow(answer_shared, ANSWER)
+    shared = entries.groupBy("bucket").applyInArrow(lambda t: answer_shared(t, most), ANSWER)
     around = cogrouped(with_copies(shared), lambda t, s: surroundings(t, s, buckets), sent)
     found = around.groupBy("bucket").applyInArrow(decide, answer)
     return cogrouped(with_copies(found), finish, result)

@@ -8,7 +8,11 @@ hash of the ``GRAM``-byte strings in it, so equal windows belong to the same
 one wherever they are.  Consecutive windows with one least hash form a segment
 of the text.  Round one of the exchange (see ``rounds``) finds the hashes that
 documents with different ids share, round two brings the segments that belong
-to them together, each distinct segment of a group of documents once.
+to them together, each distinct segment of a group of documents once.  A hash
+with more than ``HOT`` distinct segments over all groups, as at the borders of a
+phrase that millions of documents have in differing surroundings, sends single
+windows instead, each to the bucket of its own hash: equal windows still meet, and
+no bucket or transform gets all that surrounds the phrase.
 
 What repeats is then decided on the segments alone.  Their suffixes are sorted
 and the intervals of suffixes with a common prefix are expanded breadth first:
@@ -33,15 +37,17 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 
 from .kernels import byte_run_hash, byte_run_sums, covered, gram_hashes, ragged, row_slices, runs, sums_by, text_bytes
-from .rounds import GROUP_BYTES, by_bucket, column_bytes, find, greatest, group_ids, is_copy, least_and_greatest, pack, \
+from .rounds import BUCKET_BYTES, GROUP_BYTES, by_bucket, column_bytes, find, greatest, group_ids, is_copy, least_and_greatest, pack, \
     row_runs, send_entries, shared_anchors, two_rounds, unpack, with_greatest
 
 LENGTH = 50
 GRAM = 24
 #: Windows in a segment at most, and bytes of segments in one transform (unless one hash alone has more).
 SEGMENT, TRANSFORM_BYTES = 32, 1 << 19
+#: Segments of one hash that meet in one bucket, at most: as many bytes as a bucket should have.
+HOT = BUCKET_BYTES // (SEGMENT + LENGTH - 1)
 SENT = "bucket long, grp long, anchors binary, keys binary, low binary, high binary, sizes binary, data binary"
-ANSWER = "grp long, keys binary, counts binary, least binary"
+ANSWER = "grp long, keys binary, counts binary, least binary, alone binary"
 
 
 class Segments:
@@ -71,6 +77,10 @@ class Segments:
     def keys(self) -> np.ndarray:
         return byte_run_hash(self.sums, self.first, self.count + LENGTH - 1)
 
+    def windows(self, at: np.ndarray) -> np.ndarray:
+        """Hashes of the windows at the given places; that of a segment of one window is its key."""
+        return byte_run_hash(self.sums, at, LENGTH)
+
 
 def _slices(group: pa.Table, copies: np.ndarray):
     """``bytes, offsets, ids, copies`` of bounded slices of a group."""
@@ -88,28 +98,40 @@ def _originals(group: pa.Table, answers: pa.Table):
 
 
 def _anchors(group: pa.Table, copies: pa.Table, buckets: int) -> pa.Table:
-    keys, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    keys, contents, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for buf, offsets, own in _originals(group, copies):
         found = Segments(buf, offsets)
         keys.append(found.anchor)
+        contents.append(found.keys())
         ids.append(own[found.text])
-    keys, ids = np.concatenate(keys), np.concatenate(ids)
-    return send_entries(group.column("grp")[0].as_py() if len(group) else -1, *least_and_greatest(keys, ids, ids), buckets)
+    keys, contents, ids = np.concatenate(keys), np.concatenate(contents), np.concatenate(ids)
+    own, low, high = least_and_greatest(keys, ids, ids)
+    first = np.unique(contents, return_index=True)[1]
+    pieces = np.bincount(np.searchsorted(own, keys[first]), minlength=len(own))
+    return send_entries(group.column("grp")[0].as_py() if len(group) else -1, own, low, high, buckets, pieces)
 
 
 def _segments(group: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
-    """Each distinct segment at a shared hash once, with its bytes."""
-    shared, rows = shared_anchors(answers), []
+    """Each distinct segment at a shared hash once, with its bytes; at a hot one each distinct window, under its own hash."""
+    shared, hot, rows = shared_anchors(answers), shared_anchors(answers, "hot"), []
     known: dict[str, list[np.ndarray]] = {x: [] for x in ("anchor", "key", "id", "size", "data")}
     for buf, offsets, ids in _originals(group, answers) if len(shared) else ():
         found = Segments(buf, offsets)
-        on = np.flatnonzero(find(found.anchor, shared)[0])
-        keys = found.keys()[on]
-        size = found.count[on] + LENGTH - 1
-        place, _ = ragged(found.first[on], size)
-        for name, x in (("anchor", found.anchor[on]), ("key", keys), ("id", ids[found.text[on]]), ("size", size),
-                        ("data", buf[place])):
-            known[name].append(x)
+        alone = find(found.anchor, hot)[0]
+        on = np.flatnonzero(find(found.anchor, shared)[0] & ~alone)
+        window, of = ragged(found.first[alone], found.count[alone])
+        windows = found.windows(window)
+        for anchor, key, text, first, size in (
+                (found.anchor[on], found.keys()[on], found.text[on], found.first[on], found.count[on] + LENGTH - 1),
+                (windows, windows, found.text[alone][of], window, np.full(len(window), LENGTH))):
+            own = ids[text]
+            order = np.lexsort((own, key))  # the least and the greatest id of equal content stay
+            starts = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])) if len(key) else order
+            kept = np.unique(np.concatenate([order[starts], order[np.append(starts[1:], len(key)) - 1]])) if len(key) else order
+            place, _ = ragged(first[kept], size[kept])
+            for name, x in (("anchor", anchor[kept]), ("key", key[kept]), ("id", own[kept]), ("size", size[kept]),
+                            ("data", buf[place])):
+                known[name].append(x)
     if known["key"]:
         anchor, key, ids, size, data = (np.concatenate(known[x]) for x in ("anchor", "key", "id", "size", "data"))
         starts = np.cumsum(size) - size
@@ -234,7 +256,8 @@ def _decide(bucket: pa.Table) -> pa.Table:
         on = np.flatnonzero(lowest[entry[i:j]] < high[i:j]) + i
         if len(on):
             value, _ = ragged(offset[entry[on]], count[entry[on]])
-            out.append((int(grp[r]), key[on].tobytes(), count[entry[on]].astype(np.uint8).tobytes(), pack(least[value])))
+            out.append((int(grp[r]), key[on].tobytes(), count[entry[on]].astype(np.uint8).tobytes(), pack(least[value]),
+                        key[on][anchor[on] == key[on]].tobytes()))
     return _arrow(out, ANSWER)
 
 
@@ -249,6 +272,7 @@ def _finish(group: pa.Table, answers: pa.Table) -> pa.Table:
     offset = np.cumsum(count) - count
     order = np.argsort(keys)
     keys, offset = keys[order], offset[order]
+    alone = shared_anchors(answers, "alone")
     n_bytes, n_removed, n_spans, kept = [], [], [], []
     for buf, offsets, ids, copy in _slices(group, copies):
         size = np.diff(offsets)
@@ -261,6 +285,13 @@ def _finish(group: pa.Table, answers: pa.Table) -> pa.Table:
             start, _ = ragged(found.first[known], found.count[known])
             start = start[least[value] < ids[found.text[known]][own]]
             gone |= covered(len(buf), start, start + LENGTH)
+            if len(alone):
+                start, own = ragged(found.first[~known], found.count[~known])
+                windows = found.windows(start)
+                on = find(windows, alone)[0]
+                value = offset[np.searchsorted(keys, windows[on])]
+                start = start[on][least[value] < ids[found.text[~known][own[on]]]]
+                gone |= covered(len(buf), start, start + LENGTH)
         begins, _ = runs(gone, offsets)
         n_bytes.append(np.diff(offsets))
         n_removed.append(sums_by(offsets, gone))
@@ -274,8 +305,8 @@ def _finish(group: pa.Table, answers: pa.Table) -> pa.Table:
                      "n_spans": flat(n_spans), "kept": pa.chunked_array(kept, pa.binary())})
 
 
-def remove_repeated_bytes(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, group_bytes: int = GROUP_BYTES, hot: int = HOT) -> DataFrame:
     """Per document: ``doc_id, n_bytes, n_removed, n_spans`` (maximal removed runs) and ``kept`` (binary)."""
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
     return two_rounds(docs, _anchors, _segments, _decide, _finish, SENT, ANSWER,
-                      "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", group_bytes)
+                      "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", group_bytes, hot)

@@ -3,9 +3,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from galecast.llm import substrings, suffixes
+from galecast.llm import rounds, substrings, suffixes
 from . import cases
 
 
@@ -90,3 +91,30 @@ def test_intervals_are_the_classes_of_equal_prefixes():
             heads = [head(p) for p in order]
             assert [True] + [a != b for a, b in zip(heads, heads[1:])] == begins.tolist()
             assert len(set(heads)) == begins.sum()
+
+
+@pytest.mark.parametrize("hot", [0, 3, 40])
+def test_windows_around_a_hot_phrase_meet(spark, hot):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(30))
+    before, after = [word() for _ in range(40)], [word() for _ in range(40)]
+    phrase = "a phrase that many documents share"
+    rows = [(i, rng.choice(before) + phrase + rng.choice(after), "en", "a", 1) for i in range(300)] + cases.documents(3, 30, words=60)
+    got = suffixes.remove_repeated_bytes(cases.frame(spark, rows, clashing=True), 2000, hot).collect()
+    flat = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got]
+    assert sorted(map(key, flat)) == sorted(map(key, plain_bytes(rows, 50)))
+
+
+def test_a_hot_hash_is_split_by_window():
+    texts = [f"{i:040d} a phrase that many documents share {i:040d}" for i in range(200)] * 2
+    group = pa.table({"doc_id": pa.array(range(400), pa.int64()), "text": texts, "digest": [str(i) for i in range(400)],
+                      "grp": pa.array([0] * 400, pa.int64())})
+    none = pa.table({"digest": pa.array([], pa.string()), "original": pa.array([], pa.int64())})
+    largest = {}
+    for most in (20, 10**6):
+        shared = [rounds.answer_shared(pa.Table.from_batches([b]), most) for b in suffixes._anchors(group, none, 64).to_batches(1)]
+        answers = pa.concat_tables([*shared, none.slice(0, 0)], promote_options="default")
+        sent = suffixes._segments(group, answers, 64)
+        anchors = np.concatenate([np.frombuffer(x, np.uint64) for x in sent.column("anchors").to_pylist()])
+        largest[most] = np.unique(anchors, return_counts=True)[1].max()
+    assert largest[20] <= 20 < 200 <= largest[10**6]
