@@ -26,7 +26,9 @@ With 48 bands of 6, a pair at similarity 0.8 shares no bucket with probability
 
 Defined results.  Null or empty text, or text without words: an empty set, no
 links.  A null id counts as the greatest; a component of such rows only has a
-null id.  Repeated rows are in one class.  Other columns are kept by
+null id.  Repeated rows are in one class.  ``drop_near_duplicates`` keeps the row
+of the smallest id, of several those with the least hash of their text, and of
+equal ones one.  Other columns are kept by
 ``drop_near_duplicates`` and may have any name but those that begin with
 ``near_``.
 """
@@ -201,7 +203,8 @@ def _repeated(sets: DataFrame) -> bool:
 
 
 def near_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """Per document: ``doc_id, near_text, near_n`` and ``near_component`` (the smallest id reachable)."""
+    """Per document: ``doc_id, near_text, near_n``, ``near_component`` (the smallest id reachable) and ``near_first`` (of the
+    texts with that id in the component, the least hash)."""
     rows = stage_table(sketch_documents(docs, words), "near-rows")
     least = F.coalesce("doc_id", F.lit(_LAST))
     classes = stage_table(
@@ -248,13 +251,16 @@ def near_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
     if more.take(1):
         labels = components(links.unionByName(more))
 
-    member = stage_table(classes.select("node", "near_set", "near_least").join(labels, "node", "left")
-                         .select("near_set", "near_least", F.coalesce("label", "node").alias("label")), "near-members", small=True)
-    smallest = member.groupBy("label").agg(F.min("near_least").alias("near_component"))
-    member = member.join(smallest, "label").select("near_set", "near_component")
+    member = stage_table(classes.select("node", "near_set", "near_least", "near_text").join(labels, "node", "left")
+                         .select("near_set", "near_least", "near_text", F.coalesce("label", "node").alias("label")),
+                         "near-members", small=True)
+    smallest = member.groupBy("label").agg(F.min(F.struct("near_least", "near_text")).alias("least"))
+    member = member.join(smallest, "label").select(
+        "near_set", F.col("least.near_least").alias("near_component"), F.col("least.near_text").alias("near_first"))
     return rows.select("doc_id", "near_text", "near_n", "near_set").join(member, "near_set", "left").select(
         "doc_id", "near_text", "near_n",
-        F.when(F.col("near_n") == 0, F.col("doc_id")).otherwise(F.nullif("near_component", F.lit(_LAST))).alias("near_component"))
+        F.when(F.col("near_n") == 0, F.col("doc_id")).otherwise(F.nullif("near_component", F.lit(_LAST))).alias("near_component"),
+        F.coalesce("near_first", "near_text").alias("near_first"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -266,7 +272,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each component, and every document without words."""
-    keep = near_classes(docs, words, percent).where(F.col("doc_id").eqNullSafe(F.col("near_component")))
+    keep = near_classes(docs, words, percent).where(F.col("doc_id").eqNullSafe(F.col("near_component"))
+                                                    & (F.col("near_text") == F.col("near_first")))
     keep = keep.select(F.coalesce("doc_id", F.lit(_LAST)).alias("near_id"), "near_text",
                        (F.col("near_n") > 0).alias("near_filled")).distinct()
     own = (docs.withColumn("near_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)))

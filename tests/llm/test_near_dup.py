@@ -102,3 +102,18 @@ def test_components_equal_union_find(spark):
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert all(got.get(x, x) == find(x) for x in label)
     assert components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def test_drop_keeps_one_where_the_smallest_id_is_null_or_shared(spark):
+    rng = random.Random(11)
+    rows, texts = [], []
+    for ids in ((None, None, None), (7, 7, 9), (7, 7, 7), (None, 8, 8)):
+        base = [f"v{rng.randrange(10**6)}" for _ in range(120)]
+        for k, i in enumerate(ids):
+            texts.append(" ".join(base[:-1] + [f"end{k}"]))
+            rows.append((i, texts[-1], "en", "a", 1))
+    rows.append(rows[0])
+    out = near_dup.drop_near_duplicates(cases.frame(spark, rows, clashing=True)).collect()
+    groups = sorted(texts.index(r["text"]) // 3 for r in out)
+    assert groups == [0, 1, 2, 3]
+    assert sorted((texts.index(r["text"]) // 3, r["doc_id"]) for r in out if r["doc_id"]) == [(1, 7), (2, 7), (3, 8)]
