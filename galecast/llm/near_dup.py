@@ -21,8 +21,8 @@ holds the tests, so that it gives out survivors only, once each.  Pairs inside a
 component need no test.  Together every two classes of a bucket are in one
 component or have been tested.
 
-With 48 bands of 6, a pair at similarity 0.8 shares no bucket with probability
-5e-7, less above; at just 0.8 the sketch test drops 1 pair in 300,000.
+With 56 bands of 6, a pair at similarity 0.8 shares no bucket with probability
+4e-8, less above; at just 0.8 the sketch test drops 1 pair in 1,000,000,000.
 
 Defined results.  Null or empty text, or text without words: an empty set, no
 links.  A null id counts as the greatest; a component of such rows only has a
@@ -47,10 +47,10 @@ from ..session import stage_table
 from .components import components
 from .kernels import SPACED, Words, mix, row_slices, text_bytes, word_run_hash, word_run_sums
 
-SAMPLES, ROWS = 288, 6
+SAMPLES, ROWS = 336, 6
 BANDS = SAMPLES // ROWS
 FOLDED, BITS = 2048, 4096
-SIGMAS = 4.5
+SIGMAS = 6.0
 _SLOPE = (np.arange(1, FOLDED + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _SLOPE, _SHIFT = mix(_SLOPE) | np.uint64(1), mix(_SLOPE + np.uint64(0x5851F42D4C957F2D))
 

@@ -117,3 +117,8 @@ def test_drop_keeps_one_where_the_smallest_id_is_null_or_shared(spark):
     groups = sorted(texts.index(r["text"]) // 3 for r in out)
     assert groups == [0, 1, 2, 3]
     assert sorted((texts.index(r["text"]) // 3, r["doc_id"]) for r in out if r["doc_id"]) == [(1, 7), (2, 7), (3, 8)]
+
+
+def test_pairs_at_the_threshold_are_lost_with_a_chance_below_a_ten_millionth():
+    assert (1 - 0.8 ** near_dup.ROWS) ** near_dup.BANDS <= (1 - 0.8 ** 4) ** 32 < 1e-7
+    assert near_dup.SIGMAS >= 6 and near_dup.odd_limit(80) >= near_dup.odd_limit(80, 6.0)
