@@ -190,6 +190,55 @@ FROM d LEFT JOIN found USING (rid) LEFT JOIN terms USING (rid)
 """
 
 
+OP12 = r"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+kept AS (SELECT lang, t FROM (SELECT lang, unnest(list_distinct(w)) AS t FROM d) GROUP BY lang, t HAVING count(*) >= 30),
+used AS (SELECT lang, source, t, count(*) AS c FROM (SELECT lang, source, unnest(w) AS t FROM d) SEMI JOIN kept USING (lang, t)
+         GROUP BY lang, source, t),
+langs AS (SELECT lang, count(t) AS v FROM (SELECT DISTINCT lang FROM d) LEFT JOIN kept USING (lang) GROUP BY lang),
+groups AS (SELECT lang, source, v, coalesce(n, 0) AS n
+           FROM (SELECT DISTINCT lang, source FROM d) JOIN langs USING (lang)
+           LEFT JOIN (SELECT lang, source, sum(c) AS n FROM used GROUP BY lang, source) USING (lang, source)),
+p AS (SELECT g.lang, g.source, k.t, coalesce(u.c, 0) AS c,
+             1 + (1000000000::HUGEINT * (coalesce(u.c, 0) + 5)) // (g.n + 5 * g.v)::HUGEINT AS p
+      FROM groups g JOIN kept k USING (lang) LEFT JOIN used u USING (lang, source, t)),
+q AS (SELECT lang, t, 1 + (1000000000::HUGEINT * (sum(c) + 5)) // (any_value(n) + 5 * any_value(v))::HUGEINT AS q
+      FROM used JOIN (SELECT lang, sum(n) AS n, any_value(v) AS v FROM groups GROUP BY lang) USING (lang) GROUP BY lang, t),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(x.value, 0) AS value
+          FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN (SELECT p.lang, p.source, r.source AS item, sum(abs(p.p - r.p)) AS value
+                     FROM p JOIN p r ON p.lang = r.lang AND p.t = r.t AND p.source <> r.source GROUP BY ALL) x
+            ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+more AS (SELECT lang, source, t AS item, p - q AS value FROM p JOIN q USING (lang, t) WHERE c > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+           FROM (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL
+                 SELECT lang, source, 'term' AS part, item, value FROM more))
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+OP13 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+         sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+h AS (SELECT doc_id, t, u, len(u) AS n, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+             ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM d),
+c AS (SELECT doc_id, t, u, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+             CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                  WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+x AS (SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS p, coalesce(array_to_string(u[a + 1:b], ''), '') AS m,
+             coalesce(array_to_string(u[b + 1:], ''), '') AS s FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM x
+"""
+
+
 def llm_oracle() -> dict[str, str]:
     return {"op1_mix": OP1, "op3_decontaminate": OP3, "op6_pii": OP6, "op7_suffix_dedup": OP7, "op8_topk": OP8,
-            "op9_substring_dedup": OP9, "op10_near_dedup": OP10}
+            "op9_substring_dedup": OP9, "op10_near_dedup": OP10, "op12_divergence": OP12, "op13_infill": OP13}

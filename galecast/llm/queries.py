@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, licenses, mixing, near_dup, pii, sharding, substrings, suffixes, topk, toxicity
+from . import decontam, divergence, infill, licenses, mixing, near_dup, pii, sharding, substrings, suffixes, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -87,8 +87,20 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = infill.fill_in_middle(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    restored = infill.restore(F.col("fim_output"), F.col("fim_form"))
+    return rows.select("doc_id", F.col("fim_units").alias("n"), F.col("fim_form").alias("form"),
+                       F.col("fim_prefix_chars").alias("prefix_chars"), F.col("fim_middle_chars").alias("middle_chars"),
+                       F.sha2("fim_output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
 def llm_queries() -> dict[str, Query]:
     return {"op1_mix": op1_mix, "op2_shard": op2_shard, "op3_decontaminate": op3_decontaminate,
             "op4_license_scan": op4_license_scan, "op5_toxicity": op5_toxicity,
             "op6_pii": op6_pii, "op7_suffix_dedup": op7_suffix_dedup, "op8_topk": op8_topk, "op9_substring_dedup": op9_substring_dedup,
-            "op10_near_dedup": op10_near_dedup}
+            "op10_near_dedup": op10_near_dedup, "op12_divergence": op12_divergence, "op13_infill": op13_infill}
