@@ -29,6 +29,8 @@ def _table(pattern_low: set[int]) -> np.ndarray:
 #: ``[^\x20\x09-\x0D]+`` and ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+``; bytes of multi-byte characters are word bytes in both.
 SPACED = _table({0x20, *range(0x09, 0x0E)})
 ALNUM = _table({*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)})
+#: ``[^\x00-\x40\x5B-\x60\x7B-\x7F]+``
+LETTERS = _table({*range(0x00, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)})
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, divergence, infill, licenses, mixing, near_dup, pii, sharding, substrings, suffixes, topk, toxicity
+from . import decontam, divergence, infill, licenses, mixing, near_dup, neural_lm, pii, sharding, substrings, suffixes, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -87,6 +87,14 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+def op11_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    remainder = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7
+    rows = neural_lm.score_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"), remainder != 2)
+    return rows.select("doc_id", (remainder == 2).alias("held_out"), F.col("lm_tokens").alias("n_tokens"),
+                       F.col("lm_known").alias("n_known"), F.col("lm_train_tokens").alias("train_tokens"),
+                       F.col("lm_base").alias("base_score"), F.col("lm_score").alias("score"))
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents"))
 
@@ -103,4 +111,4 @@ def llm_queries() -> dict[str, Query]:
     return {"op1_mix": op1_mix, "op2_shard": op2_shard, "op3_decontaminate": op3_decontaminate,
             "op4_license_scan": op4_license_scan, "op5_toxicity": op5_toxicity,
             "op6_pii": op6_pii, "op7_suffix_dedup": op7_suffix_dedup, "op8_topk": op8_topk, "op9_substring_dedup": op9_substring_dedup,
-            "op10_near_dedup": op10_near_dedup, "op12_divergence": op12_divergence, "op13_infill": op13_infill}
+            "op10_near_dedup": op10_near_dedup, "op11_lm_score": op11_lm_score, "op12_divergence": op12_divergence, "op13_infill": op13_infill}
