@@ -18,7 +18,8 @@ from the unigram distribution of the outputs and shared by its tokens, so both
 sides are matrix products), and the tasks' models are averaged in two levels by
 tokens.  Only the averaged model and the ``FREQUENT`` most frequent words (16
 bytes each) visit the driver.  Scores are exact: the normaliser is the sum
-over all outputs.
+over all outputs.  Contexts of ``CONTEXT`` outputs are few enough to have theirs in a table, which one
+matrix product for each nearest output fills.
 
 A text's words that are not among the frequent ones are joined to the counts by
 the word itself.  Frequent words are recognised by a 64-bit hash.
@@ -45,11 +46,11 @@ from ..session import drop_staged, stage_table
 from .kernels import SPACED, Words, mix, ragged, row_slices, sums_by, text_bytes
 from .rounds import find
 
-GROUPS, WORDS, SIZE, CONTEXT = 256, 255, 16, 3
+GROUPS, WORDS, SIZE, CONTEXT = 256, 255, 16, 2
 FREQUENT = 1 << 18
 ROUNDS = (1 / 8, 1.0)
 BATCH, NOISE, RATE = 512, 64, 0.2
-_COUNT_BYTES, _SCORE_ROWS = 2 << 20, 4096
+_COUNT_BYTES = 2 << 20
 _END = GROUPS
 
 
@@ -288,22 +289,25 @@ def train(docs: DataFrame, known: Vocabulary, rounds=ROUNDS, rate: float = RATE)
     return model
 
 
-def log_probabilities(model: Model, tokens: Tokens) -> np.ndarray:
-    """log10 of each token's output after its context, normalised over all outputs."""
-    out = np.empty(len(tokens.output))
-    vectors = np.ascontiguousarray(model.output.T)
-    longest, most = np.sqrt((model.output ** 2).sum(axis=1).max()), np.abs(model.bias).max()
-    for lo in range(0, len(out), _SCORE_ROWS):
-        hi = lo + _SCORE_ROWS
-        x = np.einsum("kbd,kd->bd", model.context[tokens.before[:, lo:hi]], model.place)
-        scores = x @ vectors
-        scores += model.bias
-        if np.sqrt((x ** 2).sum(axis=1).max()) * longest + most > 80:  # exp would leave a float
-            scores -= scores.max(axis=1, keepdims=True)
-        own = scores[np.arange(len(scores)), tokens.output[lo:hi]].astype(float)
-        np.exp(scores, out=scores)
-        out[lo:hi] = own - np.log(scores.sum(axis=1, dtype=np.float32).astype(float))
-    return out / math.log(10)
+def normalisers(model: Model) -> np.ndarray:
+    """The logarithm of the sum over all outputs after every context: one matrix product for each nearest output."""
+    vectors, n = np.ascontiguousarray(model.output.T), len(model.context)
+    out = np.empty((n, n))
+    farther = model.context * model.place[1]
+    for nearest in range(n):
+        scores = (farther + model.context[nearest] * model.place[0]) @ vectors + model.bias
+        most = scores.max(axis=1, keepdims=True)
+        out[nearest] = np.log(np.exp(scores - most).sum(axis=1, dtype=float)) + most[:, 0]
+    return out
+
+
+def log_probabilities(model: Model, table: np.ndarray, tokens: Tokens) -> np.ndarray:
+    """log10 of each token's output after its context, normalised over all outputs; ``table`` has the normalisers."""
+    near, far = tokens.before
+    vector = model.context[near] * model.place[0]
+    vector += model.context[far] * model.place[1]
+    scores = np.einsum("bd,bd->b", vector, model.output[tokens.output]) + model.bias[tokens.output]
+    return (scores - table[near, far]) / math.log(10)
 
 
 _PARTS = T.StructType([
@@ -314,7 +318,7 @@ _PARTS = T.StructType([
 
 def _scored(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, model = shared.value
+        known, model, table = shared.value
         every = math.log10(known.tokens + known.distinct + 1)
         in_group = np.log10(known.group_tokens + known.group_words + 1.0)
         logs = np.log10(known.counts + 1.0)
@@ -323,7 +327,7 @@ def _scored(shared):
             hashes = words.hashes()
             output, frequent, at = _outputs(words, hashes, known)
             tokens = Tokens.read(words, output, len(known.output_tokens))
-            score = np.bincount(tokens.of_text, log_probabilities(model, tokens), n)
+            score = np.bincount(tokens.of_text, log_probabilities(model, table, tokens), n)
             of, grouped = words.of_text(), output < GROUPS
             gained = np.where(frequent, logs[at] if len(logs) else 0.0, 0.0)
             base = np.bincount(of, gained, n) + math.log10(known.texts + 1) - every * (words.counts() + 1)
@@ -355,7 +359,8 @@ def score_texts(docs: DataFrame, learn: Column) -> DataFrame:
     known, least = vocabulary(counts)
     model = train(training, known)
     schema = T.StructType([*[f for f in docs.schema.fields if f.name != "text"], *_PARTS.fields])
-    parts = docs.mapInArrow(_scored(spark.sparkContext.broadcast((known, model))), schema)
+    # Numbers of the model's size and the frequent words', whatever the corpus.
+    parts = docs.mapInArrow(_scored(spark.sparkContext.broadcast((known, model, normalisers(model)))), schema)
     parts = stage_table(parts.withColumn("lm_row", F.monotonically_increasing_id()), "lm-parts")
     rare = parts.select("lm_row", F.explode(F.arrays_zip(F.col("lm_rare").alias("word"), F.col("lm_times").alias("times"))).alias("r"))
     rare = rare.select("lm_row", "r.word", "r.times")

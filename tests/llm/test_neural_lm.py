@@ -83,7 +83,7 @@ def test_probabilities_sum_to_one():
     known = neural_lm.Vocabulary(np.zeros(0, np.uint64), counts[:0], counts[:0], counts[:256], counts[:256], counts, int(counts.sum()), n, 3)
     model = neural_lm.start(known)
     before = np.tile(rng.integers(0, n, (neural_lm.CONTEXT, 1)), (1, n))
-    logs = neural_lm.log_probabilities(model, neural_lm.Tokens(np.zeros(n, int), np.arange(n), before))
+    logs = neural_lm.log_probabilities(model, neural_lm.normalisers(model), neural_lm.Tokens(np.zeros(n, int), np.arange(n), before))
     assert (10 ** logs).sum() == pytest.approx(1, abs=1e-5)
 
 
