@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,6 +71,20 @@ def trigamma_py(x: float) -> float:
     return inv + inv2 / 2 + inv * inv2 * (1 / 6 - inv2 * (1 / 30 - inv2 * (1 / 42 - inv2 / 30))) + s
 
 
+def gamma_np(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """lgamma, digamma and trigamma of an array of positive numbers, by the same series."""
+    x = np.asarray(x, float)
+    w, steps = x + SHIFT, x[..., None] + np.arange(SHIFT)
+    inv = 1.0 / w
+    inv2 = inv * inv
+    log = np.log(w)
+    first = ((w - 0.5) * log - w + 0.5 * math.log(2.0 * math.pi)
+             + inv * (1 / 12 - inv2 * (1 / 360 - inv2 * (1 / 1260 - inv2 / 1680))) - np.log(steps).sum(axis=-1))
+    second = log - 0.5 * inv - inv2 * (1 / 12 - inv2 * (1 / 120 - inv2 * (1 / 252 - inv2 / 240))) - (1.0 / steps).sum(axis=-1)
+    third = inv + inv2 / 2 + inv * inv2 * (1 / 6 - inv2 * (1 / 30 - inv2 * (1 / 42 - inv2 / 30))) + (1.0 / steps ** 2).sum(axis=-1)
+    return first, second, third
+
+
 def norm_sf2(z: float) -> float:
     """Two-sided normal tail probability, P(|Z| > |z|)."""
     return math.erfc(abs(z) / math.sqrt(2.0))

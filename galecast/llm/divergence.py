@@ -40,7 +40,7 @@ from ..session import drop_staged, stage_table
 from .kernels import LETTERS, Words, lists, ragged, row_slices, text_bytes
 
 MIN_DF, TOP_TERMS, SCALE, PRIOR = 30, 50, 1_000_000_000, 5
-MAX_TERMS, SAMPLE, BLOCK = 2_000_000, 16, 4096
+MAX_TERMS, SAMPLE, BLOCK, ENTRIES = 2_000_000, 16, 4096, 1 << 20
 GREATEST_INT = (1 << 31) - 1
 #: Terms hold no character up to 0x40, so what stands before the last of these is the language.
 _MARK = "\x01"
@@ -72,6 +72,29 @@ def tagged_terms(docs: DataFrame) -> DataFrame:
     return texts.mapInArrow(_tagged, "lang string, source string, terms array<string>")
 
 
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``lang, source, ix, count``: sums of the vectors' entries by group, of a bounded number of entries at a time."""
+    for batch in batches:
+        upto = np.concatenate([[0], np.cumsum(batch.column(2).value_lengths().to_numpy())])
+        lo = 0
+        while lo < len(batch):
+            n = max(1, int(np.searchsorted(upto, upto[lo] + ENTRIES, "right")) - 1 - lo)
+            part = batch.slice(lo, n)
+            groups: dict[tuple[str, str], int] = {}
+            code = np.array([groups.setdefault(g, len(groups)) for g in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)])
+            key = np.repeat(code, np.diff(upto[lo:lo + n + 1])) << 32 | part.column(2).flatten().to_numpy()
+            order = np.argsort(key, kind="stable")
+            at = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])) if len(key) else order
+            # Whole numbers below 2**53 in doubles, added as such.
+            total = np.add.reduceat(part.column(3).flatten().to_numpy()[order].astype(np.int64), at) if len(key) else at
+            own, names = key[order[at]], list(groups)
+            of = pa.array(own >> 32)
+            yield pa.RecordBatch.from_arrays(
+                [*[pa.array([g[k] for g in names], pa.string()).take(of) for k in (0, 1)],
+                 pa.array((own & 0xFFFFFFFF).astype(np.int32)), pa.array(total, pa.int64())], ["lang", "source", "ix", "count"])
+            lo += n
+
+
 def _by_vectors(tagged: DataFrame, min_df: int) -> tuple[DataFrame, DataFrame]:
     """``(lang, source, ix, count)`` and ``(ix, lang, term)`` through document vectors.
 
@@ -83,9 +106,9 @@ def _by_vectors(tagged: DataFrame, min_df: int) -> tuple[DataFrame, DataFrame]:
     spark = tagged.sparkSession
     # The same files, with the vectors as the structs that they are stored as.
     stored = spark.read.schema(f"lang string, source string, vector {_ENTRY}").parquet(vectors._staged_path)
-    entry = F.explode(F.arrays_zip(F.col("vector.indices").alias("ix"), F.col("vector.values").alias("n"))).alias("e")
-    counts = (stored.select("lang", "source", entry).groupBy("lang", "source", F.col("e.ix").alias("ix"))
-              .agg(F.sum(F.col("e.n").cast("long")).alias("count")))
+    entries = stored.select("lang", "source", F.col("vector.indices").alias("indices"), F.col("vector.values").alias("values"))
+    counts = (entries.mapInArrow(_sums, "lang string, source string, ix int, count long")
+              .groupBy("lang", "source", "ix").agg(F.sum("count").alias("count")))
     known = pa.table({"ix": pa.array(range(len(model.vocabulary)), pa.int32()), "tagged": pa.array(model.vocabulary, pa.string())})
     words = spark.createDataFrame(known).where("tagged != ''")
     cut = F.length("tagged") - F.length(F.substring_index("tagged", _MARK, -1))

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.joins import attach_groups
 from ..session import stage_table
 
 
@@ -30,6 +28,18 @@ def declaration_counts(decl: DataFrame, years: tuple[int, int]) -> DataFrame:
             .agg(F.sum("_w").alias("n")))
 
 
+def grouped_totals(df: DataFrame, sets: list[list[str]], keys: list[str], count: str) -> DataFrame:
+    """``keys..., grouping, total`` of every grouping set: one expand, one aggregate.  A key outside a row's set is null;
+    ``grouping`` tells that from a null of the data."""
+    grouped = df.groupingSets([[F.col(k) for k in kept] for kept in sets], *[F.col(k) for k in keys])
+    return grouped.agg(F.grouping_id().cast("int").alias("grouping"), F.sum(count).alias("total")).select(*keys, "grouping", "total")
+
+
+def grouping(keys: list[str], kept: list[str]) -> int:
+    """The ``grouping`` number of the set that keeps these of the keys: a bit for each key, set where it is left out."""
+    return sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in kept)
+
+
 def with_totals(df: DataFrame, place: str, count: str = "n", bounded: bool = True) -> DataFrame:
     """Attach ``n_state`` (per year and place), ``n_total`` (per year) and
     ``n_type`` (per year and type), then rename ``count`` to
@@ -41,9 +51,9 @@ def with_totals(df: DataFrame, place: str, count: str = "n", bounded: bool = Tru
     on ``year``) the other two need only a sort.
 
     Where places grow with the data, a year's rows must not meet in one task:
-    the totals are partial aggregates joined back, nulls matching nulls, and
-    adaptive execution can split the joins.  The table is staged for that, or
-    each of the four sides would compute it again.
+    grouping sets give all three totals in one aggregate (partial sums, one exchange), and
+    are attached to the staged table, nulls matching nulls: the totals of years and of year-types by
+    a size-checked broadcast or salted, those of places by a join that adaptive execution can split.
     """
     if bounded:
         by_year = Window.partitionBy("year")
@@ -54,10 +64,16 @@ def with_totals(df: DataFrame, place: str, count: str = "n", bounded: bool = Tru
                .withColumn("n_type", F.sum(count).over(by_type)))
     else:
         out = df = stage_table(df, "counts")
-        for name, keys in (("n_total", ["year"]), ("n_state", ["year", place]), ("n_type", ["year", "disaster"])):
-            total = df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.sum(count).alias(name))
-            on = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
-            out = out.join(total, on).drop(*[f"_{k}" for k in keys])
+        keys = ["year", place, "disaster"]
+        totals = stage_table(grouped_totals(df, [["year"], ["year", place], ["year", "disaster"]], keys, count), "totals")
+
+        def of(kept: list[str], name: str) -> DataFrame:
+            return totals.where(F.col("grouping") == grouping(keys, kept)).select(*kept, F.col("total").alias(name))
+
+        out = attach_groups(out, of(["year"], "n_total"), ["year"], [place, "disaster"])
+        out = attach_groups(out, of(["year", "disaster"], "n_type"), ["year", "disaster"], [place])
+        by_place = of(["year", place], "n_state").withColumnRenamed("year", "_year").withColumnRenamed(place, "_place")
+        out = out.join(by_place, F.col("year").eqNullSafe(F.col("_year")) & F.col(place).eqNullSafe(F.col("_place"))).drop("_year", "_place")
     return out.withColumnRenamed(count, "n_disaster_state")
 
 

@@ -100,7 +100,8 @@ def model_queries() -> dict[str, Query]:
                                .select("term", "estimate", "std_error", "exp_estimate"), 6),
         "negbin_by_group": _q(lambda p: models.by_group(models.order_rows(p), "y", "region", "negbin")
                               .select("term", "estimate", "exp_estimate"), 6),
-        "cv_splits": _q(lambda p: models.cv_splits(p.regional)),
+        "cv_splits": _q(lambda p: models.cv_splits(p.regional, ["region", "year"])),
+        "cv_splits_orders": _q(lambda p: models.cv_splits(models.order_rows(p), ["order_key"])),
         "cv_errors": _q(lambda p: models.cv_errors(p.regional, reg), 6),
         "cv_errors_published": _q(lambda p: models.cv_errors(p.regional, reg, leaky=True, scale="link"), 6),
         "density": _q(lambda p: models.count_density(p.regional), 6),
@@ -112,11 +113,16 @@ def model_queries() -> dict[str, Query]:
         "negbin_orders_scores": _q(lambda p: models.scores(models.order_rows(p), odr, "negbin"), 5),
         "aic_by_group": _q(lambda p: models.aic_by_group(models.order_rows(p), "y", "region"), 3),
         "cv_errors_orders": _q(lambda p: models.cv_errors_hashed(
-            models.order_rows(p), odr, ["order_key"], models.CV_SPLITS_ORDERS), 6),
+            models.order_rows(p), odr, ["order_key"]), 6),
+        "poisson_aliased": _q(lambda p: models.tidy_aliased(models.order_rows(p)), 6),
+        "poisson_interaction": _q(lambda p: models.tidy_interaction(models.order_rows(p)), 6),
+        "priority_levels": _q(models.priority_levels),
         "density_totalprice": _q(models.price_density, 6),
         "trend_points": _q(lambda p: models.temp_points(p.fact_a)),
         "trend_loess": _q(lambda p: models.temp_trend(p.fact_a, "loess"), 4),
         "trend_smooth": _q(lambda p: models.temp_trend(p.fact_a), 4),
+        "trend_smooth_scores": _q(lambda p: models.smooth_scores(p.fact_a), 4),
+        "trend_loess_price": _q(models.price_trend, 4),
     }
 
 

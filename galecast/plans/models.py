@@ -18,12 +18,12 @@ from pyspark.sql import functions as F
 from ..sources.tables import order_model_rows, table
 from ..stats import cv, glm, kde, smooth
 from ..functions.nulls import drop_any_null
+from ..operators import levels
 from .driver import DriverPipeline
 
-REGIONAL_FORMULA = ("count_region", ["year", "region", "ave_temp", "sum_precip"], ["region"])
-ORDER_FORMULA = ("y", ["year", "region", "totalprice"], ["region"])
+REGIONAL_FORMULA = "count_region ~ year + region + ave_temp + sum_precip"
+ORDER_FORMULA = "y ~ year + region + totalprice"
 CV_SPLITS = 100
-CV_SPLITS_ORDERS = 5
 CV_SEED = 20191206
 
 
@@ -34,8 +34,7 @@ def order_rows(p: DriverPipeline) -> DataFrame:
 
 
 def fit(df: DataFrame, formula, family: str) -> glm.Fit:
-    response, terms, factors = formula
-    return glm.glm(df, response, terms, factors, family=family)
+    return glm.glm(df, formula, family)
 
 
 def tidy(df: DataFrame, formula, family: str) -> DataFrame:
@@ -63,19 +62,16 @@ def unit_effect(df: DataFrame, formula, term: str = "year", digits: int = 3) ->
 
 def by_group(df: DataFrame, response: str, factor: str, family: str) -> DataFrame:
     """Model with one categorical regressor (closed-form checkable)."""
-    f = glm.glm(df, response, [factor], [factor], family=family)
-    return glm.tidy(df.sparkSession, f)
+    return glm.tidy(df.sparkSession, glm.glm(df, f"{response} ~ {factor}", family))
 
 
 def cv_errors(df: DataFrame, formula, leaky: bool = False, scale: str = "response") -> DataFrame:
-    response, terms, factors = formula
-    # The regional table is bounded by regions × years, so splits have exact sizes.
-    return cv.cv_errors(df, response, terms, factors, key_cols=["region", "year"],
+    return cv.cv_errors(df, formula, key_cols=["region", "year"],
                         n_splits=CV_SPLITS, seed=CV_SEED, leaky=leaky, scale=scale, exact=True)
 
 
-def cv_splits(df: DataFrame) -> DataFrame:
-    return cv.split_sizes(df, ["region", "year"], CV_SPLITS, seed=CV_SEED, exact=True)
+def cv_splits(df: DataFrame, key_cols: list[str]) -> DataFrame:
+    return cv.split_sizes(df, key_cols, CV_SPLITS, seed=CV_SEED, exact=True)
 
 
 def count_density(regional: DataFrame) -> DataFrame:
@@ -90,7 +86,7 @@ def cv_error_density(df: DataFrame, formula) -> DataFrame:
 
 
 def density_by(df: DataFrame, col: str, by: list[str]) -> DataFrame:
-    return kde.density(df.where(F.col(by[0]).isNotNull()), col, by=by)
+    return kde.density(df, col, by=by)
 
 
 def temp_trend(fact_a: DataFrame, method: str = "spline") -> DataFrame:
@@ -100,6 +96,18 @@ def temp_trend(fact_a: DataFrame, method: str = "spline") -> DataFrame:
     return smoother(pts, "year", "mean_temp", ["region"])
 
 
+def price_trend(p: DriverPipeline) -> DataFrame:
+    """Quantity of an order along its price, a continuous x, by region."""
+    rows = order_rows(p).select("region", "y", (F.col("totalprice") / 1000).alias("price"))
+    return smooth.trend_loess_dense(rows, "price", "y", ["region"])
+
+
+def smooth_scores(fact_a: DataFrame) -> DataFrame:
+    """The derivative of each spline's REML criterion at its weight: zero."""
+    pts = drop_any_null(fact_a).select("region", "year", "mean_temp")
+    return smooth.spline_fits(pts, "year", "mean_temp", ["region"]).select("region", F.abs("score").alias("score"))
+
+
 def temp_points(fact_a: DataFrame) -> DataFrame:
     """The points behind the trend."""
     return drop_any_null(fact_a).select("region", "year", "mean_temp").distinct()
@@ -107,20 +115,38 @@ def temp_points(fact_a: DataFrame) -> DataFrame:
 
 def scores(df: DataFrame, formula, family: str) -> DataFrame:
     """What is left of the likelihood's derivative at the fit: zero for every term."""
-    response, terms, factors = formula
-    return glm.score_check(df, response, terms, factors, family)
+    return glm.score_check(df, formula, family)
 
 
 def aic_by_group(df: DataFrame, response: str, factor: str) -> DataFrame:
     """AIC of the Poisson model with one categorical regressor (closed-form checkable)."""
-    f = glm.glm(df, response, [factor], [factor], family="poisson")
+    f = glm.glm(df, f"{response} ~ {factor}", "poisson")
     return glm.glance(df.sparkSession, {"poisson": f}).select("model", "n", "loglik", "aic")
 
 
-def cv_errors_hashed(df: DataFrame, formula, key_cols: list[str], n_splits: int) -> DataFrame:
-    """Cross-validation on a table that grows: split membership by hash, no row is ranked."""
-    response, terms, factors = formula
-    return cv.cv_errors(df, response, terms, factors, key_cols=key_cols, n_splits=n_splits, seed=CV_SEED)
+def cv_errors_hashed(df: DataFrame, formula, key_cols: list[str]) -> DataFrame:
+    """Cross-validation on a table that grows: split membership by hash."""
+    return cv.cv_errors(df, formula, key_cols=key_cols, n_splits=CV_SPLITS, seed=CV_SEED)
+
+
+def tidy_aliased(df: DataFrame) -> DataFrame:
+    """A one-factor model and a column that the factor decides: its coefficient is null, the others are as without it."""
+    both = df.withColumn("region_size", F.length("region").cast("double"))
+    f = glm.glm(both, "y ~ region + region_size")
+    return glm.tidy(df.sparkSession, f).select("term", "estimate", "std_error", F.lit(f.rank).alias("rank"))
+
+
+def tidy_interaction(df: DataFrame) -> DataFrame:
+    """Factor by factor with all products: the fitted cells are the cells' means."""
+    cells = df.withColumn("size", F.when(F.col("totalprice") > 150000, F.lit("large")).otherwise(F.lit("small")))
+    f = glm.glm(cells, "y ~ region * size")
+    return glm.tidy(df.sparkSession, f).select("term", "estimate", "exp_estimate")
+
+
+def priority_levels(p: DriverPipeline) -> DataFrame:
+    """Order priorities as they first appear by order date and key."""
+    orders = table(p.spark, p.sf_dir, "orders")
+    return levels.first_appearance(orders, "o_orderpriority", ["o_orderdate", "o_orderkey"])
 
 
 def price_density(p: DriverPipeline) -> DataFrame:

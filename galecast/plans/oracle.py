@@ -364,7 +364,7 @@ st AS (
 freq AS (SELECT g, v, count(*) AS c FROM vals GROUP BY g, v),
 pos AS (
   SELECT f.g, f.c, s.n, CASE WHEN s.delta > 0 THEN (f.v - s.lo) / s.delta ELSE 0.0 END AS pos
-  FROM freq f JOIN st s ON f.g = s.g),
+  FROM freq f JOIN st s ON f.g IS NOT DISTINCT FROM s.g),
 parts AS (
   SELECT g, CAST(floor(pos) AS BIGINT) AS j, (c / n) * (1.0 - (pos - floor(pos))) AS m FROM pos
   UNION ALL
@@ -374,7 +374,7 @@ dens AS (
   SELECT b.g, u.range AS u, s.lo, s.delta,
          sum(b.mass * exp(-0.5 * (((u.range - b.j) * s.delta) / s.bw) * (((u.range - b.j) * s.delta) / s.bw))
              * {INV_SQRT_2PI} / s.bw) AS density
-  FROM bins b JOIN st s ON b.g = s.g, range(512) u
+  FROM bins b JOIN st s ON b.g IS NOT DISTINCT FROM s.g, range(512) u
   GROUP BY b.g, u.range, s.lo, s.delta)
 SELECT {"g AS " + group + ", " if group else ""}{r6("lo + u * delta")} AS x, {r6("density")} AS density FROM dens""")
 
@@ -415,14 +415,47 @@ SELECT term, 0.0::DOUBLE AS score FROM (
          FROM order_rows o JOIN m ON o.region = m.region WHERE o.y IS NOT NULL)
 SELECT 'poisson' AS model, CAST(n AS BIGINT) AS n, floor(v * 1000.0 + 0.5) / 1000.0 AS loglik,
        floor((-2 * v + 2 * (SELECT count(*) FROM m)) * 1000.0 + 0.5) / 1000.0 AS aic FROM ll""")
-    q["cv_splits"] = with_base("""
-, k AS (SELECT count(*) AS n, greatest(CAST(floor(count(*) * 0.2) AS BIGINT), 1) AS t FROM regional)
+    for name, rows in (("cv_splits", "regional"), ("cv_splits_orders", "order_rows")):
+        q[name] = with_base(f"""
+, k AS (SELECT count(*) AS n, greatest(CAST(floor(count(*) * 0.2) AS BIGINT), 1) AS t FROM {rows})
 SELECT CAST(s.range AS INTEGER) AS split_id, CAST(n - t AS BIGINT) AS n_train, CAST(t AS BIGINT) AS n_test FROM k, range(100) s""")
+    # A column that the factor decides changes nothing and has no coefficient.
+    q["poisson_aliased"] = with_base(means + f"""
+SELECT term, estimate, std_error, (SELECT CAST(count(*) AS INTEGER) FROM m) AS rank FROM (
+  SELECT '(Intercept)' AS term, {r6('ln(ref.mu)')} AS estimate, {r6('1 / sqrt(ref.s)')} AS std_error FROM ref
+  UNION ALL
+  SELECT 'region' || m.region, {r6('ln(m.mu) - ln(ref.mu)')}, {r6('sqrt(1 / m.s + 1 / ref.s)')}
+  FROM m, ref WHERE m.region <> ref.region
+  UNION ALL SELECT 'region_size', NULL, NULL) t""")
+    # Two factors and their products: the fitted cells are the cells' means.
+    cell = {"a": "b.region = m.region AND b.size = m.size", "r": "b.region = f.region AND b.size = m.size",
+            "s": "b.region = m.region AND b.size = f.size", "o": "b.region = f.region AND b.size = f.size"}
+    log = {k: f"(SELECT ln(b.mu) FROM cells b WHERE {on})" for k, on in cell.items()}
+    q["poisson_interaction"] = with_base(f"""
+, cells AS (SELECT region, CASE WHEN totalprice > 150000 THEN 'large' ELSE 'small' END AS size, avg(CAST(y AS DOUBLE)) AS mu
+            FROM order_rows WHERE region IS NOT NULL AND y IS NOT NULL AND totalprice IS NOT NULL GROUP BY ALL),
+f AS (SELECT min(region) AS region, min(size) AS size FROM cells),
+terms AS (
+  SELECT CASE WHEN m.region = f.region AND m.size = f.size THEN '(Intercept)'
+              WHEN m.size = f.size THEN 'region' || m.region WHEN m.region = f.region THEN 'size' || m.size
+              ELSE 'region' || m.region || ':size' || m.size END AS term,
+         CASE WHEN m.region = f.region AND m.size = f.size THEN {log['a']}
+              WHEN m.size = f.size THEN {log['a']} - {log['r']} WHEN m.region = f.region THEN {log['a']} - {log['s']}
+              ELSE {log['a']} - {log['r']} - {log['s']} + {log['o']} END AS e
+  FROM cells m, f)
+SELECT term, {r6('e')} AS estimate, {r6('exp(e)')} AS exp_estimate FROM terms""")
+    q["priority_levels"] = """
+SELECT o_orderpriority, CAST(row_number() OVER (ORDER BY first) AS INTEGER) AS position
+FROM (SELECT o_orderpriority, min(struct_pack(d := o_orderdate, k := o_orderkey)) AS first
+      FROM orders WHERE o_orderpriority IS NOT NULL GROUP BY o_orderpriority) t"""
     q["trend_points"] = with_base(f"SELECT DISTINCT region, year, {r4('mean_temp')} AS mean_temp FROM complete_a")
-    q["trend_loess"] = with_base("""
-, p AS (SELECT region, CAST(year AS DOUBLE) AS x, count(*) AS c, avg(mean_temp) AS y FROM complete_a GROUP BY region, year),
+    # Both trends: one on years, one on a continuous column (region may be null there).
+    for name, points in (("trend_loess", "SELECT region, CAST(year AS DOUBLE) AS x, count(*) AS c, avg(mean_temp) AS y FROM complete_a GROUP BY region, year"),
+                         ("trend_loess_price", "SELECT region, totalprice / 1000 AS x, count(*) AS c, avg(CAST(y AS DOUBLE)) AS y FROM order_rows GROUP BY ALL")):
+        q[name] = with_base(f"""
+, p AS ({points}),
 g AS (SELECT region, min(x) AS lo, max(x) AS hi, sum(c) AS n FROM p GROUP BY region),
-r AS (SELECT p.*, g.n, u.range AS u, g.lo + u.range / 79.0 * (g.hi - g.lo) AS x0 FROM p JOIN g USING (region), range(80) u),
+r AS (SELECT p.*, g.n, u.range AS u, g.lo + u.range / 79.0 * (g.hi - g.lo) AS x0 FROM p JOIN g ON p.region IS NOT DISTINCT FROM g.region, range(80) u),
 d AS (SELECT *, abs(x - x0) AS d FROM r),
 c AS (SELECT *, sum(c) OVER (PARTITION BY region, u ORDER BY d RANGE UNBOUNDED PRECEDING) AS held FROM d),
 h AS (SELECT *, min(CASE WHEN held >= greatest(floor(n * 0.75 + 1e-5), 1) THEN d END) OVER (PARTITION BY region, u) AS h FROM c),
@@ -434,11 +467,12 @@ f AS (SELECT *, s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 *
              t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - t2 * s3) + s2 * (t1 * s3 - t2 * s2) AS top FROM s)
 SELECT region, floor(x0 * 10000.0 + 0.5) / 10000.0 AS x,
        floor((CASE WHEN det > 1e-9 * s0 * s0 * s0 THEN top / det ELSE t0 / s0 END) * 10000.0 + 0.5) / 10000.0 AS fitted FROM f""")
+    q["trend_smooth_scores"] = with_base("SELECT DISTINCT region, 0.0::DOUBLE AS score FROM complete_a")
     q["density_totalprice"] = _density("SELECT o_totalprice / 1000 AS v FROM orders WHERE o_totalprice IS NOT NULL", None)
     q["density"] = _density(
         "SELECT CAST(count_region AS DOUBLE) AS v FROM (SELECT DISTINCT year, count_region FROM regional) d "
         "WHERE count_region IS NOT NULL", None)
     q["density_by_group"] = _density(
-        "SELECT region, CAST(y AS DOUBLE) AS v FROM order_rows WHERE region IS NOT NULL AND y IS NOT NULL",
+        "SELECT region, CAST(y AS DOUBLE) AS v FROM order_rows WHERE y IS NOT NULL",
         "region")
     return q

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,22 +35,29 @@ def _files(spark: SparkSession, path: str) -> list[str]:
     return sorted(spark.read.text(path).inputFiles())
 
 
-def _header(spark: SparkSession, file: str) -> list[str] | None:
-    """The cleaned names of a climate file's header: the first of its first lines that names a date and a value."""
-    for row in spark.read.text(file).limit(16).collect():
-        names = clean_names([x.strip().strip('"') for x in (row[0] or "").split(",")])
-        if {"date", "value"} <= set(names):
-            return names
-    return None
+def _headers(spark: SparkSession, files: Sequence[str]) -> dict[str, list[str]]:
+    """The cleaned names of each file's header: its first line that names a date and a value, however far down.
+
+    One job for all files.  A task keeps the first such line of each of its blocks, so what reaches the driver is
+    one line a block at most and, after the aggregate, one line a file.
+    """
+    lines = spark.read.text(list(files)).select(
+        "value", F.input_file_name().alias("file"),
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"))
+    # A cheap test first; the names are then cleaned as the reader would clean them.
+    likely = lines.where(F.lower("value").contains("date") & F.lower("value").contains("value")
+                         & F.col("value").rlike(r"(?i)(^|,)[\s\"]*date[\s\"]*(,|$)") & F.col("value").rlike(r"(?i)(^|,)[\s\"]*value[\s\"]*(,|$)"))
+    first = likely.groupBy("file").agg(F.min_by("value", "at").alias("line")).collect()
+    return {r["file"]: clean_names([x.strip().strip('"') for x in r["line"].split(",")]) for r in first}
 
 
 def read_climate_csv(spark: SparkSession, paths: str | Sequence[str] | Mapping[str, str],
                      columns: Sequence[str] | None = None) -> DataFrame:
     """Read monthly series as ``(location, date, value)`` (+ ``series`` tag).
 
-    Columns are taken by the names in each file's header (the first lines of
-    it are looked at; files with the same header are read together), or by the
-    order given in ``columns``.  A file without a header has ``CLIMATE_COLUMNS``.
+    Columns are taken by the names in each file's header (its first line that names a date and a
+    value; files with the same header are read together), or by the
+    order given in ``columns``.  A file without a header needs ``columns``.
     Preamble lines and header are then dropped by keeping only rows whose
     ``date`` is six digits: this needs no line numbers, so every file split is
     read in parallel.  ``NA`` text is read as null.
@@ -67,8 +75,13 @@ def read_climate_csv(spark: SparkSession, paths: str | Sequence[str] | Mapping[s
         if columns is not None:
             layouts.setdefault(tuple(columns), []).append(path)
             continue
-        for file in _files(spark, path):
-            layouts.setdefault(tuple(_header(spark, file) or CLIMATE_COLUMNS), []).append(file)
+        files = _files(spark, path)
+        headers = {unquote(f): names for f, names in _headers(spark, files).items()} if files else {}
+        for file in files:
+            names = headers.get(unquote(file))
+            if names is None:
+                raise ValueError(f"climate file {file} has no header that names a date and a value; give its columns")
+            layouts.setdefault(tuple(names), []).append(file)
     out = None
     for layout, files in layouts.items():
         missing = {"location", "date", "value"} - set(layout)

@@ -1,34 +1,39 @@
 """Poisson and negative-binomial regression with a log link (M2, M3, M5, M7, M8).
 
-Fitting is iteratively reweighted least squares written as Spark
-aggregates.  Each pass is one job: the current coefficients (and theta) of
-every active group sit in a small table that is broadcast to the rows (one
-row per group, so its size is the number of groups, a parameter), every row
-computes its weight ``w`` and working response ``z`` as Column
-expressions, and one ``groupBy(group).agg`` returns the weighted Gram
-matrix ``X'WX``, ``X'Wz``, the deviance, the log-likelihood and the theta
-score and information.  The driver receives ``p(p+1)/2 + p + 6`` numbers
+Each pass over the rows is one aggregate job: the current coefficients (and
+theta) of every active group sit in a small table that is broadcast to the rows
+(one row per group, so its size is the number of groups, a parameter), every row
+computes its weight and working response as Column expressions, and one
+``groupBy(group).agg`` returns the weighted Gram matrix, the right side and the
+deviance or log-likelihood.  The driver receives about ``p(p+1)/2 + 2p`` numbers
 per group and solves a ``p × p`` system.  Groups that have converged drop
 out of the broadcast table, so later passes skip their rows in the join.  A model
 with factors only is fitted on its distinct rows with their counts.
 
-* Poisson: ``w = mu``; start from ``mu = y + 0.1``; stop when the relative
-  change of the deviance is below ``tol`` (the reference's rule).
-* Negative binomial: starts from the Poisson fit and its moment estimate of
-  theta; each pass takes one scoring step for the coefficients at the
-  current theta (``w = mu / (1 + mu / theta)``) and one Newton step for
-  theta at the current means (score and information use digamma and
-  trigamma, see ``functions.special``).  It stops when the log-likelihood
-  and theta settle.  That is the joint maximum likelihood the reference's
-  alternating procedure also reaches.
-
-Ungrouped fits are the one-group case (group key 0).
+* **Rank.**  Columns that depend on earlier ones are found by a Cholesky
+  elimination of the first Gram matrix in column order.  A Gram matrix squares a
+  column's norm and can't tell 1e-7 of it from rounding, so a column that
+  comes out small is confirmed by a pass that sums its residual row by row;
+  below ``RANK_TOL`` of its norm it is aliased: it is left out, published as
+  null, and not counted in rank and AIC.
+* **Poisson.**  Newton's method from ``mu = y + 0.1``.  A step after which the
+  deviance is not finite or has risen is halved towards the last good
+  coefficients (at first: an intercept alone), so a first step that shoots
+  too far does no harm.
+* **Negative binomial.**  Joint Newton steps for the coefficients and log theta from
+  the Poisson fit and its moment estimate of theta, guarded in the same way by the
+  log-likelihood.  The gamma functions of the likelihood depend on a row by its ``y``
+  alone: the driver holds how many rows have each ``y`` (``HISTOGRAM_ROWS`` at most;
+  beyond that the rows compute them), and the passes sum logarithms and quotients.
+
+A fit ends when the next step would gain less than ``tol`` of the criterion;
+that step is still taken.  Ungrouped fits are the one-group case (group key 0).
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -38,24 +43,32 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.special import digamma, lgamma, norm_sf2, trigamma
+from ..functions.special import digamma, gamma_np, lgamma, norm_sf2, trigamma
 from ..session import drop_staged, stage_table
-from .design import Design, build_design, complete_rows
+from .design import Design, Formula, as_formula, build_design, complete_rows, factors_of
 
 #: Past these the likelihood of an under-dispersed group still rises with theta: its limit, the Poisson model, is reported.
 THETA_MAX = 1e8
 THETA_POISSON = 1e5
 #: Groups whose coefficients one fit may hold on the driver, each a p × p system.
 MAX_GROUPS = 100_000
+#: Distinct (group, y) whose counts the driver may hold.
+HISTOGRAM_ROWS = 200_000
+#: A column whose part outside the earlier ones is below this share of its norm is aliased.
+RANK_TOL = 1e-7
+#: Squared shares below this are measured by a pass of their own.
+_DOUBTFUL = 1e-9
+MAX_HALVINGS = 40
 
 
 @dataclass
 class Fit:
     family: str
     names: list[str]
-    beta: np.ndarray          # original units
-    cov: np.ndarray           # original units
+    beta: np.ndarray          # original units; 0 where aliased
+    cov: np.ndarray           # original units; nan where aliased
     beta_scaled: np.ndarray
+    aliased: np.ndarray
     loglik: float
     deviance: float
     n: int
@@ -65,7 +78,8 @@ class Fit:
 
     @property
     def rank(self) -> int:
-        return len(self.names)
+        """Coefficients that were estimated."""
+        return int((~self.aliased).sum())
 
     @property
     def aic(self) -> float:
@@ -73,14 +87,21 @@ class Fit:
         return -2.0 * self.loglik + 2.0 * (self.rank + extra)
 
     def tidy_rows(self) -> list[tuple]:
-        se = np.sqrt(np.clip(np.diag(self.cov), 0.0, None))
         rows = []
-        for name, b, s in zip(self.names, self.beta, se):
+        for k, name in enumerate(self.names):
+            if self.aliased[k]:
+                rows.append((name, None, None, None, None, None, bool(self.converged)))
+                continue
+            b, s = self.beta[k], math.sqrt(max(self.cov[k, k], 0.0))
             z = b / s if s > 0 else float("nan")
-            rows.append((name, float(b), float(s), float(z), float(norm_sf2(z)), float(math.exp(b)), bool(self.converged)))
+            rows.append((name, float(b), float(s), float(z), float(norm_sf2(z)), _exp(b), bool(self.converged)))
         return rows
 
 
+def _exp(x: float) -> float:
+    return math.exp(x) if x < 709 else math.inf
+
+
 TIDY_SCHEMA = T.StructType([
     T.StructField("term", T.StringType()),
     T.StructField("estimate", T.DoubleType()),
@@ -96,102 +117,169 @@ def _pair_index(p: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(p) for j in range(i, p)]
 
 
-def _eta(p: int) -> Column:
-    e = F.col("_beta")[0] * F.col("_x0")
-    for k in range(1, p):
+def linear_predictor(p: int) -> Column:
+    """``_off`` plus the design columns times ``_beta``."""
+    e = F.col("_off")
+    for k in range(p):
         e = e + F.col("_beta")[k] * F.col(f"_x{k}")
     return e
 
 
-@lru_cache(maxsize=32)
-def _pass_exprs(p: int, family: str, start: bool) -> tuple[list[Column], list[Column]]:
-    """Per-row columns and aggregates of a pass.
+def _mean(eta: Column) -> Column:
+    """``exp(eta)``, kept off zero as R's inverse link does."""
+    return F.greatest(F.exp(eta), F.lit(2.220446049250313e-16))
+
+
+def _gram(p: int, w: Column, z: Column) -> list[Column]:
+    c = F.col("_c")
+    out = [F.sum(c * w * F.col(f"_x{i}") * F.col(f"_x{j}")).alias(f"g{i}_{j}") for i, j in _pair_index(p)]
+    return out + [F.sum(c * w * F.col(f"_x{i}") * z).alias(f"b{i}") for i in range(p)]
+
+
+@lru_cache(maxsize=64)
+def _pass_exprs(p: int, kind: str) -> tuple[list[list[Column]], list[Column]]:
+    """Per-row columns (in steps) and aggregates of a pass.
 
-    They depend only on the model size and family (the coefficients come in
+    They depend only on the model size and the kind of pass (the coefficients come in
     through the joined ``_beta`` / ``_theta`` columns), so they are built
-    once and reused by every pass and every fit of that shape.
+    once and reused by every pass and every fit of that shape.  ``b`` holds ``X'r`` for the gradient's
+    ``r``, so a Newton step is ``G⁻¹ b``; in the first pass it is ``X'Wz``.
     """
-    y = F.col("_y")
-    if start:
+    y, c, th = F.col("_y"), F.col("_c"), F.col("_theta")
+    eta, mu = F.col("_eta"), F.col("_mu")
+
+    def total(x: Column, name: str) -> Column:
+        return F.sum(c * x).alias(name)
+
+    if kind == "start":
         # The reference's Poisson start: mu = y + 0.1.
-        mu = y + F.lit(0.1)
-        eta = F.log(mu)
-    else:
-        eta = _eta(p)
-        mu = F.exp(eta)
-    eta_c, mu_c = F.col("_eta"), F.col("_mu")
-    if family == "negbin":
-        w = mu_c / (F.lit(1.0) + mu_c / F.col("_theta"))
-    else:
-        w = mu_c
-    z = eta_c + (y - mu_c) / mu_c
-    per_row = [eta.alias("_eta"), mu.alias("_mu"), w.alias("_w"), z.alias("_z")]
-    mu, w, z = mu_c, F.col("_w"), F.col("_z")
-    ylogy = F.when(y > 0, y * F.log(y / mu)).otherwise(F.lit(0.0))
-    lgy1 = lgamma(y + F.lit(1.0))
-    c = F.col("_c")  # how many rows this one stands for
-
-    def total(x: Column) -> Column:
-        return F.sum(c * x)
-
-    aggs = [total(w * F.col(f"_x{i}") * F.col(f"_x{j}")).alias(f"g{i}_{j}") for i, j in _pair_index(p)]
-    aggs += [total(w * F.col(f"_x{i}") * z).alias(f"b{i}") for i in range(p)]
-    aggs += [F.sum(c).alias("n"),
-             total(F.pow(y / mu - F.lit(1.0), 2)).alias("moment"),
-             total(F.pow(y - mu, 2) - y).alias("overdisp")]
-    if family == "negbin":
-        th = F.col("_theta")
-        aggs += [
-            total(F.lit(2.0) * (ylogy - (y + th) * F.log((y + th) / (mu + th)))).alias("dev"),
-            total(lgamma(th + y) - lgamma(th) - lgy1 + th * F.log(th)
-                  + F.when(y > 0, y * F.log(mu)).otherwise(F.lit(0.0))
-                  - (th + y) * F.log(th + mu)).alias("loglik"),
-            total(digamma(th + y) - digamma(th) + F.log(th) + F.lit(1.0)
-                  - F.log(th + mu) - (y + th) / (mu + th)).alias("score"),
-            total(-trigamma(th + y) + trigamma(th) - F.lit(1.0) / th
-                  + F.lit(2.0) / (mu + th) - (y + th) / F.pow(mu + th, 2)).alias("info"),
-        ]
-    else:
-        aggs += [
-            total(F.lit(2.0) * (ylogy - (y - mu))).alias("dev"),
-            total(F.when(y > 0, y * F.log(mu)).otherwise(F.lit(0.0)) - mu - lgy1).alias("loglik"),
-        ]
-    return per_row, aggs
-
-
-def _pass(rows: DataFrame, state: DataFrame, p: int, family: str, start: bool) -> dict:
-    """One IRLS pass over the rows of the active groups."""
-    per_row, aggs = _pass_exprs(p, family, start)
-    keep = state.select("_g") if start else state
-    data = rows.join(F.broadcast(keep), "_g")  # MAX_GROUPS rows at most
-    data = data.select("*", per_row[0], per_row[1]).select("*", per_row[2], per_row[3])
+        first = [F.log(y + F.lit(0.1)).alias("_eta"), (y + F.lit(0.1)).alias("_mu")]
+        return [first], _gram(p, mu, eta - F.col("_off") + (y - mu) / mu)
+    steps = [[linear_predictor(p).alias("_eta")], [_mean(eta).alias("_mu")]]
+    if kind == "poisson":
+        ylogy = F.when(y > 0, y * F.log(y / mu)).otherwise(F.lit(0.0))
+        return steps, [*_gram(p, mu, (y - mu) / mu),
+                       total(F.lit(2.0) * (ylogy - (y - mu)), "dev"), total(y * eta - mu, "loglik"),
+                       total(F.pow(y / mu - F.lit(1.0), 2), "moment"), total(F.pow(y - mu, 2) - y, "overdisp")]
+    sure = mu / (F.lit(1.0) + mu / th)
+    if kind == "expected":
+        return steps, _gram(p, sure, (y - mu) / mu)[:len(_pair_index(p))]
+    both = th + mu
+    seen = th * mu * (th + y) / (both * both)
+    aggs = [*_gram(p, seen, F.lit(0.0))[:len(_pair_index(p))],
+            *[total(F.col(f"_x{i}") * (y - mu) * th / both, f"b{i}") for i in range(p)],
+            *[total(F.col(f"_x{i}") * (y - mu) * mu / (both * both), f"t{i}") for i in range(p)],
+            total(y * eta - (y + th) * F.log(both), "loglik"),
+            total(F.lit(1.0) - F.log(both) - (y + th) / both, "score"),
+            total(F.lit(-2.0) / both + (y + th) / (both * both), "second"),
+            total(F.lit(2.0) * (F.when(y > 0, y * F.log(y / mu)).otherwise(F.lit(0.0))
+                                - (y + th) * F.log((y + th) / both)), "dev")]
+    if kind == "negbin_gamma":
+        aggs += [total(lgamma(th + y) - lgamma(th), "h0"), total(digamma(th + y) - digamma(th), "h1"),
+                 total(trigamma(th + y) - trigamma(th), "h2")]
+    return steps, aggs
+
+
+def _pass(rows: DataFrame, state: DataFrame, p: int, kind: str) -> dict[int, dict]:
+    """One pass over the rows of the active groups."""
+    steps, aggs = _pass_exprs(p, kind)
+    data = rows.join(F.broadcast(state), "_g")  # MAX_GROUPS rows at most
+    for step in steps:
+        data = data.select("*", *step)
     out = {}
     for r in data.groupBy("_g").agg(*aggs).collect():
+        found = r.asDict()
         G = np.zeros((p, p))
         for i, j in _pair_index(p):
-            G[i, j] = G[j, i] = r[f"g{i}_{j}"]
-        b = np.array([r[f"b{i}"] for i in range(p)])
-        out[r["_g"]] = {"G": G, "b": b, "n": r["n"], "dev": r["dev"], "loglik": r["loglik"],
-                        "moment": r["moment"], "overdisp": r["overdisp"], "score": r["score"] if family == "negbin" else None,
-                        "info": r["info"] if family == "negbin" else None}
+            G[i, j] = G[j, i] = found.pop(f"g{i}_{j}")
+        found["G"] = G
+        for name in "bt":
+            if f"{name}0" in found:
+                found[name] = np.array([found.pop(f"{name}{i}") for i in range(p)])
+        out[found.pop("_g")] = found
     return out
 
 
-def _solve(G: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _finite(*values) -> bool:
+    return all(v is not None and np.all(np.isfinite(v)) for v in values)
+
+
+def _on(keep: np.ndarray, G: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The solution on the estimated columns, 0 elsewhere."""
+    out = np.zeros(len(b))
     try:
-        return np.linalg.solve(G, b)
+        out[keep] = np.linalg.solve(G[np.ix_(keep, keep)], b[keep])
     except np.linalg.LinAlgError:
-        return np.linalg.lstsq(G, b, rcond=None)[0]
+        out[keep] = np.linalg.lstsq(G[np.ix_(keep, keep)], b[keep], rcond=None)[0]
+    return out
 
 
-def _inv(G: np.ndarray) -> np.ndarray:
+def _inverse_on(keep: np.ndarray, G: np.ndarray) -> np.ndarray:
+    out = np.full(G.shape, np.nan)
     try:
-        return np.linalg.inv(G)
+        out[np.ix_(keep, keep)] = np.linalg.inv(G[np.ix_(keep, keep)])
     except np.linalg.LinAlgError:
-        return np.linalg.pinv(G)
+        out[np.ix_(keep, keep)] = np.linalg.pinv(G[np.ix_(keep, keep)])
+    return out
 
 
-def _state_df(spark: SparkSession, betas: dict, thetas: dict | None) -> DataFrame:
+def eliminated(G: np.ndarray, sure: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """``(kept, share)``: Cholesky elimination in column order, pivots that come out small passed over.
+
+    ``share`` is what is left of each column's squared norm outside the kept ones before it.
+    A column in ``sure`` is kept whatever its share.
+    """
+    p = len(G)
+    kept, share = np.zeros(p, bool), np.zeros(p)
+    rest = G.astype(float).copy()
+    for k in range(p):
+        share[k] = rest[k, k] / G[k, k] if G[k, k] > 0 else 0.0
+        if share[k] > _DOUBTFUL or (sure is not None and sure[k] and rest[k, k] > 0):
+            kept[k] = True
+            rest[k + 1:, k + 1:] -= np.outer(rest[k + 1:, k], rest[k, k + 1:]) / rest[k, k]
+    return kept, share
+
+
+def _independent(rows: DataFrame, grams: Mapping[int, np.ndarray], p: int) -> dict[int, np.ndarray]:
+    """Which columns each group's model can estimate."""
+    spark = rows.sparkSession
+    known = {g: eliminated(G) for g, G in grams.items()}
+    sure = {g: kept.copy() for g, (kept, _) in known.items()}
+    # A column that is 0 in every row needs no measuring.
+    open_ = {g: [k for k in range(p) if not kept[k] and grams[g][k, k] > 0] for g, (kept, _) in known.items()}
+    while any(open_.values()):
+        asked = sorted({ks[0] for ks in open_.values() if ks})
+        schema = T.StructType([T.StructField("_g", T.LongType()),
+                               *[T.StructField(f"_a{k}", T.ArrayType(T.DoubleType())) for k in asked]])
+        state = []
+        for g, ks in open_.items():
+            if not ks:
+                continue
+            fit = []
+            for k in asked:
+                before = sure[g] & (np.arange(p) < k)
+                fit.append([float(v) for v in _on(before, grams[g], grams[g][:, k])] if ks[0] == k else None)
+            state.append((int(g), *fit))
+        aggs = []
+        for k in asked:
+            fitted = sum((F.col(f"_a{k}")[j] * F.col(f"_x{j}") for j in range(k)), F.lit(0.0))
+            gap = F.col(f"_x{k}") - fitted
+            aggs += [F.sum(F.col("_c") * gap * gap).alias(f"r{k}"), F.sum(F.col("_c") * F.col(f"_x{k}") * F.col(f"_x{k}")).alias(f"q{k}")]
+        found = rows.join(F.broadcast(spark.createDataFrame(state, schema)), "_g").groupBy("_g").agg(*aggs).collect()
+        for r in found:
+            g = r["_g"]
+            k = open_[g].pop(0)
+            sure[g][k] = r[f"r{k}"] > RANK_TOL ** 2 * r[f"q{k}"]
+        for g, ks in open_.items():
+            if ks:
+                # With one more column kept, others may need no measuring now.
+                kept, _ = eliminated(grams[g], sure[g])
+                sure[g] |= kept & (np.arange(p) >= ks[0])
+                open_[g] = [k for k in ks if not sure[g][k]]
+    return sure
+
+
+def _state_df(spark: SparkSession, betas: Mapping[int, Sequence[float] | None], thetas: Mapping[int, float] | None = None) -> DataFrame:
     schema = T.StructType([T.StructField("_g", T.LongType()),
                            T.StructField("_beta", T.ArrayType(T.DoubleType())),
                            T.StructField("_theta", T.DoubleType())])
@@ -211,187 +299,289 @@ def stable_rows(rows: DataFrame) -> DataFrame:
     derived from it inside each pass, so the staged table stays as narrow as
     the model's inputs.
     """
-    return stage_table(rows, "model-rows").persist(StorageLevel.MEMORY_AND_DISK)
+    staged = stage_table(rows, "model-rows")
+    out = staged.persist(StorageLevel.MEMORY_AND_DISK)
+    out._staged_path = staged._staged_path
+    return out
 
 
 def prepare_rows(df: DataFrame, design: Design, group: Column | None = None) -> DataFrame:
-    """Project the model columns once: ``_g, _y, _c, _x0 .. _x{p-1}`` (``_c``: rows that a row stands for)."""
+    """Project the model columns once: ``_g, _y, _off, _c, _x0 .. _x{p-1}`` (``_c``: rows that a row stands for)."""
     c = F.col("_c") if "_c" in df.columns else F.lit(1).cast("long").alias("_c")
     g = F.lit(0).cast("long") if group is None else group.cast("long")
-    cols = [g.alias("_g"), F.col(design.response).cast("double").alias("_y"), c]
+    cols = [g.alias("_g"), F.col(f"`{design.response}`").cast("double").alias("_y"), design.offset().alias("_off"), c]
     cols += [c.alias(f"_x{k}") for k, c in enumerate(design.columns())]
     return df.select(*cols)
 
 
+@dataclass
+class Counts:
+    """What a group's rows say by ``y`` alone: how many have each (if held), and sums."""
+
+    y: np.ndarray | None
+    c: np.ndarray | None
+    n: int
+    sum_y: float
+    ylogy: float
+    lgamma: float
+    off: float        # sum of y * offset
+    exp_off: float    # sum of exp(offset)
+
+    def start(self, design: Design) -> tuple[np.ndarray, float]:
+        """The coefficients without regressors, and their Poisson deviance."""
+        beta = np.zeros(design.p)
+        rate = 1.0
+        if design.formula.intercept:
+            rate = max(self.sum_y, 1e-10) / max(self.exp_off, 1e-300)
+            beta[0] = math.log(rate)
+        return beta, 2.0 * (self.ylogy - self.off - self.sum_y * math.log(rate) - self.sum_y + rate * self.exp_off)
+
+    def gamma_terms(self, theta: float) -> tuple[float, float, float]:
+        """Sums of ``lgamma(theta + y) - lgamma(theta)`` and of its two derivatives."""
+        return tuple(float(self.c @ (own - base)) for own, base in zip(gamma_np(theta + self.y), gamma_np(np.array([theta])), strict=True))
+
+
+def _counts(rows: DataFrame) -> dict[int, Counts]:
+    """Counts of ``y`` per group, or only sums where there are too many different ones."""
+    table = rows.groupBy("_g", "_y").agg(F.sum("_c").alias("c"), F.sum(F.col("_c") * F.col("_y") * F.col("_off")).alias("off"),
+                                         F.sum(F.col("_c") * F.exp("_off")).alias("exp_off"))
+    found = table.limit(HISTOGRAM_ROWS + 1).collect()
+    out: dict[int, Counts] = {}
+    if len(found) <= HISTOGRAM_ROWS:
+        by: dict[int, list] = {}
+        for r in found:
+            by.setdefault(r["_g"], []).append(r)
+        for g, own in by.items():
+            y, c = np.array([r["_y"] for r in own], float), np.array([r["c"] for r in own], float)
+            logs = np.where(y > 0, y * np.log(np.where(y > 0, y, 1.0)), 0.0)
+            out[g] = Counts(y, c, int(c.sum()), float(c @ y), float(c @ logs), float(c @ gamma_np(y + 1.0)[0]),
+                            math.fsum(r["off"] for r in own), math.fsum(r["exp_off"] for r in own))
+        return out
+    y, c = F.col("_y"), F.col("_c")
+    sums = rows.groupBy("_g").agg(
+        F.sum(c).alias("n"), F.sum(c * y).alias("sy"), F.sum(c * F.when(y > 0, y * F.log(y)).otherwise(0.0)).alias("yl"),
+        F.sum(c * lgamma(y + F.lit(1.0))).alias("lg"), F.sum(c * y * F.col("_off")).alias("off"), F.sum(c * F.exp("_off")).alias("eo"))
+    for r in sums.collect():
+        out[r["_g"]] = Counts(None, None, int(r["n"]), r["sy"], r["yl"], r["lg"], r["off"], r["eo"])
+    return out
+
+
 def fit_groups(rows: DataFrame, design: Design, family: str = "poisson",
-               tol: float = 1e-8, max_iter: int = 50,
-               groups: Sequence[int] | None = None) -> dict[int, Fit]:
+               tol: float = 1e-10, max_iter: int = 100,
+               groups: Sequence[int] | None = None, initial: Fit | Mapping[str, Fit] | None = None,
+               standard_errors: bool = True) -> dict:
     """Fit one model per value of ``_g`` in ``rows`` (see ``prepare_rows``).
 
     ``groups`` lists the group keys when the caller knows them (one fit, or
-    the CV split ids); otherwise they are read with a distinct query.
+    the CV split ids); otherwise they are those that occur.  ``initial`` is a fit of all rows
+    to start every group's from (for ``both``, one of each family), where the groups are samples of one table.
     """
-    spark = rows.sparkSession
-    p = design.p
+    spark, p = rows.sparkSession, design.p
     if groups is None:
         groups = [r["_g"] for r in rows.select("_g").distinct().limit(MAX_GROUPS + 1).collect()]
-    groups = list(groups)
     if len(groups) > MAX_GROUPS:
         raise ValueError(f"{len(groups)} groups to fit at once; the limit is {MAX_GROUPS}, fit them in parts")
-    betas: dict = {g: None for g in groups}
-    dev_old: dict = {g: None for g in groups}
-    last: dict = {}
-    its: dict = {g: 0 for g in groups}
-    done: dict = {}
-    # Poisson fit (also the start of the negative binomial).
-    active = set(groups)
-    start = True
-    for _ in range(max_iter + 1):
+    counts = _counts(rows)
+    # A listed group without rows has nothing to fit.
+    groups = [g for g in groups if g in counts]
+    given = {family: initial} if isinstance(initial, Fit) else dict(initial or {})
+    start = given.get("poisson") or given.get("negbin")
+    if start is None:
+        first = _pass(rows, _state_df(spark, dict.fromkeys(groups)), p, "start") if groups else {}
+        keep = _independent(rows, {g: first[g]["G"] for g in groups}, p)
+        trial = {g: _on(keep[g], first[g]["G"], first[g]["b"]) for g in groups}
+    else:
+        keep, trial = {}, dict.fromkeys(groups, start.beta_scaled)
+    fits: dict[int, Fit] = {}
+    good = {g: (*counts[g].start(design), None) for g in groups}  # coefficients, deviance, what the pass found
+    its, halved, active = dict.fromkeys(groups, 0), dict.fromkeys(groups, 0), set(groups)
+    last: dict[int, dict] = {}
+    for _ in range(max_iter):
         if not active:
             break
-        res = _pass(rows, _state_df(spark, {g: betas[g] for g in active}, None), p, "poisson", start)
-        if start:
-            # A listed group without rows has nothing to fit.
-            groups = [g for g in groups if g in res]
-            active &= set(groups)
+        res = _pass(rows, _state_df(spark, {g: trial[g] for g in active}), p, "poisson")
+        if not keep and active:
+            keep = _independent(rows, {g: res[g]["G"] for g in groups}, p)
         for g in list(active):
-            r = res[g]
-            if not start and dev_old[g] is not None and \
-                    abs(r["dev"] - dev_old[g]) / (abs(r["dev"]) + 0.1) < tol:
-                # Keep the update from the last weights, as the reference does.
-                betas[g] = _solve(r["G"], r["b"])
-                done[g] = True
-                last[g] = r
-                active.discard(g)
-                continue
-            dev_old[g] = r["dev"]
-            betas[g] = _solve(r["G"], r["b"])
-            last[g] = r
+            r, (beta, dev, _) = res[g], good[g]
             its[g] += 1
-        start = False
-    fits: dict[int, Fit] = {}
+            if not _finite(r["dev"], r["G"], r["b"]) or r["dev"] > dev + 1e-9 * (abs(dev) + 0.1):
+                halved[g] += 1
+                trial[g] = (trial[g] + beta) / 2
+                if halved[g] > MAX_HALVINGS:
+                    active.discard(g)
+                continue
+            halved[g] = 0
+            good[g] = (trial[g], r["dev"], r)
+            step = _on(keep[g], r["G"], r["b"])
+            gain = float(step @ r["b"])
+            trial[g] = trial[g] + step
+            if gain <= tol * (abs(r["dev"]) + 0.1):
+                # The last step is taken; its gain is known to second order.
+                good[g] = (trial[g], r["dev"] - gain, {**r, "loglik": r["loglik"] + gain / 2})
+                active.discard(g)
     for g in groups:
-        fits[g] = _make_fit("poisson", design, betas[g], last[g], None, its[g], g in done)
+        beta, dev, r = good[g]
+        if r is None:  # never better than no regressors: report that, not converged
+            last[g] = {"G": np.full((p, p), np.nan), "loglik": -dev / 2 + counts[g].ylogy - counts[g].sum_y, "moment": None, "overdisp": None}
+        else:
+            last[g] = r
+        fits[g] = _make_fit("poisson", design, beta, keep[g], last[g]["G"], last[g]["loglik"] - counts[g].lgamma, dev, counts[g].n,
+                            None, its[g], g not in active and r is not None and halved[g] <= MAX_HALVINGS)
     if family == "poisson":
         return fits
-    nb = _fit_negbin(rows, design, fits, last, tol, max_iter)
+    nb = _fit_negbin(rows, design, fits, last, counts, given.get("negbin"), tol, max_iter, standard_errors)
     if family == "both":
         return {g: {"poisson": fits[g], "negbin": nb[g]} for g in groups}
     return nb
 
 
-def _fit_negbin(rows: DataFrame, design: Design, pois: dict[int, Fit], last: dict,
-                tol: float, max_iter: int) -> dict[int, Fit]:
-    spark = rows.sparkSession
-    p = design.p
-    betas = {g: f.beta_scaled for g, f in pois.items()}
-    thetas = {}
-    for g, r in last.items():
-        m = r["moment"]
-        thetas[g] = min(THETA_MAX, r["n"] / m) if m and m > 0 else THETA_MAX
-    ll_old = {g: None for g in betas}
-    active = set(betas)
-    fits: dict[int, Fit] = {}
+def _fit_negbin(rows: DataFrame, design: Design, pois: dict[int, Fit], last: dict, counts: dict[int, Counts],
+                initial: Fit | None, tol: float, max_iter: int, standard_errors: bool) -> dict[int, Fit]:
+    spark, p = rows.sparkSession, design.p
+    held = all(c.y is not None for c in counts.values())
+    near = initial is not None and initial.theta is not None and math.isfinite(initial.theta)
+    trial, active, fits = {}, set(), {}
     for g, r in last.items():
         # Not over-dispersed at the Poisson fit: the likelihood rises all the
         # way to theta = infinity, where the model is the Poisson one.
-        if r["overdisp"] is not None and r["overdisp"] <= 0:
+        if r["overdisp"] is None or r["overdisp"] <= 0:
             fits[g] = _poisson_limit(pois[g])
-            active.discard(g)
-    its = {g: 0 for g in betas}
+            continue
+        active.add(g)
+        theta = initial.theta if near else min(THETA_POISSON, counts[g].n / r["moment"]) if r["moment"] > 0 else THETA_POISSON
+        trial[g] = (np.where(pois[g].aliased, 0.0, initial.beta_scaled if near else pois[g].beta_scaled), math.log(theta))
+    good: dict[int, tuple] = {}
+    its, halved, done = dict.fromkeys(active, 0), dict.fromkeys(active, 0), set()
     for _ in range(max_iter):
         if not active:
             break
-        res = _pass(rows, _state_df(spark, {g: betas[g] for g in active},
-                                    {g: thetas[g] for g in active}), p, "negbin", False)
+        state = _state_df(spark, {g: trial[g][0] for g in active}, {g: math.exp(trial[g][1]) for g in active})
+        res = _pass(rows, state, p, "negbin" if held else "negbin_gamma")
         for g in list(active):
-            r = res[g]
-            th = thetas[g]
-            step = r["score"] / r["info"] if r["info"] and r["info"] > 0 else None
-            if step is None:
-                new_th = th * (2.0 if r["score"] > 0 else 0.5)
-            else:
-                new_th = th + step
-                if new_th <= 0:
-                    new_th = th / 2.0
-            new_th = min(new_th, THETA_MAX)
-            ll = r["loglik"]
-            ll_flat = ll_old[g] is not None and abs(ll - ll_old[g]) / (abs(ll) + 0.1) < tol * 1e-2
-            # theta past THETA_POISSON with a flat likelihood: the counts are not
+            r, (beta, tau) = res[g], trial[g]
+            theta, keep = math.exp(tau), ~pois[g].aliased
+            its[g] += 1
+            h = counts[g].gamma_terms(theta) if held else (r["h0"], r["h1"], r["h2"])
+            ll = r["loglik"] + h[0] + counts[g].n * theta * tau - counts[g].lgamma
+            before = good.get(g)
+            worse = before is not None and ll < before[2] - 1e-10 * (abs(before[2]) + 0.1)
+            if not _finite(ll, r["G"], r["b"]) or worse:
+                halved[g] += 1
+                if before is None or halved[g] > MAX_HALVINGS:
+                    active.discard(g)
+                else:
+                    trial[g] = ((beta + before[0]) / 2, (tau + before[1]) / 2)
+                continue
+            halved[g] = 0
+            score = r["score"] + h[1] + counts[g].n * tau
+            second = r["second"] + h[2] + counts[g].n / theta
+            good[g] = (beta, tau, ll, r["dev"])
+            # theta past THETA_POISSON with a rising likelihood: the counts are not
             # over-dispersed and the model is the Poisson one (theta = infinity).
-            if th >= THETA_MAX or (th > THETA_POISSON and r["score"] > 0):
+            if theta >= THETA_MAX or (theta > THETA_POISSON and score > 0):
                 fits[g] = _poisson_limit(pois[g])
                 active.discard(g)
                 continue
-            if ll_flat and abs(new_th - th) / th < 1e-6:
-                fits[g] = _make_fit("negbin", design, betas[g], r, th, its[g], True)
+            slope, bend, cross = theta * score, -(theta * theta * second + theta * score), -theta * r["t"]
+            step, move, gain = _newton(keep, r["G"], r["b"], cross, slope, bend)
+            trial[g] = (beta + step, tau + move)
+            if gain <= 2 * tol * (abs(ll) + 0.1) and abs(move) < 1e-4:
+                good[g] = (*trial[g], ll + gain / 2, r["dev"])
+                done.add(g)
                 active.discard(g)
-                continue
-            ll_old[g] = ll
-            betas[g] = _solve(r["G"], r["b"])
-            thetas[g] = new_th
-            its[g] += 1
-            fits[g] = _make_fit("negbin", design, betas[g], r, th, its[g], False)
+    left = {g: v for g, v in good.items() if g not in fits}
+    grams = {}
+    if left and standard_errors:
+        grams = _pass(rows, _state_df(spark, {g: v[0] for g, v in left.items()}, {g: math.exp(v[1]) for g, v in left.items()}), p, "expected")
+    for g, (beta, tau, ll, dev) in left.items():
+        G = grams[g]["G"] if g in grams else np.full((p, p), np.nan)
+        fits[g] = _make_fit("negbin", design, beta, ~pois[g].aliased, G, ll, dev, counts[g].n, math.exp(tau), its[g], g in done)
+    for g in pois:
+        fits.setdefault(g, _poisson_limit(pois[g], False))
     return fits
 
 
-def _poisson_limit(f: Fit) -> Fit:
+def _newton(keep: np.ndarray, G: np.ndarray, b: np.ndarray, cross: np.ndarray, slope: float, bend: float) -> tuple[np.ndarray, float, float]:
+    """``(step, move, gain)`` for the coefficients and log theta; apart where they are not at a joint maximum's side."""
+    H = np.block([[G, cross[:, None]], [cross[None, :], np.array([[bend]])]])
+    both, grad = np.append(keep, True), np.append(b, slope)
+    try:
+        np.linalg.cholesky(H[np.ix_(both, both)])
+        joint = _on(both, H, grad)
+        if abs(joint[-1]) <= 2.0:
+            return joint[:-1], float(joint[-1]), float(joint @ grad)
+    except np.linalg.LinAlgError:
+        pass
+    step = _on(keep, G, b)
+    move = max(-2.0, min(2.0, slope / bend)) if bend > 0 else math.copysign(1.0, slope)
+    return step, move, math.inf
+
+
+def _poisson_limit(f: Fit, converged: bool = True) -> Fit:
     """The negative binomial at theta = infinity: the Poisson fit."""
-    return Fit("negbin", f.names, f.beta, f.cov, f.beta_scaled, f.loglik, f.deviance, f.n, math.inf, f.iterations, f.converged)
+    return Fit("negbin", f.names, f.beta, f.cov, f.beta_scaled, f.aliased, f.loglik, f.deviance, f.n, math.inf, f.iterations,
+               f.converged and converged)
 
 
-def _make_fit(family: str, design: Design, beta_scaled, r: dict, theta, its: int, converged: bool) -> Fit:
+def _make_fit(family: str, design: Design, beta_scaled, keep: np.ndarray, G: np.ndarray, loglik: float, deviance: float, n: int,
+              theta, its: int, converged: bool) -> Fit:
     T_ = design.to_original()
-    cov_s = _inv(r["G"])
-    beta_scaled = np.asarray(beta_scaled, dtype=float)
-    return Fit(family=family, names=list(design.names), beta=T_ @ beta_scaled,
-               cov=T_ @ cov_s @ T_.T, beta_scaled=beta_scaled, loglik=float(r["loglik"]),
-               deviance=float(r["dev"]), n=int(r["n"]), theta=theta, iterations=its,
-               converged=converged)
+    beta_scaled = np.where(keep, np.asarray(beta_scaled, dtype=float), 0.0)
+    cov_s = _inverse_on(keep, G) if _finite(G) else np.full(G.shape, np.nan)
+    cov = np.full(G.shape, np.nan)
+    cov[np.ix_(keep, keep)] = T_[np.ix_(keep, keep)] @ cov_s[np.ix_(keep, keep)] @ T_[np.ix_(keep, keep)].T
+    return Fit(family=family, names=list(design.names), beta=T_ @ beta_scaled, cov=cov, beta_scaled=beta_scaled, aliased=~keep,
+               loglik=float(loglik), deviance=float(deviance), n=int(n), theta=theta, iterations=its, converged=converged)
 
 
-def glm(df: DataFrame, response: str, terms: Sequence[str], factors: Sequence[str] = (),
-        family: str = "poisson", levels: dict | None = None, tol: float = 1e-8,
-        max_iter: int = 50) -> Fit:
-    """Fit one model on all complete rows of ``df``.
+def glm(df: DataFrame, formula: Formula | str, family: str = "poisson", levels: dict | None = None,
+        factors: Sequence[str] | None = None, tol: float = 1e-10, max_iter: int = 100) -> Fit:
+    """Fit one model, such as ``glm(df, "count_region ~ year + region")``, on all complete rows of ``df``.
 
     ``family`` is ``poisson``, ``negbin`` or ``both`` (then a dict of the
     two fits; the negative binomial starts from that Poisson fit anyway).
+    ``factors`` names the variables to code by level; by default those of text and boolean type.
 
     The complete rows are staged once (``stable_rows``); the design reads
     its constants from them and every pass derives the design columns from
     them on the fly.
     """
-    rows = complete_rows(df.select(response, *terms), response, terms)
-    if set(terms) <= set(factors):
+    formula = as_formula(formula)
+    rows = complete_rows(df, formula)
+    factors = factors_of(rows, formula) if factors is None else factors
+    if set(formula.variables) <= set(factors):
         # Few distinct rows: every pass reads them with their counts.
-        rows = rows.groupBy(response, *terms).agg(F.count(F.lit(1)).alias("_c"))
+        rows = rows.groupBy(*[f"`{c}`" for c in rows.columns]).agg(F.count(F.lit(1)).alias("_c"))
     data = stable_rows(rows)
     try:
-        design = build_design(data, response, terms, factors, levels)
-        return fit_groups(prepare_rows(data, design), design, family, tol, max_iter, groups=[0])[0]
+        design = build_design(data, formula, factors, levels)
+        fits = fit_groups(prepare_rows(data, design), design, family, tol, max_iter, groups=[0])
+        if not fits:
+            raise ValueError(f"no complete rows to fit {formula.response} on")
+        return fits[0]
     finally:
         data.unpersist()
         drop_staged(data)
 
 
-def score_check(df: DataFrame, response: str, terms: Sequence[str], factors: Sequence[str] = (),
-                family: str = "poisson") -> DataFrame:
+def score_check(df: DataFrame, formula: Formula | str, family: str = "poisson") -> DataFrame:
     """``term, score``: what the likelihood's derivative still is at the fitted model, as a share of its terms' sizes.
 
     Zero for every coefficient (and for ``theta``, if finite) at the maximum.
     """
-    fitted = glm(df, response, terms, factors, family)
-    rows = complete_rows(df.select(response, *terms), response, terms)
-    design = build_design(rows, response, terms, factors)
+    formula = as_formula(formula)
+    fitted = glm(df, formula, family)
+    rows = complete_rows(df, formula)
+    design = build_design(rows, formula)
     x = [F.col(f"_x{k}") for k in range(design.p)]
-    eta = sum((F.lit(float(b)) * x[k] for k, b in enumerate(fitted.beta_scaled)), F.lit(0.0))
+    eta = sum((F.lit(float(b)) * x[k] for k, b in enumerate(fitted.beta_scaled)), F.col("_off"))
     data = prepare_rows(rows, design).withColumn("_mu", F.exp(eta))
     y, mu, th = F.col("_y"), F.col("_mu"), fitted.theta
     finite = family == "negbin" and th is not None and math.isfinite(th)
     weight = F.lit(1.0) / (F.lit(1.0) + mu / F.lit(float(th))) if finite else F.lit(1.0)
-    aggs = [(F.abs(F.sum(weight * c * (y - mu))) / F.sum(F.abs(weight * c) * (y + mu))).alias(design.names[k])
-            for k, c in enumerate(x)]
+    aggs = [F.coalesce(F.abs(F.sum(weight * c * (y - mu))) / F.nullif(F.sum(F.abs(weight * c) * (y + mu)), F.lit(0.0)), F.lit(0.0))
+            .alias(design.names[k]) for k, c in enumerate(x)]
     if finite:
         t = F.lit(float(th))
         part = (digamma(t + y) - digamma(t) + F.log(t) + F.lit(1.0) - F.log(t + mu) - (y + t) / (mu + t))
@@ -401,13 +591,14 @@ def score_check(df: DataFrame, response: str, terms: Sequence[str], factors: Seq
 
 
 def tidy(spark: SparkSession, fit: Fit) -> DataFrame:
-    """Coefficient table: term, estimate, std_error, statistic, p_value, exp_estimate."""
+    """Coefficient table: term, estimate, std_error, statistic, p_value, exp_estimate; nulls for aliased terms."""
     return spark.createDataFrame(fit.tidy_rows(), TIDY_SCHEMA)
 
 
 GLANCE_SCHEMA = T.StructType([
     T.StructField("model", T.StringType()),
     T.StructField("n", T.LongType()),
+    T.StructField("rank", T.IntegerType()),
     T.StructField("loglik", T.DoubleType()),
     T.StructField("aic", T.DoubleType()),
     T.StructField("deviance", T.DoubleType()),
@@ -417,6 +608,6 @@ GLANCE_SCHEMA = T.StructType([
 
 
 def glance(spark: SparkSession, fits: dict[str, Fit]) -> DataFrame:
-    """One-row-per-model summary (log-likelihood, AIC, deviance, theta)."""
-    rows = [(name, f.n, f.loglik, f.aic, f.deviance, f.theta, f.converged) for name, f in fits.items()]
+    """One-row-per-model summary (rank, log-likelihood, AIC, deviance, theta)."""
+    rows = [(name, f.n, f.rank, f.loglik, f.aic, f.deviance, f.theta, f.converged) for name, f in fits.items()]
     return spark.createDataFrame(rows, GLANCE_SCHEMA)

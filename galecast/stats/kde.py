@@ -21,6 +21,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,28 +50,27 @@ def density(df: DataFrame, col: str, by: Sequence[str] = (), n: int = 512) -> Da
         df = df.withColumn("_all", F.lit(0))
     values = df.select(*by, F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     freq = stage_table(values.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c")), "density-values")
-    quartiles = exact_quantiles(freq, by, [0.25, 0.75]).withColumnRenamed("q0", "_q1") \
-        .withColumnRenamed("q1", "_q3")
     stats = stage_table(freq.groupBy(*by).agg(
-        F.sum("_c").alias("_n"),
-        (F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("_mean"),
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
-        F.min(F.abs("_v")).alias("_first_abs"),
-    ), "density-stats")
-    # Sample standard deviation around the group's own mean: a difference of
-    # two large sums would lose it where the values are far from zero.
-    gap = F.col("_v") - F.col("_mean")
-    squares = (attach_groups(freq, stats.select(*by, "_mean"), by, ["_v"]).groupBy(*by)
-               .agg(F.sum(gap * gap * F.col("_c")).alias("_ss")))
-    stats = attach_groups(attach_groups(stats, stage_table(quartiles, "density-quartiles"), by, by),
-                          stage_table(squares, "density-squares"), by, by)
+        F.sum("_c").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.min(F.abs("_v")).alias("_first_abs"),
+    ), "density-stats", small=True)
+    quartiles = exact_quantiles(freq, by, [0.25, 0.75], stats=stats)
+    # Squares around the least value: its own gap to the mean is in the sum, so the difference
+    # of the two sums below keeps all but a factor n of a double's precision.
+    gap = F.col("_v") - F.col("_lo")
+    squares = attach_groups(freq, stats, by, ["_v"]).groupBy(*by).agg(
+        F.first("_n").alias("_n"), F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"), F.first("_first_abs").alias("_first_abs"),
+        F.sum(gap * gap * F.col("_c")).alias("_s2"), F.sum(gap * F.col("_c")).alias("_s1"))
+    squares = squares.withColumn("_ss", F.greatest(F.col("_s2") - F.col("_s1") * F.col("_s1") / F.col("_n"), F.lit(0.0)))
+    keys = [F.col(c).alias(f"_k_{c}") for c in by]
+    quartiles = quartiles.select(*keys, F.col("q0").alias("_q1"), F.col("q1").alias("_q3"))
+    stats = squares.join(quartiles, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in by]))  # one row a group on either side
     sd = F.when(F.col("_n") > 1, F.sqrt(F.col("_ss") / (F.col("_n") - F.lit(1)))).otherwise(F.lit(0.0))
     stats = stage_table(stats.select(
         *by, "_n", "_lo",
         F.when(F.col("_hi") > F.col("_lo"), (F.col("_hi") - F.col("_lo")) / F.lit(n - 1))
          .otherwise(F.lit(0.0)).alias("_delta"),
         bandwidth_nrd0(sd, F.col("_q3") - F.col("_q1"), F.col("_n"), F.col("_first_abs")).alias("_bw"),
-    ), "density-groups")
+    ), "density-groups", small=True)
     # Linear binning onto the grid.
     pos = F.when(F.col("_delta") > 0, (F.col("_v") - F.col("_lo")) / F.col("_delta")).otherwise(F.lit(0.0))
     binned = attach_groups(freq, stats, by, ["_v"])

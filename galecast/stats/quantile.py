@@ -25,7 +25,6 @@ Quantiles use the definition of R's and DuckDB's default (type 7):
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,54 +41,55 @@ def _refine(freq: DataFrame, targets: DataFrame, by: list[str], bins: int) -> Da
                      F.lit(bins - 1))
     hist = (attach_groups(freq, open_t, by, ["_v"])
             .where(F.col("_v").between(F.col("_a"), F.col("_b")))
-            .groupBy(*by, "_t", "_r", bucket.alias("_k"))
+            .groupBy(*by, "_t", "_w", "_r", bucket.alias("_k"))
             .agg(F.sum("_c").alias("_kc"), F.min("_v").alias("_kmin"), F.max("_v").alias("_kmax")))
     w = Window.partitionBy(*by, "_t").orderBy("_k")
     hist = hist.withColumn("_cum", F.sum("_kc").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     hit = hist.where((F.col("_cum") - F.col("_kc") <= F.col("_r")) & (F.col("_r") < F.col("_cum")))
-    moved = hit.select(*by, "_t",
+    moved = hit.select(*by, "_t", "_w",
                        (F.col("_r") - (F.col("_cum") - F.col("_kc"))).alias("_r"),
                        F.col("_kmin").alias("_a"), F.col("_kmax").alias("_b"),
                        (F.col("_kmin") == F.col("_kmax")).alias("_done"))
     return targets.where(F.col("_done")).unionByName(moved)
 
 
+def settled(freq: DataFrame, targets: DataFrame, by: list[str], bins: int = 4096, max_passes: int = 64) -> DataFrame:
+    """The targets ``by..., _t, _w, _r, _a, _b, _done`` refined until ``_a = _b`` is the value of rank ``_r`` within ``_a.._b``.
+
+    ``freq`` has ``by..., _v, _c``; ``_w`` is carried along.
+    """
+    for _ in range(max_passes):
+        before, targets = targets, stage_table(_refine(freq, targets, by, bins), "quantile-targets", small=True)
+        drop_staged(before)
+        if targets.where(~F.col("_done")).isEmpty():
+            return targets
+    raise RuntimeError("quantiles: refinement did not settle")
+
+
 def exact_quantiles(freq: DataFrame, by: Sequence[str], probs: Sequence[float],
                     value: str = "_v", count: str = "_c", bins: int = 4096,
-                    max_passes: int = 64) -> DataFrame:
+                    max_passes: int = 64, stats: DataFrame | None = None) -> DataFrame:
     """``by..., q0, q1, ...`` (type-7 quantiles at ``probs``) per group.
 
     ``freq`` has one row per group and value with its count (a plain table
     is the case ``count`` = 1 per row); null values must be removed first.
+    ``stats`` has ``by..., _n, _lo, _hi`` per group where the caller knows them.
     """
     by = list(by)
     freq = freq.select(*by, F.col(value).cast("double").alias("_v"), F.col(count).cast("long").alias("_c"))
-    stats = freq.groupBy(*by).agg(F.sum("_c").alias("_n"), F.min("_v").alias("_lo"),
-                                  F.max("_v").alias("_hi"))
-    # Two order statistics per probability: ranks floor(h) and floor(h) + 1.
+    if stats is None:
+        stats = stage_table(freq.groupBy(*by).agg(F.sum("_c").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")),
+                            "quantile-groups", small=True)
+    # Two order statistics per probability, ranks floor(h) and floor(h) + 1, and the weight of each.
     parts = []
     for i, p in enumerate(probs):
         h = (F.col("_n") - F.lit(1)).cast("double") * F.lit(float(p))
-        lo_rank = F.floor(h).cast("long")
-        hi_rank = F.least(lo_rank + F.lit(1), F.col("_n") - F.lit(1))
-        for j, rank in enumerate((lo_rank, hi_rank)):
-            parts.append(stats.select(*by, F.lit(2 * i + j).alias("_t"), rank.alias("_r"),
-                                      F.col("_lo").alias("_a"), F.col("_hi").alias("_b"),
-                                      (F.col("_lo") == F.col("_hi")).alias("_done")))
-    targets = stage_table(reduce(DataFrame.unionByName, parts), "quantile-targets")
-    for _ in range(max_passes):
-        before, targets = targets, stage_table(_refine(freq, targets, by, bins), "quantile-targets")
-        drop_staged(before)
-        if targets.where(~F.col("_done")).isEmpty():
-            break
-    else:
-        raise RuntimeError("exact_quantiles: refinement did not settle")
-    wide = targets.groupBy(*by).pivot("_t", list(range(2 * len(probs)))).agg(F.first("_a"))
-    wide = attach_groups(wide, stage_table(stats, "quantile-stats"), by, by)
-    out = [*by]
-    for i, p in enumerate(probs):
-        h = (F.col("_n") - F.lit(1)).cast("double") * F.lit(float(p))
+        rank = F.floor(h).cast("long")
         frac = h - F.floor(h)
-        x0, x1 = F.col(str(2 * i)), F.col(str(2 * i + 1))
-        out.append((x0 + frac * (x1 - x0)).alias(f"q{i}"))
-    return wide.select(*out)
+        parts += [F.struct(F.lit(2 * i).alias("_t"), (F.lit(1.0) - frac).alias("_w"), rank.alias("_r")),
+                  F.struct(F.lit(2 * i + 1).alias("_t"), frac.alias("_w"), F.least(rank + F.lit(1), F.col("_n") - F.lit(1)).alias("_r"))]
+    targets = stats.select(*by, F.col("_lo").alias("_a"), F.col("_hi").alias("_b"), (F.col("_lo") == F.col("_hi")).alias("_done"),
+                           F.explode(F.array(*parts)).alias("_p")).select(*by, "_p.*", "_a", "_b", "_done")
+    targets = settled(freq, targets, by, bins, max_passes)
+    return targets.groupBy(*by).agg(*[F.sum(F.when(F.floor(F.col("_t") / 2) == i, F.col("_w") * F.col("_a"))).alias(f"q{i}")
+                                      for i in range(len(probs))])

@@ -38,7 +38,7 @@ def orders(spark):
 def test_poisson_matches_mllib(spark, orders):
     from pyspark.ml.feature import RFormula
     from pyspark.ml.regression import GeneralizedLinearRegression
-    fit = glm.glm(orders, "y", ["year", "region", "totalprice"], ["region"], family="poisson")
+    fit = glm.glm(orders, "y ~ year + region + totalprice", family="poisson")
     rf = RFormula(formula="y ~ year + region + totalprice", stringIndexerOrderType="alphabetDesc")
     m = rf.fit(orders).transform(orders)
     ref = GeneralizedLinearRegression(family="poisson", link="log", tol=1e-12, maxIter=100).fit(m)
@@ -52,7 +52,7 @@ def test_poisson_matches_mllib(spark, orders):
 
 
 def test_negbin_score_equations(spark, orders):
-    fit = glm.glm(orders, "y", ["year", "region", "totalprice"], ["region"], family="negbin")
+    fit = glm.glm(orders, "y ~ year + region + totalprice", family="negbin")
     assert fit.converged and 0 < fit.theta < 1e5
     pdf = orders.select("y", "year", "region", "totalprice").toPandas()
     X = np.column_stack([np.ones(len(pdf)), pdf.year,
@@ -75,7 +75,7 @@ def test_by_group_closed_form(spark, orders):
     pdf = orders.select("y", "region").toPandas()
     means = pdf.groupby("region").y.mean()
     for family in ("poisson", "negbin"):
-        fit = glm.glm(orders, "y", ["region"], ["region"], family=family)
+        fit = glm.glm(orders, "y ~ region", family=family)
         b = dict(zip(fit.names, fit.beta))
         assert abs(b["(Intercept)"] - math.log(means["midwest"])) < 1e-8
         for lv in ("northeast", "southeast", "west"):
@@ -83,8 +83,8 @@ def test_by_group_closed_form(spark, orders):
 
 
 def test_poisson_underdispersed_negbin_falls_back(spark, orders):
-    pois = glm.glm(orders, "n_lines", ["region"], ["region"], family="poisson")
-    nb = glm.glm(orders, "n_lines", ["region"], ["region"], family="negbin")
+    pois = glm.glm(orders, "n_lines ~ region", family="poisson")
+    nb = glm.glm(orders, "n_lines ~ region", family="negbin")
     assert math.isinf(nb.theta) and abs(nb.aic - pois.aic - 2) < 1e-9
 
 
@@ -101,11 +101,11 @@ def test_cv_errors_shapes(spark):
     rng = np.random.default_rng(0)
     rows = [(reg, yr, float(rng.poisson(20 + 3 * i))) for i, reg in enumerate(["a", "b", "c"]) for yr in range(2000, 2020)]
     df = spark.createDataFrame(rows, "region string, year int, y double")
-    out = cv.cv_errors(df, "y", ["year", "region"], ["region"], ["region", "year"], n_splits=10,
+    out = cv.cv_errors(df, "y ~ year + region", ["region", "year"], n_splits=10,
                        seed=1, exact=True).collect()
     assert len(out) == 20 and all(r.rmse >= 0 for r in out)
     assert {r.model_order for r in out if r.model == "poisson"} == {1}
-    leaky = cv.cv_errors(df, "y", ["year", "region"], ["region"], ["region", "year"], n_splits=10,
+    leaky = cv.cv_errors(df, "y ~ year + region", ["region", "year"], n_splits=10,
                          seed=1, exact=True, leaky=True, scale="link").collect()
     assert all(r.rmse > 5 for r in leaky)       # counts vs log-scale predictions (D3)
 
@@ -197,7 +197,7 @@ def test_attach_groups_salted_equals_broadcast(spark):
 def test_theta_without_overdispersion_is_infinite(spark):
     rng = np.random.default_rng(4)
     y = rng.poisson(6, 4000)
-    fit = glm.glm(spark.createDataFrame([(int(v), float(i % 7)) for i, v in enumerate(y)], "y int, x double"), "y", ["x"], family="both")
+    fit = glm.glm(spark.createDataFrame([(int(v), float(i % 7)) for i, v in enumerate(y)], "y int, x double"), "y ~ x", family="both")
     assert fit["poisson"].converged
     nb = fit["negbin"]
     assert math.isinf(nb.theta) and nb.loglik == fit["poisson"].loglik or nb.theta < 1e5
@@ -207,14 +207,14 @@ def test_frequency_weights_equal_rows(spark):
     rng = np.random.default_rng(5)
     rows = [(int(rng.negative_binomial(3, 0.3)), str(i % 3)) for i in range(900)]
     df = spark.createDataFrame(rows, "y int, g string")
-    one = glm.glm(df, "y", ["g"], ["g"], family="negbin")
-    design = glm.build_design(df, "y", ["g"], ["g"])
+    one = glm.glm(df, "y ~ g", family="negbin")
+    design = glm.build_design(df, glm.as_formula("y ~ g"))
     two = glm.fit_groups(glm.prepare_rows(df, design), design, "negbin", groups=[0])[0]
     assert np.allclose(one.beta, two.beta) and abs(one.theta - two.theta) < 1e-6 and one.n == two.n == 900
 
 
 def test_score_check_is_zero_at_the_fit(spark, orders):
-    out = glm.score_check(orders, "y", ["year", "region", "totalprice"], ["region"], "negbin").collect()
+    out = glm.score_check(orders, "y ~ year + region + totalprice", "negbin").collect()
     assert {r.term for r in out} >= {"(Intercept)", "year", "theta"} and all(r.score < 1e-6 for r in out)
 
 
