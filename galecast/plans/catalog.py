@@ -117,6 +117,7 @@ def model_queries() -> dict[str, Query]:
         "poisson_aliased": _q(lambda p: models.tidy_aliased(models.order_rows(p)), 6),
         "poisson_interaction": _q(lambda p: models.tidy_interaction(models.order_rows(p)), 6),
         "priority_levels": _q(models.priority_levels),
+        "order_kinds": _q(models.order_kinds),
         "density_totalprice": _q(models.price_density, 6),
         "trend_points": _q(lambda p: models.temp_points(p.fact_a)),
         "trend_loess": _q(lambda p: models.temp_trend(p.fact_a, "loess"), 4),

@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import guess
 from ..sources.tables import order_model_rows, table
 from ..stats import cv, glm, kde, smooth
 from ..functions.nulls import drop_any_null
@@ -143,6 +144,15 @@ def tidy_interaction(df: DataFrame) -> DataFrame:
     return glm.tidy(df.sparkSession, f).select("term", "estimate", "exp_estimate")
 
 
+def order_kinds(p: DriverPipeline) -> DataFrame:
+    """The kinds that the order table's columns have as text."""
+    text = table(p.spark, p.sf_dir, "orders").select(
+        F.col("o_orderkey").cast("string").alias("order_key"), F.col("o_totalprice").cast("string").alias("total_price"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("order_day"),
+        F.when(F.col("o_orderstatus") == "F", "T").when(F.col("o_orderstatus") == "O", "F").alias("finished"), "o_orderpriority")
+    return guess.guess_kinds(text)
+
+
 def priority_levels(p: DriverPipeline) -> DataFrame:
     """Order priorities as they first appear by order date and key."""
     orders = table(p.spark, p.sf_dir, "orders")

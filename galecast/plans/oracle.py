@@ -444,6 +444,14 @@ terms AS (
               ELSE {log['a']} - {log['r']} - {log['s']} + {log['o']} END AS e
   FROM cells m, f)
 SELECT term, {r6('e')} AS estimate, {r6('exp(e)')} AS exp_estimate FROM terms""")
+    shapes = {"logical": "^(T|F|TRUE|FALSE|True|False|true|false)$", "integer": "^[+-]?[0-9]+$",
+              "double": r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$", "date": "^[0-9]{4}-[0-9]{2}-[0-9]{2}$"}
+    cells = {"order_key": "o_orderkey::VARCHAR", "total_price": "o_totalprice::VARCHAR", "order_day": "strftime(o_orderdate, '%Y-%m-%d')",
+             "finished": "CASE o_orderstatus WHEN 'F' THEN 'T' WHEN 'O' THEN 'F' END", "o_orderpriority": "o_orderpriority"}
+    kind = " ".join(f"WHEN coalesce(bool_and(regexp_matches(v, '{shape}')), true) THEN '{k}'" for k, shape in shapes.items())
+    q["order_kinds"] = "\nUNION ALL\n".join(
+        f"SELECT '{name}' AS \"column\", CASE {kind} ELSE 'text' END AS kind, count(v) AS cells, count(*) - count(v) AS missing "
+        f"FROM (SELECT nullif(nullif(trim({cell}), ''), 'NA') AS v FROM orders) t" for name, cell in cells.items())
     q["priority_levels"] = """
 SELECT o_orderpriority, CAST(row_number() OVER (ORDER BY first) AS INTEGER) AS position
 FROM (SELECT o_orderpriority, min(struct_pack(d := o_orderdate, k := o_orderkey)) AS first

@@ -43,7 +43,8 @@ def publish_tables(p: DriverPipeline, out_dir: str | None = None) -> dict[str, s
     write_table(p.dash.sortWithinPartitions("state", "disaster", "year"), paths["dash"])
     write_table(p.fact_b, paths["fact_b"])
     write_table(p.regional, paths["regional"])
-    write_table(p.map_table.repartition("variable_type").sortWithinPartitions("year", "state_code"),
+    # By ranges: a variable's rows are dealt to several tasks, each of which writes a few files.
+    write_table(p.map_table.repartitionByRange("variable_type", "year", "state_code").sortWithinPartitions("variable_type", "year", "state_code"),
                 paths["map"], partition_by=["variable_type"])
     return paths
 

@@ -3,6 +3,8 @@
 import os
 import tempfile
 
+import pytest
+
 from galecast.operators import climate as C
 from galecast.sources import csv as csvsrc
 from galecast.sources.dims import us_places
@@ -111,7 +113,11 @@ def test_climate_columns_by_header_name(spark):
     _write(f"{d}/swapped.csv", "\n".join(lines) + "\n")
     assert sorted(map(tuple, csvsrc.read_climate_csv(spark, f"{d}/swapped.csv").collect())) == rows
     _write(f"{d}/nameless.csv", "Alabama,199001,50.0\nAlabama,199002,54.0\n")
-    assert sorted(map(tuple, csvsrc.read_climate_csv(spark, [f"{d}/nameless.csv", f"{d}/swapped.csv"]).collect())) == sorted(rows * 2)
+    with pytest.raises(ValueError, match="no header"):  # read by position only if told so
+        csvsrc.read_climate_csv(spark, [f"{d}/nameless.csv", f"{d}/swapped.csv"])
+    assert sorted(map(tuple, csvsrc.read_climate_csv(spark, f"{d}/nameless.csv", csvsrc.CLIMATE_COLUMNS).collect())) == sorted(rows)
+    _write(f"{d}/long.csv", "\n".join(["a note, of the date", *["line"] * 3000, *lines[3:]]) + "\n")
+    assert sorted(map(tuple, csvsrc.read_climate_csv(spark, [f"{d}/long.csv", f"{d}/swapped.csv"]).collect())) == sorted(rows * 2)
     _write(f"{d}/other.csv", "Place,Date,Value\nAlabama,199001,1\n")
     try:
         csvsrc.read_climate_csv(spark, f"{d}/other.csv")
