@@ -20,7 +20,7 @@ t AS (SELECT source, source_size, CASE WHEN cap / weight > level
              THEN weight * (SELECT max(level) FROM l WHERE cap / weight > level) ELSE cap END AS target FROM l),
 e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS epochs FROM t),
 r AS (SELECT d.doc_id, d.size, e.source_size, e.target, e.epochs,
-             sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k) AS upto
+             sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k ROWS UNBOUNDED PRECEDING) AS upto
       FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
 SELECT doc_id, size, source_size, round(target, 6) AS target,
        (size * (epochs + CASE WHEN target > epochs * source_size

@@ -1,10 +1,12 @@
 """The registered queries on the smallest tables, against SQL or plain versions."""
 
 import hashlib
+import math
 import os
 import re
 import sys
 import zlib
+from collections import Counter
 
 import duckdb
 import pyarrow.parquet as pq
@@ -96,3 +98,19 @@ def test_toxicity(spark):
     assert len(out) == len(rows())
     for i, r in out.items():
         assert r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) and r["predicted"] == (r["score"] >= 0.5)
+
+
+def test_lm_scores(spark):
+    docs, out = rows(), result(spark, "op11_lm_score")
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in docs}
+    tokens = {i: [*cases.words(t, lower=True), None] for i, t in docs}
+    count = Counter(w for i, _ in docs if not held[i] for w in tokens[i])
+    n, v = sum(count.values()), len(count)
+    for i, _ in docs:
+        r = out[i]
+        base = sum(math.log10((count[w] + 1) / (n + v + 1)) for w in tokens[i])
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (
+            held[i], len(tokens[i]), sum(count[w] > 0 for w in tokens[i]), n)
+        assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] < 0
+    # The model predicts texts that it has not seen better than single counts do.
+    assert sum(out[i]["score"] for i in held if held[i]) > sum(out[i]["base_score"] for i in held if held[i])
