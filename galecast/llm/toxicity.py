@@ -6,8 +6,8 @@ training texts each slot gets its log-count ratio, log of how often toxic
 texts hold it over how often others do, smoothed.  Every slot whose association with the label is
 beyond chance (likelihood-ratio statistic of at least ``STRENGTH``) is kept, however many they are, a text's
 vector holds the ratio of each kept slot that it has, and a logistic
-regression is fitted on those vectors.  Its regularisation is the one of ``PENALTIES`` that predicts a held-back
-fifth of the training texts best, with slots and ratios of the other four.  Scores are probabilities under the
+regression is fitted on those vectors.  Its regularisation is ``PENALTIES``; of several, the one that predicts a held-back
+fifth of the training texts best, with slots and ratios of the other four (a fit each).  Scores are probabilities under the
 shares of the two labels among all labelled rows.
 
 The fit uses a bounded sample: the ``per_label`` rows of each label with the
@@ -42,7 +42,7 @@ SLOT_BITS = 20
 PER_LABEL = 4000
 #: Twice the log-likelihood gained by telling the labels apart by one slot: 5 % by chance.
 STRENGTH = 3.84
-PENALTIES = (1e-4, 1e-3, 1e-2)
+PENALTIES = (1e-3,)
 _VECTOR = "struct<type:tinyint,size:int,indices:array<int>,values:array<double>>"
 _BASE, _SPREAD = 0x9E3779B97F4A7C15, np.uint64(0xC4CEB9FE1A85EC53)
 #: Lower case of the Latin letters below U+0250 that have one, a character for a character.

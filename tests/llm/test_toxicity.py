@@ -59,7 +59,8 @@ def test_a_wide_vocabulary_is_learnt(spark):
         rows.append((i, " ".join(t), "en", "a", 1))
         labels.append((i, i % 2))
     docs = cases.frame(spark, rows)
-    model = toxicity.train(docs, spark.createDataFrame([x for x in labels if x[0] % 5], "doc_id long, toxic int"))
+    known = spark.createDataFrame([x for x in labels if x[0] % 5], "doc_id long, toxic int")
+    model = toxicity.train(docs, known, penalties=[1e-3, 10.0])  # the second learns nothing and must lose
     score = {r["doc_id"]: r["tox_score"] for r in toxicity.score(docs, model).where("doc_id % 5 = 0").collect()}
     right = [(score[i] >= 0.5) == bool(y) for i, y in labels if i % 5 == 0]
     assert sum(right) >= 0.77 * len(right)
