@@ -28,7 +28,7 @@ Other columns are ignored and may have any name.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,29 +47,39 @@ _MARK = "\x01"
 _ENTRY = "struct<type:tinyint,size:int,indices:array<int>,values:array<double>>"
 
 
-def _tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``lang, source, terms``: an empty term, then the lowered terms of each text with their language in front."""
-    for batch in batches:
-        for lo, n in row_slices(batch.column(2)):
-            part = batch.slice(lo, n)
-            words = Words(*text_bytes(part.column(2)), LETTERS, lower=True)
-            tags = [(lang + _MARK).encode() for lang in part.column(0).to_pylist()]
-            size = np.array([len(t) for t in tags], np.int64)
-            of = words.of_text()
-            # A text's pieces: nothing, then tag, term, tag, term, ...
-            starts = np.stack([len(words.norm) + (np.cumsum(size) - size)[of], words.start], 1).reshape(-1)
-            sizes = np.stack([size[of], words.end - words.start], 1)
-            data = np.concatenate([words.norm, np.frombuffer(b"".join(tags), np.uint8)])[ragged(starts, sizes.reshape(-1))[0]]
-            upto = np.concatenate([[0], np.cumsum(sizes.sum(axis=1))])
-            ends = np.insert(upto[1:], words.first[:-1], upto[words.first[:-1]])
-            values = pa.LargeStringArray.from_buffers(len(ends), pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64).tobytes()),
-                                                      pa.py_buffer(data.tobytes())).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists(words.counts() + 1, values)], ["lang", "source", "terms"])
-
-
-def tagged_terms(docs: DataFrame) -> DataFrame:
+def _tagged(distinct: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``lang, source, terms``: an empty term, then the lowered terms of each text (or each once) with their language in front."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, n in row_slices(batch.column(2)):
+                part = batch.slice(lo, n)
+                words = Words(*text_bytes(part.column(2)), LETTERS, lower=True)
+                of, begin, end = words.of_text(), words.start, words.end
+                if distinct:
+                    hashes = words.hashes()
+                    order = np.lexsort((hashes, of))
+                    own = np.append(True, (hashes[order][1:] != hashes[order][:-1]) | (of[order][1:] != of[order][:-1])) if len(of) else order
+                    at = order[np.flatnonzero(own)]
+                    of, begin, end = of[at], begin[at], end[at]
+                tags = [(lang + _MARK).encode() for lang in part.column(0).to_pylist()]
+                size = np.array([len(t) for t in tags], np.int64)
+                # A text's pieces: nothing, then tag, term, tag, term, ...
+                starts = np.stack([len(words.norm) + (np.cumsum(size) - size)[of], begin], 1).reshape(-1)
+                sizes = np.stack([size[of], end - begin], 1)
+                data = np.concatenate([words.norm, np.frombuffer(b"".join(tags), np.uint8)])[ragged(starts, sizes.reshape(-1))[0]]
+                upto, counts = np.concatenate([[0], np.cumsum(sizes.sum(axis=1))]), np.bincount(of, minlength=n)
+                first = np.cumsum(counts) - counts
+                ends = np.concatenate([[0], np.insert(upto[1:], first, upto[first])])
+                values = pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends.astype(np.int64).tobytes()),
+                                                          pa.py_buffer(data.tobytes())).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists(counts + 1, values)], ["lang", "source", "terms"])
+    return run
+
+
+def tagged_terms(docs: DataFrame, distinct: bool = False) -> DataFrame:
+    """The terms of each text; ``distinct``: told apart by a 64-bit hash within the text."""
     texts = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    return texts.mapInArrow(_tagged, "lang string, source string, terms array<string>")
+    return texts.mapInArrow(_tagged(distinct), "lang string, source string, terms array<string>")
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,15 +105,16 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lo += n
 
 
-def _by_vectors(tagged: DataFrame, min_df: int) -> tuple[DataFrame, DataFrame]:
+def _by_vectors(docs: DataFrame, min_df: int) -> tuple[DataFrame, DataFrame]:
     """``(lang, source, ix, count)`` and ``(ix, lang, term)`` through document vectors.
 
-    The empty term is in every document, so a vocabulary is never empty where there are ``min_df`` documents.
+    A vocabulary depends on the documents that hold a term, so the vectoriser is fitted on each text's distinct terms and
+    applied to all of them.  The empty term is in every document, so a vocabulary is never empty where there are ``min_df`` documents.
     """
     counter = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_df), vocabSize=GREATEST_INT)
-    model = counter.fit(tagged)
-    vectors = stage_table(model.transform(tagged).select("lang", "source", "vector"), "divergence-vectors")
-    spark = tagged.sparkSession
+    model = counter.fit(tagged_terms(docs, distinct=True))
+    vectors = stage_table(model.transform(tagged_terms(docs)).select("lang", "source", "vector"), "divergence-vectors")
+    spark = docs.sparkSession
     # The same files, with the vectors as the structs that they are stored as.
     stored = spark.read.schema(f"lang string, source string, vector {_ENTRY}").parquet(vectors._staged_path)
     entries = stored.select("lang", "source", F.col("vector.indices").alias("indices"), F.col("vector.values").alias("values"))
@@ -120,12 +131,12 @@ def _by_vectors(tagged: DataFrame, min_df: int) -> tuple[DataFrame, DataFrame]:
     return counts, stage_table(vocabulary, "divergence-terms", small=True)
 
 
-def _by_rows(tagged: DataFrame, min_df: int) -> tuple[DataFrame, DataFrame]:
+def _by_rows(docs: DataFrame, min_df: int) -> tuple[DataFrame, DataFrame]:
     """The same with terms as rows, for vocabularies that no driver should hold; ``ix`` is the tagged term itself."""
-    held = tagged.select("lang", F.explode(F.array_distinct("terms")).alias("ix")).where("ix != ''")
+    held = tagged_terms(docs, distinct=True).select("lang", F.explode("terms").alias("ix")).where("ix != ''")
     kept = held.groupBy("lang", "ix").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
     kept = stage_table(kept.select("ix", "lang", F.substring_index("ix", _MARK, -1).alias("term")), "divergence-terms")
-    used = tagged.select("lang", "source", F.explode("terms").alias("ix")).where("ix != ''")
+    used = tagged_terms(docs).select("lang", "source", F.explode("terms").alias("ix")).where("ix != ''")
     counts = used.groupBy("lang", "source", "ix").agg(F.count("*").alias("count")).join(kept.select("ix"), "ix", "left_semi")
     return stage_table(counts.select("lang", "source", "ix", "count"), "divergence-counts"), kept
 
@@ -159,10 +170,10 @@ def audit(docs: DataFrame, min_df: int = MIN_DF, top_terms: int = TOP_TERMS, max
     """``lang, source, part, item, value, rank``: per language and source, how far every other source is (part ``pair``,
     all ranks) and which terms it has more of than its language (part ``term``, the first ``top_terms``)."""
     rows = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source")])
-    sample = tagged_terms(docs.sample(1 / SAMPLE, seed=1)).select(F.explode("terms").alias("t"))
+    sample = tagged_terms(docs.sample(1 / SAMPLE, seed=1), distinct=True).select(F.explode("terms").alias("t"))
     distinct = sample.agg(F.approx_count_distinct("t")).first()[0]
     few = docs.limit(min_df).count() < min_df
-    counts, vocabulary = (_by_rows if few or distinct > max_terms else _by_vectors)(tagged_terms(docs), min_df)
+    counts, vocabulary = (_by_rows if few or distinct > max_terms else _by_vectors)(docs, min_df)
 
     kept = vocabulary.groupBy("lang").agg(F.count("*").alias("kept"))
     totals = counts.groupBy("lang", "source").agg(F.sum("count").alias("total"))
