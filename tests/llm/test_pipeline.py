@@ -1,5 +1,7 @@
 """Each stage on its predecessor's result, against plain versions."""
 
+from collections import Counter
+
 import pyarrow.parquet as pq
 
 import corpus_pipeline
@@ -8,6 +10,7 @@ from galecast.llm.queries import held_out
 from galecast.session import stage_table
 from pyspark.sql import functions as F
 
+from . import cases
 from .test_decontam import plain as hits
 from .test_near_dup import plain as near
 
@@ -50,3 +53,23 @@ def test_stages(spark):
 def test_run_gives_the_last_stage(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns[-2:] == ["shard", "slot"] and out.count() > 0
+
+
+def test_stages_on_awkward_and_empty_tables(spark, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows, clashing columns; then no rows at all."""
+    docs = cases.frame(spark, [*cases.documents(n=30), (None, None, None, None, None), (None, None, None, None, None)], clashing=True)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 1), (2, 0, 0), (3, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(
+        f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([("a", None), ("b", ""), (None, "x y")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    whole = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for start in (whole, whole.where("false")):
+        docs = start
+        for name, stage in corpus_pipeline.STAGES:
+            before, docs = docs, stage_table(stage(spark, docs, str(tmp_path)), "test-awkward")
+            assert docs.columns == (whole.columns if name != "shard" else [*whole.columns, "shard", "slot"])
+            known = Counter(map(repr, before.collect()))
+            if name in ("toxicity", "near_dedup", "decontaminate"):  # what stays is what came
+                assert not Counter(map(repr, docs.collect())) - known
+            if start is not whole:
+                assert docs.count() == 0
