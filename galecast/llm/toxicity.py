@@ -66,7 +66,7 @@ def _characters(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _slots(text: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct ``(text, slot)`` pairs, of the ``wanted`` slots if given."""
+    """Distinct ``(text, slot)`` pairs by text, of the ``wanted`` slots if given."""
     points, first = _characters(*text_bytes(text))
     sums = running(points.astype(np.uint64) + np.uint64(1), _BASE)
     inverse = powers(_BASE, len(sums))[1]
@@ -78,8 +78,18 @@ def _slots(text: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndarray
         of = np.searchsorted(first, at, "right") - 1
         inside = at + n <= first[of + 1]
         found.append(of[inside] << SLOT_BITS | slot[at[inside]])
-    pairs = np.unique(np.concatenate(found))
-    return pairs >> SLOT_BITS, pairs & ((1 << SLOT_BITS) - 1)
+    pairs = np.concatenate(found)
+    of = pairs >> SLOT_BITS
+    order = np.argsort(of, kind="stable")
+    of, slot = of[order], (pairs & ((1 << SLOT_BITS) - 1))[order]
+    # Of a slot's places in a text the last one written stays: no sort of the pairs.
+    seen, keep = np.empty(1 << SLOT_BITS, np.int32), np.empty(len(slot), bool)
+    cuts = np.flatnonzero(np.diff(of)) + 1
+    for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(of)], strict=True):
+        own, at = slot[lo:hi], np.arange(hi - lo, dtype=np.int32)
+        seen[own] = at
+        np.equal(seen[own], at, out=keep[lo:hi])
+    return of[keep], slot[keep]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,8 +117,7 @@ def _vectors(known):
                 part = batch.slice(lo, n)
                 of, slot = _slots(part.column(1), place >= 0)
                 counts = np.bincount(of, minlength=n)
-                # Slots come in order within a text, and so do their places.
-                at = place[slot]
+                at = place[slot][np.lexsort((slot, of))]
                 vector = pa.StructArray.from_arrays(
                     [pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, len(ratio), np.int32)),
                      lists(counts, pa.array(at, pa.int32())), lists(counts, pa.array(ratio[at]))],
