@@ -2,10 +2,14 @@
 
 Terms are runs of letters, split by numpy in the tasks.  Every language has its own vocabulary, the terms in
 at least ``min_df`` of its documents.  A ``CountVectorizer`` with that minDF and
-the greatest integer as its vocabulary size, so that nothing is cut, turns every
-document into an exact sparse vector.  It is fitted once for all languages: a
+the greatest integer as its vocabulary size, so that nothing is cut, gives the
+vocabulary and exact sparse vectors.  It is fitted once for all languages: a
 term carries its language in front, so the counts of documents are those of
-single languages, and no pass is made per language.  Group sums are taken over
+single languages, and no pass is made per language.  Its rows are bundles of
+texts, in which numpy tells terms apart by a 64-bit hash: for the fit, a term that ``k`` texts of a
+bundle have is in ``min(k, min_df)`` rows, which leaves its test against ``min_df`` as it is; for the vectors, the
+terms that a group's texts have equally often are one row, with that number as
+its weight.  So the vectoriser gets each term of a bundle once, not once a text.  Group sums are taken over
 the vectors' entries in whole numbers (a summariser's means and weights would
 round).  Smoothed shares ``p = 1 + floor(10^9 (count + 5) / (N + 5 V))`` follow
 in exact decimals.  Pairs of sources are evaluated in blocks of ``BLOCK`` terms
@@ -28,7 +32,7 @@ Other columns are ignored and may have any name.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +44,9 @@ from ..session import drop_staged, stage_table
 from .kernels import LETTERS, Words, lists, ragged, row_slices, text_bytes
 
 MIN_DF, TOP_TERMS, SCALE, PRIOR = 30, 50, 1_000_000_000, 5
-MAX_TERMS, SAMPLE, BLOCK, ENTRIES = 2_000_000, 16, 4096, 1 << 20
+MAX_TERMS, SAMPLE, BLOCK = 2_000_000, 16, 4096
+#: Entries of a bundle, strings made at once, rows handed on at once, parts of the vocabulary that are summed apart.
+ENTRIES, STRINGS, ROWS, PARTS = 1 << 19, 1 << 16, 32, 256
 GREATEST_INT = (1 << 31) - 1
 #: Terms hold no character up to 0x40, so what stands before the last of these is the language.
 _MARK = "\x01"
@@ -82,51 +88,197 @@ def tagged_terms(docs: DataFrame, distinct: bool = False) -> DataFrame:
     return texts.mapInArrow(_tagged(distinct), "lang string, source string, terms array<string>")
 
 
+def _groups(batch: pa.RecordBatch, columns: Sequence[int], groups: dict[tuple[str, ...], int]) -> np.ndarray:
+    """The number of each row's group; new groups are added."""
+    values = zip(*[batch.column(c).to_pylist() for c in columns], strict=True)
+    return np.array([groups.setdefault(g, len(groups)) for g in values], np.int64)
+
+
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys begins."""
+    new = np.zeros(len(keys[0]), bool)
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    new[:1] = True
+    return np.flatnonzero(new)
+
+
+class _Bundle:
+    """How often each group has each term, over as many texts as give ``ENTRIES`` different ones."""
+
+    def __init__(self):
+        self.parts, self.held, self.groups, self.texts = [], 0, {}, np.zeros(0, np.int64)
+
+    def add(self, part: pa.RecordBatch, columns: Sequence[int], distinct: bool) -> None:
+        words = Words(*text_bytes(part.column(2)), LETTERS, lower=True)
+        code = _groups(part, columns, self.groups)
+        self.texts = np.bincount(code, minlength=len(self.groups)) + np.pad(self.texts, (0, len(self.groups) - len(self.texts)))
+        of, hashes = words.of_text(), words.hashes()
+        at = np.arange(len(of))
+        if distinct:
+            at = np.lexsort((hashes, of))
+            at = at[_starts(hashes[at], of[at])]
+        of = code[of]
+        at = at[np.lexsort((hashes[at], of[at]))]
+        first = _starts(hashes[at], of[at])
+        counts, at = np.diff(np.append(first, len(at))), at[first]
+        sizes = words.end[at] - words.start[at]
+        self.parts.append((of[at], hashes[at], counts, sizes, words.norm[ragged(words.start[at], sizes)[0]]))
+        self.held += len(at)
+
+    def entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``group, count, start, size`` of each term, and the bytes that the last two speak of."""
+        of, hashes, counts, sizes, data = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.lexsort((hashes, of))
+        first = _starts(hashes[order], of[order])
+        total = np.add.reduceat(counts[order], first) if len(first) else counts
+        at = order[first]
+        return of[at], total, (np.cumsum(sizes) - sizes)[at], sizes[at], data
+
+
+def _strings(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, tags: list[bytes], tag: np.ndarray) -> pa.Array:
+    """Terms with their tags in front."""
+    length = np.array([len(t) for t in tags], np.int64)
+    before = len(data) + np.cumsum(length) - length
+    bytes_, parts = np.concatenate([data, np.frombuffer(b"".join(tags), np.uint8)]), []
+    for lo in range(0, len(starts), STRINGS):
+        own = slice(lo, lo + STRINGS)
+        pieces, both = np.stack([before[tag[own]], starts[own]], 1), np.stack([length[tag[own]], sizes[own]], 1)
+        whole = bytes_[ragged(pieces.reshape(-1), both.reshape(-1))[0]]
+        ends = np.concatenate([[0], np.cumsum(both.sum(axis=1))]).astype(np.int32)
+        parts.append(pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends.tobytes()), pa.py_buffer(whole.tobytes())))
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+
+def _bundles(batches: Iterator[pa.RecordBatch], columns: Sequence[int], distinct: bool) -> Iterator[_Bundle]:
+    bundle = _Bundle()
+    for batch in batches:
+        for lo, n in row_slices(batch.column(2)):
+            bundle.add(batch.slice(lo, n), columns, distinct)
+            if bundle.held >= ENTRIES:
+                yield bundle
+                bundle = _Bundle()
+    if bundle.parts:
+        yield bundle
+
+
+def _presences(cap: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``terms``: per bundle and language, row ``j`` holds the terms of at least ``j`` texts, up to ``cap`` rows.
+
+    Every row also holds the empty term; there are as many as the language has texts, or ``cap``.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bundle in _bundles(batches, (0,), True):
+            of, texts, starts, sizes, data = bundle.entries()
+            tags = [(lang + _MARK).encode() for lang, in bundle.groups]
+            for j in range(1, cap + 1):
+                langs, own = np.flatnonzero(bundle.texts >= j), np.flatnonzero(texts >= j)
+                if not len(langs):
+                    break
+                # The empty term of each row has a tag of no bytes.
+                place, empty = np.concatenate([langs, of[own]]), np.zeros(len(langs), np.int64)
+                order = np.argsort(place, kind="stable")
+                terms = _strings(data, np.concatenate([empty, starts[own]])[order], np.concatenate([empty, sizes[own]])[order],
+                                 [*tags, b""], np.concatenate([empty + len(tags), of[own]])[order])
+                yield from _cut(pa.RecordBatch.from_arrays([lists(np.bincount(place)[langs], terms)], ["terms"]))
+    return run
+
+
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``lang, source, weight, terms``: the terms that a bundle's texts of a group have ``weight`` times."""
+    for bundle in _bundles(batches, (0, 1), False):
+        of, times, starts, sizes, data = bundle.entries()
+        names = list(bundle.groups)
+        order = np.lexsort((times, of))
+        first = _starts(of[order], times[order])
+        terms = _strings(data, starts[order], sizes[order], [(lang + _MARK).encode() for lang, _ in names], of[order])
+        own = pa.array(of[order[first]])
+        yield from _cut(pa.RecordBatch.from_arrays(
+            [*[pa.array([g[k] for g in names], pa.string()).take(own) for k in (0, 1)], pa.array(times[order[first]], pa.int64()),
+             lists(np.diff(np.append(first, len(order))), terms)], ["lang", "source", "weight", "terms"]))
+
+
+def _cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Some rows at a time, so that the reader holds few terms at once."""
+    for lo in range(0, len(batch), ROWS):
+        yield batch.slice(lo, ROWS)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")])
+
+
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``lang, source, ix, count``: sums of the vectors' entries by group, of a bounded number of entries at a time."""
+    """``part, lang, source, of, ix, count``: sums of the weighted vectors' entries by group, of a bounded number of entries
+    at a time, as arrays for each of ``PARTS`` parts of the vocabulary (``of``: places in ``lang`` and ``source``)."""
     for batch in batches:
-        upto = np.concatenate([[0], np.cumsum(batch.column(2).value_lengths().to_numpy())])
+        upto = np.concatenate([[0], np.cumsum(batch.column(3).value_lengths().to_numpy())])
         lo = 0
         while lo < len(batch):
             n = max(1, int(np.searchsorted(upto, upto[lo] + ENTRIES, "right")) - 1 - lo)
             part = batch.slice(lo, n)
-            groups: dict[tuple[str, str], int] = {}
-            code = np.array([groups.setdefault(g, len(groups)) for g in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)])
-            key = np.repeat(code, np.diff(upto[lo:lo + n + 1])) << 32 | part.column(2).flatten().to_numpy()
-            order = np.argsort(key, kind="stable")
-            at = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])) if len(key) else order
+            groups: dict[tuple[str, ...], int] = {}
+            own = np.diff(upto[lo:lo + n + 1])
+            of, ix = np.repeat(_groups(part, (0, 1), groups), own), part.column(3).flatten().to_numpy()
             # Whole numbers below 2**53 in doubles, added as such.
-            total = np.add.reduceat(part.column(3).flatten().to_numpy()[order].astype(np.int64), at) if len(key) else at
-            own, names = key[order[at]], list(groups)
-            of = pa.array(own >> 32)
+            count = np.repeat(part.column(2).to_numpy(), own) * part.column(4).flatten().to_numpy().astype(np.int64)
+            of, ix, count = _added(of, ix, count)
+            order = np.argsort(ix % PARTS, kind="stable")
+            sizes = np.bincount(ix % PARTS, minlength=PARTS)
+            at = np.flatnonzero(sizes)
+            names = [pa.array([[g[k] for g in groups]] * len(at), pa.list_(pa.string())) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays(
-                [*[pa.array([g[k] for g in names], pa.string()).take(of) for k in (0, 1)],
-                 pa.array((own & 0xFFFFFFFF).astype(np.int32)), pa.array(total, pa.int64())], ["lang", "source", "ix", "count"])
+                [pa.array(at, pa.int32()), *names, *[lists(sizes[at], pa.array(x[order], t)) for x, t in
+                                                     ((of, pa.int32()), (ix, pa.int32()), (count, pa.int64()))]],
+                ["part", "lang", "source", "of", "ix", "count"])
             lo += n
 
 
+def _added(of: np.ndarray, ix: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    key = of.astype(np.int64) << 32 | ix
+    order = np.argsort(key, kind="stable")
+    at = _starts(key[order])
+    return of[order[at]], ix[order[at]], np.add.reduceat(count[order], at) if len(at) else count
+
+
+def _whole_sums(part: pa.Table) -> pa.Table:
+    """``lang, source, ix, count``: the sums of one part of the vocabulary."""
+    part = part.combine_chunks()
+    groups: dict[tuple[str, str], int] = {}
+    of, ix, count = [], [], []
+    for r in range(len(part)):
+        names = zip(part.column("lang")[r].as_py(), part.column("source")[r].as_py(), strict=True)
+        code = np.array([groups.setdefault(g, len(groups)) for g in names], np.int64)
+        of.append(code[part.column("of")[r].values.to_numpy()])
+        ix.append(part.column("ix")[r].values.to_numpy())
+        count.append(part.column("count")[r].values.to_numpy())
+    of, ix, count = _added(*[np.concatenate(x) for x in (of, ix, count)])
+    names = [pa.array([g[k] for g in groups], pa.string()).take(pa.array(of)) for k in (0, 1)]
+    return pa.table([*names, pa.array(ix, pa.int32()), pa.array(count, pa.int64())], ["lang", "source", "ix", "count"])
+
+
 def _by_vectors(docs: DataFrame, min_df: int) -> tuple[DataFrame, DataFrame]:
-    """``(lang, source, ix, count)`` and ``(ix, lang, term)`` through document vectors.
+    """``(lang, source, ix, count)`` and ``(ix, lang, term)`` through vectors of bundles of documents.
 
-    A vocabulary depends on the documents that hold a term, so the vectoriser is fitted on each text's distinct terms and
-    applied to all of them.  The empty term is in every document, so a vocabulary is never empty where there are ``min_df`` documents.
+    A term is in ``min_df`` documents exactly if it is in so many of the rows that the vectoriser is fitted on (``_presences``).
+    The empty term is in a row of every document up to ``min_df``, so a vocabulary is never empty where there are so many documents.
     """
     counter = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_df), vocabSize=GREATEST_INT)
-    model = counter.fit(tagged_terms(docs, distinct=True))
-    vectors = stage_table(model.transform(tagged_terms(docs)).select("lang", "source", "vector"), "divergence-vectors")
+    model = counter.fit(_texts(docs).mapInArrow(_presences(min_df), "terms array<string>"))
+    bags = _texts(docs).mapInArrow(_bags, "lang string, source string, weight long, terms array<string>")
+    vectors = stage_table(model.transform(bags).select("lang", "source", "weight", "vector"), "divergence-vectors")
     spark = docs.sparkSession
     # The same files, with the vectors as the structs that they are stored as.
-    stored = spark.read.schema(f"lang string, source string, vector {_ENTRY}").parquet(vectors._staged_path)
-    entries = stored.select("lang", "source", F.col("vector.indices").alias("indices"), F.col("vector.values").alias("values"))
-    counts = (entries.mapInArrow(_sums, "lang string, source string, ix int, count long")
-              .groupBy("lang", "source", "ix").agg(F.sum("count").alias("count")))
+    stored = spark.read.schema(f"lang string, source string, weight long, vector {_ENTRY}").parquet(vectors._staged_path)
+    entries = stored.select("lang", "source", "weight", F.col("vector.indices").alias("indices"), F.col("vector.values").alias("values"))
+    sums = entries.mapInArrow(_sums, "part int, lang array<string>, source array<string>, of array<int>, ix array<int>, count array<long>")
+    counts = sums.groupBy("part").applyInArrow(_whole_sums, "lang string, source string, ix int, count long")
     known = pa.table({"ix": pa.array(range(len(model.vocabulary)), pa.int32()), "tagged": pa.array(model.vocabulary, pa.string())})
     words = spark.createDataFrame(known).where("tagged != ''")
     cut = F.length("tagged") - F.length(F.substring_index("tagged", _MARK, -1))
     vocabulary = words.select("ix", F.substring("tagged", F.lit(1), cut - 1).alias("lang"),
                               F.substring_index("tagged", _MARK, -1).alias("term"))
-    empty = spark.createDataFrame(known).where("tagged = ''").select("ix")
-    counts = stage_table(counts.join(F.broadcast(empty), "ix", "left_anti"), "divergence-counts")  # one row
+    counts = stage_table(counts, "divergence-counts")
     drop_staged(vectors)
     return counts, stage_table(vocabulary, "divergence-terms", small=True)
 

@@ -1,9 +1,10 @@
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
-from galecast.llm import divergence
+from galecast.llm import divergence, kernels
 from . import cases
 
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
@@ -62,3 +63,29 @@ def test_no_kept_terms_and_empty_table(spark):
     got = rows_of(divergence.audit(cases.frame(spark, rows), min_df=1000))
     assert got == plain(rows, 1000) and {r[4] for r in got} == {0}
     assert divergence.audit(spark.createDataFrame([], cases.SCHEMA)).collect() == []
+
+
+@pytest.mark.parametrize("entries", [1 << 20, 40])
+def test_vectoriser_gets_bundles(monkeypatch, entries):
+    monkeypatch.setattr(divergence, "ENTRIES", entries)
+    monkeypatch.setattr(divergence, "STRINGS", 7)
+    monkeypatch.setattr(divergence, "row_slices", lambda text: kernels.row_slices(text, 200))
+    rows = [(t or "", lang or "", source or "") for _, t, lang, source, _ in awkward()] + [("Common common rare", "en", "s")] * 100
+    batch = pa.RecordBatch.from_pydict({"lang": [r[1] for r in rows], "source": [r[2] for r in rows], "text": [r[0] for r in rows]})
+    held, used = Counter(), Counter()
+    for t, lang, source in rows:
+        words = TERM.findall(t.translate(cases.LOWER))
+        held.update({f"{lang}\x01{w}" for w in words})
+        used.update((lang, source, f"{lang}\x01{w}") for w in words)
+    fitted = [r["terms"] for b in divergence._presences(3)(iter([batch])) for r in b.to_pylist()]
+    assert all(len(set(terms)) == len(terms) and terms.count("") == 1 for terms in fitted) and len(fitted) >= 3
+    got = Counter(t for terms in fitted for t in terms if t)
+    assert {t for t, n in got.items() if n >= 3} == {t for t, n in held.items() if n >= 3} and got.keys() == held.keys()
+    bags = Counter()
+    for b in divergence._bags(iter([batch])):
+        for r in b.to_pylist():
+            bags.update({(r["lang"], r["source"], t): r["weight"] for t in r["terms"]})
+    assert bags == used
+    if entries > 40:
+        # Handed on once a bundle, not once a text.
+        assert got["en\x01common"] == 3 and sum(len(t) for t in fitted) < sum(held.values())
