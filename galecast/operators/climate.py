@@ -56,32 +56,35 @@ def annual_series(raw: DataFrame, places: DataFrame, measure: str, how: str,
     return attach_code(agg, places).select("state_code", "location", "year", measure)
 
 
-def climate_state_year(series: DataFrame | Mapping[str, DataFrame], places: DataFrame,
+def climate_state_year(series: DataFrame | Mapping[str | tuple[str, ...], DataFrame], places: DataFrame,
                        years: tuple[int, int], measures=CLIMATE_MEASURES) -> DataFrame:
     """The four annual measures side by side, for place-years that have all four.
 
     The reference builds each series separately and chains three inner
-    joins.  Here the series are tagged and unioned, and one group-by makes
-    every measure with a conditional aggregate: one shuffle instead of four
-    aggregates and three joins.  A place-year missing from any series is
-    dropped, which is what the inner joins do.  A single DataFrame means one
-    source feeds every measure (no union, no tag).
+    joins.  Here each source is reduced to place-years with its own measures
+    (partial aggregate before the shuffle), and a second group-by over the
+    union of these puts them side by side.  A place-year missing from any series is
+    dropped, which is what the inner joins do.  A source of several series is
+    listed under their names, which are its columns in place of ``value``; its
+    rows are read once.  A single DataFrame means one source feeds every
+    measure (no union).
     """
     if isinstance(series, DataFrame):
         staged = with_year(series, years)
         aggs = [NA_AGGS[how]("value").alias(out) for out, _, how in measures]
         grouped = staged.groupBy("location", "year").agg(*aggs)
     else:
-        tagged = [df.select(F.lit(name).alias("series"), "location", "date", "value")
-                  for name, df in series.items()]
-        staged = with_year(reduce(DataFrame.unionByName, tagged), years)
-        aggs, present = [], []
-        for out, name, how in measures:
-            hit = F.col("series") == name
-            aggs.append(NA_AGGS[how](F.when(hit, F.col("value")), present=F.when(hit, F.lit(1))).alias(out))
-            present.append(F.count(F.when(hit, F.lit(1))).alias(f"_n_{out}"))
-        grouped = staged.groupBy("location", "year").agg(*aggs, *present)
-        keep = reduce(lambda a, b: a & b, [F.col(f"_n_{out}") > 0 for out, _, _ in measures])
-        grouped = grouped.where(keep).drop(*[f"_n_{out}" for out, _, _ in measures])
+        parts, outs = [], [out for out, _, _ in measures]
+        for names, df in series.items():
+            column = {names: "value"} if isinstance(names, str) else {name: name for name in names}
+            own = [(out, column[name], how) for out, name, how in measures if name in column]
+            part = with_year(df.select("location", "date", *column.values()), years)
+            part = part.groupBy("location", "year").agg(*[NA_AGGS[how](c).alias(out) for out, c, how in own])
+            parts.append(part.select("*", *[F.lit(1).alias(f"_n_{out}") for out, _, _ in own]))
+        # One row per source and place-year: the greatest value is the only one.
+        both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        grouped = both.groupBy("location", "year").agg(*[F.max(c).alias(c) for out in outs for c in (out, f"_n_{out}")])
+        keep = reduce(lambda a, b: a & b, [F.col(f"_n_{out}").isNotNull() for out in outs])
+        grouped = grouped.where(keep).drop(*[f"_n_{out}" for out in outs])
     cols = ["state_code", "location", "year"] + [out for out, _, _ in measures]
     return attach_code(grouped, places).select(*cols)

@@ -169,24 +169,20 @@ def customer_code(key_col: str) -> F.Column:
 
 
 def customer_series(spark: SparkSession, sf_dir: str,
-                    years: tuple[int, int] | None = DRIVER_YEARS) -> dict[str, DataFrame]:
+                    years: tuple[int, int] | None = DRIVER_YEARS) -> dict[str | tuple[str, ...], DataFrame]:
     """Four separate series by customer: order totals by order date; line prices, quantities and discounts by
-    ship date."""
+    ship date.  The last three are columns of one table, so that lines meet their orders once."""
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     orders = table(spark, sf_dir, "orders")
     by_order = orders.where(_ts_range("o_orderdate", years)).join(customer, orders.o_custkey == customer.c_custkey).select(
         F.col("c_name").alias("location"), F.date_format("o_orderdate", "yyyyMM").alias("date"),
         F.col("o_totalprice").alias("value"))
-    owner = orders.select("o_orderkey", "o_custkey")
-
-    def by_line(column: str) -> DataFrame:
-        lines = table(spark, sf_dir, "lineitem").where(_ts_range("l_shipdate", years))
-        return (lines.join(owner, lines.l_orderkey == owner.o_orderkey)
-                .join(customer, F.col("o_custkey") == customer.c_custkey)
-                .select(F.col("c_name").alias("location"), F.date_format("l_shipdate", "yyyyMM").alias("date"),
-                        F.col(column).alias("value")))
-
-    return {"tavg": by_order, "pcp": by_line("l_extendedprice"), "tmax": by_line("l_quantity"), "tmin": by_line("l_discount")}
+    owner = orders.select("o_orderkey", "o_custkey").join(customer, F.col("o_custkey") == customer.c_custkey).select("o_orderkey", "c_name")
+    lines = table(spark, sf_dir, "lineitem").where(_ts_range("l_shipdate", years))
+    by_line = lines.join(owner, lines.l_orderkey == owner.o_orderkey).select(
+        F.col("c_name").alias("location"), F.date_format("l_shipdate", "yyyyMM").alias("date"),
+        F.col("l_extendedprice").alias("pcp"), F.col("l_quantity").alias("tmax"), F.col("l_discount").alias("tmin"))
+    return {"tavg": by_order, ("pcp", "tmax", "tmin"): by_line}
 
 
 def customer_declarations(spark: SparkSession, sf_dir: str,
