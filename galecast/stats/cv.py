@@ -2,15 +2,15 @@
 
 A row belongs to the test part of split ``s`` when the hash of its key, the
 split and the seed is small.  Membership is stable for a seed, needs no shuffle, and the
-``split_id`` column is produced by an ``explode`` that the partial
-aggregate of each fitting pass consumes at once; rows × splits are never written.
+``split_id`` column of ``with_splits`` is produced by an ``explode``; rows × splits are never written.
 By default "small" is the test fraction.  ``exact=True`` gives every split
 exactly ``floor(n · test)`` test rows (at least one): the threshold of a split is its
 hash of that rank, found by refining histograms (``split_thresholds``), so no
 row is ranked and no split meets in one task, whatever the size of the table.
 
-All splits are fitted together: one grouped pass per iteration
-(``glm.fit_groups``), not one Spark job per split.  Each starts from the fit of
+All splits are fitted together: one pass per iteration
+(``glm.fit_groups``), not one Spark job per split.  A row is held once, with the splits that test it
+(``glm.SplitRows``), and the sums of all splits are taken from it at once.  Each starts from the fit of
 the whole table, which its training part is a sample of, so two or three passes do.
 
 ``leaky=True`` reproduces the reference: every split's model is fitted on
@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from ..operators.levels import with_first_order
 from ..session import drop_staged, stage_table
 from .design import Formula, as_formula, build_design, complete_rows
-from .glm import _state_df, fit_groups, linear_predictor, prepare_rows, stable_rows
+from .glm import SplitRows, fit_groups, prepare_rows, split_errors, stable_rows
 
 #: Buckets of one split's histogram in a pass of the refinement.
 BINS = 1024
@@ -106,6 +106,21 @@ def split_thresholds(rows: DataFrame, key_cols: Sequence[str], n_splits: int, te
 _THRESHOLDS = T.StructType([T.StructField("split_id", T.IntegerType()), T.StructField("_t", T.LongType()), T.StructField("_last", T.LongType())])
 
 
+def _test_splits(key_cols: Sequence[str], n_splits: int, test: float, seed: int, cut: Sequence[tuple[int, int, int]] | None = None) -> Column:
+    """The splits that have the row in their test part; ``cut``: the thresholds of exact ones."""
+    keys = [F.col(f"`{c}`") for c in key_cols]
+
+    def is_test(split: Column) -> Column:
+        h = F.shiftrightunsigned(F.xxhash64(*keys, split, F.lit(seed)), 64 - _HASH_BITS)
+        if cut is None:
+            return h < F.lit(int(test * (1 << _HASH_BITS))).cast("long")
+        upto, last = (F.array(*[F.lit(c[k]).cast("long") for c in cut])[split] for k in (1, 2))
+        return (h < upto) | ((h == upto) & (F.col("_row") <= last))
+
+    every = F.sequence(F.lit(0), F.lit(n_splits - 1))
+    return F.filter(every, is_test) if cut is None or cut else F.filter(every, lambda s: F.lit(False))
+
+
 def with_splits(df: DataFrame, key_cols: Sequence[str], n_splits: int = 100,
                 test: float = 0.2, seed: int = 1, exact: bool = False) -> DataFrame:
     """Rows × splits with a stable ``is_test`` flag.
@@ -139,29 +154,30 @@ def cv_errors(df: DataFrame, formula: Formula | str, key_cols: Sequence[str], n_
     """Test RMSE per split and model: ``split_id, model, model_order, rmse``."""
     formula = as_formula(formula)
     rows = complete_rows(df, formula, key_cols)
-    base = stable_rows(rows.withColumn("_row", F.monotonically_increasing_id()) if exact else rows)
+    if exact:
+        numbered = stage_table(rows.withColumn("_row", F.monotonically_increasing_id()), "cv-rows")
+        cut = split_thresholds(numbered, key_cols, n_splits, test, seed)
+        base = stable_rows(numbered.withColumn("_out", _test_splits(key_cols, n_splits, test, seed, cut)))
+        drop_staged(numbered)
+    else:
+        base = stable_rows(rows.withColumn("_out", _test_splits(key_cols, n_splits, test, seed)))
     try:
         design = build_design(base, formula)
-        split_rows = with_splits(base, key_cols, n_splits, test, seed, exact)
+        split_rows = SplitRows(prepare_rows(base, design, others=["_out"]), n_splits)
         # Both models from one set of passes: the negative binomial starts from the Poisson fit of the same split.
         whole = fit_groups(prepare_rows(base, design), design, "both", groups=[0], standard_errors=False)
         if leaky:
             fits = dict.fromkeys(range(n_splits), whole[0]) if whole else {}
         else:
-            fits = fit_groups(prepare_rows(split_rows.where(~F.col("is_test")), design, group=F.col("split_id")),
-                              design, "both", groups=range(n_splits), initial=whole.get(0), standard_errors=False)
-        test_rows = prepare_rows(split_rows.where("is_test"), design, group=F.col("split_id"))
-        errors = []
-        for column, (label, family) in enumerate(MODELS):
-            state = _state_df(df.sparkSession, {s: f[family].beta_scaled for s, f in fits.items()})
-            fitted = linear_predictor(design.p) if scale == "link" else F.exp(linear_predictor(design.p))
-            errors.append(test_rows.join(F.broadcast(state), "_g")  # n_splits rows
-                          .groupBy(F.col("_g").cast("int").alias("split_id")).agg(F.sqrt(F.avg(F.pow(F.col("_y") - fitted, 2))).alias("rmse"))
-                          .select("split_id", F.lit(column).alias("_column"), F.lit(label).alias("model"), "rmse"))
-        errors = [stage_table(e, "cv-errors", small=True) for e in errors]  # one row per split
+            fits = fit_groups(split_rows, design, "both", groups=range(n_splits), initial=whole.get(0), standard_errors=False)
+        found = split_errors(split_rows, [{s: f[family].beta_scaled for s, f in fits.items()} for _, family in MODELS], scale == "link")
+        label = F.element_at(F.array(*[F.lit(name) for name, _ in MODELS]), F.col("model") + 1)
+        errors = found.select(F.col("_g").cast("int").alias("split_id"), F.col("model").alias("_column"), label.alias("model"),
+                              F.sqrt(F.col("sq") / F.col("n")).alias("rmse"))
+        errors = stage_table(errors, "cv-errors", small=True)  # one row per split and model
     finally:
         base.unpersist()
         drop_staged(base)
     # A split's errors come in the order of its models' columns.
-    out = with_first_order(errors[0].unionByName(errors[1]), "model", "model_order", ["split_id", "_column"])
+    out = with_first_order(errors, "model", "model_order", ["split_id", "_column"])
     return out.select("split_id", "model", "model_order", "rmse")

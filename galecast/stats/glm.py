@@ -26,6 +26,11 @@ with factors only is fitted on its distinct rows with their counts.
   alone: the driver holds how many rows have each ``y`` (``HISTOGRAM_ROWS`` at most;
   beyond that the rows compute them), and the passes sum logarithms and quotients.
 
+Groups that are one table without some of its rows each (the splits of a
+cross-validation) are not made into rows x groups: ``SplitRows`` holds every row
+once with the groups it is not in, and a pass takes, in numpy, the sums of all
+groups over a bounded number of rows at a time, the weights of all groups as one matrix.
+
 A fit ends when the next step would gain less than ``tol`` of the criterion;
 that step is still taken.  Ungrouped fits are the one-group case (group key 0).
 """
@@ -33,11 +38,12 @@ that step is still taken.  Ungrouped fits are the one-group case (group key 0).
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -180,14 +186,154 @@ def _pass_exprs(p: int, kind: str) -> tuple[list[list[Column]], list[Column]]:
     return steps, aggs
 
 
-def _pass(rows: DataFrame, state: DataFrame, p: int, kind: str) -> dict[int, dict]:
-    """One pass over the rows of the active groups."""
+@dataclass
+class SplitRows:
+    """Rows of groups ``0 .. n - 1``, each group a table's rows but for those that name it in ``_out`` (see ``prepare_rows``)."""
+
+    rows: DataFrame
+    n: int
+
+    @property
+    def sparkSession(self) -> SparkSession:  # noqa: N802  as a DataFrame's
+        return self.rows.sparkSession
+
+    def exploded(self) -> DataFrame:
+        every = F.sequence(F.lit(0), F.lit(self.n - 1))
+        out = self.rows.select(F.explode(F.array_except(every, F.col("_out"))).alias("_g"),
+                               *[c for c in self.rows.columns if c not in ("_g", "_out")])
+        return out.withColumn("_g", F.col("_g").cast("long"))
+
+
+#: Rows x groups that a pass over ``SplitRows`` holds at once.
+CELLS = 1 << 17
+_EPS = 2.220446049250313e-16
+
+
+def _plain(rows: DataFrame | SplitRows) -> DataFrame:
+    return rows.exploded() if isinstance(rows, SplitRows) else rows
+
+
+def _numbers(batch: pa.RecordBatch, p: int) -> tuple[np.ndarray, ...]:
+    """``y, off, c, x`` and the rows and groups of ``_out``."""
+    y, off, c, *x = (batch.column(n).to_numpy(zero_copy_only=False).astype(float) for n in ("_y", "_off", "_c", *[f"_x{k}" for k in range(p)]))
+    out = batch.column("_out")
+    return y, off, c, np.stack(x, 1), np.repeat(np.arange(len(y)), out.value_lengths().to_numpy()), out.flatten().to_numpy()
+
+
+def _log_times(y: np.ndarray) -> np.ndarray:
+    return np.where(y > 0, y * np.log(np.where(y > 0, y, 1.0)), 0.0)
+
+
+def _pass_sums(y, off, c, x, inside, beta, theta, kind: str) -> dict[str, np.ndarray]:
+    """The sums of ``_pass_exprs`` for every group: ``inside`` (rows x groups) tells who has which row."""
+    pairs = _pair_index(x.shape[1])
+    z = np.stack([x[:, i] * x[:, j] for i, j in pairs], 1)
+    eta = np.where(inside, off[:, None] + x @ beta.T, 0.0)
+    mu = np.maximum(np.exp(eta), _EPS)
+    c, y = inside * c[:, None], y[:, None]
+    gap = y - mu
+    # y log(y / mu), the part of y apart.
+    quotient = _log_times(y) - y * np.maximum(eta, math.log(_EPS))
+
+    def total(v: np.ndarray) -> np.ndarray:
+        return (c * v).sum(axis=0)
+
+    if kind == "poisson":
+        gram, b, t = z.T @ (c * mu), x.T @ (c * gap), None
+        out = {"dev": total(2.0 * (quotient - gap)), "loglik": total(y * eta - mu),
+               "moment": total((y / mu - 1.0) ** 2), "overdisp": total(gap * gap - y)}
+    else:
+        both, sure = theta + mu, theta + y
+        logs, share = np.log(both), sure / both
+        gram, b, t = z.T @ (c * (theta * mu * share / both)), x.T @ (c * (gap * theta / both)), x.T @ (c * (gap * mu / (both * both)))
+        out = {"loglik": total(y * eta - sure * logs), "score": total(1.0 - logs - share), "second": total((share - 2.0) / both),
+               "dev": total(2.0 * (quotient - sure * (np.log(sure) - logs)))}
+    out |= {f"g{i}_{j}": gram[k] for k, (i, j) in enumerate(pairs)} | {f"b{k}": v for k, v in enumerate(b)}
+    return out | ({f"t{k}": v for k, v in enumerate(t)} if t is not None else {})
+
+
+def _split_pass(groups: np.ndarray, n: int, beta: np.ndarray, theta: np.ndarray, kind: str,
+                names: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """One row per group and task: the sums ``names`` over the task's rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = dict.fromkeys(names, 0.0)
+        step = max(1, CELLS // n)
+        with np.errstate(all="ignore"):
+            for whole in batches:
+                for lo in range(0, len(whole), step):
+                    y, off, c, x, row, out = _numbers(whole.slice(lo, step), beta.shape[1])
+                    inside = np.ones((len(y), n), bool)
+                    inside[row, out] = False
+                    sums = _pass_sums(y, off, c, x, inside[:, groups], beta, theta, kind)
+                    found = {k: v + sums[k] for k, v in found.items()}
+        columns = [pa.array(np.broadcast_to(found[k], len(groups)), pa.float64()) for k in names]
+        yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), *columns], ["_g", *names])
+    return run
+
+
+def _split_counts(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``_g, _y, c, off, exp_off``: sums by group and ``_y`` over some rows, those of all of them less those outside the group."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            y, off, c, _, row, out = _numbers(batch.select(["_y", "_off", "_c", "_x0", "_out"]), 1)
+            kept, code = np.unique(y, return_inverse=True)
+            sums = []
+            for v in (c, c * y * off, c * np.exp(off)):
+                every = np.bincount(code, weights=v, minlength=len(kept))
+                sums.append((every - np.bincount(out * len(kept) + code[row], weights=v[row], minlength=n * len(kept)).reshape(n, -1)).reshape(-1))
+            at = np.flatnonzero(sums[0] > 0)
+            yield pa.RecordBatch.from_arrays([pa.array(at // len(kept), pa.int64()), pa.array(kept[at % len(kept)], pa.float64()),
+                                              pa.array(sums[0][at].astype(np.int64)), *[pa.array(v[at], pa.float64()) for v in sums[1:]]],
+                                             ["_g", "_y", "c", "off", "exp_off"])
+    return run
+
+
+def split_errors(rows: SplitRows, betas: Sequence[Mapping[int, np.ndarray]], link: bool = False) -> DataFrame:
+    """``_g, model, sq, n``: squared differences of ``_y`` and the fitted values of each model, over the rows outside the group."""
+    n, known = rows.n, [np.array([g in b for g in range(rows.n)]) for b in betas]
+    p = len(next((v for b in betas for v in b.values()), [0.0]))
+    coefs = [np.stack([b.get(g, np.zeros(p)) for g in range(n)]) for b in betas]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sq, times = np.zeros((len(coefs), n)), np.zeros(n, np.int64)
+        with np.errstate(all="ignore"):
+            for whole in batches:
+                for lo in range(0, len(whole), CELLS // 16):
+                    y, off, _, x, row, out = _numbers(whole.slice(lo, CELLS // 16), p)
+                    times += np.bincount(out, minlength=n)
+                    for k, beta in enumerate(coefs):
+                        eta = off[row] + (x[row] * beta[out]).sum(axis=1)
+                        sq[k] += np.bincount(out, weights=(y[row] - (eta if link else np.exp(eta))) ** 2, minlength=n)
+        for k, own in enumerate(known):
+            g = np.flatnonzero(own & (times > 0))
+            yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array([k] * len(g), pa.int32()), pa.array(sq[k][g], pa.float64()),
+                                              pa.array(times[g], pa.int64())], ["_g", "model", "sq", "n"])
+    parts = rows.rows.mapInArrow(run, "_g long, model int, sq double, n long")
+    return parts.groupBy("_g", "model").agg(F.sum("sq").alias("sq"), F.sum("n").alias("n"))
+
+
+def _sums_of(rows: DataFrame | SplitRows, betas: Mapping[int, Sequence[float] | None], thetas: Mapping[int, float] | None,
+             p: int, kind: str) -> DataFrame:
+    if isinstance(rows, SplitRows) and kind in ("poisson", "negbin") and betas:
+        groups = np.array(sorted(betas), np.int64)
+        names = [f"g{i}_{j}" for i, j in _pair_index(p)] + [f"b{k}" for k in range(p)]
+        names += ["dev", "loglik", "moment", "overdisp"] if kind == "poisson" else [*[f"t{k}" for k in range(p)], "loglik", "score", "second", "dev"]
+        theta = np.array([(thetas or {}).get(g, math.nan) for g in groups])
+        run = _split_pass(groups, rows.n, np.stack([np.asarray(betas[g], float) for g in groups]), theta, kind, names)
+        parts = rows.rows.mapInArrow(run, ", ".join(["_g long", *[f"{c} double" for c in names]]))
+        return parts.groupBy("_g").agg(*[F.sum(c).alias(c) for c in names])
     steps, aggs = _pass_exprs(p, kind)
-    data = rows.join(F.broadcast(state), "_g")  # MAX_GROUPS rows at most
+    data = _plain(rows).join(F.broadcast(_state_df(rows.sparkSession, betas, thetas)), "_g")  # MAX_GROUPS rows at most
     for step in steps:
         data = data.select("*", *step)
+    return data.groupBy("_g").agg(*aggs)
+
+
+def _pass(rows: DataFrame | SplitRows, betas: Mapping[int, Sequence[float] | None], p: int, kind: str,
+          thetas: Mapping[int, float] | None = None) -> dict[int, dict]:
+    """One pass over the rows of the active groups."""
     out = {}
-    for r in data.groupBy("_g").agg(*aggs).collect():
+    for r in _sums_of(rows, betas, thetas, p, kind).collect():
         found = r.asDict()
         G = np.zeros((p, p))
         for i, j in _pair_index(p):
@@ -240,7 +386,7 @@ def eliminated(G: np.ndarray, sure: np.ndarray | None = None) -> tuple[np.ndarra
     return kept, share
 
 
-def _independent(rows: DataFrame, grams: Mapping[int, np.ndarray], p: int) -> dict[int, np.ndarray]:
+def _independent(rows: DataFrame | SplitRows, grams: Mapping[int, np.ndarray], p: int) -> dict[int, np.ndarray]:
     """Which columns each group's model can estimate."""
     spark = rows.sparkSession
     known = {g: eliminated(G) for g, G in grams.items()}
@@ -265,7 +411,7 @@ def _independent(rows: DataFrame, grams: Mapping[int, np.ndarray], p: int) -> di
             fitted = sum((F.col(f"_a{k}")[j] * F.col(f"_x{j}") for j in range(k)), F.lit(0.0))
             gap = F.col(f"_x{k}") - fitted
             aggs += [F.sum(F.col("_c") * gap * gap).alias(f"r{k}"), F.sum(F.col("_c") * F.col(f"_x{k}") * F.col(f"_x{k}")).alias(f"q{k}")]
-        found = rows.join(F.broadcast(spark.createDataFrame(state, schema)), "_g").groupBy("_g").agg(*aggs).collect()
+        found = _plain(rows).join(F.broadcast(spark.createDataFrame(state, schema)), "_g").groupBy("_g").agg(*aggs).collect()
         for r in found:
             g = r["_g"]
             k = open_[g].pop(0)
@@ -305,13 +451,13 @@ def stable_rows(rows: DataFrame) -> DataFrame:
     return out
 
 
-def prepare_rows(df: DataFrame, design: Design, group: Column | None = None) -> DataFrame:
-    """Project the model columns once: ``_g, _y, _off, _c, _x0 .. _x{p-1}`` (``_c``: rows that a row stands for)."""
+def prepare_rows(df: DataFrame, design: Design, group: Column | None = None, others: Sequence[str] = ()) -> DataFrame:
+    """Project the model columns once: ``_g, _y, _off, _c, _x0 .. _x{p-1}`` (``_c``: rows that a row stands for), and ``others``."""
     c = F.col("_c") if "_c" in df.columns else F.lit(1).cast("long").alias("_c")
     g = F.lit(0).cast("long") if group is None else group.cast("long")
     cols = [g.alias("_g"), F.col(f"`{design.response}`").cast("double").alias("_y"), design.offset().alias("_off"), c]
     cols += [c.alias(f"_x{k}") for k, c in enumerate(design.columns())]
-    return df.select(*cols)
+    return df.select(*cols, *others)
 
 
 @dataclass
@@ -341,10 +487,14 @@ class Counts:
         return tuple(float(self.c @ (own - base)) for own, base in zip(gamma_np(theta + self.y), gamma_np(np.array([theta])), strict=True))
 
 
-def _counts(rows: DataFrame) -> dict[int, Counts]:
+def _counts(rows: DataFrame | SplitRows) -> dict[int, Counts]:
     """Counts of ``y`` per group, or only sums where there are too many different ones."""
-    table = rows.groupBy("_g", "_y").agg(F.sum("_c").alias("c"), F.sum(F.col("_c") * F.col("_y") * F.col("_off")).alias("off"),
-                                         F.sum(F.col("_c") * F.exp("_off")).alias("exp_off"))
+    if isinstance(rows, SplitRows):
+        parts = rows.rows.mapInArrow(_split_counts(rows.n), "_g long, _y double, c long, off double, exp_off double")
+        table = parts.groupBy("_g", "_y").agg(*[F.sum(c).alias(c) for c in ("c", "off", "exp_off")])
+    else:
+        table = rows.groupBy("_g", "_y").agg(F.sum("_c").alias("c"), F.sum(F.col("_c") * F.col("_y") * F.col("_off")).alias("off"),
+                                             F.sum(F.col("_c") * F.exp("_off")).alias("exp_off"))
     found = table.limit(HISTOGRAM_ROWS + 1).collect()
     out: dict[int, Counts] = {}
     if len(found) <= HISTOGRAM_ROWS:
@@ -358,7 +508,7 @@ def _counts(rows: DataFrame) -> dict[int, Counts]:
                             math.fsum(r["off"] for r in own), math.fsum(r["exp_off"] for r in own))
         return out
     y, c = F.col("_y"), F.col("_c")
-    sums = rows.groupBy("_g").agg(
+    sums = _plain(rows).groupBy("_g").agg(
         F.sum(c).alias("n"), F.sum(c * y).alias("sy"), F.sum(c * F.when(y > 0, y * F.log(y)).otherwise(0.0)).alias("yl"),
         F.sum(c * lgamma(y + F.lit(1.0))).alias("lg"), F.sum(c * y * F.col("_off")).alias("off"), F.sum(c * F.exp("_off")).alias("eo"))
     for r in sums.collect():
@@ -366,7 +516,7 @@ def _counts(rows: DataFrame) -> dict[int, Counts]:
     return out
 
 
-def fit_groups(rows: DataFrame, design: Design, family: str = "poisson",
+def fit_groups(rows: DataFrame | SplitRows, design: Design, family: str = "poisson",
                tol: float = 1e-10, max_iter: int = 100,
                groups: Sequence[int] | None = None, initial: Fit | Mapping[str, Fit] | None = None,
                standard_errors: bool = True) -> dict:
@@ -376,7 +526,7 @@ def fit_groups(rows: DataFrame, design: Design, family: str = "poisson",
     the CV split ids); otherwise they are those that occur.  ``initial`` is a fit of all rows
     to start every group's from (for ``both``, one of each family), where the groups are samples of one table.
     """
-    spark, p = rows.sparkSession, design.p
+    p = design.p
     if groups is None:
         groups = [r["_g"] for r in rows.select("_g").distinct().limit(MAX_GROUPS + 1).collect()]
     if len(groups) > MAX_GROUPS:
@@ -387,7 +537,7 @@ def fit_groups(rows: DataFrame, design: Design, family: str = "poisson",
     given = {family: initial} if isinstance(initial, Fit) else dict(initial or {})
     start = given.get("poisson") or given.get("negbin")
     if start is None:
-        first = _pass(rows, _state_df(spark, dict.fromkeys(groups)), p, "start") if groups else {}
+        first = _pass(rows, dict.fromkeys(groups), p, "start") if groups else {}
         keep = _independent(rows, {g: first[g]["G"] for g in groups}, p)
         trial = {g: _on(keep[g], first[g]["G"], first[g]["b"]) for g in groups}
     else:
@@ -399,7 +549,7 @@ def fit_groups(rows: DataFrame, design: Design, family: str = "poisson",
     for _ in range(max_iter):
         if not active:
             break
-        res = _pass(rows, _state_df(spark, {g: trial[g] for g in active}), p, "poisson")
+        res = _pass(rows, {g: trial[g] for g in active}, p, "poisson")
         if not keep and active:
             keep = _independent(rows, {g: res[g]["G"] for g in groups}, p)
         for g in list(active):
@@ -436,9 +586,9 @@ def fit_groups(rows: DataFrame, design: Design, family: str = "poisson",
     return nb
 
 
-def _fit_negbin(rows: DataFrame, design: Design, pois: dict[int, Fit], last: dict, counts: dict[int, Counts],
+def _fit_negbin(rows: DataFrame | SplitRows, design: Design, pois: dict[int, Fit], last: dict, counts: dict[int, Counts],
                 initial: Fit | None, tol: float, max_iter: int, standard_errors: bool) -> dict[int, Fit]:
-    spark, p = rows.sparkSession, design.p
+    p = design.p
     held = all(c.y is not None for c in counts.values())
     near = initial is not None and initial.theta is not None and math.isfinite(initial.theta)
     trial, active, fits = {}, set(), {}
@@ -456,8 +606,8 @@ def _fit_negbin(rows: DataFrame, design: Design, pois: dict[int, Fit], last: dic
     for _ in range(max_iter):
         if not active:
             break
-        state = _state_df(spark, {g: trial[g][0] for g in active}, {g: math.exp(trial[g][1]) for g in active})
-        res = _pass(rows, state, p, "negbin" if held else "negbin_gamma")
+        thetas = {g: math.exp(trial[g][1]) for g in active}
+        res = _pass(rows, {g: trial[g][0] for g in active}, p, "negbin" if held else "negbin_gamma", thetas)
         for g in list(active):
             r, (beta, tau) = res[g], trial[g]
             theta, keep = math.exp(tau), ~pois[g].aliased
@@ -493,7 +643,7 @@ def _fit_negbin(rows: DataFrame, design: Design, pois: dict[int, Fit], last: dic
     left = {g: v for g, v in good.items() if g not in fits}
     grams = {}
     if left and standard_errors:
-        grams = _pass(rows, _state_df(spark, {g: v[0] for g, v in left.items()}, {g: math.exp(v[1]) for g, v in left.items()}), p, "expected")
+        grams = _pass(rows, {g: v[0] for g, v in left.items()}, p, "expected", {g: math.exp(v[1]) for g, v in left.items()})
     for g, (beta, tau, ll, dev) in left.items():
         G = grams[g]["G"] if g in grams else np.full((p, p), np.nan)
         fits[g] = _make_fit("negbin", design, beta, ~pois[g].aliased, G, ll, dev, counts[g].n, math.exp(tau), its[g], g in done)
