@@ -6,10 +6,11 @@ the greatest integer as its vocabulary size, so that nothing is cut, gives the
 vocabulary and exact sparse vectors.  It is fitted once for all languages: a
 term carries its language in front, so the counts of documents are those of
 single languages, and no pass is made per language.  Its rows are bundles of
-texts, in which numpy tells terms apart by a 64-bit hash: for the fit, a term that ``k`` texts of a
-bundle have is in ``min(k, min_df)`` rows, which leaves its test against ``min_df`` as it is; for the vectors, the
-terms that a group's texts have equally often are one row, with that number as
-its weight.  So the vectoriser gets each term of a bundle once, not once a text.  Group sums are taken over
+texts, in which numpy tells terms apart by a 64-bit hash.  Texts are split and counted once: the bundles are
+stored, and both the fit and the vectors read them.  For the fit, the bundles' terms are brought together in ``PARTS`` parts,
+and a term that ``k`` texts have is in ``min(k, min_df)`` rows, which leaves its test against ``min_df`` as it is; for the vectors, the
+terms that a group's texts of a bundle have equally often are one row, with that number as
+its weight.  So the vectoriser gets a term a few times, not once a text.  Group sums are taken over
 the vectors' entries in whole numbers (a summariser's means and weights would
 round).  Smoothed shares ``p = 1 + floor(10^9 (count + 5) / (N + 5 V))`` follow
 in exact decimals.  Pairs of sources are evaluated in blocks of ``BLOCK`` terms
@@ -33,20 +34,23 @@ Other columns are ignored and may have any name.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.joins import attach_groups
 from ..session import drop_staged, stage_table
-from .kernels import LETTERS, Words, lists, ragged, row_slices, text_bytes
+from .kernels import BYTE_BASE, LETTERS, Words, lists, mix, ragged, row_slices, run_hash, running, text_bytes
 
 MIN_DF, TOP_TERMS, SCALE, PRIOR = 30, 50, 1_000_000_000, 5
 MAX_TERMS, SAMPLE, BLOCK = 2_000_000, 16, 4096
-#: Entries of a bundle, strings made at once, rows handed on at once, parts of the vocabulary that are summed apart.
-ENTRIES, STRINGS, ROWS, PARTS = 1 << 19, 1 << 16, 32, 256
+#: Entries held at once for a bundle, vector entries summed at once, strings made at once, rows handed on at once, parts of the
+#: terms that are summed apart.
+ENTRIES, VALUES, STRINGS, ROWS, PARTS = 1 << 18, 1 << 19, 1 << 16, 32, 256
 GREATEST_INT = (1 << 31) - 1
 #: Terms hold no character up to 0x40, so what stands before the last of these is the language.
 _MARK = "\x01"
@@ -103,63 +107,223 @@ def _starts(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-class _Bundle:
-    """How often each group has each term, over as many texts as give ``ENTRIES`` different ones."""
+class _Counter:
+    """How often each group has each term, and in how many texts, over a number of texts."""
 
     def __init__(self):
         self.parts, self.held, self.groups, self.texts = [], 0, {}, np.zeros(0, np.int64)
 
-    def add(self, part: pa.RecordBatch, columns: Sequence[int], distinct: bool) -> None:
-        words = Words(*text_bytes(part.column(2)), LETTERS, lower=True)
-        code = _groups(part, columns, self.groups)
+    def add(self, part: pa.RecordBatch) -> None:
+        code = _groups(part, (0, 1), self.groups)
         self.texts = np.bincount(code, minlength=len(self.groups)) + np.pad(self.texts, (0, len(self.groups) - len(self.texts)))
+        # With the texts of a group on end, a stable sort by term leaves groups and texts in order.
+        order = np.argsort(code, kind="stable")
+        words = Words(*text_bytes(part.column(2).take(pa.array(order))), LETTERS, lower=True)
         of, hashes = words.of_text(), words.hashes()
-        at = np.arange(len(of))
-        if distinct:
-            at = np.lexsort((hashes, of))
-            at = at[_starts(hashes[at], of[at])]
-        of = code[of]
-        at = at[np.lexsort((hashes[at], of[at]))]
-        first = _starts(hashes[at], of[at])
-        counts, at = np.diff(np.append(first, len(at))), at[first]
-        sizes = words.end[at] - words.start[at]
-        self.parts.append((of[at], hashes[at], counts, sizes, words.norm[ragged(words.start[at], sizes)[0]]))
-        self.held += len(at)
-
-    def entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """``group, count, start, size`` of each term, and the bytes that the last two speak of."""
-        of, hashes, counts, sizes, data = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        order = np.lexsort((hashes, of))
-        first = _starts(hashes[order], of[order])
-        total = np.add.reduceat(counts[order], first) if len(first) else counts
-        at = order[first]
-        return of[at], total, (np.cumsum(sizes) - sizes)[at], sizes[at], data
-
-
-def _strings(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, tags: list[bytes], tag: np.ndarray) -> pa.Array:
-    """Terms with their tags in front."""
-    length = np.array([len(t) for t in tags], np.int64)
-    before = len(data) + np.cumsum(length) - length
-    bytes_, parts = np.concatenate([data, np.frombuffer(b"".join(tags), np.uint8)]), []
-    for lo in range(0, len(starts), STRINGS):
-        own = slice(lo, lo + STRINGS)
-        pieces, both = np.stack([before[tag[own]], starts[own]], 1), np.stack([length[tag[own]], sizes[own]], 1)
-        whole = bytes_[ragged(pieces.reshape(-1), both.reshape(-1))[0]]
-        ends = np.concatenate([[0], np.cumsum(both.sum(axis=1))]).astype(np.int32)
-        parts.append(pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends.tobytes()), pa.py_buffer(whole.tobytes())))
-    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
-
-
-def _bundles(batches: Iterator[pa.RecordBatch], columns: Sequence[int], distinct: bool) -> Iterator[_Bundle]:
-    bundle = _Bundle()
+        at = np.argsort(hashes, kind="stable")
+        of, hashes = of[at], hashes[at]
+        group, own = code[order][of], np.zeros(len(at), np.int64)
+        first, own[_starts(hashes, of)] = _starts(hashes, group), 1
+        starts, ends = words.start[at[first]], words.end[at[first]]
+        self.parts.append((_keys(hashes[first], group[first]), group[first], hashes[first], np.diff(np.append(first, len(at))),
+                           _totals(own, first), _terms(ends - starts, words.norm[ragged(starts, ends - starts)[0]])))
+        self.held += len(first)
+
+    def merge(self) -> None:
+        self.parts = [_merged(self.parts, 2)]
+        self.held = len(self.parts[0][0])
+
+    def bundle(self) -> _Bundle:
+        self.merge()
+        _, group, hashes, counts, texts, terms = self.parts[0]
+        names = list(self.groups)
+        tongue = _numbers([lang for lang, _ in names])[group]
+        keys = _keys(hashes, tongue)
+        order = np.argsort(keys)
+        first = _starts(keys[order])
+        at, term = order[first], np.empty(len(order), np.int64)
+        term[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+        return _Bundle(names, self.texts, tongue[at], _totals(texts[order], first), terms.take(pa.array(at)), group, term, counts)
+
+
+class _Bundle(NamedTuple):
+    """Terms of a number of texts: each language's once, with its number of texts, and how often each group has which."""
+
+    groups: list[tuple[str, str]]  # language and source
+    texts: np.ndarray  # of each group
+    tongue: np.ndarray  # of each term: the number of its language, by first appearance in ``groups``
+    held: np.ndarray  # of each term: in how many texts it is
+    terms: pa.Array
+    group: np.ndarray  # of each entry
+    term: np.ndarray
+    count: np.ndarray
+
+    def stored(self) -> pa.RecordBatch:
+        """One row, with the arrays of terms and entries as their bytes."""
+        sizes = pc.binary_length(self.terms).to_numpy(zero_copy_only=False)
+        data = self.terms.buffers()[2]
+        blobs = [_packed(x) for x in (self.tongue, self.held, sizes, self.group, self.term, self.count)]
+        names = [pa.array([[g[k] for g in self.groups]], pa.list_(pa.string())) for k in (0, 1)]
+        return pa.RecordBatch.from_arrays(
+            [*names, pa.array([self.texts.tolist()], pa.list_(pa.int64())),
+             *[pa.array([x], pa.binary()) for x in (*blobs, data.to_pybytes()[:int(sizes.sum())] if data else b"")]], _STORED)
+
+
+_STORED = ["lang", "source", "texts", "tongue", "held", "size", "group", "term", "count", "data"]
+_STORED_TYPES = "lang array<string>, source array<string>, texts array<long>, " + ", ".join(f"{c} binary" for c in _STORED[3:])
+
+
+def _tagged_terms(langs: list[str], tongue: np.ndarray, terms: pa.Array) -> pa.Array:
+    """Terms with their language in front."""
+    tags, nothing = pa.array([(lang + _MARK).encode() for lang in langs], pa.large_binary()), pa.scalar(b"", pa.large_binary())
+    parts = [pc.binary_join_element_wise(tags.take(pa.array(tongue[lo:lo + STRINGS])), terms.slice(lo, STRINGS), nothing)
+             for lo in range(0, len(terms), STRINGS)]
+    return pa.concat_arrays(parts).cast(pa.string()) if parts else pa.array([], pa.string())
+
+
+def _numbers(values: list[str]) -> np.ndarray:
+    """The place of each value among the different ones, by first appearance."""
+    places: dict[str, int] = {}
+    return np.array([places.setdefault(v, len(places)) for v in values], np.int64)
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers from 0 in as few bytes each as they need, and the code of their type in front."""
+    kind = np.min_scalar_type(int(numbers.max(initial=0)))
+    return kind.char.encode() + numbers.astype(kind).tobytes()
+
+
+def _unpacked(data: pa.Buffer) -> np.ndarray:
+    return np.frombuffer(data[1:], data[:1].to_pybytes().decode()).astype(np.int64)
+
+
+def _hashes(terms: pa.Array) -> np.ndarray:
+    """Those that ``Words`` gives the terms in a text."""
+    ends = np.frombuffer(terms.buffers()[1], np.int64)[:len(terms) + 1]
+    sums = running(np.frombuffer(terms.buffers()[2], np.uint8)[:ends[-1]].astype(np.uint64) + np.uint64(1), BYTE_BASE)
+    return run_hash(sums, ends[:-1], ends[1:], BYTE_BASE)
+
+
+def _keys(hashes: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Hashes of terms and groups together."""
+    return mix(hashes + mix(group.astype(np.uint64) + np.uint64(1)))
+
+
+def _merged(parts: Sequence[tuple], sums: int) -> tuple:
+    """Rows of keys, numbers and terms, once for each key; the last ``sums`` numbers are added up."""
+    *numbers, terms = zip(*parts, strict=True)
+    numbers = [np.concatenate(x) for x in numbers]
+    order = np.argsort(numbers[0])
+    first = _starts(numbers[0][order])
+    at = order[first]
+    return (*[x[at] for x in numbers[:-sums]], *[_totals(x[order], first) for x in numbers[-sums:]],
+            pa.concat_arrays(terms).take(pa.array(at)))
+
+
+def _totals(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(values, first) if len(first) else values[:0]
+
+
+def _terms(sizes: np.ndarray, data: np.ndarray | bytes) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
+
+def _restored(batch: pa.RecordBatch) -> Iterator[_Bundle]:
+    for r in range(len(batch)):
+        row = {c: batch.column(c)[r] for c in _STORED}
+        tongue, held, sizes, group, term, count = (_unpacked(row[c].as_buffer()) for c in _STORED[3:-1])
+        yield _Bundle(list(zip(row["lang"].as_py(), row["source"].as_py(), strict=True)), np.array(row["texts"].as_py(), np.int64),
+                      tongue, held, _terms(sizes, row["data"].as_buffer()), group, term, count)
+
+
+def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[_Bundle]:
+    """Bundles of texts (``lang, source, text``), or those that were stored.
+
+    Equal terms of a group are added up whenever ``ENTRIES`` are held, and a bundle ends when three quarters as many are different.
+    """
+    counter = _Counter()
     for batch in batches:
+        if "data" in batch.schema.names:
+            yield from _restored(batch)
+            continue
         for lo, n in row_slices(batch.column(2)):
-            bundle.add(batch.slice(lo, n), columns, distinct)
-            if bundle.held >= ENTRIES:
-                yield bundle
-                bundle = _Bundle()
-    if bundle.parts:
-        yield bundle
+            counter.add(batch.slice(lo, n))
+            if counter.held >= ENTRIES:
+                counter.merge()
+                if counter.held >= ENTRIES * 3 // 4:
+                    yield counter.bundle()
+                    counter = _Counter()
+    if counter.parts:
+        yield counter.bundle()
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for bundle in _bundles(batches):
+        yield bundle.stored()
+
+
+class _Languages:
+    """The terms of each language of some bundles, and in how many of their texts they are."""
+
+    def __init__(self):
+        self.parts, self.held, self.names, self.texts = [], 0, {}, np.zeros(0, np.int64)
+
+    def add(self, bundle: _Bundle) -> None:
+        own = np.array([self.names.setdefault(lang, len(self.names)) for lang, _ in bundle.groups], np.int64)
+        self.texts = np.pad(self.texts, (0, len(self.names) - len(self.texts)))
+        np.add.at(self.texts, own, bundle.texts)
+        tongue = np.array(list(dict.fromkeys(own.tolist())), np.int64)[bundle.tongue]
+        hashes = _hashes(bundle.terms)
+        self.parts.append((_keys(hashes, tongue), hashes, tongue, bundle.held, bundle.terms))
+        self.held += len(tongue)
+        if self.held >= ENTRIES:
+            self.merge()
+
+    def merge(self) -> None:
+        self.parts = [_merged(self.parts, 1)]
+        self.held = len(self.parts[0][0])
+
+    def bundles(self, parts: int = 1) -> Iterator[_Bundle]:
+        """A bundle without entries for each of some parts of the terms."""
+        self.merge()
+        _, hashes, tongue, held, terms = self.parts[0]
+        of, none = (hashes % np.uint64(parts)).astype(np.int64), np.zeros(0, np.int64)
+        order, upto = np.argsort(of, kind="stable"), np.cumsum(np.bincount(of, minlength=parts))
+        for at in np.split(order, upto[:-1]):
+            yield _Bundle([(lang, "") for lang in self.names], self.texts, tongue[at], held[at], terms.take(pa.array(at)), none, none, none)
+
+
+def _parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``part`` and the stored bundle of its terms, for each of ``PARTS`` parts, of three quarters of ``ENTRIES`` different ones at a time."""
+    def rows(langs: _Languages) -> pa.RecordBatch:
+        parts = pa.Table.from_batches([b.stored() for b in langs.bundles(PARTS)]).combine_chunks()
+        return pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), *[c.chunk(0) for c in parts.columns]], ["part", *_STORED])
+
+    langs = _Languages()
+    for bundle in _bundles(batches):
+        langs.add(bundle)
+        if langs.held >= ENTRIES * 3 // 4:
+            langs.merge()
+            if langs.held >= ENTRIES * 3 // 4:
+                yield rows(langs)
+                langs = _Languages()
+    if langs.parts:
+        yield rows(langs)
+
+
+def _whole_bundle(part: pa.Table) -> pa.RecordBatch:
+    """All terms of one part, with their numbers of texts in the whole table."""
+    langs = _Languages()
+    for batch in part.to_batches():
+        for bundle in _restored(batch):
+            langs.add(bundle)
+    return next(langs.bundles()).stored()
+
+
+def _whole_presences(cap: int) -> Callable[[pa.Table], pa.Table]:
+    """The rows of ``_presences`` for all terms of one part, in the same worker."""
+    return lambda part: pa.Table.from_batches(list(_presences(cap)(iter([_whole_bundle(part)]))), pa.schema([("terms", pa.list_(pa.string()))]))
 
 
 def _presences(cap: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -168,34 +332,33 @@ def _presences(cap: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     Every row also holds the empty term; there are as many as the language has texts, or ``cap``.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bundle in _bundles(batches, (0,), True):
-            of, texts, starts, sizes, data = bundle.entries()
-            tags = [(lang + _MARK).encode() for lang, in bundle.groups]
+        for bundle in _bundles(batches):
+            langs = list(dict.fromkeys(lang for lang, _ in bundle.groups))
+            texts = np.bincount(_numbers([lang for lang, _ in bundle.groups]), bundle.texts).astype(np.int64)
+            # The empty term is the last.
+            terms = pa.concat_arrays([_tagged_terms(langs, bundle.tongue, bundle.terms), pa.array([""], pa.string())])
+            own = np.argsort(bundle.tongue, kind="stable")
             for j in range(1, cap + 1):
-                langs, own = np.flatnonzero(bundle.texts >= j), np.flatnonzero(texts >= j)
-                if not len(langs):
+                present, own = np.flatnonzero(texts >= j), own[bundle.held[own] >= j]
+                if not len(present):
                     break
-                # The empty term of each row has a tag of no bytes.
-                place, empty = np.concatenate([langs, of[own]]), np.zeros(len(langs), np.int64)
-                order = np.argsort(place, kind="stable")
-                terms = _strings(data, np.concatenate([empty, starts[own]])[order], np.concatenate([empty, sizes[own]])[order],
-                                 [*tags, b""], np.concatenate([empty + len(tags), of[own]])[order])
-                yield from _cut(pa.RecordBatch.from_arrays([lists(np.bincount(place)[langs], terms)], ["terms"]))
+                place = np.concatenate([present, bundle.tongue[own]])
+                at = np.concatenate([np.full(len(present), len(bundle.held)), own])[np.argsort(place, kind="stable")]
+                yield from _cut(pa.RecordBatch.from_arrays([lists(np.bincount(place)[present], terms.take(pa.array(at)))], ["terms"]))
     return run
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``lang, source, weight, terms``: the terms that a bundle's texts of a group have ``weight`` times."""
-    for bundle in _bundles(batches, (0, 1), False):
-        of, times, starts, sizes, data = bundle.entries()
-        names = list(bundle.groups)
-        order = np.lexsort((times, of))
-        first = _starts(of[order], times[order])
-        terms = _strings(data, starts[order], sizes[order], [(lang + _MARK).encode() for lang, _ in names], of[order])
-        own = pa.array(of[order[first]])
+    for bundle in _bundles(batches):
+        order = np.lexsort((bundle.count, bundle.group))
+        group, count = bundle.group[order], bundle.count[order]
+        first, langs = _starts(group, count), list(dict.fromkeys(lang for lang, _ in bundle.groups))
+        terms = _tagged_terms(langs, bundle.tongue, bundle.terms)
+        own = pa.array(group[first])
         yield from _cut(pa.RecordBatch.from_arrays(
-            [*[pa.array([g[k] for g in names], pa.string()).take(own) for k in (0, 1)], pa.array(times[order[first]], pa.int64()),
-             lists(np.diff(np.append(first, len(order))), terms)], ["lang", "source", "weight", "terms"]))
+            [*[pa.array([g[k] for g in bundle.groups], pa.string()).take(own) for k in (0, 1)], pa.array(count[first], pa.int64()),
+             lists(np.diff(np.append(first, len(order))), terms.take(pa.array(bundle.term[order])))], ["lang", "source", "weight", "terms"]))
 
 
 def _cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -215,7 +378,7 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         upto = np.concatenate([[0], np.cumsum(batch.column(3).value_lengths().to_numpy())])
         lo = 0
         while lo < len(batch):
-            n = max(1, int(np.searchsorted(upto, upto[lo] + ENTRIES, "right")) - 1 - lo)
+            n = max(1, int(np.searchsorted(upto, upto[lo] + VALUES, "right")) - 1 - lo)
             part = batch.slice(lo, n)
             groups: dict[tuple[str, ...], int] = {}
             own = np.diff(upto[lo:lo + n + 1])
@@ -264,9 +427,12 @@ def _by_vectors(docs: DataFrame, min_df: int) -> tuple[DataFrame, DataFrame]:
     The empty term is in a row of every document up to ``min_df``, so a vocabulary is never empty where there are so many documents.
     """
     counter = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_df), vocabSize=GREATEST_INT)
-    model = counter.fit(_texts(docs).mapInArrow(_presences(min_df), "terms array<string>"))
-    bags = _texts(docs).mapInArrow(_bags, "lang string, source string, weight long, terms array<string>")
+    bundles = stage_table(_texts(docs).mapInArrow(_counted, _STORED_TYPES), "divergence-bundles")
+    parts = bundles.mapInArrow(_parted, f"part int, {_STORED_TYPES}")
+    model = counter.fit(parts.groupBy("part").applyInArrow(_whole_presences(min_df), "terms array<string>"))
+    bags = bundles.mapInArrow(_bags, "lang string, source string, weight long, terms array<string>")
     vectors = stage_table(model.transform(bags).select("lang", "source", "weight", "vector"), "divergence-vectors")
+    drop_staged(bundles)
     spark = docs.sparkSession
     # The same files, with the vectors as the structs that they are stored as.
     stored = spark.read.schema(f"lang string, source string, weight long, vector {_ENTRY}").parquet(vectors._staged_path)

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 19
-_BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _MASK = (1 << 64) - 1
 _powers: dict[int, np.ndarray] = {}
 
@@ -121,8 +121,8 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
     def hashes(self) -> np.ndarray:
-        sums = running(self.norm.astype(np.uint64) + np.uint64(1), _BYTE_BASE)
-        return run_hash(sums, self.start, self.end, _BYTE_BASE)
+        sums = running(self.norm.astype(np.uint64) + np.uint64(1), BYTE_BASE)
+        return run_hash(sums, self.start, self.end, BYTE_BASE)
 
     def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """First words of the runs of ``n`` words inside one text, and the text of each."""
@@ -146,16 +146,16 @@ def word_run_hash(sums: np.ndarray, at: np.ndarray, n: int | np.ndarray) -> np.n
 
 
 def byte_run_sums(buf: np.ndarray) -> np.ndarray:
-    return running(buf.astype(np.uint64) + np.uint64(1), _BYTE_BASE)
+    return running(buf.astype(np.uint64) + np.uint64(1), BYTE_BASE)
 
 
 def byte_run_hash(sums: np.ndarray, at: np.ndarray, n: int | np.ndarray) -> np.ndarray:
-    return run_hash(sums, at, at + n, _BYTE_BASE)
+    return run_hash(sums, at, at + n, BYTE_BASE)
 
 
 def gram_hashes(sums: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the strings of ``n`` bytes at every position, spread enough to be compared."""
-    x = (sums[n:] - sums[:-n]) * powers(_BYTE_BASE, len(sums))[1][:len(sums) - n] if len(sums) > n else sums[:0]
+    x = (sums[n:] - sums[:-n]) * powers(BYTE_BASE, len(sums))[1][:len(sums) - n] if len(sums) > n else sums[:0]
     x ^= x >> np.uint64(32)
     x *= np.uint64(0xFF51AFD7ED558CCD)
     x ^= x >> np.uint64(29)

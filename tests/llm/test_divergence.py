@@ -2,6 +2,7 @@ import re
 from collections import Counter, defaultdict
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from galecast.llm import divergence, kernels
@@ -89,3 +90,48 @@ def test_vectoriser_gets_bundles(monkeypatch, entries):
     if entries > 40:
         # Handed on once a bundle, not once a text.
         assert got["en\x01common"] == 3 and sum(len(t) for t in fitted) < sum(held.values())
+
+
+def test_texts_are_split_once_for_fit_and_vectors(spark, monkeypatch, tmp_path):
+    """Each text is split once besides the sampled ones, and the vectoriser gets a term at most ``min_df`` times in all."""
+    rows = [(k, "common Common words", "en", f"s{k % 3}", 0) for k in range(200)]
+    seen = spark.sparkContext.accumulator(0)
+    split = divergence._counted
+
+    def counted(batches):
+        def watched():
+            for b in batches:
+                seen.add(len(b))
+                yield b
+        return split(watched())
+
+    monkeypatch.setattr(divergence, "_counted", counted)
+    fitted = []
+    fit = divergence.CountVectorizer.fit
+    monkeypatch.setattr(divergence.CountVectorizer, "fit", lambda self, df: fitted.append([r["terms"] for r in df.collect()]) or fit(self, df))
+    docs = cases.frame(spark, rows).repartition(7)
+    assert rows_of(divergence.audit(docs, min_df=3)) == plain(rows, 3)
+    assert seen.value == len(rows)
+    got = Counter(t for terms in fitted[0] for t in terms if t)
+    assert got == {"en\x01common": 3, "en\x01words": 3}
+
+
+def test_stored_bundles_come_back(monkeypatch):
+    rows = [(t or "", lang or "", source or "") for _, t, lang, source, _ in awkward()]
+    batch = pa.RecordBatch.from_pydict({"lang": [r[1] for r in rows], "source": [r[2] for r in rows], "text": [r[0] for r in rows]})
+    held = Counter((lang, w) for t, lang, _ in rows for w in set(TERM.findall(t.translate(cases.LOWER))))
+    for entries in (1 << 20, 40):
+        monkeypatch.setattr(divergence, "ENTRIES", entries)
+        stored = list(divergence._counted(iter([batch])))
+        for make in (divergence._bags, divergence._presences(3)):
+            assert [b.to_pylist() for b in make(iter(stored))] == [b.to_pylist() for b in make(iter([batch]))]
+        parts = pa.Table.from_batches(list(divergence._parted(iter(stored))))
+        found = Counter()
+        for p in range(divergence.PARTS):
+            own = parts.filter(pc.equal(parts["part"], p)).select(divergence._STORED)
+            for bundle in divergence._restored(divergence._whole_bundle(own)):
+                langs = list(dict.fromkeys(lang for lang, _ in bundle.groups))
+                terms = [(langs[k], t.decode()) for k, t in zip(bundle.tongue, bundle.terms.to_pylist(), strict=True)]
+                assert not found.keys() & set(terms) and len(set(terms)) == len(terms)
+                found.update(dict(zip(terms, bundle.held.tolist(), strict=True)))
+        assert found == held
