@@ -104,7 +104,7 @@ def price_trend(p: DriverPipeline) -> DataFrame:
 
 
 def smooth_scores(fact_a: DataFrame) -> DataFrame:
-    """The derivative of each spline's REML criterion at its weight: zero."""
+    """The derivative of each spline's REML criterion at its weight, or its part that leads back into the weights' range: zero."""
     pts = drop_any_null(fact_a).select("region", "year", "mean_temp")
     return smooth.spline_fits(pts, "year", "mean_temp", ["region"]).select("region", F.abs("score").alias("score"))
 

@@ -73,6 +73,8 @@ def reml_weight(G: np.ndarray, b: np.ndarray, yy: float, n: int, S: np.ndarray)
     """``(log weight, coefficients, edf, score)``: where the REML criterion's derivative (the score) is zero.
 
     ``G, b, yy`` are the sums of products of centred columns and y; ``S`` penalises all of them.
+    The least value within ``_LOG_WEIGHTS`` may be at an end of it: a curve through all means of a few x, with equal y at each, has
+    no best weight above 0.  The score is then the derivative's part that leads back into the range, zero at a least value.
     """
     r = len(b)
 
@@ -95,6 +97,10 @@ def reml_weight(G: np.ndarray, b: np.ndarray, yy: float, n: int, S: np.ndarray)
     else:
         rho = grid[best]
     _, score, beta, AP = at(rho)
+    if rho == grid[0]:
+        score = min(score, 0.0)
+    elif rho == grid[-1]:
+        score = max(score, 0.0)
     return rho, beta, r - float(np.trace(AP)) + 1, score
 
 
@@ -142,7 +148,7 @@ def _solve_group(by: Sequence[str]) -> Callable[[pa.Table], pa.Table]:
 
 def spline_fits(df: DataFrame, x: str, y: str, by: Sequence[str], knots: int = KNOTS) -> DataFrame:
     """One row per group: its range, knots, values and second derivatives there, ``lambda``, ``edf`` and ``score``,
-    the derivative of the REML criterion, which is zero at its optimum."""
+    the derivative of the REML criterion, which is zero at its optimum (at an end of the weights' range: its part that leads back)."""
     by = list(by)
     data = df.select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")) \
              .dropna(how="any", subset=["_x", "_y"])

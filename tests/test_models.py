@@ -257,6 +257,16 @@ def test_spline_of_few_values(spark):
     assert np.allclose(out[out.g == "one"].fitted, 3) and np.allclose(out[out.g == "flat"].fitted, 1)
 
 
+def test_spline_without_a_best_weight_above_zero(spark):
+    """Equal y at each of seven x: the curve goes through all, and the least weight is the best one."""
+    y = [3.0, 9.0, 1.0, 7.0, 2.0, 8.0, 4.0]
+    df = spark.createDataFrame([("g", float(x), v) for x, v in enumerate(y) for _ in range(6)], "g string, x double, y double")
+    fit = smooth.spline_fits(df, "x", "y", ["g"]).first()
+    assert fit.score == 0 and abs(fit.edf - 7) < 1e-3
+    out = smooth.trend_smooth(df, "x", "y", ["g"], n_grid=7).toPandas().sort_values("x")
+    assert np.allclose(out.fitted, y, atol=1e-4)
+
+
 def test_dense_loess_equals_the_plain_one(spark):
     rng = np.random.default_rng(8)
     x = np.concatenate([rng.uniform(0, 100, 3000), rng.normal(20, 0.01, 800), [1e3], np.full(200, 50.0)])
